@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from millrace.llm import registry, secrets
 
@@ -49,7 +51,8 @@ def test_awkward_texts_clashing_names_and_repeats(spark):
 
 
 def test_models_find_random_strings_and_leave_words(spark):
-    samples = [("a9Xk2Lq8Zp4Rt7Vw", True), ("Q7mN4bV1cX9zL3kJ", True)] * 40 + [("understanding", False), ("configuration", False), ("documentation", False)] * 40
+    rng = random.Random(5)
+    samples = [("".join(rng.choices(string.ascii_letters + string.digits, k=24)), True) for _ in range(600)] + [("understanding", False), ("configuration", False), ("documentation", False)] * 40
     model = secrets.fit(spark.createDataFrame(samples, "token string, random boolean"))
     docs = spark.createDataFrame([(1, "see Zk4Lq8Xp2Rt9Vm7N here"), (2, "understandingconfiguration holds")], "doc_id long, text string")
     got = {r.doc_id: r.s for r in secrets.scan(docs, model).select("doc_id", secrets.listed(("assign", "access", "hex", "markov")).alias("s")).collect()}
