@@ -1,7 +1,73 @@
-"""The training-data pipeline (its stages follow)."""
-STAGES: list = []
-ORACLE_SQL = None
+"""The training-data pipeline: each stage works on all documents that its predecessor kept.
 
+1. toxicity: documents that the classifier rejects go.
+2. near_dedup: of each SimHash group the document with the smallest id stays.
+3. secrets: every secret span in a text is replaced by a mark.
+4. mixing: documents are repeated or left out as the source mix takes them.
+5. packing: the documents are packed into sequences.
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import langid, mixing, packing, secrets, simhash, toxicity
+from millrace.scratch import new_path
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+REJECT_FROM = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = toxicity.training_rows(docs, labels, trained=~langid.held_out(F.col("doc_id"), 5, 0))
+    scored = toxicity.score(docs, toxicity.fit(rows), carry=True)
+    return scored.where(F.col("__score") < REJECT_FROM).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs, simhash.near_duplicates(docs)).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = secrets.fit(secrets.labelled_samples(docs))
+    return secrets.redacted(secrets.scan(docs, model)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeated(docs, mixing.mix(docs).select("doc_id", "copies"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", near_dedup),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: Tokenizers and learned models have no SQL; tests hold every stage against a plain version.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = new_path(spark, f"stage-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

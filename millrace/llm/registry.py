@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, secrets
+from millrace.llm import descriptors, langid, mixing, packing, secrets, simhash, topk, toxicity, warc, wordpiece
+from millrace.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -36,10 +42,54 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"), 4, 2)
+    found = langid.identify(docs, langid.fit(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = langid.held_out(F.col("doc_id"), 5, 0)
+    found = toxicity.score(docs, toxicity.fit(toxicity.training_rows(docs, labels, trained=~out)))
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures that Spark draws from the embeddings, a tenth of them with an edited copy, as the media column."""
+    return descriptors.copies(written(descriptors.pictures(_table(spark, sf_dir, "embeddings")), "pictures"))
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_sum_of_squares_packing": op1,
         "op2_source_mixing": op2,
         "op3_secret_scan": op3,
+        "op4_simhash_near_dedup": op4,
+        "op5_language_bitmasks": op5,
+        "op6_linear_word_pieces": op6,
+        "op7_toxicity_automata": op7,
+        "op8_pivot_distance_topk": op8,
+        "op9_image_descriptors": op9,
+        "op10_seekable_warc": op10,
     }
 
 
@@ -72,5 +122,27 @@ for _name, _value in {"b0": 3 / 6 + 2 / 6, "p1": 2 / 6, "p2": 1 / 6, "q0": 1 / 3
     OP2_SQL = OP2_SQL.replace("{" + _name + "}", f"{_value!r}::DOUBLE")
 
 
+OP8_SQL = """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (1 + 5 * (j // 4))::INTEGER, 5))::BIGINT >> (5 * (3 - j % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op8_pivot_distance_topk": OP8_SQL, "op10_seekable_warc": OP10_SQL}

@@ -31,6 +31,7 @@ WHOLE_RUN = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 LOW, SIDE = 43, 80  # code points 43 to 122 hold all candidate characters
 BLOCK = 1024
+BACKOFF = 8.0
 
 
 def _let(value: Column, body) -> Column:
@@ -106,10 +107,12 @@ def fit(samples: DataFrame) -> list[float] | None:
         return None
     logs = {}
     for random, own in counts.items():
-        totals = [0.0] * SIDE
+        before, after = [0.0] * SIDE, [0.0] * SIDE
         for pair, n in own.items():
-            totals[pair // SIDE] += n
-        logs[random] = [math.log((own.get(p, 0) + 0.5) / (totals[p // SIDE] + 0.5 * SIDE)) for p in range(SIDE * SIDE)]
+            before[pair // SIDE] += n
+            after[pair % SIDE] += n
+        alone = [(n + 0.5) / (sum(after) + 0.5 * SIDE) for n in after]  # a bigram that was never seen falls back on its character
+        logs[random] = [math.log((own.get(p, 0) + BACKOFF * alone[p % SIDE]) / (before[p // SIDE] + BACKOFF)) for p in range(SIDE * SIDE)]
     return [round(a - b, 4) for a, b in zip(logs[True], logs[False], strict=True)]
 
 
