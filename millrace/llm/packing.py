@@ -18,9 +18,12 @@ empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import pandas as pd
 import pyarrow as pa
@@ -30,49 +33,87 @@ from pyspark.sql import functions as F
 from millrace.scratch import written
 
 END_ID = 0
-MOST_CACHED = 1_000_000
+MOST_CACHED = 800_000
 
 
 class WordBytes(dict):
-    """Token ids of a blank-free chunk as little-endian 32-bit words; a bounded memo of the tokenizer.
+    """Token ids of blank-free chunks as little-endian 32-bit words; a bounded memo of the tokenizer.
 
-    The tokenizer cuts at white space before anything else and does not look
-    across it, so a text's ids are those of its chunks in a row.
+    The tokenizer cuts at white space, and between a letter and ASCII
+    punctuation but for an apostrophe, before anything else, and does not look
+    across either. A text's ids are those of its chunks in a row, and a chunk's
+    those of its word and of the punctuation that ends it. It lower-cases, so
+    ASCII words are kept in lower case.
     """
 
     def __init__(self, path: str):
-        import numpy as np
         from tokenizers import Tokenizer
 
         super().__init__()
-        self._np, self._encode = np, None
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self._encode = lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self[""] = b""
+
+    def learn(self, chunks: set[str]) -> None:
+        import numpy as np
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self._np.array(self._encode(chunk), "<u4").tobytes() if chunk else b""
-        if len(self) >= MOST_CACHED:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+        parts = {}
+        for chunk in chunks:
+            head = chunk.rstrip(_MARKS)
+            if not head[-1:].lower()[-1:].isalpha():  # the lower case of one letter ends in a mark
+                head = chunk
+            parts[chunk] = (head.lower() if head.isascii() else head, chunk[len(head) :])
+        fresh = [x for x in {x for pair in parts.values() for x in pair} if x not in self]
+        rest = []
+        for x in fresh:
+            low = x.lower()
+            # A word of letters alone is one unit of the model: no rule of the normalizer or splitter applies but lower case.
+            if low.isalpha() and (x.isascii() or "\u03a3" not in x and is_normalized("NFC", x)):
+                units = low if x.isascii() else low.encode().decode("latin-1").translate(_UNITS)
+                self[x] = np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
+            else:
+                rest.append(x)
+        for x, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self[x] = np.array(found.ids, "<u4").tobytes()
+        for chunk, (head, tail) in parts.items():
+            self[chunk] = self[head] + self[tail]
 
 
 _BLANK = re.compile(r"[\t\n\r]")
+_MARKS = "".join(c for c in string.punctuation if c != "'")
+#: Byte-level models write printable Latin-1 bytes as themselves and the others as the code points from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_UNITS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_memo: dict[str, WordBytes] = {}
+
+
+def word_bytes(path: str) -> WordBytes:
+    """The memo of this Python worker, kept from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _memo:
+        _memo[path] = WordBytes(path)
+    return _memo[path]
 
 
 def token_bytes(text: str | None, words: WordBytes) -> bytes:
     """All ids of a text and the end id."""
     chunks = _BLANK.sub(" ", text or "").split(" ")
-    return b"".join(map(words.__getitem__, chunks)) + END_ID.to_bytes(4, "little")
+    fresh = {c for c in set(chunks) if c not in words}
+    if fresh:
+        words.learn(fresh)
+    out = b"".join(map(words.__getitem__, chunks)) + END_ID.to_bytes(4, "little")
+    if len(words) > MOST_CACHED:
+        words.clear()
+        words[""] = b""
+    return out
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", room: int = 2048) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` per piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordBytes(tokenizer_path)
+        words = word_bytes(tokenizer_path)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
