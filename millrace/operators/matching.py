@@ -217,7 +217,8 @@ def merge_tiles(boxes: DataFrame, least_iou: float = 0.4, least_contain: float =
                 tiles[ra] |= tiles[rb]
         return pd.DataFrame({"sheet": key[0], "id": own["id"], "symbol": [find(i) for i in own["id"]]})
 
-    placed = boxes.select("sheet", "id", "tile").groupBy("sheet").cogroup(kept.groupBy("sheet")).applyInPandas(group, f"sheet {kind}, id long, symbol long")
+    own = boxes.select("sheet", "id", "tile").withColumnRenamed("sheet", "s")
+    placed = own.groupBy("s").cogroup(kept.withColumnRenamed("sheet", "s").groupBy("s")).applyInPandas(group, f"sheet {kind}, id long, symbol long")
     merged = boxes.join(placed, ["sheet", "id"]).groupBy("sheet", F.col("symbol").alias("id"))
     return merged.agg(F.first("class").alias("class"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("parts"))
 

@@ -518,7 +518,7 @@ def a30(spark: SparkSession, d: str) -> DataFrame:
 def a31(spark: SparkSession, d: str) -> DataFrame:
     """Status matrix: inputs by row, with single-source inputs."""
     o = table(spark, d, "orders").withColumn("family", F.col("o_custkey") % 40)
-    return o.groupBy("family").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*")).join(o.groupBy("family").agg(F.count_distinct("o_orderpriority").alias("sources")), "family")
+    return o.groupBy("family").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey")).join(o.groupBy("family").agg(F.count_distinct("o_orderpriority").alias("sources")), "family")
 
 
 def a32(spark: SparkSession, d: str) -> DataFrame:
@@ -600,8 +600,8 @@ QUERIES = {
     "p01_nfkc": (p01_nfkc, None),
     "p02_isa_parts": (p02, I_ + """SELECT id, regexp_extract(tag, '^([A-Z]+)', 1) AS letters, regexp_extract(tag, '-([0-9]+)$', 1) AS loop,
       CASE substr(tag, 1, 1) WHEN 'F' THEN 'flow' WHEN 'T' THEN 'temperature' WHEN 'P' THEN 'pressure' WHEN 'L' THEN 'level' WHEN 'X' THEN 'unclassified' END AS variable, tag LIKE 'LA%' OR tag LIKE 'XV%' AS plant_coded FROM items"""),
-    "p03_offpage_refs": (p03, """SELECT p_partkey AS id, 'PD-' || lpad(p_partkey::VARCHAR, greatest(4, length(p_partkey::VARCHAR)), '0')[:4] AS ref, 'PD' AS code,
-      array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name || ' PD-' || lpad(p_partkey::VARCHAR, greatest(4, length(p_partkey::VARCHAR)), '0')[:4]), '[a-z0-9]+'), lambda w: NOT list_contains(['to','from','the','of','and','for','see','dwg','drawing','sheet'], w)))), ' ') AS words FROM part"""),
+    "p03_offpage_refs": (p03, """SELECT p_partkey AS id, 'PD-' || lpad(p_partkey::VARCHAR, 4, '0') AS ref, 'PD' AS code,
+      array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name || ' PD-' || lpad(p_partkey::VARCHAR, 4, '0')), '[a-z0-9]+'), lambda w: NOT list_contains(['to','from','the','of','and','for','see','dwg','drawing','sheet'], w)))), ' ') AS words FROM part"""),
     "p04_selector": (p04, I_ + "SELECT id, tag, kind FROM items WHERE kind IN ('economy', 'standard') AND regexp_matches(tag, '^(FIC|TI)') AND NOT tag LIKE '%0' AND price >= 920 AND size <= 40"),
     "p05_rejections": (p05, I_ + "SELECT id, tag FROM items WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49) AND tag NOT LIKE 'LAHH%'"),
     "p06_nested_claims": (p06, """SELECT event_id AS owner, u.name, u.value FROM (SELECT event_id, unnest([{'name': 'props.k', 'value': (props::JSON->>'$.k')}, {'name': 'tags[0]', 'value': event_type}, {'name': 'tags[1]', 'value': 'x'}, {'name': 'user', 'value': user_id::VARCHAR}]) AS u FROM events)"""),
@@ -668,8 +668,8 @@ QUERIES = {
     "j34_one_to_one": (j34, I_ + """, i AS (SELECT tag, count(*) AS n FROM items WHERE size > 5 GROUP BY tag), t AS (SELECT tag, count(*) AS n FROM items WHERE size < 45 GROUP BY tag)
       SELECT tag, coalesce(i.n, 0) AS items, coalesce(t.n, 0) AS tags, CASE WHEN t.n IS NULL THEN 'no tag' WHEN i.n IS NULL THEN 'no item' ELSE 'not one to one' END AS finding FROM i FULL JOIN t USING (tag) WHERE coalesce(i.n, 0) <> 1 OR coalesce(t.n, 0) <> 1"""),
     "g01_asset_links": (g01, RL + """, n AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'scored' WHEN 1 THEN 'pass' ELSE 'other' END AS role FROM part), e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-      w AS (SELECT e.a AS s, e.b AS at FROM e JOIN n ON n.id = e.a WHERE role = 'scored' UNION SELECT w.s, e.b FROM w JOIN n ON n.id = w.at AND n.role = 'pass' JOIN e ON e.a = w.at)
-      SELECT DISTINCT least(s, at) AS a, greatest(s, at) AS b FROM w JOIN n ON n.id = w.at AND n.role = 'scored' WHERE s <> at"""),
+      w AS (SELECT e.a AS s, e.b AS x FROM e JOIN n ON n.id = e.a WHERE role = 'scored' UNION SELECT w.s, e.b FROM w JOIN n ON n.id = w.x AND n.role = 'pass' JOIN e ON e.a = w.x)
+      SELECT DISTINCT least(s, x) AS a, greatest(s, x) AS b FROM w JOIN n ON n.id = w.x AND n.role = 'scored' WHERE s <> x"""),
     "g01_components": (g01_components, RL + """, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links), w AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.id WHERE w.root < e.b)
       SELECT id, min(root) AS root FROM w GROUP BY id"""),
     "g02_hops": (g02, RL + """, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links), w AS (SELECT p_partkey AS start, p_partkey AS id, 0 AS hop FROM part WHERE p_partkey % 50 = 0 UNION SELECT w.start, e.b, hop + 1 FROM w JOIN e ON e.a = w.id WHERE hop < 3)

@@ -210,10 +210,10 @@ QUERIES = {
     "w12_numbering": (w12, WITH + "SELECT event_id, 'R' || run || '-' || tag || row_no AS label FROM readings"),
     "w14_sample_warnings": (w14, WITH + """, s AS (SELECT run, tag, count(value) FILTER (part = 'fit') AS n_fit, count(value) FILTER (part = 'held') AS n_held, coalesce(stddev_pop(value) FILTER (part = 'fit'), 0) AS sd FROM parts GROUP BY run, tag)
       SELECT run, tag, n_fit, n_held, warnings FROM (SELECT *, concat_ws('; ', CASE WHEN n_fit < 90 THEN 'few fit samples' END, CASE WHEN n_held < 90 THEN 'few held-out samples' END, CASE WHEN sd = 0 THEN 'constant in fit' END) AS warnings FROM s) WHERE warnings <> ''"""),
-    "j11_nearest_in_time": (j11, WITH + """, asked AS (SELECT run, tag, ts AS at FROM readings WHERE value IS NULL),
-      c AS (SELECT a.run, a.tag, a.at, r.ts, r.value, row_number() OVER (PARTITION BY a.run, a.tag, a.at ORDER BY abs(epoch_us(a.at) - epoch_us(r.ts)), r.ts) AS k
+    "j11_nearest_in_time": (j11, WITH + """, asked AS (SELECT run, tag, ts AS asked_at FROM readings WHERE value IS NULL),
+      c AS (SELECT a.run, a.tag, a.asked_at, r.ts, r.value, row_number() OVER (PARTITION BY a.run, a.tag, a.asked_at ORDER BY abs(epoch_us(a.asked_at) - epoch_us(r.ts)), r.ts) AS k
         FROM asked a JOIN readings r ON r.run = a.run AND r.tag = a.tag AND r.value IS NOT NULL)
-      SELECT run, tag, at, ts, value FROM c WHERE k = 1"""),
+      SELECT run, tag, asked_at AS "at", ts, value FROM c WHERE k = 1"""),
     "j12_at_or_after": (j12, WITH + "SELECT run, tag, min(row_no) FILTER (ts >= TIMESTAMP '2024-01-15 00:00:00') AS fault_row FROM readings GROUP BY run, tag"),
     "a25_slot_profile": (a25, WITH + f""", g AS (SELECT run, tag, {SLOT} AS slot, value FROM readings WHERE value IS NOT NULL),
       s AS (SELECT run, tag, slot, avg(value) AS slot_mean FROM g GROUP BY run, tag, slot HAVING count(*) >= 3)
