@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "p14_band_predicate"
-MODULES = ("series_queries", "scoring_queries", "record_queries", "source_queries")
+MODULES = ("series_queries", "scoring_queries", "record_queries", "source_queries", "report_queries")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:

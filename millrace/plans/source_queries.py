@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace import sinks
 from millrace.operators import graphs as G
 from millrace.plans.standins import READINGS, readings, table
-from millrace.scratch import new_path
+from millrace.scratch import new_path, written
 from millrace.sources import historian as H
 from millrace.sources import records as R
 from millrace.streaming import replay as T
@@ -132,8 +132,8 @@ def s15(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "register")
     c = table(spark, d, "customer")
     c.select(F.concat_ws(",", "c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 13 == 0, F.lit("many")).otherwise(F.col("c_nationkey").cast("string"))).alias("value")).write.text(path)
-    raw = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("columnPruning", False).schema("k long, segment string, nation int, _bad string").csv(path)
-    return raw.groupBy(F.col("_bad").isNotNull().alias("bad")).agg(F.count("segment").alias("n"))
+    raw = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema("k long, segment string, nation int, _bad string").csv(path)
+    return written(raw, "register").groupBy(F.col("_bad").isNotNull().alias("bad")).agg(F.count("*").alias("n"))
 
 
 def s16(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.scratch import written
+
 CLASSES = ("pump", "tank", "valve", "instrumentation", "inlet/outlet", "general")
 SYMBOL = "array<struct<id:string,class:string,box:array<double>,bbox:struct<x_min:double,y_min:double,x_max:double,y_max:double>,tag:string,confidence:double>>"
 LINK = "array<struct<`from`:string,`to`:string>>"
@@ -94,7 +96,8 @@ def merged_schedule(rows: DataFrame, resolved: DataFrame | None = None) -> tuple
 
 def checked_csv(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Registers, review sheets and logs by schema, and rows that do not fit it."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("columnPruning", False).schema(f"{schema}, _bad string").csv(path).select(F.col("_metadata.file_path").alias("file"), "*")
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(f"{schema}, _bad string").csv(path).select(F.col("_metadata.file_path").alias("file"), "*")
+    raw = written(raw, "checked")  # whether a row is bad shows only where all its columns are parsed
     return raw.where("_bad is null").drop("_bad"), raw.where("_bad is not null").select("file", "_bad")
 
 
