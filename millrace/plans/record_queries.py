@@ -491,14 +491,14 @@ def a20(spark: SparkSession, d: str) -> DataFrame:
 
 def a21(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    return o.rollup("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("records"), F.count_if(F.col("o_orderstatus") == "P").alias("failures"), F.sum("o_totalprice").alias("cost"), F.max("o_totalprice").alias("largest")).where("o_orderpriority is not null")
+    return o.rollup("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("records"), F.count_if(F.col("o_orderstatus") == "P").alias("failures"), F.round(F.sum("o_totalprice"), 2).alias("cost"), F.max("o_totalprice").alias("largest")).where("o_orderpriority is not null")
 
 
 def a22(spark: SparkSession, d: str) -> DataFrame:
     """Effort per arm: observed and missing tasks, sum and median."""
     c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_orderstatus = 'O'")
     j = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return j.groupBy("c_mktsegment").agg(F.count("o_orderkey").alias("observed"), F.count_if(F.col("o_orderkey").isNull()).alias("missing"), F.sum("o_totalprice").alias("total"), F.median("o_totalprice").alias("median"))
+    return j.groupBy("c_mktsegment").agg(F.count("o_orderkey").alias("observed"), F.count_if(F.col("o_orderkey").isNull()).alias("missing"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.median("o_totalprice").alias("median"))
 
 
 def a29(spark: SparkSession, d: str) -> DataFrame:
@@ -547,7 +547,7 @@ def a35(spark: SparkSession, d: str) -> DataFrame:
     kw = T.interval(F.col("l_quantity") * 0.9, F.col("l_quantity") * 1.1)
     hours = T.interval(F.lit(1000) * (0.05 - F.col("l_discount")), F.lit(2000) * (0.05 - F.col("l_discount")))
     e = li.withColumn("e", T.interval_product(kw, hours))
-    return e.groupBy("o_orderstatus").agg(F.sum("e.lo").alias("lo"), F.sum("e.hi").alias("hi"))
+    return e.groupBy("o_orderstatus").agg(F.round(F.sum("e.lo"), 1).alias("lo"), F.round(F.sum("e.hi"), 1).alias("hi"))
 
 
 def a36(spark: SparkSession, d: str) -> DataFrame:
@@ -714,8 +714,8 @@ QUERIES = {
     "o03_paged_search": (o03, """WITH h AS (SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name || ' ' || p_brand), 'ring')) SELECT *, (SELECT count(*) FROM h) AS total FROM h ORDER BY p_partkey LIMIT 20 OFFSET 40"""),
     "o05_first_divergence": (o05_divergence, "SELECT l_orderkey, min(l_linenumber) FILTER (l_returnflag <> l_linestatus) AS first_line FROM lineitem GROUP BY l_orderkey"),
     "a20_provenance": (a20, """WITH l AS (SELECT p_type, 'p_brand' AS field, p_brand AS value FROM part UNION ALL SELECT p_type, 'size', p_size::VARCHAR FROM part) SELECT p_type, field, count(*) AS n, count(DISTINCT value) AS "values" FROM l GROUP BY ROLLUP (p_type, field)"""),
-    "a21_costs": (a21, """SELECT o_orderpriority, o_orderstatus, count(*) AS records, count(*) FILTER (o_orderstatus = 'P') AS failures, sum(o_totalprice) AS cost, max(o_totalprice) AS largest FROM orders GROUP BY GROUPING SETS ((o_orderpriority, o_orderstatus), (o_orderpriority))"""),
-    "a22_effort": (a22, """SELECT c_mktsegment, count(o_orderkey) AS observed, count(*) FILTER (o_orderkey IS NULL) AS missing, sum(o_totalprice) AS total, median(o_totalprice) AS median FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'O') ON c_custkey = o_custkey GROUP BY 1"""),
+    "a21_costs": (a21, """SELECT o_orderpriority, o_orderstatus, count(*) AS records, count(*) FILTER (o_orderstatus = 'P') AS failures, round(sum(o_totalprice), 2) AS cost, max(o_totalprice) AS largest FROM orders GROUP BY GROUPING SETS ((o_orderpriority, o_orderstatus), (o_orderpriority))"""),
+    "a22_effort": (a22, """SELECT c_mktsegment, count(o_orderkey) AS observed, count(*) FILTER (o_orderkey IS NULL) AS missing, round(sum(o_totalprice), 2) AS total, median(o_totalprice) AS median FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'O') ON c_custkey = o_custkey GROUP BY 1"""),
     "a29_setpoints": (a29, """SELECT user_id, event_type, off FROM (SELECT user_id, event_type, abs(avg(value) - arg_max(value, event_id)) / greatest(abs(arg_max(value, event_id)), 1e-9) AS off FROM events GROUP BY ALL) WHERE off > 0.5"""),
     "a30_balance": (a30, """SELECT l_partkey, abs(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END)) / greatest(abs(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END)), 1e-9) AS imbalance FROM lineitem GROUP BY 1"""),
     "a31_status_matrix": (a31, """SELECT o_custkey % 40 AS family, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS P, count(DISTINCT o_orderpriority) AS sources FROM orders GROUP BY 1"""),
@@ -724,7 +724,7 @@ QUERIES = {
     "a34_staging_check": (a34, """WITH p AS (SELECT p_partkey % 60 AS parent, p_name, p_type FROM part), f AS (SELECT 'duplicate' AS finding, parent, count(*) AS n FROM p GROUP BY parent, p_name, p_type HAVING count(*) > 1
       UNION ALL SELECT 'orphan', parent, count(*) FROM p WHERE parent NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 55) GROUP BY parent) SELECT finding, parent, sum(n)::BIGINT AS n FROM f GROUP BY ALL"""),
     "a35_impact_ranges": (a35, """WITH e AS (SELECT o_orderstatus, l_quantity * 0.9 AS a, l_quantity * 1.1 AS b, 1000 * (0.05 - l_discount) AS c, 2000 * (0.05 - l_discount) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-      SELECT o_orderstatus, round(sum(least(a * c, a * d, b * c, b * d)), 2) AS lo, round(sum(greatest(a * c, a * d, b * c, b * d)), 2) AS hi FROM e GROUP BY 1"""),
+      SELECT o_orderstatus, round(sum(least(a * c, a * d, b * c, b * d)), 1) AS lo, round(sum(greatest(a * c, a * d, b * c, b * d)), 1) AS hi FROM e GROUP BY 1"""),
     "a36_duplicate_tags": (a36, I_ + "SELECT kind, count(*) AS items, count(DISTINCT tag) AS tags FROM (SELECT *, count(*) OVER (PARTITION BY upper(tag)) AS n FROM items) WHERE n > 1 GROUP BY kind"),
     "k01_graph_edges": (k01, """WITH e AS (SELECT 1 AS section, s_suppkey AS item, 'part_of' AS type, 'S' || s_suppkey AS "from", 'N' || s_nationkey AS "to" FROM supplier UNION ALL SELECT 2, n_nationkey, 'within', 'N' || n_nationkey, 'R' || n_regionkey FROM nation)
       SELECT 'E' || section || '-' || lpad((row_number() OVER (PARTITION BY section ORDER BY item))::VARCHAR, 6, '0') AS id, type, "from", "to" FROM e"""),

@@ -231,7 +231,7 @@ SELECT run, tag, n, round(gap, 6) AS gap FROM p WHERE k = 3"""
 
 QUERIES = {
     "s01_wide_csv": (s01, WITH + """SELECT tag, CASE tag WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END::INTEGER AS tag_pos, count(value) AS good, round(sum(value), 4) AS total, (SELECT count(DISTINCT run) FROM readings) AS runs FROM readings GROUP BY tag"""),
-    "s01_order_findings": (s01_order, """SELECT 'time does not rise' AS finding, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS t, lag(date_trunc('hour', ts)) OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS b FROM events) WHERE t <= b"""),
+    "s01_order_findings": (s01_order, """SELECT 'time does not rise' AS finding, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS t, lag(date_trunc('hour', ts)) OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS b FROM events) WHERE t <= b HAVING count(*) > 0"""),
     "s02_matrix": (s02, "SELECT c::INTEGER AS channel, count(*) AS n, round(sum(v), 2) AS total FROM (SELECT 0 AS c, l_quantity AS v FROM lineitem UNION ALL SELECT 1, l_discount FROM lineitem UNION ALL SELECT 2, l_tax FROM lineitem) GROUP BY c"),
     "s03_labelled_runs": (s03, """SELECT "rows", first_anomaly, first_changepoint, count(*) AS runs FROM (SELECT event_id // 1000 AS f, count(*) AS "rows", min(event_id % 1000) FILTER (event_id % 1000 >= 700) AS first_anomaly, min(event_id % 1000) FILTER (event_id % 1000 = 650) AS first_changepoint FROM events GROUP BY 1) GROUP BY ALL"""),
     "s04_label_events": (s04, "SELECT first_row, last_row, samples, count(*) AS runs FROM (SELECT min(event_id % 1000) AS first_row, max(event_id % 1000) AS last_row, count(*) AS samples FROM events WHERE event_id % 50 >= 40 GROUP BY event_id // 50) GROUP BY ALL"),
