@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import descriptors, langid, mixing, packing, secrets, simhash, topk, toxicity, warc, wordpiece
-from millrace.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,7 +70,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures that Spark draws from the embeddings, a tenth of them with an edited copy, as the media column."""
-    return descriptors.copies(written(descriptors.pictures(_table(spark, sf_dir, "embeddings")), "pictures"))
+    return descriptors.copies(descriptors.pictures(_table(spark, sf_dir, "embeddings")))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
