@@ -121,8 +121,10 @@ def links(fps: DataFrame, segments: int = 16) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", segments: int = 16) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row; component_id is the smallest id that links reach."""
     marked = written(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    edges = written(links(firsts.select("fp"), segments), "links")
+    firsts = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    # A fingerprint becomes a few dozen rows: the small table is dealt out first, about 20,000 to a task.
+    spread = firsts.select("fp").repartition(max(1, -(-firsts.count() // 20_000)))
+    edges = written(links(spread, segments), "links")
     roots = components(edges)
     grouped = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
     several = grouped.where("linked or n > 1")
@@ -140,6 +142,8 @@ def one_of_each(docs: DataFrame, grouped: DataFrame, *, id_col: str = "doc_id")
     gone = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     twice = grouped.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
     kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    if twice.isEmpty():  # as a rule: the texts are then joined once
+        return kept
     once = kept.join(twice, kept[id_col] == twice["__gone"], "left_anti")
     again = kept.join(twice, kept[id_col] == twice["__gone"], "left_semi").dropDuplicates([id_col])
     return once.unionByName(again)
