@@ -79,7 +79,7 @@ def mix(
     cycle: tuple[float, ...] = CYCLE,
     phases: tuple[tuple[float, ...], ...] = PHASES,
     max_repeat: int = 3,
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 5_000,
 ) -> DataFrame:
     """Return doc_id, source, size, source_size, target, taken, copies, position.
 
@@ -108,14 +108,15 @@ def mix(
     joined = dealt.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
     inside = Window.partitionBy("d.source", "d.bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    at = joined.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "source_no", "target", start.alias("start"))
+    at = joined.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "source_no", "target", "h", start.alias("start"))
     goal = F.floor("target")
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), goal - (F.col("start") + F.col("source_size") * e))) for e in range(max_repeat)]
     taken, copies = sum(passes[1:], passes[0]), sum(((p > 0).cast("int") for p in passes[1:]), (passes[0] > 0).cast("int"))
     share = F.col("start").cast("double") / F.col("target")
     out = at.withColumn("taken", taken.cast("long")).withColumn("copies", copies)
     out = out.withColumn("position", F.when(F.col("taken") > 0, position_of(share, F.col("source_no"), phases)))
-    return out.drop("source_no", "start").orderBy(F.col("position").asc_nulls_last())
+    # The hash breaks ties, so the many documents without a position spread over ranges.
+    return out.orderBy(F.col("position").asc_nulls_last(), "h", "doc_id").drop("source_no", "start", "h")
 
 
 def repeated(docs: DataFrame, decisions: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
