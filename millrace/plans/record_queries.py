@@ -376,7 +376,7 @@ def g05_valves(spark: SparkSession, d: str) -> DataFrame:
 def g06(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").where("p_size % 10 = 0").select(F.col("p_partkey").alias("id"))
     e = links(spark, d).where("(a * 7 + b) % 4 = 0").withColumn("weight", ((F.col("a") + F.col("b")) % 10 / 10.0).cast("double"))
-    return G.shortest(p, p, e, 3).where("a < b").select("a", "b", "hop", F.array_join("path", "-").alias("path"), "least")
+    return G.shortest(p, p, e, 6).where("a < b").select("a", "b", "hop", F.array_join("path", "-").alias("path"), "least")
 
 
 def g07(spark: SparkSession, d: str) -> DataFrame:
