@@ -134,20 +134,19 @@ def model_spans(text: Column, model: list[float] | None, least_ratio: float) ->
 
 
 def labelled_samples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000) -> DataFrame:
-    """``(token, random)`` from at most about ``most_rows`` documents.
+    """``(token, random)``: what the fixed patterns find in any document is random.
 
-    What the fixed patterns find is random; words of 8 letters or more that
-    hold no digit are ordinary. The documents are those with the lowest hashes.
+    Words of 8 letters or more that hold no digit are ordinary; they come from
+    about ``most_rows`` documents, those with the lowest hashes.
     """
     rows = docs.count()
     bound = int(2**31 * min(1.0, most_rows / max(1, rows)))
-    own = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2**31)) < bound).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    secret = F.concat(
-        F.regexp_extract_all("t", F.lit(BASE[0][1]), F.lit(2)),
-        F.regexp_extract_all("t", F.lit(WHOLE_RUN["access"]), F.lit(0)),
-        F.regexp_extract_all("t", F.lit(WHOLE_RUN["hex"]), F.lit(0)),
-    )
-    plain = F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{8,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), (F.pmod(F.xxhash64(F.col(id_col)), F.lit(2**31)) < bound).alias("words"))
+    none = F.array().cast("array<string>")
+    kept = lambda kind, pattern, group: F.when(F.col("t").rlike(MAY_HAVE[kind]), F.regexp_extract_all("t", F.lit(pattern), F.lit(group))).otherwise(none)
+    secret = F.concat(kept("assign", BASE[0][1], 2), kept("access", WHOLE_RUN["access"], 0), kept("hex", WHOLE_RUN["hex"], 0))
+    words = F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{8,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    plain = F.when(F.col("words"), words).otherwise(none)
     kinds = F.concat(
         F.transform(F.filter(secret, lambda x: F.length(x) >= 12), lambda x: F.struct(x.alias("token"), F.lit(True).alias("random"))),
         F.transform(plain, lambda x: F.struct(x.alias("token"), F.lit(False).alias("random"))),

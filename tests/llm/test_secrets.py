@@ -65,3 +65,11 @@ def test_no_samples_and_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.fit(secrets.labelled_samples(empty)) is None
     assert secrets.scan(empty, None).count() == 0
+
+
+def test_one_secret_among_many_documents_is_counted(spark):
+    rows = [(i, "understanding documentation") for i in range(400)] + [(1000 + i, "nothing here") for i in range(5)]
+    for at in (7, 203, 1001):
+        docs = spark.createDataFrame([(i, "secret=Zk4Lq8Xp2Rt9Vm7N" if i == at else t) for i, t in rows], "doc_id long, text string")
+        found = [r.token for r in secrets.labelled_samples(docs, most_rows=40).where("random").collect()]
+        assert found == ["Zk4Lq8Xp2Rt9Vm7N"]
