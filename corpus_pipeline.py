@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = secrets.fit(secrets.labelled_samples(docs))
-    return secrets.redacted(secrets.scan(docs, model)).select(*docs.columns)
+    return secrets.redacted(docs, model)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

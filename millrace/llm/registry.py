@@ -28,16 +28,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = secrets.fit(secrets.labelled_samples(docs))
-    found = secrets.scan(docs, model, keep=["doc_id"])
-    count = lambda k: F.size(f"__{k}").cast("long").alias(f"n_{k}")
-    return found.select(
+    scanned = secrets.scan(docs, secrets.fit(secrets.labelled_samples(docs)), keep=["doc_id"])
+    found = F.col(scanned.columns[-1])
+    return scanned.select(
         "doc_id",
-        count("assign"),
-        count("access"),
-        count("hex"),
-        F.sha2(secrets.listed(("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"),
-        secrets.listed(("assign", "access", "hex", "markov")).alias("spans"),
+        *[F.size(found[k]).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(found, ("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(found, ("assign", "access", "hex", "markov")).alias("spans"),
     )
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from millrace.llm import registry, secrets
 
@@ -43,22 +44,88 @@ CASES = [
 
 def test_awkward_texts_clashing_names_and_repeats(spark):
     rows = [(i, t, "s") for i, t in enumerate(CASES)] + [(1, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, __text string").drop("__text").withColumnRenamed("doc_id", "id")
-    docs = docs.withColumn("spans", docs["id"])
+    docs = spark.createDataFrame(rows, "id long, text string, __text string")
+    for name in ("_text", "Found", "found_", "spans", "_rest", "__markov", "a.b"):
+        docs = docs.select("*", docs["id"].alias(name))
     found = secrets.scan(docs, None)
-    got = found.select("id", secrets.listed(("assign", "access", "hex")).alias("spans_out")).collect()
-    assert sorted((r.id, r.spans_out) for r in got) == sorted((i, listed(plain(t))) for i, t, _ in rows)
+    got = found.select("id", "__text", secrets.listed(found[found.columns[-1]], ("assign", "access", "hex")).alias("spans_out")).collect()
+    assert sorted(((r.id, r.spans_out) for r in got)) == sorted((i, listed(plain(t))) for i, t, _ in rows)
+    clean = secrets.redacted(docs, None)
+    assert clean.columns == docs.columns
+    assert sorted((r.id, r.text or "") for r in clean.collect()) == sorted((i, plain_redacted(t)) for i, t, _ in rows)
+
+
+def plain_redacted(text, more=()):
+    """Overlapping spans become one mark; touching ones one each."""
+    text, out, at = text or "", [], 0
+    for s, e in sorted([(s, e) for s, _, e in plain(text)] + list(more)):
+        if s >= at:
+            out += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def plain_markov(text, model, least=0.5):
+    """Runs of the text with its base spans blanked out, each bigram looked up on its own."""
+    chars = list(text or "")
+    for s, _, e in plain(text):
+        chars[s:e] = " " * (e - s)
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", "".join(chars)):
+        t = m[0]
+        score = sum(model[(ord(a) - 43) * 80 + ord(b) - 43] for a, b in zip(t, t[1:], strict=False)) / (len(t) - 1)
+        if abs(score - least) < 1e-9:
+            continue
+        if score > least:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def fitted(spark, seed=5):
+    rng = random.Random(seed)
+    samples = [("".join(rng.choices(string.ascii_letters + string.digits, k=24)), True) for _ in range(600)] + [("understanding", False), ("configuration", False), ("documentation", False)] * 40
+    return secrets.fit(spark.createDataFrame(samples, "token string, random boolean"))
 
 
 def test_models_find_random_strings_and_leave_words(spark):
-    rng = random.Random(5)
-    samples = [("".join(rng.choices(string.ascii_letters + string.digits, k=24)), True) for _ in range(600)] + [("understanding", False), ("configuration", False), ("documentation", False)] * 40
-    model = secrets.fit(spark.createDataFrame(samples, "token string, random boolean"))
-    docs = spark.createDataFrame([(1, "see Zk4Lq8Xp2Rt9Vm7N here"), (2, "understandingconfiguration holds")], "doc_id long, text string")
-    got = {r.doc_id: r.s for r in secrets.scan(docs, model).select("doc_id", secrets.listed(("assign", "access", "hex", "markov")).alias("s")).collect()}
-    assert got == {1: "markov:4:20", 2: ""}
-    clean = {r.doc_id: r.text for r in secrets.redacted(secrets.scan(docs, model)).collect()}
-    assert clean == {1: "see [SECRET] here", 2: "understandingconfiguration holds"}
+    model = fitted(spark)
+    rows = [(1, "see Zk4Lq8Xp2Rt9Vm7N here"), (2, "understandingconfiguration holds"), (3, "0123456789abcdef/Zk4Lq8Xp2Rt9Vm7NqW"), (4, "é" * 9 + "Zk4Lq8Xp2Rt9Vm7N/0123456789abcdef")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.scan(docs, model)
+    got = {r.doc_id: r.s for r in found.select("doc_id", secrets.listed(found.found, ("assign", "access", "hex", "markov")).alias("s")).collect()}
+    assert got == {1: "markov:4:20", 2: "", 3: "hex:0:16,markov:16:35", 4: "markov:9:26,hex:26:42"}
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs, model).collect()}
+    assert clean == {1: "see [SECRET] here", 2: "understandingconfiguration holds", 3: "[SECRET][SECRET]", 4: "é" * 9 + "[SECRET][SECRET]"}
+
+
+def test_markov_spans_of_all_documents_equal_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = secrets.fit(secrets.labelled_samples(docs))
+    rng = random.Random(3)
+    odd = ["".join(rng.choices("aZ3+/ =_-." + string.ascii_letters, k=400)) for _ in range(200)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    found = secrets.scan(docs, model)
+    got = found.select("doc_id", "text", found.found["markov"].alias("m")).collect()
+    n = 0
+    for r in got:
+        want = plain_markov(r.text, model)
+        assert [(x.s, x.e) for x in r.m] == want
+        n += len(want)
+    assert n > 50
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs, model).collect()}
+    assert all(clean[r.doc_id] == plain_redacted(r.text, [(x.s, x.e) for x in r.m]) for r in got if r.text is not None)
+
+
+def test_a_long_run_takes_time_in_proportion(spark):
+    model = fitted(spark)
+    rng = random.Random(9)
+    run = "".join(rng.choices(string.ascii_letters + string.digits, k=400_000))
+    many = " ".join(f"secret={i:012d} Zk4Lq8Xp2Rt9Vm7N" for i in range(4000))
+    docs = spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string")
+    began = time.time()
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs, model).collect()}
+    assert clean[1] == "[SECRET]" and clean[2].split() == ["[SECRET]"] * 8000
+    assert time.time() - began < 30
 
 
 def test_no_samples_and_empty_table(spark):
