@@ -99,22 +99,26 @@ levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / sum(weight) OVER (ORDER BY cap / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
 plan AS (SELECT source, source_no, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
+demand AS (
+  SELECT sum(floor(goal * CASE source_no % 3 WHEN 0 THEN {3/6} WHEN 1 THEN {1/3} ELSE {1/6} END))::BIGINT AS d1,
+    sum(floor(goal * CASE source_no % 3 WHEN 0 THEN {5/6} WHEN 1 THEN {2/3} ELSE {3/6} END))::BIGINT AS d2, sum(goal)::BIGINT AS d3
+  FROM (SELECT source_no, floor(target)::BIGINT AS goal FROM plan)),
 placed AS (
-  SELECT d.doc_id, d.size, p.source_size, p.source_no, p.target,
+  SELECT d.doc_id, d.size, p.source_size, p.source_no, p.target, floor(p.target)::BIGINT AS goal,
     coalesce(sum(d.size) OVER (PARTITION BY p.source_no ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
 took AS (
-  SELECT *, (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - (start + source_size)))
-    + greatest(0, least(size, floor(target)::BIGINT - (start + source_size * 2))))::BIGINT AS taken, start::DOUBLE / target AS c FROM placed)
+  SELECT *, (greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - (start + source_size)))
+    + greatest(0, least(size, goal - (start + source_size * 2))))::BIGINT AS taken, start::DOUBLE / goal::DOUBLE AS c FROM placed)
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN
   CASE source_no % 3
-    WHEN 0 THEN CASE WHEN c < 0.5 THEN (c / 0.5) / 3 WHEN c < {b0} THEN (1 + (c - 0.5) / {p1}) / 3 ELSE (2 + (c - {b0}) / {p2}) / 3 END
-    WHEN 1 THEN CASE WHEN c < {q0} THEN (c / {q0}) / 3 WHEN c < {q1} THEN (1 + (c - {q0}) / {q0}) / 3 ELSE (2 + (c - {q1}) / {q0}) / 3 END
-    ELSE CASE WHEN c < {p2} THEN (c / {p2}) / 3 WHEN c < {r1} THEN (1 + (c - {p2}) / {p1}) / 3 ELSE (2 + (c - {r1}) / 0.5) / 3 END
+    WHEN 0 THEN CASE WHEN c < {3/6} THEN 0 + (c - 0.0) / {3/6} * d1 WHEN c < {5/6} THEN d1 + (c - {3/6}) / {5/6-3/6} * (d2 - d1) ELSE d2 + (c - {5/6}) / {1-5/6} * (d3 - d2) END
+    WHEN 1 THEN CASE WHEN c < {1/3} THEN 0 + (c - 0.0) / {1/3} * d1 WHEN c < {2/3} THEN d1 + (c - {1/3}) / {2/3-1/3} * (d2 - d1) ELSE d2 + (c - {2/3}) / {1-2/3} * (d3 - d2) END
+    ELSE CASE WHEN c < {1/6} THEN 0 + (c - 0.0) / {1/6} * d1 WHEN c < {3/6} THEN d1 + (c - {1/6}) / {3/6-1/6} * (d2 - d1) ELSE d2 + (c - {3/6}) / {1-3/6} * (d3 - d2) END
   END END AS position
-FROM took
+FROM took, demand
 """
-for _name, _value in {"b0": 3 / 6 + 2 / 6, "p1": 2 / 6, "p2": 1 / 6, "q0": 1 / 3, "q1": 1 / 3 + 1 / 3, "r1": 1 / 6 + 2 / 6}.items():
+for _name, _value in {"3/6": 3 / 6, "5/6": 5 / 6, "1/3": 1 / 3, "2/3": 2 / 3, "1/6": 1 / 6, "5/6-3/6": 5 / 6 - 3 / 6, "1-5/6": 1 - 5 / 6, "2/3-1/3": 2 / 3 - 1 / 3, "1-2/3": 1 - 2 / 3, "3/6-1/6": 3 / 6 - 1 / 6, "1-3/6": 1 - 3 / 6}.items():
     OP2_SQL = OP2_SQL.replace("{" + _name + "}", f"{_value!r}::DOUBLE")
 
 
