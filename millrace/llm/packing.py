@@ -5,8 +5,8 @@ sequence, cut into pieces. Pieces go to bins by the sum-of-squares rule: of
 the open bins' gaps that fit, and a new bin, take the one after which the sum
 of squared counts of open bins per gap is smallest.
 
-Pieces that fill a sequence need no bin. The others are dealt by hash into
-groups of about ``group_pieces``, each packed on its own in order of falling
+Pieces that fill a sequence need no bin. The others are dealt by hash, or by
+their place in a stream, into groups of about ``group_pieces``, each packed on its own in order of falling
 length; the number of groups follows the number of pieces, so a group's size
 does not grow with the data. A group's bins that stay open are a share of
 about one in a thousand.
@@ -33,11 +33,16 @@ from pyspark.sql import functions as F
 from millrace.scratch import written
 
 END_ID = 0
-MOST_CACHED = 800_000
+MOST_CACHED_BYTES = 1 << 28
+LONGEST_CACHED = 64
+ENTRY = 240  # bytes of an entry besides its texts, about
 
 
 class WordBytes(dict):
-    """Token ids of blank-free chunks as little-endian 32-bit words; a bounded memo of the tokenizer.
+    """Token ids of blank-free chunks as little-endian 32-bit words; a memo of the tokenizer, bounded in bytes.
+
+    Chunks of more than ``LONGEST_CACHED`` characters (texts without blanks,
+    encoded data) are not kept.
 
     The tokenizer cuts at white space, and between a letter and ASCII
     punctuation but for an apostrophe, before anything else, and does not look
@@ -53,12 +58,18 @@ class WordBytes(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.emptied()
+
+    def emptied(self) -> None:
+        self.clear()
         self[""] = b""
+        self.held = 0
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of ``chunks``; the short ones and their parts are kept."""
         import numpy as np
 
-        parts = {}
+        parts, out = {}, {}
         for chunk in chunks:
             head = chunk.rstrip(_MARKS)
             if not head[-1:].lower()[-1:].isalpha():  # the lower case of one letter ends in a mark
@@ -71,13 +82,18 @@ class WordBytes(dict):
             # A word of letters alone is one unit of the model: no rule of the normalizer or splitter applies but lower case.
             if low.isalpha() and (x.isascii() or "\u03a3" not in x and is_normalized("NFC", x)):
                 units = low if x.isascii() else low.encode().decode("latin-1").translate(_UNITS)
-                self[x] = np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
+                out[x] = np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
             else:
                 rest.append(x)
         for x, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self[x] = np.array(found.ids, "<u4").tobytes()
-        for chunk, (head, tail) in parts.items():
-            self[chunk] = self[head] + self[tail]
+            out[x] = np.array(found.ids, "<u4").tobytes()
+        of = lambda x: out[x] if x in out else self[x]
+        whole = {chunk: of(head) + of(tail) for chunk, (head, tail) in parts.items()}
+        for x, ids in (out | whole).items():
+            if len(x) <= LONGEST_CACHED and x not in self:
+                self[x] = ids
+                self.held += ENTRY + len(x) + len(ids)
+        return whole
 
 
 _BLANK = re.compile(r"[\t\n\r]")
@@ -101,16 +117,17 @@ def token_bytes(text: str | None, words: WordBytes) -> bytes:
     chunks = _BLANK.sub(" ", text or "").split(" ")
     fresh = {c for c in set(chunks) if c not in words}
     if fresh:
-        words.learn(fresh)
-    out = b"".join(map(words.__getitem__, chunks)) + END_ID.to_bytes(4, "little")
-    if len(words) > MOST_CACHED:
-        words.clear()
-        words[""] = b""
-    return out
+        new = words.learn(fresh)
+        out = b"".join([new[c] if c in new else words[c] for c in chunks])
+    else:
+        out = b"".join(map(words.__getitem__, chunks))
+    if words.held > MOST_CACHED_BYTES:
+        words.emptied()
+    return out + END_ID.to_bytes(4, "little")
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", room: int = 2048) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)`` per piece."""
+def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None, room: int = 2048) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32, place)`` per piece; place is that of the document, null without ``place_col``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_bytes(tokenizer_path)
@@ -125,14 +142,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
                     start.append(begin // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
+            at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                [batch.column(0).take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), batch.column(2).take(at)],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "place"],
             )
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    place = F.lit(None) if place_col is None else F.col(place_col)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), place.cast("long").alias("place"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return own.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, place long")
 
 
 def sum_of_squares(lengths: list[int], room: int) -> tuple[list[int], list[int]]:
@@ -169,11 +188,18 @@ def sum_of_squares(lengths: list[int], room: int) -> tuple[list[int], list[int]]
 
 
 def pack(cut: DataFrame, *, room: int = 2048, group_pieces: int = 32_768) -> DataFrame:
-    """``cut`` with sequence_id and offset; ``cut`` must be cheap to read twice."""
+    """``cut`` with sequence_id and offset; ``cut`` must be cheap to read twice.
+
+    Pieces with a place are grouped by runs of ``group_pieces`` places, so
+    sequences keep to their stretch of the stream and sequence ids follow it;
+    others by a hash of the piece and its row, which also deals out rows that
+    repeat.
+    """
     full = cut.where(F.col("length") == room)
     rest = cut.where(F.col("length") < room)
     groups = max(1, -(-rest.count() // group_pieces))
-    dealt = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(groups)).cast("long"))
+    by_hash = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start", F.monotonically_increasing_id()), F.lit(groups))
+    dealt = rest.withColumn("group", F.coalesce(F.floor(F.col("place") / group_pieces), by_hash).cast("long"))
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable")
@@ -183,11 +209,12 @@ def pack(cut: DataFrame, *, room: int = 2048, group_pieces: int = 32_768) -> Dat
         return rows[list(out)]
 
     out = {"doc_id": cut.schema["doc_id"].dataType.simpleString(), "piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "sequence_id": "long", "offset": "long"}
-    placed = dealt.groupBy("group").applyInPandas(place, ", ".join(f"{k} {v}" for k, v in out.items()))
+    placed = dealt.drop("place").groupBy("group").applyInPandas(place, ", ".join(f"{k} {v}" for k, v in out.items()))
     alone = full.withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     return placed.unionByName(alone.select(*out))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", room: int = 2048, group_pieces: int = 32_768) -> DataFrame:
-    """Tokenise, cut and pack all of ``docs``: a row per piece."""
-    return pack(written(pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, room=room), "pieces"), room=room, group_pieces=group_pieces)
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None, room: int = 2048, group_pieces: int = 32_768) -> DataFrame:
+    """Tokenise, cut and pack all of ``docs``: a row per piece. ``place_col`` numbers the documents from 0 along the training stream."""
+    cut = written(pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, place_col=place_col, room=room), "pieces")
+    return pack(cut, room=room, group_pieces=group_pieces)

@@ -5,14 +5,11 @@ segment. The Manhattan distance of two such vectors never exceeds the Hamming
 distance of the fingerprints, so fingerprints that differ in at most two bits
 lie within Manhattan distance two. On the integer grid two such vectors share
 a grid point within distance one of both: every fingerprint is dealt to the
-grid points within distance one of its vector (1 + 2 per segment), and points
-with a single fingerprint are done.
-
-The exact check stays linear in the fingerprints of a grid point: inside it a
-fingerprint is listed under the 64-bit values that lie on that point and
-differ from it in at most one bit. Two fingerprints differ in at most two
-bits exactly if they share such a value, so a value's members are all linked
-to its smallest member and no pair inside a group is ever written out.
+grid points within distance one of its vector (1 + 2 per segment). That is a
+range join: those that meet at a point are checked by Manhattan distance, the
+lower bound, and then by the differing bits themselves. Points with a single
+fingerprint are done; points with many are split further, so that a crowd of
+near copies costs in proportion to its size (see ``links``).
 
 Defined cases: null or blank text has fingerprint zero, linked like any
 other; equal rows share a fingerprint and so a component; ids may repeat; an
@@ -25,9 +22,10 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import free_name
 from millrace.llm.components import components
 from millrace.scratch import written
 
@@ -99,23 +97,45 @@ def grid_points(fp: Column, segments: int) -> Column:
     return F.filter(F.array(*here, *near), lambda x: x.isNotNull())
 
 
-def links(fps: DataFrame, segments: int = 16) -> DataFrame:
-    """``(a, b)`` with a > b: edges that join exactly the distinct fingerprints ``fps(fp)`` within two bits.
+def manhattan(a: Column, b: Column, segments: int) -> Column:
+    """The Manhattan distance of two fingerprints' segment counts."""
+    width = BITS // segments
+    count = lambda x, i: F.bit_count(F.shiftrightunsigned(x, i * width).bitwiseAND(F.lit((1 << width) - 1)))
+    return sum((F.abs(count(a, i) - count(b, i)) for i in range(1, segments)), F.abs(count(a, 0) - count(b, 0)))
 
-    They are stars, not all pairs: the components are those of the full link graph.
-    """
+
+def one_bit_values(segments: int) -> Column:
+    """The 64-bit values on a grid point that differ from ``fp`` in at most one bit; of the columns fp, segment and step."""
     width = BITS // segments
-    dealt = fps.select("fp", F.inline(grid_points(F.col("fp"), segments)))
-    shared = dealt.withColumn("n", F.count("*").over(Window.partitionBy("point"))).where("n > 1")
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("segment") * width + k).cast("int"))
     flips = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.struct(bit(k).alias("bit"), (F.col("fp").bitwiseAND(bit(k)) != 0).alias("set"))),
         lambda x: x["set"] == (F.col("step") < 0),
     )
-    values = F.when(F.col("step") == 0, F.array(F.col("fp"))).otherwise(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x["bit"])))
-    listed = shared.select("fp", F.explode(values).alias("value"))
-    stars = listed.withColumn("b", F.min("fp").over(Window.partitionBy("value"))).where("fp <> b")
-    return stars.select(F.col("fp").alias("a"), "b").distinct()
+    return F.when(F.col("step") == 0, F.array(F.col("fp"))).otherwise(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x["bit"])))
+
+
+def links(fps: DataFrame, segments: int = 16, small: int = 64) -> DataFrame:
+    """``(a, b)`` with a > b: edges that join exactly the distinct fingerprints ``fps(fp)`` within two bits.
+
+    Fingerprints of a grid point with up to ``small`` of them meet each other
+    there. A point with more is split by the values on it that differ from
+    its fingerprints in at most one bit: two fingerprints within two bits
+    share such a value, and its smallest fingerprint stands for it, so the
+    components are those of the full link graph. Every pair that meets is
+    checked by Manhattan distance, then bit by bit.
+    """
+    dealt = fps.select("fp", F.inline(grid_points(F.col("fp"), segments)))
+    points = written(dealt.groupBy("point").agg(F.count("*").alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a")).where("n > 1"), "points")
+    # Few points have more than two fingerprints: their members are dealt again.
+    members = written(dealt.join(points.where("n > 2").select("point", "n"), "point").select("point", "fp", "segment", "step", "n"), "members")
+    few = members.where(F.col("n") <= small).select("point", "fp")
+    met = few.alias("x").join(few.alias("y"), (F.col("x.point") == F.col("y.point")) & (F.col("x.fp") > F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    listed = written(members.where(F.col("n") > small).select("fp", F.explode(one_bit_values(segments)).alias("value")), "values")
+    least = listed.groupBy("value").agg(F.min("fp").alias("b"))
+    stars = listed.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    pairs = points.where("n = 2").select("a", "b").unionByName(met).unionByName(stars)
+    return pairs.where((manhattan(F.col("a"), F.col("b"), segments) <= 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", segments: int = 16) -> DataFrame:
@@ -139,11 +159,12 @@ def one_of_each(docs: DataFrame, grouped: DataFrame, *, id_col: str = "doc_id")
 
     Where a kept id repeats within its group, one of its rows stays.
     """
-    gone = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    twice = grouped.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    key = free_name("key", docs.columns)
+    gone = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    twice = grouped.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
+    kept = docs.join(gone, F.col(id_col) == F.col(key), "left_anti")
     if twice.isEmpty():  # as a rule: the texts are then joined once
         return kept
-    once = kept.join(twice, kept[id_col] == twice["__gone"], "left_anti")
-    again = kept.join(twice, kept[id_col] == twice["__gone"], "left_semi").dropDuplicates([id_col])
+    once = kept.join(twice, F.col(id_col) == F.col(key), "left_anti")
+    again = kept.join(twice, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
     return once.unionByName(again)

@@ -49,13 +49,17 @@ def record_id(page_id: int | None) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest_hex: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC record. The page id, the payload's length and the page referred to are in extension headers."""
+    """One WARC record. The page id, the payload's length and the page referred to are in extension headers.
+
+    In the target URI only blanks and control characters, which a header line
+    cannot hold, are escaped; percent-encoded addresses stay as they are.
+    """
     digest = base64.b32encode(bytes.fromhex(digest_hex)).decode()
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url))
+        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is None:
         body = HTTP + payload
@@ -184,10 +188,12 @@ def write(
     path = path or new_path(spark, "warc")
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     own = own.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html")})
-    same = own.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("of"), F.col("bytes").alias("of_bytes")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    joined = own.join(same, (F.col("digest") == F.col("of")) & (F.col("bytes") == F.col("of_bytes")), "left")
-    refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = joined.select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", refers.alias("refers_to")).sortWithinPartitions("page_id", "digest", "url")
+    # Only digests meet; the pages then find their page to refer to by id and digest, which no third of all rows share.
+    light = own.select("page_id", "digest", "bytes")
+    same = light.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    later = light.join(same, ["digest", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), "first").distinct()
+    joined = own.join(later, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
+    rows = joined.select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", F.col("first").alias("refers_to")).sortWithinPartitions("page_id", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundles = _Bundles(path, TaskContext.get().partitionId(), frame_bytes, bundle_bytes, level)
@@ -223,7 +229,6 @@ def read(spark: SparkSession, path: str, *, payloads: bool = False) -> DataFrame
                         if kind == "response" and (n != len(payload) or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                             raise ValueError(f"payload of {headers['WARC-Record-ID']} does not agree with its digest")
                         url = headers.get("WARC-Target-URI")
-                        url = None if url is None else re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url)
                         ids = [int(headers[k]) if k in headers else None for k in ("X-Page-ID", "X-Refers-To-Page")]
                         out.append((ids[0], url, kind, digest, n, ids[1], payload if payloads and kind == "response" else None))
                     cols = list(zip(*out, strict=True))

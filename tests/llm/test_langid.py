@@ -32,7 +32,7 @@ def test_filter_returns_every_language_of_a_gram(model):
         for g in own - other:
             import numpy as np
 
-            at = langid.slots(np.array([g], np.uint64))
+            at = langid.slots(np.array([g], np.uint64), model.slot_bits)
             assert all(model.planes[0][s[0]] & bit for s in at)
 
 
@@ -52,3 +52,54 @@ def test_without_training_rows(spark):
     assert langid.fit(docs) is None
     assert [tuple(r) for r in langid.identify(docs, None).collect()] == [(1, "und", 0.0)]
     assert docs.select(langid.held_out(F.lit(None).cast("long"), 4, 2).alias("x")).collect()[0].x is False
+
+
+def plain_prediction(text, known, languages):
+    """Counts of a text's grams in plain sets."""
+    if not langid.has_letter(text):
+        return "und"
+    seen = [int(g) for run in langid.grams(text, langid.GRAM) for g in run]
+    hits = [sum(g in known[lang] for g in seen) for lang in languages]
+    return languages[hits.index(max(hits))], sorted(hits)[-2:]
+
+
+def test_decisions_equal_plain_sets(spark, sf):
+    """Against n-gram sets counted without a filter; where the two best languages are within a few hits, either may win."""
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and length(text) < 4000")
+    model = langid.fit(docs)
+    counts = {lang: Counter() for lang in model.languages}
+    rows = docs.collect()
+    for r in rows:
+        for run in langid.grams(r.text or "", langid.GRAM):
+            counts[r.lang].update(map(int, run))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    share = {lang: {g: n / total[lang] for g, n in c.items() if n >= 2} for lang, c in counts.items()}
+    most = Counter()
+    for own in share.values():
+        for g, p in own.items():
+            most[g] = max(most[g], p)
+    known = {lang: {g for g, p in own.items() if p >= 0.3 * most[g]} for lang, own in share.items()}
+    differ = close = 0
+    for r in rows:
+        want = plain_prediction(r.text, known, model.languages)
+        got = langid.predict_one(r.text, model)[0]
+        if want == "und" or got != want[0]:
+            differ += got != "und" and want != "und" and want[1][1] - want[1][0] > 3
+            close += 1
+    assert differ == 0 and close < 0.02 * len(rows)
+
+
+def test_a_hundred_languages_and_ties(spark):
+    import random
+
+    rng = random.Random(0)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for k in range(100)}
+    rows = [(k * 10 + i, " ".join(rng.choices(w, k=30)), lang) for k, (lang, w) in enumerate(words.items()) for i in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 100 and model.planes.shape[0] == 13
+    right = [langid.predict_one(" ".join(rng.choices(w, k=20)), model)[0] == lang for lang, w in words.items()]
+    assert sum(right) == 100
+    same = spark.createDataFrame([(i, "equal words in both", "ab"[i % 2]) for i in range(20)], "doc_id long, text string, lang string")
+    assert langid.predict_one("equal words", langid.fit(same)) == ("a", 0.5)  # a tie goes to the more frequent, then the smaller name

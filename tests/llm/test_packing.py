@@ -58,6 +58,35 @@ def test_awkward_texts(spark, plain):
     check(packing.pack_documents(table, PATH, room=64).collect(), docs, plain, 64)
 
 
+def test_memo_is_bounded_and_keeps_no_long_chunk(plain, monkeypatch):
+    words = packing.WordBytes(PATH)
+    monkeypatch.setattr(packing, "MOST_CACHED_BYTES", 20_000)
+    rng = random.Random(1)
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("abcXYZ,.", k=rng.choice((3, 9, 300)))) for _ in range(20)) + "中文" * 200
+        got = packing.token_bytes(text, words)
+        assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == plain(text)
+        assert max(map(len, words)) <= packing.LONGEST_CACHED
+        assert sum(packing.ENTRY + len(k) + len(v) for k, v in words.items()) <= 20_000 + 60 * (packing.ENTRY + 400)
+
+
+def test_ties_and_repeated_rows_are_dealt_over_groups(spark, plain):
+    """One row 5,000 times: no group holds them all, and every copy is packed."""
+    docs = spark.createDataFrame([(7, "the same few words")] * 5000, "doc_id long, text string").repartition(8)
+    rows = packing.pack_documents(docs, PATH, room=64, group_pieces=500).collect()
+    assert len(rows) == 5000 and {(r.piece, r.start, r.length) for r in rows} == {(0, 0, len(plain("the same few words")))}
+    spots = {(r.sequence_id, r.offset) for r in rows}
+    assert len(spots) == 5000 and len({s >> 33 for s, _ in spots}) >= 8
+
+
+def test_places_keep_to_their_stretch(spark, plain):
+    docs = [(i, "word " * (i % 40)) for i in range(1200)]
+    table = spark.createDataFrame([(i, t, i) for i, t in docs], "doc_id long, text string, at long")
+    rows = packing.pack_documents(table, PATH, place_col="at", room=64, group_pieces=300).collect()
+    check(rows, docs, plain, 64)
+    assert all(r.sequence_id >> 33 == r.doc_id // 300 for r in rows if r.length < 64)
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 

@@ -2,8 +2,11 @@
 
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from millrace.llm import mixing, registry
+from millrace.scratch import new_path
 from tests.llm.test_secrets import plain as plain_spans
 from tests.llm.test_simhash import plain_fp, union
 
@@ -39,8 +42,14 @@ def test_stages_in_order(spark):
 
     mixed = corpus_pipeline.mix_sources(spark, safe, SF)
     assert mixed.columns == docs.columns
-    want = {r.doc_id: r.copies for r in mixing.mix(safe).collect() if r.copies}
-    assert Counter(r.doc_id for r in mixed.collect()) == want
+    plan = mixing.mix(safe).collect()
+    want = {r.doc_id: len(r.passes) for r in plan if r.passes}
+    path = new_path(spark, "mixed")
+    mixed.write.parquet(path)
+    mixed = spark.read.parquet(path)
+    placed = sorted((r.place, r.doc_id) for r in corpus_pipeline.in_file_order(mixed, "place").collect())
+    assert [p for p, _ in placed] == list(range(len(placed)))
+    assert [i for _, i in placed] == [i for *_, i in sorted((p.position, r.doc_id) for r in plan for p in r.passes)]
 
     packed = corpus_pipeline.pack(spark, mixed, SF).collect()
     assert Counter(r.doc_id for r in packed if r.piece == 0) == want
@@ -58,3 +67,47 @@ def test_stages_in_order(spark):
 def test_run_has_the_rows_of_its_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
+
+
+CLASHES = ("score", "found", "__text", "key", "passes", "one", "place", "doc_id_", "component_id", "fp", "size", "group", "_metadata_", "length")
+ROWS = [
+    (1, "plain words that say nothing of note at all", "a"),
+    (1, "plain words that say nothing of note at all", "a"),
+    (2, None, "a"),
+    (3, "", None),
+    (4, "long " * 60_000 + "secret=Zk4Lq8Xp2Rt9Vm7N", "b"),
+    (None, "secret=Zk4Lq8Xp2Rt9Vm7N in a text without an id", None),
+    (5, "you worthless pathetic scum, you stupid idiot", "b"),
+    (None, None, None),
+]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_every_stage_takes_nulls_long_texts_repeats_and_clashing_names(spark, name, stage):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    for c in CLASHES:
+        docs = docs.withColumn(c, docs["doc_id"])
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    if name == "packing":
+        assert sum(r.piece == 0 for r in rows) == len(ROWS)
+        return
+    assert out.columns == docs.columns
+    ids = Counter(r.doc_id for r in rows)
+    want = {
+        "toxicity": {1: 2, 2: 1, 3: 1, 4: 1, None: 2},
+        "near_dedup": {1: 1, 2: 1, 4: 1, None: 2, 5: 1},
+        "secrets": {1: 2, 2: 1, 3: 1, 4: 1, None: 2, 5: 1},
+    }
+    if name == "mixing":
+        assert {2, 3}.isdisjoint(ids) and {4} <= set(ids)
+    elif name == "toxicity":
+        assert {i: n for i, n in ids.items() if i != 5} == want[name]
+    else:
+        assert ids == want[name]
+    texts = [r.text for r in rows if r.text]
+    if name == "secrets":
+        assert not any("Zk4Lq8Xp2Rt9Vm7N" in t for t in texts) and sum("[SECRET]" in t for t in texts) == 2
+    else:
+        assert any(len(t) > 300_000 for t in texts)

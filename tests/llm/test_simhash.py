@@ -59,6 +59,31 @@ def test_links_join_exactly_the_near_ones(spark, segments):
     assert {x: roots.get(x, x) for x in items} == want
 
 
+def test_crowded_points_are_split_without_losing_links(spark):
+    """Points above the bound give the same groups as points below it; one crowd of 300 near copies."""
+    rng = random.Random(6)
+    centre = rng.getrandbits(64)
+    fps = {centre ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i + 1)} | {rng.getrandbits(64) for _ in range(50)}
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    table = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    want = union(sorted(map(signed, fps)), lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 2)
+    for small in (3, 64, 10_000):
+        roots = {r.node: r.root for r in components.components(simhash.links(table, small=small)).collect()}
+        assert {x: roots.get(x, x) for x in want} == want
+
+
+def test_manhattan_is_a_lower_bound(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(1)
+    pairs = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(50)]
+    pairs += [(a, a ^ (1 << rng.randrange(63))) for a, _ in pairs]
+    got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", simhash.manhattan(F.col("a"), F.col("b"), 16).alias("m")).collect()
+    for r in got:
+        counts = lambda x: [(x >> 4 * i & 15).bit_count() for i in range(16)]
+        assert r.m == sum(abs(x - y) for x, y in zip(counts(r.a), counts(r.b), strict=True)) <= (r.a ^ r.b).bit_count()
+
+
 def test_awkward_texts_and_repeats(spark):
     rows = [(5, "", "x"), (3, None, "y"), (9, " \t\n", "z"), (4, "One two", "a"), (4, "one TWO", "b"), (7, "w " * 200_000, "c"), (None, "one two", "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
