@@ -18,16 +18,31 @@ WITH = "WITH " + READINGS
 
 
 def s01(spark: SparkSession, d: str) -> DataFrame:
-    path = new_path(spark, "wide")
-    sinks.wide_csv(readings(spark, d), TAGS, path)
-    long = H.wide_csv(spark, f"{path}/*/*.csv", skip=("run",))
+    """Runs of even and of odd number are written with their tags in opposite orders, and read by one scan."""
+    path, own = new_path(spark, "wide"), readings(spark, d)
+    sinks.wide_csv(own.where("run % 2 = 0"), TAGS, f"{path}/even")
+    sinks.wide_csv(own.where("run % 2 = 1"), TAGS[::-1], f"{path}/odd")
+    long = H.wide_csv(spark, f"{path}/*/*/*.csv")
     return long.groupBy("tag", "tag_pos").agg(F.count("value").alias("good"), F.round(F.sum("value"), 4).alias("total"), F.count_distinct("run").alias("runs"))
 
 
+def s01_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Files of 500 events: some rows lack a cell or a time, some files repeat a name or mix clocks."""
+    path = new_path(spark, "faulty")
+    e, k, f = table(spark, d, "events"), F.col("event_id"), F.floor(F.col("event_id") / 500)
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + k), "yyyy-MM-dd'T'HH:mm:ss")
+    time = F.when(k % 41 == 7, F.lit("soon")).when((f % 5 == 2) & (k % 2 == 0), F.concat(stamp, F.lit("Z"))).when(f % 5 == 2, stamp).otherwise((k - F.when(k % 67 == 3, 9).otherwise(0)).cast("string"))
+    line = F.concat_ws(",", time, F.col("value").cast("string"), F.when(k % 29 != 5, F.lit('"a, ""b"""')))
+    head = F.when(f % 7 == 3, "t,x,x").when(f % 11 == 4, "t,5,").otherwise("t,x,y")
+    rows = e.select(f.alias("f"), k.alias("k"), line.alias("value")).unionByName(e.select(f.alias("f"), F.lit(-1).cast("long").alias("k"), head.alias("value")).distinct())
+    rows.repartition("f").sortWithinPartitions("f", "k").select("value", "f").write.partitionBy("f").text(path)
+    return H.wide_findings(spark, f"{path}/*/*.txt").groupBy("finding").agg(F.count("*").alias("n"), F.count_distinct("run").alias("files"))
+
+
 def s01_order(spark: SparkSession, d: str) -> DataFrame:
-    """Hours of events as times of a file: rows that do not rise."""
+    """Hours of events as times of a file of 1,000 events: rows that do not rise."""
     path = new_path(spark, "hours")
-    rows = table(spark, d, "events").select(F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp"))).alias("t"), "value", "event_id", (F.col("event_id") % 8).alias("f"))
+    rows = table(spark, d, "events").select(F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp"))).alias("t"), "value", "event_id", F.floor(F.col("event_id") / 1000).alias("f"))
     rows.repartition("f").sortWithinPartitions("f", "event_id").select("t", "value", "f").write.option("header", True).partitionBy("f").csv(path)
     return H.order_findings(H.wide_csv(spark, f"{path}/*/*.csv")).groupBy("finding").agg(F.count("*").alias("n"))
 
@@ -79,8 +94,10 @@ def s07(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s08(spark: SparkSession, d: str) -> DataFrame:
+    """Every run of 700 events is a merged file that begins 137 rows into the next; each is found in the raw export."""
     raw = table(spark, d, "events").select(F.col("event_id").alias("row_no"), F.col("ts").cast("string").alias("t"), F.col("value").cast("string").alias("v"))
-    merged = raw.where("row_no >= 137 and row_no < 900").withColumn("row_no", F.col("row_no") - 137)
+    at = F.col("row_no") - 137
+    merged = raw.where("row_no >= 137").select(F.floor(at / 700).cast("long").alias("merged"), (at % 700).alias("row_no"), "t", "v")
     return H.row_offset(merged, raw, ["t", "v"])
 
 
@@ -230,15 +247,30 @@ p AS (SELECT *, row_number() OVER (PARTITION BY run, tag, island ORDER BY n) AS
 SELECT run, tag, n, round(gap, 6) AS gap FROM p WHERE k = 3"""
 
 QUERIES = {
-    "s01_wide_csv": (s01, WITH + """SELECT tag, CASE tag WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END::INTEGER AS tag_pos, count(value) AS good, round(sum(value), 4) AS total, (SELECT count(DISTINCT run) FROM readings) AS runs FROM readings GROUP BY tag"""),
-    "s01_order_findings": (s01_order, """SELECT 'time does not rise' AS finding, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS t, lag(date_trunc('hour', ts)) OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS b FROM events) WHERE t <= b HAVING count(*) > 0"""),
+    "s01_wide_csv": (s01, WITH + """, p AS (SELECT *, CASE tag WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS pos FROM readings)
+      SELECT tag, tag_pos, sum(good)::BIGINT AS good, round(sum(total), 4) AS total, sum(runs)::BIGINT AS runs
+      FROM (SELECT tag, CASE WHEN run % 2 = 1 THEN 4 - pos ELSE pos END::INTEGER AS tag_pos, run % 2 AS odd, count(value) AS good, sum(value) AS total FROM p GROUP BY 1, 2, 3)
+      JOIN (SELECT run % 2 AS odd, count(DISTINCT run) AS runs FROM readings GROUP BY 1) USING (odd) GROUP BY tag, tag_pos"""),
+    "s01_findings": (s01_findings, """WITH e AS (SELECT event_id AS k, event_id // 500 AS f FROM events),
+      r AS (SELECT *, CASE WHEN k % 41 = 7 THEN NULL WHEN f % 5 = 2 AND k % 2 = 0 THEN 'instant' WHEN f % 5 = 2 THEN 'local' ELSE 'number' END AS kind,
+        CASE WHEN f % 5 = 2 THEN k ELSE k - CASE WHEN k % 67 = 3 THEN 9 ELSE 0 END END AS clk FROM e),
+      s AS (SELECT *, lag(CASE WHEN kind IS NOT NULL THEN clk END) OVER (PARTITION BY f ORDER BY k) AS b FROM r),
+      found AS (
+        SELECT f, 'cells do not fit the header' AS finding FROM r WHERE k % 29 = 5
+        UNION ALL SELECT f, 'no time' FROM r WHERE kind IS NULL
+        UNION ALL SELECT f, 'time does not rise' FROM s WHERE kind IS NOT NULL AND clk <= b
+        UNION ALL SELECT f, 'kinds or zones of time are mixed' FROM r GROUP BY f HAVING count(DISTINCT kind) > 1
+        UNION ALL SELECT f, 'repeated tag name' FROM (SELECT DISTINCT f FROM e WHERE f % 7 = 3)
+        UNION ALL SELECT f, unnest(['empty tag name', 'tag name is a number']) FROM (SELECT DISTINCT f FROM e WHERE f % 11 = 4 AND f % 7 <> 3))
+      SELECT finding, count(*) AS n, count(DISTINCT f) AS files FROM found GROUP BY finding"""),
+    "s01_order_findings": (s01_order, """SELECT 'time does not rise' AS finding, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS t, lag(date_trunc('hour', ts)) OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS b FROM events) WHERE t <= b HAVING count(*) > 0"""),
     "s02_matrix": (s02, "SELECT c::INTEGER AS channel, count(*) AS n, round(sum(v), 2) AS total FROM (SELECT 0 AS c, l_quantity AS v FROM lineitem UNION ALL SELECT 1, l_discount FROM lineitem UNION ALL SELECT 2, l_tax FROM lineitem) GROUP BY c"),
     "s03_labelled_runs": (s03, """SELECT "rows", first_anomaly, first_changepoint, count(*) AS runs FROM (SELECT event_id // 1000 AS f, count(*) AS "rows", min(event_id % 1000) FILTER (event_id % 1000 >= 700) AS first_anomaly, min(event_id % 1000) FILTER (event_id % 1000 = 650) AS first_changepoint FROM events GROUP BY 1) GROUP BY ALL"""),
     "s04_label_events": (s04, "SELECT first_row, last_row, samples, count(*) AS runs FROM (SELECT min(event_id % 1000) AS first_row, max(event_id % 1000) AS last_row, count(*) AS samples FROM events WHERE event_id % 50 >= 40 GROUP BY event_id // 50) GROUP BY ALL"),
     "s05_cycle_means": (s05, "SELECT count(*) AS cycles, round(sum(m), 3) AS total FROM (SELECT avg(l_quantity) AS m FROM lineitem GROUP BY l_orderkey)"),
     "s06_run_windows": (s06, """SELECT name, ts >= fault AS after_fault, count(*) AS n FROM events JOIN (VALUES ('a', TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-07', TIMESTAMP '2024-01-06'), ('b', TIMESTAMP '2024-01-06 12:00:00', TIMESTAMP '2024-01-09', TIMESTAMP '2024-01-08')) AS w(name, a, b, fault) ON ts >= a AND ts <= b GROUP BY ALL"""),
     "s07_decimal_comma": (s07, "SELECT count(*) FILTER (event_id % 7 <> 0 AND event_id % 5 <> 0) AS joined, round(2 * sum(value) FILTER (event_id % 7 <> 0 AND event_id % 5 <> 0), 3) AS total, count(*) FILTER ((event_id % 7 = 0) <> (event_id % 5 = 0)) AS missing FROM events"),
-    "s08_row_offset": (s08, 'SELECT 137::BIGINT AS "offset"'),
+    "s08_row_offset": (s08, 'SELECT DISTINCT (event_id - 137) // 700 AS merged, 137 + (event_id - 137) // 700 * 700 AS "offset" FROM events WHERE event_id >= 137'),
     "s09_graph_keys": (s09, "SELECT p_type AS class, count(*) AS n, sum(p_size)::BIGINT AS x FROM part GROUP BY p_type"),
     "s10_run_records": (s10, """SELECT (p_partkey // 50)::VARCHAR AS file, count(*) FILTER (p_partkey % 6 <> 0 AND p_partkey % 10 <> 0 AND p_partkey % 4 <> 0) AS good, count(*) FILTER (p_partkey % 6 = 0 OR p_partkey % 10 = 0 OR p_partkey % 4 = 0) AS malformed FROM part GROUP BY 1"""),
     "s12_control_loops": (s12, """WITH o AS (SELECT o_orderkey AS k, count(*) OVER (PARTITION BY o_orderkey % 5000) AS same FROM orders)

@@ -161,7 +161,6 @@ def test_wide_csv_round_trip_with_bad_samples(spark, tmp_path):
     bad = H.wide_csv(spark, f"file://{tmp_path}/x.csv")
     assert [r.value for r in bad.orderBy("row_no").collect()] == [1.0, None, None, None, 7.0]
     assert {(r.row_no, r.finding) for r in H.order_findings(bad).collect()} == {(2, "time does not rise"), (3, "time does not rise"), (4, "no time")}
-    assert H.header_findings(["t", "a", "a", "", "12"]) == ["empty name", "numeric name 12", "repeated name a"]
 
 
 def test_archives_and_line_ends_hash_alike(spark, tmp_path):
@@ -199,3 +198,59 @@ def test_streams_of_a_long_line_and_of_one_with_a_loop(spark):
     loop = [("f", 2, 1, 2), ("f", 2, 2, 3), ("f", 2, 3, 4), ("f", 2, 4, 2)]
     got = R.streams(spark.createDataFrame(long + loop, "file string, line int, a int, b int")).collect()
     assert sorted((r.line, r.start, r.end, r.path) for r in got) == [(1, 0, 30, list(range(31))), (2, 1, 4, [1, 2, 3, 4])]
+
+
+def put(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(text.encode())
+
+
+def test_files_with_other_column_orders_keep_their_values(spark, tmp_path):
+    put(tmp_path / "a.csv", "\ufefft,flow,level\r\n1,10,20\r\n\r\n2,11,21\r\n")
+    put(tmp_path / "b.csv", 't,level,"fl""ow, x"\n1,"20",10\n , \n3,nan,"1,5"\n')
+    got = {(r.run[-5:], r.row_no, r.idx, r.tag, r.tag_pos, r.value) for r in H.wide_csv(spark, f"file://{tmp_path}/*.csv").collect()}
+    assert got == {
+        ("a.csv", 0, 1.0, "flow", 0, 10.0), ("a.csv", 0, 1.0, "level", 1, 20.0), ("a.csv", 1, 2.0, "flow", 0, 11.0), ("a.csv", 1, 2.0, "level", 1, 21.0),
+        ("b.csv", 0, 1.0, "level", 0, 20.0), ("b.csv", 0, 1.0, 'fl"ow, x', 1, 10.0), ("b.csv", 1, 3.0, "level", 0, None), ("b.csv", 1, 3.0, 'fl"ow, x', 1, None),
+    }
+
+
+def test_what_a_strict_reader_refuses(spark, tmp_path):
+    put(tmp_path / "fine.csv", "t,a\n1,2\n2,\n")
+    put(tmp_path / "head.csv", "t,a,a,,12\n1,1,1,1,1\n")
+    put(tmp_path / "bare.csv", "t,a\n")
+    put(tmp_path / "one.csv", "t\n1\n")
+    put(tmp_path / "rows.csv", "t,a\n1,2,3\n2\n2,5\nsoon,1\ninf,1\n")
+    put(tmp_path / "mixed.csv", "t,a\n2026-10-01T09:40:00Z,1\n2026-10-01 09:41:00,2\n")
+    put(tmp_path / "open.csv", 't,a\n1,"x\n2,y"\n')
+    got = sorted((r.run.rsplit("/", 1)[1], r.row_no, r.finding) for r in H.wide_findings(spark, f"file://{tmp_path}/*.csv").collect() if not r.run.endswith("open.csv"))
+    assert sorted(got, key=str) == sorted([
+        ("bare.csv", None, "no data rows"),
+        ("head.csv", None, "empty tag name"), ("head.csv", None, "repeated tag name"), ("head.csv", None, "tag name is a number"),
+        ("mixed.csv", None, "kinds or zones of time are mixed"),
+        ("one.csv", None, "fewer than two columns"),
+        ("rows.csv", 0, "cells do not fit the header"), ("rows.csv", 1, "cells do not fit the header"), ("rows.csv", 2, "time does not rise"), ("rows.csv", 3, "no time"), ("rows.csv", 4, "no time"),
+    ], key=str)
+    opened = {r.finding for r in H.wide_findings(spark, f"file://{tmp_path}/open.csv").collect()}
+    assert "line break inside quotes" in opened
+
+
+def test_rows_are_numbered_across_splits(spark, tmp_path):
+    """A file in many splits, with and without blank lines."""
+    put(tmp_path / "x.txt", "".join(f"line {i:06d}\n" for i in range(20_000)))
+    put(tmp_path / "y.txt", "".join(f"line {i:06d}\n" + "\n" * (i % 7 == 0) for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        rows = H.file_rows(spark, f"file://{tmp_path}/*.txt").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 40_000 and all(int(r.line[5:]) == r.position for r in rows)
+
+
+def test_row_offset_needs_one_fitting_place(spark):
+    raw = spark.createDataFrame([(i, v) for i, v in enumerate("aaabacaaad")], "row_no long, v string")
+    merged = [("one", 0, "a"), ("one", 1, "b"), ("one", 2, "a"), ("two", 0, "a"), ("two", 1, "a"), ("none", 0, "b"), ("none", 1, "d"), ("lacks", 0, "d"), ("lacks", 1, "z")]
+    found = H.row_offset(spark.createDataFrame(merged, "merged string, row_no long, v string"), raw, ["v"])
+    assert {(r.merged, r.offset) for r in found.collect()} == {("one", 2)}
+    flat = spark.range(50_000).select(F.col("id").alias("row_no"), F.lit("x").alias("v"))
+    assert H.row_offset(flat.where("row_no < 100").select(F.lit(1).alias("merged"), "row_no", "v"), flat.withColumn("v", F.when(F.col("row_no") == 70, "y").otherwise(F.col("v"))), ["v"]).count() == 0
