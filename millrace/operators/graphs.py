@@ -17,23 +17,40 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """``pairs(node, other)`` with ``least``, the smallest of node and its others; minima are taken before the shuffle."""
+    least = pairs.groupBy("node").agg(F.min("other").alias("least")).select(F.col("node").alias("of"), F.least("node", "least").alias("least"))
+    return pairs.join(least, F.col("node") == F.col("of")).select("node", "other", "least")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    return _with_least(both).where("other > node and other <> least").select(F.col("other").alias("a"), F.col("least").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    starred = _with_least(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other")))
+    out = starred.select(F.col("other").alias("a"), F.col("least").alias("b")).unionByName(starred.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(id, root)``: the smallest id of each node's component.
 
-    Labels are lowered to a neighbour's, then to the label's own label, so a
-    chain shortens by half a round.
+    Large-star and small-star steps in turn: each node's larger neighbours,
+    then its smaller ones, are hung on its smallest neighbour. Chains of n
+    nodes take about log n rounds; each round is written to the shared folder.
     """
-    near = written(both_ways(edges), "edges")
-    now = written(nodes.select("id", F.col("id").alias("root")), "labels")
+    now, seen = edges.select("a", "b").where("a <> b"), None
     for _ in range(most_rounds):
-        lower = near.join(now, near["b"] == now["id"]).groupBy(F.col("a").alias("of")).agg(F.min("root").alias("low"))
-        step = now.join(lower, F.col("id") == F.col("of"), "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("low", "root")).alias("root"))
-        jump = step.select(F.col("id").alias("j"), F.col("root").alias("jumped"))
-        after = written(step.join(jump, F.col("root") == F.col("j"), "left").select("id", "old", F.least("root", F.coalesce("jumped", "root")).alias("root")), "labels")
-        if after.where("old <> root").isEmpty():
-            return after.select("id", "root")
-        now = after.select("id", "root")
-    raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+        now = written(_small_star(_large_star(now)), "stars")
+        mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
+        if mark == seen:
+            break
+        seen = mark
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return nodes.select("id").join(now, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("root"))
 
 
 def hops(starts: DataFrame, edges: DataFrame, most: int, blocked: DataFrame | None = None) -> DataFrame:
@@ -60,21 +77,41 @@ def nearest_of(starts: DataFrame, targets: DataFrame, edges: DataFrame, most: in
     return found.groupBy("start").agg(F.min(F.struct("hop", "id")).alias("m")).select(F.col("start").alias("id"), F.col("m.id").alias("nearest"), F.col("m.hop").alias("hop"))
 
 
-def asset_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def asset_links(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links of scored nodes, direct or through pass-through nodes only; ``nodes(id, role)`` with scored, pass or other.
 
-    Pass-through nodes that hang together are one component; a component's
-    scored neighbours are linked to each other.
+    Pass-through nodes that hang together are one component, and all scored
+    nodes that touch it are linked to each other. The result is the direct
+    links ``(a, b)`` and the membership ``(junction, id)`` of components with
+    two scored nodes or more: two members are a link, so a header with
+    thousands of branches has thousands of rows, not millions.
     """
     role = nodes.select("id", "role")
     e = edges.join(role.select(F.col("id").alias("a"), F.col("role").alias("ra")), "a").join(role.select(F.col("id").alias("b"), F.col("role").alias("rb")), "b")
-    direct = e.where("ra = 'scored' and rb = 'scored'").select("a", "b")
+    direct = e.where("ra = 'scored' and rb = 'scored' and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     passing = nodes.where("role = 'pass'").select("id")
     comp = components(passing, e.where("ra = 'pass' and rb = 'pass'").select("a", "b"))
     touch = e.where("ra = 'scored' and rb = 'pass'").select(F.col("a").alias("s"), F.col("b").alias("id")).unionByName(e.where("ra = 'pass' and rb = 'scored'").select(F.col("b").alias("s"), F.col("a").alias("id")))
-    met = written(touch.join(comp, "id").select("root", "s").distinct(), "touch")
-    through = met.alias("x").join(met.alias("y"), "root").where("x.s < y.s").select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
-    return direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(through).where("a <> b").distinct()
+    met = written(touch.join(comp, "id").select(F.col("root").alias("junction"), F.col("s").alias("id")).distinct(), "touch")
+    several = met.groupBy("junction").agg(F.count("*").alias("n")).where("n > 1").select("junction")
+    return direct, met.join(several, "junction", "left_semi")
+
+
+def owners(units: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """``(id, owner, hop)``: the nearest of ``units(id)`` against the direction of ``edges(a, b)``, by hops, then id; a unit owns itself.
+
+    All units spread at once, a hop a round, so each node is reached once.
+    """
+    e = written(edges.select("a", "b"), "directed")
+    frontier = written(units.select("id", F.col("id").alias("owner"), F.lit(0).alias("hop")), "owned")
+    seen = frontier
+    for h in range(1, most_rounds + 1):
+        reached = frontier.join(e, frontier["id"] == e["a"]).groupBy(F.col("b").alias("id")).agg(F.min("owner").alias("owner")).withColumn("hop", F.lit(h))
+        frontier = written(reached.join(seen, "id", "left_anti"), "owned")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+    raise RuntimeError(f"owners did not settle in {most_rounds} rounds")
 
 
 def contract(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -23,9 +23,9 @@ def p01(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p01_nfkc(spark: SparkSession, d: str) -> DataFrame:
-    """Compatibility forms of the first word of documents beyond ASCII."""
-    t = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", r"^(\S+)", 1).alias("w"))
-    return t.select("doc_id", T.nfkc(F.col("w")).alias("form"))
+    """Compatibility forms of whole documents, by length and checksum."""
+    t = table(spark, d, "documents").select("doc_id", T.nfkc(F.coalesce("text", F.lit(""))).alias("form"))
+    return t.select("doc_id", F.length("form").alias("chars"), F.crc32(F.col("form").cast("binary")).alias("crc"))
 
 
 def p02(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +185,9 @@ def j08(spark: SparkSession, d: str) -> DataFrame:
     """Off-page connectors paired by reciprocal references, best word overlap first."""
     from millrace.operators.matching import mutual_best
 
-    own = table(spark, d, "part").where("p_partkey < 2000").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 20).alias("sheet"), ((F.col("p_partkey") * 7 + 1) % 20).alias("ref"), F.split("p_name", " ").alias("words"))
+    sheet = F.floor(F.col("p_partkey") / 40).cast("long")
+    ref = F.when(F.col("p_partkey") % 3 == 0, sheet.bitwiseXOR(F.lit(1))).when(F.col("p_partkey") % 3 == 1, sheet.bitwiseXOR(F.lit(2)))
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("id"), sheet.alias("sheet"), ref.alias("ref"), F.split("p_name", " ").alias("words"))
     a, b = own.alias("a"), own.alias("b")
     pairs = a.join(b, (F.col("a.ref") == F.col("b.sheet")) & (F.col("b.ref") == F.col("a.sheet")) & (F.col("a.sheet") < F.col("b.sheet")))
     rated = pairs.select(F.col("a.id").alias("one"), F.col("b.id").alias("two"), T.jaccard(F.col("a.words"), F.col("b.words")).alias("similarity"))
@@ -238,7 +240,7 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
 
 def j17(spark: SparkSession, d: str) -> DataFrame:
     """Model against model: by tag; role and fields compared; missing and extra."""
-    i = items(spark, d).where("id < 700").select("tag", "kind", "unit")
+    i = items(spark, d).select(F.concat_ws("#", "tag", "id").alias("tag"), "kind", "unit")
     other = i.where("unit % 9 <> 4").select("tag", F.when(F.col("unit") % 10 == 1, F.lit("other")).otherwise(F.col("kind")).alias("kind2"), F.when(F.col("unit") % 11 == 1, F.col("unit") + 1).otherwise(F.col("unit")).alias("unit2"))
     extra = spark.range(3).select(F.concat(F.lit("NEW-"), F.col("id").cast("string")).alias("tag"), F.lit("economy").alias("kind2"), F.lit(1).cast("long").alias("unit2"))
     j = i.join(other.unionByName(extra), "tag", "full")
@@ -311,11 +313,11 @@ def j32(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j33(spark: SparkSession, d: str) -> DataFrame:
-    """Stages are parts below 300; each feeds the one at twice its number."""
-    p = table(spark, d, "part").where("p_partkey between 1 and 300")
+    """Stages are parts; each feeds the one at twice its number."""
+    p = table(spark, d, "part").where("p_partkey > 0")
     rec = p.where("p_partkey % 17 <> 0").select(F.col("p_partkey").alias("stage"), F.md5(F.col("p_name").cast("binary")).alias("hash"))
     cur = p.where("p_partkey % 19 <> 0").select(F.col("p_partkey").alias("stage"), F.md5(F.when(F.col("p_partkey") % 23 == 0, F.lit("new")).otherwise(F.col("p_name")).cast("binary")).alias("hash"))
-    up = p.where("p_partkey <= 150").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 2).alias("b"))
+    up = p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 2).alias("b")).join(p.select(F.col("p_partkey").alias("b")), "b", "left_semi")
     return R.freshness(rec, cur, up)
 
 
@@ -329,7 +331,8 @@ def j34(spark: SparkSession, d: str) -> DataFrame:
 
 def g01(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 4 == 0, "scored").when(F.col("p_size") % 4 == 1, "pass").otherwise("other").alias("role"))
-    return G.asset_links(nodes, links(spark, d))
+    direct, met = G.asset_links(nodes, links(spark, d))
+    return direct.select(F.lit("direct").alias("kind"), "a", "b").unionByName(met.select(F.lit("through").alias("kind"), F.col("junction").alias("a"), F.col("id").alias("b")))
 
 
 def g01_components(spark: SparkSession, d: str) -> DataFrame:
@@ -338,18 +341,18 @@ def g01_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g02(spark: SparkSession, d: str) -> DataFrame:
-    starts = table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"))
+    starts = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
     return G.hops(starts, links(spark, d), 3)
 
 
 def g02_nearest(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    return G.nearest_of(p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id")), p.where("p_size = 7").select(F.col("p_partkey").alias("id")), links(spark, d), 4)
+    return G.nearest_of(p.select(F.col("p_partkey").alias("id")), p.where("p_size = 7").select(F.col("p_partkey").alias("id")), links(spark, d), 4)
 
 
 def g03(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5 == 0).alias("item"))
-    return G.contract(nodes, links(spark, d).where("(a + b) % 3 = 0"))
+    return G.contract(nodes, links(spark, d))
 
 
 def g04(spark: SparkSession, d: str) -> DataFrame:
@@ -375,7 +378,7 @@ def g05_valves(spark: SparkSession, d: str) -> DataFrame:
 
 def g06(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").where("p_size % 10 = 0").select(F.col("p_partkey").alias("id"))
-    e = links(spark, d).where("(a * 7 + b) % 4 = 0").withColumn("weight", ((F.col("a") + F.col("b")) % 10 / 10.0).cast("double"))
+    e = links(spark, d).withColumn("weight", ((F.col("a") + F.col("b")) % 10 / 10.0).cast("double"))
     return G.shortest(p, p, e, 6).where("a < b").select("a", "b", "hop", F.array_join("path", "-").alias("path"), "least")
 
 
@@ -394,8 +397,10 @@ def g08(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g09(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 2).alias("b"))
-    return G.descendants(e.where("b <= 2000"), table(spark, d, "part").where("p_partkey in (3, 5, 7)").select(F.col("p_partkey").alias("id")))
+    """A part feeds the one at twice its number; everything below each odd part."""
+    p = table(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("a"))
+    e = p.select("a", (F.col("a") * 2).alias("b")).join(p.select(F.col("a").alias("b")), "b", "left_semi")
+    return G.descendants(e, p.where("a % 2 = 1").select(F.col("a").alias("id")))
 
 
 # ---- ledgers, text and reports
@@ -648,7 +653,7 @@ QUERIES = {
       UNION ALL SELECT DISTINCT 'dangling part', l_partkey::VARCHAR FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
       UNION ALL SELECT DISTINCT 'dangling customer', o_custkey::VARCHAR FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
       UNION ALL SELECT 'unknown status', o_orderkey::VARCHAR FROM orders WHERE o_orderstatus NOT IN ('O', 'F')"""),
-    "j17_model_diff": (j17, I_ + """SELECT status, count(*) AS n FROM (SELECT CASE WHEN unit % 9 = 4 THEN 'missing' WHEN unit % 10 = 1 AND kind <> 'other' THEN 'wrong role' WHEN unit % 11 = 1 THEN 'fields differ' ELSE 'ok' END AS status FROM items WHERE id < 700
+    "j17_model_diff": (j17, I_ + """SELECT status, count(*) AS n FROM (SELECT CASE WHEN unit % 9 = 4 THEN 'missing' WHEN unit % 10 = 1 AND kind <> 'other' THEN 'wrong role' WHEN unit % 11 = 1 THEN 'fields differ' ELSE 'ok' END AS status FROM items
       UNION ALL SELECT 'extra' FROM range(3)) GROUP BY status"""),
     "j18_multiset_compare": (j18, "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity <= 3"),
     "j19_claim_check": (j19, """SELECT 'colour' AS name, 'no field' AS result, count(*) AS n FROM part UNION ALL SELECT 'size', 'equal', count(*) FROM part
@@ -661,20 +666,24 @@ QUERIES = {
     "j30_live_movement": (j30, """SELECT user_id, event_type, arg_min(value, (ts, event_id)) AS first, arg_max(value, (ts, event_id)) AS last, arg_min(value, (ts, event_id)) <> arg_max(value, (ts, event_id)) AS moved FROM events GROUP BY ALL"""),
     "j31_quality_checks": (j31, "SELECT event_type, CASE WHEN event_id % 97 = 0 THEN 'bad' ELSE 'good' END AS quality, count(*) AS n, count(*) FILTER (value < 0 OR value > 200) AS out_of_range FROM events GROUP BY ALL"),
     "j32_registered_claims": (j32, "SELECT DISTINCT o_orderpriority, o_orderpriority <> '5-LOW' AS holds FROM orders"),
-    "j33_freshness": (j33, """WITH RECURSIVE p AS (SELECT p_partkey AS s, p_name FROM part WHERE p_partkey BETWEEN 1 AND 300),
+    "j33_freshness": (j33, """WITH RECURSIVE p AS (SELECT p_partkey AS s, p_name FROM part WHERE p_partkey > 0),
       o AS (SELECT s, CASE WHEN s % 17 = 0 THEN 'NEVER BUILT' WHEN s % 19 = 0 THEN 'MISSING' WHEN s % 23 = 0 THEN 'STALE' ELSE 'FRESH' END AS state FROM p WHERE s % 17 <> 0 OR s % 19 <> 0),
-      d AS (SELECT s * 2 AS s FROM o WHERE state <> 'FRESH' AND s <= 150 UNION SELECT s * 2 FROM d WHERE s <= 150 AND s IN (SELECT s FROM p))
+      d AS (SELECT s * 2 AS s FROM o WHERE state <> 'FRESH' AND s * 2 IN (SELECT s FROM p) UNION SELECT s * 2 FROM d WHERE s * 2 IN (SELECT s FROM p))
       SELECT s AS stage, CASE WHEN state = 'FRESH' AND s IN (SELECT s FROM d) THEN 'STALE' ELSE state END AS state FROM o"""),
     "j34_one_to_one": (j34, I_ + """, i AS (SELECT tag, count(*) AS n FROM items WHERE size > 5 GROUP BY tag), t AS (SELECT tag, count(*) AS n FROM items WHERE size < 45 GROUP BY tag)
       SELECT tag, coalesce(i.n, 0) AS items, coalesce(t.n, 0) AS tags, CASE WHEN t.n IS NULL THEN 'no tag' WHEN i.n IS NULL THEN 'no item' ELSE 'not one to one' END AS finding FROM i FULL JOIN t USING (tag) WHERE coalesce(i.n, 0) <> 1 OR coalesce(t.n, 0) <> 1"""),
-    "g01_asset_links": (g01, RL + """, n AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'scored' WHEN 1 THEN 'pass' ELSE 'other' END AS role FROM part), e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-      w AS (SELECT e.a AS s, e.b AS x FROM e JOIN n ON n.id = e.a WHERE role = 'scored' UNION SELECT w.s, e.b FROM w JOIN n ON n.id = w.x AND n.role = 'pass' JOIN e ON e.a = w.x)
-      SELECT DISTINCT least(s, x) AS a, greatest(s, x) AS b FROM w JOIN n ON n.id = w.x AND n.role = 'scored' WHERE s <> x"""),
+    "g01_asset_links": (g01, RL + """, n AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'scored' WHEN 1 THEN 'pass' ELSE 'other' END AS role FROM part),
+      e AS (SELECT l.a, l.b, x.role AS ra, y.role AS rb FROM (SELECT a, b FROM links UNION SELECT b, a FROM links) l JOIN n x ON x.id = l.a JOIN n y ON y.id = l.b),
+      w AS (SELECT id, id AS root FROM n WHERE role = 'pass' UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.id AND e.rb = 'pass'),
+      c AS (SELECT id, min(root) AS root FROM w GROUP BY id),
+      t AS (SELECT DISTINCT root, e.b AS id FROM c JOIN e ON e.a = c.id AND e.rb = 'scored')
+      SELECT 'direct' AS kind, a, b FROM e WHERE ra = 'scored' AND rb = 'scored' AND a < b
+      UNION ALL SELECT 'through', root, id FROM t WHERE root IN (SELECT root FROM t GROUP BY root HAVING count(*) > 1)"""),
     "g01_components": (g01_components, RL + """, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links), w AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.id WHERE w.root < e.b)
       SELECT id, min(root) AS root FROM w GROUP BY id"""),
-    "g02_hops": (g02, RL + """, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links), w AS (SELECT p_partkey AS start, p_partkey AS id, 0 AS hop FROM part WHERE p_partkey % 50 = 0 UNION SELECT w.start, e.b, hop + 1 FROM w JOIN e ON e.a = w.id WHERE hop < 3)
+    "g02_hops": (g02, RL + """, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links), w AS (SELECT p_partkey AS start, p_partkey AS id, 0 AS hop FROM part UNION SELECT w.start, e.b, hop + 1 FROM w JOIN e ON e.a = w.id WHERE hop < 3)
       SELECT start, id, min(hop)::INTEGER AS hop FROM w GROUP BY ALL"""),
-    "g02_nearest": (g02_nearest, RL + """, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links), w AS (SELECT p_partkey AS start, p_partkey AS id, 0 AS hop FROM part WHERE p_partkey % 20 = 0 UNION SELECT w.start, e.b, hop + 1 FROM w JOIN e ON e.a = w.id WHERE hop < 4),
+    "g02_nearest": (g02_nearest, RL + """, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links), w AS (SELECT p_partkey AS start, p_partkey AS id, 0 AS hop FROM part UNION SELECT w.start, e.b, hop + 1 FROM w JOIN e ON e.a = w.id WHERE hop < 4),
       m AS (SELECT start, id, min(hop) AS hop FROM w GROUP BY ALL), c AS (SELECT m.*, row_number() OVER (PARTITION BY start ORDER BY hop, id) AS k FROM m JOIN part ON p_partkey = id WHERE hop > 0 AND p_size = 7)
       SELECT start AS id, id AS nearest, hop::INTEGER AS hop FROM c WHERE k = 1"""),
     "g03_contraction": (g03, None),
@@ -691,7 +700,7 @@ QUERIES = {
       n AS (SELECT least(s, o) AS a, greatest(s, o) AS b, CASE WHEN s < o THEN d WHEN d = 'out' THEN 'in' ELSE 'out' END AS d FROM c WHERE s <> o) SELECT a, b, count(*) AS connectors, CASE WHEN count(DISTINCT d) > 1 THEN 'conflict' ELSE min(d) END AS direction FROM n GROUP BY a, b"""),
     "g08_hierarchy": (g08, """SELECT r_name AS path, 1 AS depth FROM region UNION ALL SELECT r_name || '/' || n_name, 2 FROM nation JOIN region ON n_regionkey = r_regionkey
       UNION ALL SELECT r_name || '/' || n_name || '/' || s_name, 3 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""),
-    "g09_closure": (g09, """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey * 2 AS b FROM part WHERE p_partkey > 0 AND p_partkey * 2 <= 2000), w AS (SELECT a AS start, b AS id FROM e WHERE a IN (3, 5, 7) UNION SELECT w.start, e.b FROM w JOIN e ON e.a = w.id) SELECT start, id FROM w"""),
+    "g09_closure": (g09, """WITH RECURSIVE e AS (SELECT p.p_partkey AS a, q.p_partkey AS b FROM part p JOIN part q ON q.p_partkey = 2 * p.p_partkey WHERE p.p_partkey > 0), w AS (SELECT a AS start, b AS id FROM e WHERE a % 2 = 1 UNION SELECT w.start, e.b FROM w JOIN e ON e.a = w.id) SELECT start, id FROM w"""),
     "w13_latest_decision": (w13, """SELECT o_custkey, o_orderkey AS decision_id, previous, o_orderstatus FROM (SELECT *, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE nxt IS NULL"""),
     "l01_apply_review": (l01, """WITH s AS (SELECT o_custkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'erase' WHEN o_orderkey % 2 = 0 THEN 'correct' ELSE 'confirm' END AS action, CASE WHEN o_orderkey % 5 = 0 THEN ' ' WHEN o_orderkey % 3 = 0 THEN 'BUILDING' ELSE 'OTHER' END AS value FROM orders)
       SELECT CASE WHEN c_custkey IS NULL THEN 'refused: unknown id' WHEN action = 'erase' THEN 'refused: unknown action' WHEN action = 'correct' AND trim(value) = '' THEN 'refused: no value' WHEN action = 'correct' AND value = c_mktsegment THEN 'no change' ELSE action END AS outcome, count(*) AS n

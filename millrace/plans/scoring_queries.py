@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import matching as M
 from millrace.operators import scoring as S
 from millrace.plans.standins import BOXES, keys, preds, table
+from millrace.scratch import written
 
 WITH = "WITH " + BOXES
 
@@ -75,7 +76,8 @@ def a05(spark: SparkSession, d: str) -> DataFrame:
 
 def a08(spark: SparkSession, d: str) -> DataFrame:
     atom = lambda df: df.select(F.col("class").alias("section"), F.col("id").cast("string").alias("item"), F.col("sheet").cast("string").alias("value"))
-    return S.atom_scores(atom(keys(spark, d)), atom(preds(spark, d).where("tool = 0")))
+    one = lambda t: S.atom_scores(atom(keys(spark, d)), atom(preds(spark, d).where(F.col("tool") == t))).withColumn("tool", F.lit(t))
+    return one(0).unionByName(one(1))
 
 
 def a09(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +124,6 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    from millrace.scratch import written
 
     return S.bootstrap(written(_counts(spark, d), "counts"), "f1", 500, "b1")
 
@@ -197,8 +198,9 @@ def j26(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j23(spark: SparkSession, d: str) -> DataFrame:
-    point = lambda b: b.select("sheet", "id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    return M.match_points(point(preds(spark, d).where("tool = 0")), point(keys(spark, d)), ["sheet"], 40.0)
+    point = lambda b: b.select("tool", "sheet", "id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    truth = keys(spark, d).withColumn("tool", F.explode(F.array(F.lit(0), F.lit(1))))
+    return M.match_points(point(preds(spark, d)), point(truth), ["tool", "sheet"], 40.0)
 
 
 def j21(spark: SparkSession, d: str) -> DataFrame:
@@ -212,8 +214,8 @@ def j21(spark: SparkSession, d: str) -> DataFrame:
 
 def j22(spark: SparkSession, d: str) -> DataFrame:
     """Listed identifiers contained in any name of the same group."""
-    names = table(spark, d, "part").select((F.col("p_partkey") % 50).alias("g"), F.col("p_name").alias("name"))
-    listed = table(spark, d, "part").where("p_partkey < 200").select((F.col("p_partkey") % 50).alias("g"), F.element_at(F.split("p_name", " "), 2).alias("ident")).distinct()
+    names = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("g"), F.col("p_name").alias("name"))
+    listed = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("g"), F.element_at(F.split("p_name", " "), 2).alias("ident")).distinct()
     return listed.join(names, "g").groupBy("g", "ident").agg(F.count_if(F.contains("name", "ident")).alias("hits"))
 
 
@@ -226,8 +228,9 @@ def j28(spark: SparkSession, d: str) -> DataFrame:
 def j29(spark: SparkSession, d: str) -> DataFrame:
     from millrace.plans.standins import links
 
-    pairs = M.match(preds(spark, d).where("tool = 1"), keys(spark, d), ["sheet"], ["tool"], need_class=True, threshold=0.3)
-    return M.transferred_links(pairs.select("pred_id", "key_id"), links(spark, d))
+    pairs = written(M.match(preds(spark, d), keys(spark, d), ["sheet"], ["tool"], need_class=True, threshold=0.3), "pairs")
+    views = [M.transferred_links(pairs.where(F.col("tool") == t).select("pred_id", "key_id"), links(spark, d)).withColumn("tool", F.lit(t)) for t in (0, 1)]
+    return views[0].unionByName(views[1])
 
 
 def u01(spark: SparkSession, d: str) -> DataFrame:
@@ -288,8 +291,9 @@ QUERIES = {
     "a06_parent_accuracy": (a06, WITH + f""", c AS (SELECT a.sheet, a.id, b.id AS nearest, b.class AS method, {GAPS} AS gap FROM keys a JOIN keys b ON a.sheet = b.sheet AND a.class = 'instrument' AND b.class IN ('pump', 'tank') WHERE {GAPS} <= 120),
       m AS (SELECT *, (nearest + id) % 4 <> 0 AS ok, gap < 40 AS close FROM (SELECT *, row_number() OVER (PARTITION BY sheet, id ORDER BY gap, nearest) AS k FROM c) WHERE k = 1)
       SELECT method, close, count(*) AS n, count(*) FILTER (ok) AS correct FROM m GROUP BY GROUPING SETS ((), (method), (close))"""),
-    "a08_fact_atoms": (a08, WITH + """, j AS (SELECT coalesce(k.class, p.class) AS section, k.id AS t, p.id AS g FROM keys k FULL JOIN (SELECT * FROM preds WHERE tool = 0) p ON p.id = k.id AND p.class = k.class),
-      a AS (SELECT section, count(*) FILTER (t IS NOT NULL AND g IS NOT NULL) AS tp, count(g) AS predicted, count(t) AS in_key FROM j GROUP BY ROLLUP (section))
+    "a08_fact_atoms": (a08, WITH + """, k2 AS (SELECT keys.*, tool FROM keys, (VALUES (0), (1)) AS t(tool)),
+      j AS (SELECT coalesce(k.tool, p.tool) AS tool, coalesce(k.class, p.class) AS section, k.id AS t, p.id AS g FROM k2 k FULL JOIN preds p ON p.id = k.id AND p.class = k.class AND p.tool = k.tool),
+      a AS (SELECT tool, section, count(*) FILTER (t IS NOT NULL AND g IS NOT NULL) AS tp, count(g) AS predicted, count(t) AS in_key FROM j GROUP BY GROUPING SETS ((tool, section), (tool)))
       SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS precision, CASE WHEN in_key > 0 THEN tp / in_key ELSE 0 END AS recall, CASE WHEN predicted + in_key > 0 THEN 2.0 * tp / (predicted + in_key) ELSE 0 END::DOUBLE AS f1 FROM a"""),
     "a09_cohorts": (a09, COUNTS + "SELECT substr(sha256((sheet % 3)::VARCHAR || '|test'), 1, 12) AS cohort, (sheet % 3)::VARCHAR AS family, tool, count(*) AS sheets, sum(tp)::BIGINT AS tp, count(*) FILTER (predicted = 0) AS failures, avg(f1) AS mean_f1 FROM prf GROUP BY ALL"),
     "a10_known_answers": (a10, WITH + """, n AS (SELECT count(*) AS n FROM keys) SELECT c.control, c.tp, c.predicted, n AS in_key, c.tp / greatest(1, c.predicted) AS precision, c.tp / n AS recall, (2.0 * c.tp / (c.predicted + n))::DOUBLE AS f1
@@ -339,7 +343,7 @@ QUERIES = {
       SELECT sheet, id, nearest, gap FROM (SELECT *, row_number() OVER (PARTITION BY sheet, id ORDER BY gap, nearest) AS k FROM c) WHERE k = 1"""),
     "j21_class_outcomes": (j21, WITH + """SELECT t.tool, k.sheet, CASE WHEN p.class IS NULL THEN 'missed' WHEN p.class = k.class THEN 'correct' ELSE 'wrong' END AS outcome, count(*) AS n
       FROM keys k CROSS JOIN (VALUES (0), (1)) AS t(tool) LEFT JOIN preds p ON p.tool = t.tool AND p.id = k.id GROUP BY ALL"""),
-    "j22_identifier_contained": (j22, """WITH n AS (SELECT p_partkey % 50 AS g, p_name FROM part), l AS (SELECT DISTINCT p_partkey % 50 AS g, split_part(p_name, ' ', 2) AS ident FROM part WHERE p_partkey < 200)
+    "j22_identifier_contained": (j22, """WITH n AS (SELECT p_partkey // 40 AS g, p_name FROM part), l AS (SELECT DISTINCT p_partkey // 40 AS g, split_part(p_name, ' ', 2) AS ident FROM part)
       SELECT g, ident, count(*) FILTER (contains(p_name, ident)) AS hits FROM l JOIN n USING (g) GROUP BY g, ident"""),
     "j23_point_match": (j23, None),
     "j26_actuator_roles": (j26, WITH + f""", c AS (SELECT a.sheet, a.id, b.id AS valve, {GAPS} AS gap FROM keys a JOIN keys b ON a.sheet = b.sheet AND a.class = 'instrument' AND b.class = 'valve'

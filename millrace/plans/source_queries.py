@@ -175,35 +175,35 @@ def s19(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "flowsheet")
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     units = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("n"), "n_nationkey"), F.struct(F.when(F.col("n_nationkey") % 5 == 0, "Feed").otherwise("Mixer").alias("type")))))
-    arcs = s.where("s_suppkey < 200").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("s"), "s_suppkey"), F.struct(F.concat(F.lit("n"), "s_nationkey").alias("source"), F.concat(F.lit("n"), F.col("s_suppkey") % 25).alias("dest"))))).alias("arcs"))
-    n.agg(units.alias("unit_models")).crossJoin(arcs).select(F.struct("unit_models", "arcs").alias("model")).write.json(path)  # one flowsheet
+    arcs = s.groupBy(F.floor(F.col("s_suppkey") / 50)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("s"), "s_suppkey"), F.struct(F.concat(F.lit("n"), "s_nationkey").alias("source"), F.concat(F.lit("n"), F.col("s_suppkey") % 25).alias("dest"))))).alias("arcs")).select("arcs")
+    n.agg(units.alias("unit_models")).crossJoin(arcs).select(F.struct("unit_models", "arcs").alias("model")).repartition(8).write.option("maxRecordsPerFile", 1).json(path)  # a flowsheet of 50 streams a file
     return R.flowsheet(spark, path)[1].groupBy("source", "dest").agg(F.count("*").alias("streams"))
 
 
 def s20(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    li = table(spark, d, "lineitem").where("l_orderkey < 2000").withColumn("k", F.row_number().over(order))
+    li = table(spark, d, "lineitem").withColumn("k", F.row_number().over(order))
     seg = li.groupBy(F.col("l_orderkey").alias("segment")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "l_partkey"))), lambda x: x["l_partkey"].cast("string")).alias("items"))  # seven lines an order
     own = seg.select(F.lit("f").alias("file"), "segment", F.lit("IN").alias("from"), "items", F.lit("OUT").alias("to"))
     return R.chain_edges(own).groupBy("segment").agg(F.count("*").alias("edges"), F.count_if(F.col("b") == "OUT").alias("ends"))
 
 
 def s21(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_partkey < 400")
+    p = table(spark, d, "part")
     e = p.where("p_partkey % 8 < 5").select(F.lit("f").alias("file"), F.floor(F.col("p_partkey") / 8).cast("long").alias("line"), F.col("p_partkey").alias("a"), F.explode(F.array(F.col("p_partkey") + 2, F.col("p_partkey") + 3)).alias("b"))
     return R.streams(e.where("floor(b / 8) = line")).select("line", "start", "end", "stream", F.size("path").alias("nodes"))
 
 
 def s22(spark: SparkSession, d: str) -> DataFrame:
-    """The owning unit: the nearest upstream, else the nearest downstream."""
-    e = table(spark, d, "part").where("p_partkey between 1 and 1000").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 2).alias("b")).where("b <= 1000")
-    p = table(spark, d, "part").where("p_partkey between 1 and 1000")
-    units = p.where("p_size % 9 = 0").select("p_partkey").withColumnRenamed("p_partkey", "id")
-    up = G.descendants(e, units).withColumn("hops", F.log2(F.col("id") / F.col("start")).cast("int"))
-    down = G.descendants(e.select(F.col("b").alias("a"), F.col("a").alias("b")), units).withColumn("hops", F.log2(F.col("start") / F.col("id")).cast("int"))
-    best = lambda t, n: t.groupBy("id").agg(F.min(F.struct("hops", "start")).alias(n))
-    own = p.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 9 == 0).alias("unit")).join(best(up, "u"), "id", "left").join(best(down, "w"), "id", "left")
-    return own.select("id", F.when(F.col("unit"), F.col("id")).otherwise(F.coalesce("u.start", "w.start")).alias("owner"), F.when(F.col("unit"), "itself").when(F.col("u").isNotNull(), "upstream").when(F.col("w").isNotNull(), "downstream").otherwise("none").alias("why"))
+    """The owning unit: the nearest upstream, else the nearest downstream; a thousand parts are a tree, a part feeds the one at twice its place."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 1000).alias("g"), (F.col("p_partkey") % 1000).alias("k"), (F.col("p_size") % 9 == 0).alias("unit"))
+    e = p.where("k > 0").select("g", (F.col("k") * 2).alias("k"), F.col("id").alias("a")).join(p.select("g", "k", F.col("id").alias("b")), ["g", "k"]).select("a", "b")
+    units = p.where("unit").select("id")
+    up = G.owners(units, e).select("id", F.col("owner").alias("u"), F.col("hop").alias("up"))
+    down = G.owners(units, e.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("id", F.col("owner").alias("w"), F.col("hop").alias("down"))
+    own = p.join(up, "id", "left").join(down, "id", "left")
+    why = F.when(F.col("unit"), "itself").when(F.col("u").isNotNull(), "upstream").when(F.col("w").isNotNull(), "downstream").otherwise("none")
+    return own.select("id", F.coalesce("u", "w").alias("owner"), why.alias("why"), F.coalesce("up", "down").alias("hop"))
 
 
 def s23(spark: SparkSession, d: str) -> DataFrame:
@@ -280,10 +280,19 @@ QUERIES = {
     "s15_checked_csv": (s15, "SELECT c_custkey % 13 = 0 AS bad, count(*) AS n FROM customer GROUP BY 1"),
     "s16_generic_attributes": (s16, "SELECT 'size' AS name, count(*) AS n FROM part UNION ALL SELECT 'size#2', count(*) FROM part UNION ALL SELECT CASE WHEN p_partkey % 3 = 0 THEN 'empty' ELSE 'note' END, count(*) FROM part GROUP BY 1"),
     "s17_loop_list": (s17, """SELECT CASE WHEN n = 3 THEN 'complete' ELSE 'incomplete' END AS kind, count(*) AS n FROM (SELECT o_orderkey, count(DISTINCT l_linenumber) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <= 3 GROUP BY 1) GROUP BY 1"""),
-    "s19_flowsheet": (s19, """SELECT CASE WHEN s_nationkey % 5 = 0 THEN 'battery limit' ELSE 'n' || s_nationkey END AS source, CASE WHEN s_suppkey % 25 % 5 = 0 THEN 'battery limit' ELSE 'n' || (s_suppkey % 25) END AS dest, count(*) AS streams FROM supplier WHERE s_suppkey < 200 GROUP BY ALL"""),
-    "s20_chain_edges": (s20, "SELECT l_orderkey AS segment, count(*) + 1 AS edges, 1::BIGINT AS ends FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1"),
-    "s21_streams": (s21, None),
-    "s22_owning_unit": (s22, None),
+    "s19_flowsheet": (s19, """SELECT CASE WHEN s_nationkey % 5 = 0 THEN 'battery limit' ELSE 'n' || s_nationkey END AS source, CASE WHEN s_suppkey % 25 % 5 = 0 THEN 'battery limit' ELSE 'n' || (s_suppkey % 25) END AS dest, count(*) AS streams FROM supplier GROUP BY ALL"""),
+    "s20_chain_edges": (s20, "SELECT l_orderkey AS segment, count(*) + 1 AS edges, 1::BIGINT AS ends FROM lineitem GROUP BY 1"),
+    "s21_streams": (s21, """WITH RECURSIVE e AS (SELECT p_partkey // 8 AS line, p_partkey AS a, p_partkey + d AS b FROM part, (VALUES (2), (3)) AS t(d) WHERE p_partkey % 8 < 5 AND (p_partkey + d) // 8 = p_partkey // 8),
+      w AS (SELECT DISTINCT line, a AS start, a AS cur, [a] AS path FROM e WHERE a NOT IN (SELECT b FROM e) UNION ALL SELECT w.line, start, b, list_append(path, b) FROM w JOIN e ON e.a = w.cur),
+      f AS (SELECT line, start, cur AS "end", min(path) AS path FROM w WHERE cur NOT IN (SELECT a FROM e) GROUP BY ALL)
+      SELECT line, start, "end", row_number() OVER (PARTITION BY line ORDER BY start, "end")::INTEGER AS stream, len(path)::INTEGER AS nodes FROM f"""),
+    "s22_owning_unit": (s22, """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey // 1000 AS g, p_partkey % 1000 AS k, p_size % 9 = 0 AS unit FROM part),
+      e AS (SELECT x.id AS a, y.id AS b FROM p x JOIN p y ON x.g = y.g AND y.k = 2 * x.k AND x.k > 0),
+      u AS (SELECT id AS start, id, 0 AS hop FROM p WHERE unit UNION ALL SELECT u.start, e.b, hop + 1 FROM u JOIN e ON e.a = u.id),
+      v AS (SELECT id AS start, id, 0 AS hop FROM p WHERE unit UNION ALL SELECT v.start, e.a, hop + 1 FROM v JOIN e ON e.b = v.id),
+      m AS (SELECT id, arg_min(start, hop::BIGINT * 1000000000 + start) AS start, min(hop) AS hop FROM u GROUP BY id), n AS (SELECT id, arg_min(start, hop::BIGINT * 1000000000 + start) AS start, min(hop) AS hop FROM v GROUP BY id)
+      SELECT p.id, coalesce(m.start, n.start) AS owner, CASE WHEN unit THEN 'itself' WHEN m.start IS NOT NULL THEN 'upstream' WHEN n.start IS NOT NULL THEN 'downstream' ELSE 'none' END AS why, coalesce(m.hop, n.hop)::INTEGER AS hop
+      FROM p LEFT JOIN m USING (id) LEFT JOIN n USING (id)"""),
     "s23_instruments": (s23, """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN (['F', 'T', 'L'])[p_size % 3 + 1] || 'IC-' || p_partkey WHEN 1 THEN 'TT-' || p_partkey ELSE p_brand END AS tag, p_partkey % 3 = 0 AS controls, (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_partkey = p_partkey) AS outputs FROM part"""),
     "t01_replay": (t01, WITH + "SELECT run, tag, CASE WHEN value IS NULL THEN 'bad' ELSE 'good' END AS quality, count(*) AS n FROM readings GROUP BY ALL"),
     "t02_drift_alarms": (t02, "WITH RECURSIVE " + READINGS + DRIFT3),

@@ -5,8 +5,8 @@ readings   events: a run is a group of 15 users, the tag is the event type, and
 keys       part: a symbol of a sheet (40 parts a sheet) with class and box.
 preds      the same boxes moved by a rule; every 11th is missing, every 13th has
            another class, and two tools differ in the rule.
-links      consecutive lines of an order join two parts.
-items      part as equipment items, supplier as units, nation as systems.
+links      each part and the one that follows it in its first order.
+items      part as equipment items, 16 a unit and 40 a sheet.
 """
 
 from __future__ import annotations
@@ -97,20 +97,24 @@ scored AS (SELECT *, CASE WHEN areas - inter > 0 THEN inter / (areas - inter) EL
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected edges between parts of the same group of 200: consecutive lines of an order."""
+    """Undirected edges over all parts: each part and the one that follows it in the first order that has one.
+
+    Like the connections of drawings these are about as many as nodes.
+    """
     from pyspark.sql import Window
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.lead("l_partkey").over(order).alias("other"))
-    near = own.where(F.col("other").isNotNull() & (F.floor(F.col("l_partkey") / 200) == F.floor(F.col("other") / 200)) & (F.col("l_partkey") != F.col("other")))
-    return near.select(F.least("l_partkey", "other").alias("a"), F.greatest("l_partkey", "other").alias("b")).distinct()
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lead("l_partkey").over(order).alias("other"))
+    first = own.where("other is not null and other <> l_partkey").groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "other")).alias("m"))
+    return first.select(F.least("l_partkey", "m.other").alias("a"), F.greatest("l_partkey", "m.other").alias("b")).distinct()
 
 
 LINKS = """
 links AS (
-  SELECT DISTINCT least(l_partkey, other) AS a, greatest(l_partkey, other) AS b
-  FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS other FROM lineitem)
-  WHERE other IS NOT NULL AND l_partkey // 200 = other // 200 AND l_partkey <> other)
+  SELECT DISTINCT least(p, o) AS a, greatest(p, o) AS b
+  FROM (SELECT p, o, row_number() OVER (PARTITION BY p ORDER BY l_orderkey, l_linenumber, l_suppkey, o) AS k
+    FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey AS p, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS o FROM lineitem)
+    WHERE o IS NOT NULL AND o <> p) WHERE k = 1)
 """
 
 
@@ -121,7 +125,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("id"),
         F.concat(F.element_at(F.array(*map(F.lit, ("FIC", "TI", "PSV", "LAHH", "XV"))), (F.col("p_partkey") % 5 + 1).cast("int")), F.lit("-"), (F.col("p_partkey") % 700).cast("string")).alias("tag"),
         F.lower("p_type").alias("kind"),
-        (F.col("p_partkey") % 50).alias("unit"),
+        F.floor(F.col("p_partkey") / 16).cast("long").alias("unit"),
         F.floor(F.col("p_partkey") / 40).cast("long").alias("sheet"),
         F.col("p_size").alias("size"),
         F.col("p_retailprice").alias("price"),
@@ -131,5 +135,5 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 ITEMS = """
 items AS (
   SELECT p_partkey AS id, (['FIC', 'TI', 'PSV', 'LAHH', 'XV'])[p_partkey % 5 + 1] || '-' || (p_partkey % 700) AS tag, lower(p_type) AS kind,
-    p_partkey % 50 AS unit, floor(p_partkey / 40)::BIGINT AS sheet, p_size AS size, p_retailprice AS price FROM part)
+    p_partkey // 16 AS unit, floor(p_partkey / 40)::BIGINT AS sheet, p_size AS size, p_retailprice AS price FROM part)
 """

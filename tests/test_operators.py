@@ -123,7 +123,8 @@ def test_components_hops_and_links(spark):
     blocked = spark.createDataFrame([(2,)], "id long")
     assert {r.id for r in G.hops(start, edges, 3, blocked).collect()} == {1, 2}
     roles = spark.createDataFrame([(1, "scored"), (2, "pass"), (3, "pass"), (4, "scored"), (5, "scored"), (6, "other"), (7, "pass"), (8, "scored")], "id long, role string")
-    assert {(r.a, r.b) for r in G.asset_links(roles, edges).collect()} == {(1, 4)}
+    direct, met = G.asset_links(roles, edges)
+    assert direct.count() == 0 and {tuple(r) for r in met.collect()} == {(2, 1), (2, 4)}
 
 
 def test_contraction_drops_dead_ends(spark):
@@ -254,3 +255,16 @@ def test_row_offset_needs_one_fitting_place(spark):
     assert {(r.merged, r.offset) for r in found.collect()} == {("one", 2)}
     flat = spark.range(50_000).select(F.col("id").alias("row_no"), F.lit("x").alias("v"))
     assert H.row_offset(flat.where("row_no < 100").select(F.lit(1).alias("merged"), "row_no", "v"), flat.withColumn("v", F.when(F.col("row_no") == 70, "y").otherwise(F.col("v"))), ["v"]).count() == 0
+
+
+def test_long_chains_and_hubs_settle(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(1000, 1000 + i) for i in range(1, 300)], "a long, b long")
+    nodes = edges.selectExpr("a as id").union(edges.selectExpr("b as id")).distinct()
+    got = {r.id: r.root for r in G.components(nodes, edges).collect()}
+    assert len(got) == 701 and set(got.values()) == {0, 1000} and got[400] == 0 and got[1299] == 1000
+
+
+def test_owners_are_the_nearest_upstream_units(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 4), (4, 5), (5, 1), (7, 8)], "a long, b long")  # with a loop
+    units = spark.createDataFrame([(1,), (9,)], "id long")
+    assert {(r.id, r.owner, r.hop) for r in G.owners(units, edges).collect()} == {(1, 1, 0), (9, 9, 0), (2, 1, 1), (3, 1, 2), (4, 9, 1), (5, 9, 2)}
