@@ -13,8 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.scratch import written
+
 SERIES = ["run", "tag"]
 KS = (3, 4, 5, 6)
+DRIFT_KS = (10, 12, 15, 20)
 TARGET = 0.005  # largest false-flag rate of the worst tag on held-out rows
 RUN = 3  # flags in a row that make an alarm
 FAST, SLOW = 10, 600  # samples of the two averages
@@ -80,6 +83,11 @@ def k_table(fit: DataFrame, held: DataFrame, ks: tuple[int, ...] = KS) -> DataFr
     sd = F.when(F.col("sd") == 0, F.lit(1e-9)).otherwise(F.col("sd"))
     away = F.abs(F.col("value") - F.col("mean")) / sd
     own = held.join(band_stats(fit).select(*SERIES, "mean", "sd"), SERIES, "left").select("run", "tag", "row_no", F.explode(F.array(*map(F.lit, ks))).alias("k"), F.coalesce(away > F.col("k"), F.lit(False)).alias("flag"))
+    return _rates(own)
+
+
+def _rates(own: DataFrame) -> DataFrame:
+    """Per run and K of ``own(run, tag, row_no, k, flag)`` the worst, mean and any-tag rates; the first tag wins a tie."""
     tags = own.groupBy("run", "k", "tag").agg(F.avg(F.col("flag").cast("int")).alias("rate"))
     rows = own.groupBy("run", "k", "row_no").agg(F.max("flag").alias("any")).groupBy("run", "k").agg(F.avg(F.col("any").cast("int")).alias("any_tag_rate"))
     worst = tags.groupBy("run", "k").agg(F.max("rate").alias("worst_tag_rate"), F.avg("rate").alias("mean_tag_rate"))
@@ -265,58 +273,94 @@ def median3(readings: DataFrame) -> DataFrame:
 CHUNK = 4096
 
 
-def drift_gaps(readings: DataFrame, fast: int = FAST, slow: int = SLOW, chunk: int = CHUNK) -> DataFrame:
-    """Fast average minus the slow baseline one sample earlier (``gap``), and that baseline (``level``).
+EARLY = 1024
+
+
+def _averages(x: np.ndarray, n: np.ndarray, span: int, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """The average before and after each sample: the n-th has weight max(1/span, 1/n).
+
+    The first samples, whose weights fall, are walked; the others, of one
+    weight, are summed a short stretch at a time.
+    """
+    after, early = np.empty(len(x)), int(np.searchsorted(n, max(EARLY, span), side="right"))
+    at = float(start)
+    for i, (v, m) in enumerate(zip(x[:early].tolist(), n[:early].tolist(), strict=True)):
+        at += max(1.0 / span, 1.0 / m) * (v - at)
+        after[i] = at
+    if span == 1:
+        after[early:] = x[early:]
+    else:
+        kept = (1 - 1.0 / span) ** np.arange(1, 65)
+        for i in range(early, len(x), 64):
+            own = kept[: len(x) - i]
+            after[i : i + 64] = own * (at + np.cumsum(x[i : i + 64] / own) / span)
+            at = after[min(i + 64, len(x)) - 1]
+    return np.concatenate([[start], after[:-1]]), after
+
+
+def drift_gaps(readings: DataFrame, fast: int = FAST, slow: int = SLOW, chunk: int = CHUNK, of: str = "value") -> DataFrame:
+    """Fast average of ``of`` minus the slow baseline one sample earlier (``gap``), and that baseline (``level``).
 
     Both averages start as running averages: the n-th good sample has weight
-    max(1/T, 1/n). A step is an affine map of the average, and maps compose,
-    so a long series is cut into chunks: each chunk's map, then the averages
-    at the chunk's start from the maps before it, then a replay of each chunk.
-    Only the table of chunk maps is walked in order.
+    max(1/T, 1/n). Bad samples keep their row, with neither gap nor level, and
+    so does the first good one. A step is an affine map of the average, and
+    maps compose, so a long series is cut into chunks of row numbers: the good
+    samples before each chunk are counted, each chunk's map is made, the
+    averages at its start follow from the maps before it, and it is replayed.
+    Only tables with a row per chunk are walked in order.
     """
-    good = readings.where("value is not null").withColumn("n", F.row_number().over(in_order()))
-    good = good.withColumn("chunk", F.floor((F.col("n") - 1) / chunk).cast("long"))
+    kinds = {f.name: f.dataType.simpleString() for f in readings.schema.fields}
+    head = f"run {kinds['run']}, tag {kinds['tag']}, chunk long"
+    cut = readings.select(*SERIES, "row_no", "value", F.col(of).cast("double").alias("of"), F.floor(F.col("row_no") / chunk).cast("long").alias("chunk"))
+    earlier = Window.partitionBy(*SERIES).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*SERIES, "chunk").agg(F.count("of").alias("goods")).withColumn("before", F.coalesce(F.sum("goods").over(earlier), F.lit(0))).drop("goods")
+    good = cut.where("of is not null").join(counts, [*SERIES, "chunk"])
 
     def maps(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
+        rows = rows.sort_values("row_no")
+        n = rows["before"].iloc[0] + 1.0 + np.arange(len(rows))
         out = {"run": rows["run"].iloc[0], "tag": rows["tag"].iloc[0], "chunk": rows["chunk"].iloc[0]}
         for name, span in (("f", fast), ("s", slow)):
-            w = np.maximum(1.0 / span, 1.0 / rows["n"].to_numpy(float))
-            a, b = 1.0, 0.0
-            for wi, x in zip(w, rows["value"].to_numpy(float), strict=True):
-                a, b = (1 - wi) * a, (1 - wi) * b + wi * x
-            out |= {f"a_{name}": a, f"b_{name}": b}
+            # The map of the whole chunk: what it makes of nought, and how much of a start it keeps.
+            out |= {f"a_{name}": float(np.prod(1 - np.maximum(1.0 / span, 1.0 / n))), f"b_{name}": float(_averages(rows["of"].to_numpy(float), n, span, 0.0)[1][-1])}
         return pd.DataFrame([out])
 
-    kinds = {f.name: f.dataType.simpleString() for f in readings.schema.fields}
-    head = f"run {kinds['run']}, tag {kinds['tag']}, chunk long"
     mapped = good.groupBy(*SERIES, "chunk").applyInPandas(maps, f"{head}, a_f double, b_f double, a_s double, b_s double")
 
     def starts(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk").reset_index(drop=True)
-        at = {"f": 0.0, "s": 0.0}
-        kept = {"f": [], "s": []}
-        for _, r in rows.iterrows():
-            for name in "fs":
-                kept[name].append(at[name])
-                at[name] = r[f"a_{name}"] * at[name] + r[f"b_{name}"]
-        return rows[["run", "tag", "chunk"]].assign(start_f=kept["f"], start_s=kept["s"])
+        rows = rows.sort_values("chunk")
+        out = {}
+        for name in "fs":
+            at, kept = 0.0, []
+            for a, b in zip(rows[f"a_{name}"].tolist(), rows[f"b_{name}"].tolist(), strict=True):
+                kept.append(at)
+                at = a * at + b
+            out[f"start_{name}"] = kept
+        return rows[["run", "tag", "chunk"]].assign(**out)
 
     begun = mapped.groupBy(*SERIES).applyInPandas(starts, f"{head}, start_f double, start_s double")
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n").reset_index(drop=True)
-        f, s = rows["start_f"].iloc[0], rows["start_s"].iloc[0]
-        gaps, levels = [], []
-        for n, x in zip(rows["n"], rows["value"], strict=True):
-            f += max(1.0 / fast, 1.0 / n) * (x - f)
-            gaps.append(f - s if n > 1 else None)
-            levels.append(s if n > 1 else None)
-            s += max(1.0 / slow, 1.0 / n) * (x - s)
-        return rows[["run", "tag", "row_no", "value"]].assign(gap=gaps, level=levels)
+        rows = rows.sort_values("row_no").reset_index(drop=True)
+        x, n = rows["of"].to_numpy(float), rows["before"].iloc[0] + 1.0 + np.arange(len(rows))
+        level = _averages(x, n, slow, rows["start_s"].iloc[0])[0]
+        gap = _averages(x, n, fast, rows["start_f"].iloc[0])[1] - level
+        later = n > 1
+        return rows[["run", "tag", "row_no", "value"]].assign(gap=pd.Series(gap).where(later).astype(object).where(later, None), level=pd.Series(level).where(later).astype(object).where(later, None))
+
+    joined = good.join(begun, [*SERIES, "chunk"])
+    out = joined.groupBy(*SERIES, "chunk").applyInPandas(replay, f"run {kinds['run']}, tag {kinds['tag']}, row_no {kinds['row_no']}, value double, gap double, level double")
+    none = F.lit(None).cast("double")
+    return out.unionByName(cut.where("of is null").select(*SERIES, "row_no", F.col("value").cast("double").alias("value"), none.alias("gap"), none.alias("level")))
+
 
-    joined = good.select(*SERIES, "row_no", "value", "n", "chunk").join(begun, [*SERIES, "chunk"])
-    return joined.groupBy(*SERIES, "chunk").applyInPandas(replay, f"run {kinds['run']}, tag {kinds['tag']}, row_no {kinds['row_no']}, value double, gap double, level double")
+def cyclic_gaps(readings: DataFrame, profile: DataFrame, fast: int = FAST, slow: int = SLOW, chunk: int = CHUNK) -> DataFrame:
+    """The drift gaps of what a time-of-day ``profile`` leaves of the readings, after a median of three.
+
+    ``value`` stays the reading, from which a band's floor is taken.
+    """
+    left = residuals(readings, profile).select(*SERIES, "row_no", F.col("value").alias("reading"), F.col("residual").alias("value"))
+    return drift_gaps(median3(left).select(*SERIES, "row_no", F.col("reading").alias("value"), "median3"), fast, slow, chunk, of="median3")
 
 
 def drift_stats(gaps: DataFrame) -> DataFrame:
@@ -324,10 +368,11 @@ def drift_stats(gaps: DataFrame) -> DataFrame:
     return gaps.groupBy(*SERIES).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.avg("gap").alias("gap_mean"), F.stddev_pop("gap").alias("resid_sd"), F.count("gap").alias("n_gaps")).where("n_gaps > 0").withColumn("floor", FLOOR * F.abs("mean"))
 
 
-def drift_bands(stats: DataFrame, k: float) -> DataFrame:
+def drift_bands(stats: DataFrame, k: Column | float) -> DataFrame:
     """Half-width of a gap band, the wider of K sd and the floor."""
+    k = k if isinstance(k, Column) else F.lit(float(k))
     half = F.greatest(k * F.col("resid_sd"), F.col("floor"))
-    return stats.withColumn("half_width", F.when(half == 0, F.lit(k * 1e-9)).otherwise(half)).withColumn("limited_by", F.when(F.col("floor") >= k * F.col("resid_sd"), "floor").otherwise("spread"))
+    return stats.withColumn("half_width", F.when(half == 0, k * 1e-9).otherwise(half)).withColumn("limited_by", F.when(F.col("floor") >= k * F.col("resid_sd"), "floor").otherwise("spread"))
 
 
 def level_scale(level: Column, mean: Column, least: float = SCALE_MIN) -> Column:
@@ -335,14 +380,44 @@ def level_scale(level: Column, mean: Column, least: float = SCALE_MIN) -> Column
     return F.when(mean == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(least), F.abs(level) / F.abs(mean))))
 
 
-def drift_flags(gaps: DataFrame, band: DataFrame, follow_level: bool = True) -> DataFrame:
-    """Flag where a gap leaves its band, the band scaled by the level it was taken at."""
-    own = band.select(*SERIES, "mean", "gap_mean", "half_width")
+def drift_flags(gaps: DataFrame, band: DataFrame, follow_level: bool = True, k: Column | None = None) -> DataFrame:
+    """Flag where a gap leaves its band, the band scaled by the level it was taken at; with ``k``, bands are made of the statistics ``band`` at each row's K."""
+    own = band.select(*SERIES, "mean", "gap_mean", "half_width") if k is None else band.select(*SERIES, "mean", "gap_mean", "resid_sd", "floor")
     joined = gaps.join(own, SERIES, "left")
+    joined = joined if k is None else drift_bands(joined, k)
     r = level_scale(F.col("level"), F.col("mean")) if follow_level else F.lit(1.0)
     return joined.withColumn("flag", F.coalesce(F.abs(F.col("gap") - F.col("gap_mean") * r) > F.col("half_width") * r, F.lit(False)))
 
 
+def drift_k_table(stats: DataFrame, held: DataFrame, ks: tuple[int, ...] = DRIFT_KS, follow_level: bool = True) -> DataFrame:
+    """Per run and K the worst, mean and any-tag flag rates of the held-out gaps ``held``; all K in one pass."""
+    flagged = drift_flags(held.select(*SERIES, "row_no", "gap", "level", F.explode(F.array(*map(F.lit, ks))).alias("k")), stats, follow_level, k=F.col("k"))
+    return _rates(flagged)
+
+
+def chosen_drift_k(table: DataFrame, target: float = TARGET) -> DataFrame:
+    """The smallest K at which the share of rows with any tag flagged is under the target, else the largest."""
+    met = F.col("any_tag_rate") < target
+    return table.groupBy("run").agg(F.coalesce(F.min(F.when(met, F.col("k"))), F.max("k")).alias("k"), F.coalesce(F.max(met), F.lit(False)).alias("target_met"))
+
+
+def fitted_gaps(readings: DataFrame, method: str, ks: tuple[int, ...] = DRIFT_KS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fit ``method`` (drift or cyclic) on the first half of each series and choose K on the rest.
+
+    The result: the held-out gaps with their flags, the choice of K per run,
+    and the bands. The averages of the held-out part start anew, as those of
+    an export of its own.
+    """
+    parts = split(readings)
+    fit, held = parts.where("part = 'fit'"), parts.where("part = 'held'")
+    profile = written(slot_profile(fit), "profile") if method == "cyclic" else None
+    gaps = (lambda x: drift_gaps(x)) if profile is None else (lambda x: cyclic_gaps(x, profile))
+    stats, later = written(drift_stats(gaps(fit)), "gap-stats"), written(gaps(held), "gaps")
+    choice = written(chosen_drift_k(drift_k_table(stats, later, ks, profile is None)), "choice")
+    band = drift_bands(stats.join(choice, "run"), F.col("k"))
+    return drift_flags(later, band, profile is None), choice, band
+
+
 # ---- several channels at once
 
 

@@ -40,6 +40,23 @@ def a24_choice(spark: SparkSession, d: str) -> DataFrame:
     return S.chosen_k(a24(spark, d))
 
 
+def a24_drift(spark: SparkSession, d: str) -> DataFrame:
+    """The K table of the drift method on held-out halves, at the K values of gap bands and at small ones."""
+    parts = _parts(spark, d)
+    stats, held = S.drift_stats(S.drift_gaps(parts.where("part = 'fit'"))), S.drift_gaps(parts.where("part = 'held'"))
+    return S.drift_k_table(stats, held, (1, 2, 10, 15)).select("run", "k", "worst_tag", *[F.round(c, 6).alias(c) for c in ("worst_tag_rate", "mean_tag_rate", "any_tag_rate")])
+
+
+def a24_drift_choice(spark: SparkSession, d: str) -> DataFrame:
+    return S.fitted_gaps(readings(spark, d), "drift", (2, 3, 4, 5))[1]
+
+
+def w03_cyclic(spark: SparkSession, d: str) -> DataFrame:
+    """The cyclic method end to end: profile, residuals, median of three, gaps, K and flags."""
+    flags, choice, _ = S.fitted_gaps(readings(spark, d), "cyclic", (2, 3, 4, 5))
+    return flags.groupBy("run", "tag").agg(F.count("*").alias("samples"), F.count_if("flag").alias("flagged"), F.round(F.avg("gap"), 6).alias("mean_gap")).join(choice, "run")
+
+
 def w04(spark: SparkSession, d: str) -> DataFrame:
     return S.alarm_runs(_low(spark, d))
 
@@ -173,6 +190,39 @@ dbands AS (SELECT *, CASE WHEN greatest(3 * resid_sd, floor) = 0 THEN 3e-9 ELSE
 """
 SLOT = "floor((hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))) * 48 / 86400)::INTEGER"
 
+#: The gaps of each half of a series, each started anew: of readings (drift), or of residuals after a median of three (cyclic).
+HALVES = WITH + """, {source},
+good AS (SELECT *, row_number() OVER (PARTITION BY run, tag, part ORDER BY row_no) AS n FROM src WHERE x IS NOT NULL),
+walk AS (
+  SELECT run, tag, part, row_no, n, x AS f, x AS s, NULL::DOUBLE AS gap, NULL::DOUBLE AS level FROM good WHERE n = 1
+  UNION ALL
+  SELECT g.run, g.tag, g.part, g.row_no, g.n, w.f + greatest(1.0 / 10, 1.0 / g.n::DOUBLE) * (g.x - w.f), w.s + greatest(1.0 / 600, 1.0 / g.n::DOUBLE) * (g.x - w.s),
+    w.f + greatest(1.0 / 10, 1.0 / g.n::DOUBLE) * (g.x - w.f) - w.s, w.s
+  FROM walk w JOIN good g ON g.run = w.run AND g.tag = w.tag AND g.part = w.part AND g.n = w.n + 1),
+gaps AS (SELECT p.run, p.tag, p.part, p.row_no, p.value, w.gap, w.level FROM parts p LEFT JOIN walk w USING (run, tag, part, row_no)),
+st AS (SELECT run, tag, avg(value) AS mean, avg(gap) AS gap_mean, stddev_pop(gap) AS resid_sd, 0.01 * abs(avg(value)) AS floor FROM gaps WHERE part = 'fit' GROUP BY run, tag HAVING count(gap) > 0),
+own AS (
+  SELECT g.run, g.tag, g.row_no, k, g.gap, coalesce(abs(g.gap - st.gap_mean * r) > r * CASE WHEN greatest(k * resid_sd, floor) = 0 THEN k * 1e-9 ELSE greatest(k * resid_sd, floor) END, false) AS flag
+  FROM (SELECT gaps.*, k FROM gaps, (VALUES {ks}) AS t(k) WHERE part = 'held') g LEFT JOIN (SELECT * FROM st) st USING (run, tag), LATERAL (SELECT {r} AS r)),
+tags AS (SELECT run, k, tag, avg(flag::INT) AS rate FROM own GROUP BY run, k, tag),
+rws AS (SELECT run, k, avg(f::INT) AS any_tag_rate FROM (SELECT run, k, row_no, bool_or(flag) AS f FROM own GROUP BY run, k, row_no) GROUP BY run, k),
+choice AS (SELECT run, coalesce(min(k) FILTER (any_tag_rate < 0.005), max(k)) AS k, bool_or(any_tag_rate < 0.005) AS target_met FROM rws GROUP BY run)
+"""
+BY_LEVEL = "CASE WHEN st.mean = 0 THEN 1.0 ELSE least(1.0, greatest(0.5, abs(g.level) / abs(st.mean))) END"
+READING_HALVES = "src AS (SELECT run, tag, part, row_no, value AS x FROM parts)"
+
+
+def _halves(source: str, ks: str, r: str) -> str:
+    return HALVES.replace("{source}", source).replace("{ks}", ks).replace("{r}", r)
+
+
+RESIDUAL_HALVES = """fitted AS (SELECT * FROM parts WHERE part = 'fit' AND value IS NOT NULL),
+prof AS (SELECT run, tag, avg(value) AS m FROM fitted GROUP BY run, tag),
+slots AS (SELECT run, tag, """ + SLOT + """ AS slot, avg(value) AS sm FROM fitted GROUP BY ALL HAVING count(*) >= 3),
+res AS (SELECT p.run, p.tag, p.part, p.row_no, p.value - coalesce(s.sm, f.m) AS v FROM (SELECT *, """ + SLOT + """ AS slot FROM parts) p LEFT JOIN prof f USING (run, tag) LEFT JOIN slots s ON s.run = p.run AND s.tag = p.tag AND s.slot = p.slot),
+src AS (SELECT run, tag, part, row_no, CASE WHEN b IS NULL THEN v ELSE list_sort([v, a, b])[2] END AS x
+  FROM (SELECT *, lag(v) OVER w AS a, lag(v, 2) OVER w AS b FROM res WHERE v IS NOT NULL WINDOW w AS (PARTITION BY run, tag, part ORDER BY row_no)))"""
+
 QUERIES = {
     "p14_band_predicate": (p14, WITH + "SELECT run, tag, row_no, value, flag FROM flags"),
     "a23_band_fit": (a23, WITH + "SELECT run, tag, mean, sd, lo, hi, fit_good, fit_bad FROM bands"),
@@ -186,6 +236,11 @@ QUERIES = {
         FROM parts p LEFT JOIN stats s USING (run, tag), (VALUES (3), (4), (5), (6)) AS ks(k) WHERE p.part = 'held' GROUP BY p.run, p.tag, k),
       w AS (SELECT run, k, max(rate) AS worst FROM own GROUP BY run, k)
       SELECT run, coalesce(min(k) FILTER (worst < 0.005), max(k)) AS k, bool_or(worst < 0.005) AS target_met FROM w GROUP BY run"""),
+    "a24_drift_k_table": (a24_drift, _halves(READING_HALVES, "(1), (2), (10), (15)", BY_LEVEL) + """SELECT run, k, min(tag) FILTER (rate = m) AS worst_tag, round(max(rate), 6) AS worst_tag_rate, round(avg(rate), 6) AS mean_tag_rate, round(any_value(any_tag_rate), 6) AS any_tag_rate
+      FROM (SELECT *, max(rate) OVER (PARTITION BY run, k) AS m FROM tags) JOIN rws USING (run, k) GROUP BY run, k"""),
+    "a24_drift_choice": (a24_drift_choice, _halves(READING_HALVES, "(2), (3), (4), (5)", BY_LEVEL) + "SELECT run, k, target_met FROM choice"),
+    "w03_cyclic_flags": (w03_cyclic, _halves(RESIDUAL_HALVES, "(2), (3), (4), (5)", "1.0") + """SELECT run, tag, any_value(c.k) AS k, any_value(c.target_met) AS target_met, count(*) AS samples, count(*) FILTER (flag) AS flagged, round(avg(gap), 6) AS mean_gap
+      FROM own JOIN choice c USING (run, k) GROUP BY run, tag"""),
     "w04_alarm_runs": (w04, WITH + """SELECT run, tag, min(row_no) AS first_row, max(row_no) AS last_row, count(*) AS samples
       FROM (SELECT *, row_no - row_number() OVER (PARTITION BY run, tag ORDER BY row_no) AS island FROM low WHERE flag) GROUP BY run, tag, island HAVING count(*) >= 3"""),
     "w05_state_spells": (w05, WITH + """, s AS (SELECT run, tag, row_no, CASE WHEN value >= 50 THEN 'high' WHEN value IS NOT NULL THEN 'low' END AS state FROM readings),
@@ -240,12 +295,12 @@ QUERIES = {
       j AS (SELECT run, samples, flagged, coalesce(events, 0) AS events, samples * 180.0 / 3600 AS hours FROM r LEFT JOIN e USING (run))
       SELECT run, samples, flagged, events, flagged / samples AS flag_rate, events / (hours / 24) AS events_per_day,
         CASE WHEN flagged = 0 THEN 3.0 / samples ELSE flagged / samples END::DOUBLE AS rate_bound, events / hours * 40 AS events_40h FROM j"""),
-    "w01_drift_gaps": (w01, DRIFT + "SELECT run, tag, row_no, round(gap, 6) AS gap, round(level, 6) AS level FROM walk"),
+    "w01_drift_gaps": (w01, DRIFT + "SELECT run, tag, row_no, round(gap, 6) AS gap, round(level, 6) AS level FROM walk UNION ALL SELECT run, tag, row_no, NULL, NULL FROM readings WHERE value IS NULL"),
     "w02_median3": (w02, WITH + """, g AS (SELECT run, tag, row_no, value, lag(value) OVER w AS a, lag(value, 2) OVER w AS b FROM readings WHERE value IS NOT NULL WINDOW w AS (PARTITION BY run, tag ORDER BY row_no))
       SELECT run, tag, row_no, CASE WHEN b IS NULL THEN value ELSE list_sort([value, a, b])[2] END AS median3 FROM g
       UNION ALL SELECT run, tag, row_no, NULL FROM readings WHERE value IS NULL"""),
-    "w03_level_bands": (w03, DRIFT + """SELECT run, tag, count(*) FILTER (abs(gap - gap_mean * r) > half_width * r) AS flagged, count(*) AS samples
-      FROM (SELECT w.*, b.gap_mean, b.half_width, CASE WHEN b.mean = 0 THEN 1.0 ELSE least(1.0, greatest(0.5, abs(level) / abs(b.mean))) END AS r FROM walk w LEFT JOIN dbands b USING (run, tag)) GROUP BY run, tag"""),
+    "w03_level_bands": (w03, DRIFT + """SELECT run, tag, count(*) FILTER (abs(gap - gap_mean * r) > half_width * r) AS flagged, count(*) + (SELECT count(*) FROM readings x WHERE x.run = y.run AND x.tag = y.tag AND value IS NULL) AS samples
+      FROM (SELECT w.*, b.gap_mean, b.half_width, CASE WHEN b.mean = 0 THEN 1.0 ELSE least(1.0, greatest(0.5, abs(level) / abs(b.mean))) END AS r FROM walk w LEFT JOIN dbands b USING (run, tag)) y GROUP BY run, tag"""),
     "a23_drift_bands": (a23_drift, DRIFT + "SELECT run, tag, round(gap_mean, 6) AS gap_mean, round(resid_sd, 6) AS resid_sd, round(half_width, 6) AS half_width, limited_by FROM dbands"),
     "a28_hotelling": (a28, None),
     "k05_wide_rows": (k05, WITH + """SELECT run, row_no, any_value(value) FILTER (tag = 'click') AS click, any_value(value) FILTER (tag = 'error') AS error, any_value(value) FILTER (tag = 'purchase') AS purchase,
