@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.scratch import written
+
 # ---- mapping
 
 
@@ -24,6 +26,75 @@ def map_points(rows: DataFrame, items: DataFrame, key: str) -> DataFrame:
     return mapped.unionByName(left)
 
 
+def plan_mapping(rows: DataFrame, items: DataFrame, sheets: list | None = None) -> DataFrame:
+    """``(row, asset, how, outcome)`` of a point list ``(row, tag, asset_id, server, base_path, point)`` against ``items(id, tag, sheet, rejected, placeholder)``.
+
+    A pinned asset_id never falls back to the tag. Tags meet in their mapping
+    spelling; placeholders and rejected items hold none. Items of the sheets
+    in question that no row maps are not in the list.
+    """
+    from millrace.functions.text import tag_map
+
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    active = items.where(~F.col("rejected"))
+    by_tag = active.where(~F.col("placeholder") & ~blank("tag")).groupBy(tag_map(F.col("tag")).alias("_key")).agg(F.count("*").alias("_n"), F.min("id").alias("_one"))
+    by_id = active.select(F.col("id").alias("_pinned"), F.col("id").cast("string").alias("_pin"))
+    asked = rows.withColumn("_p", F.when(~blank("asset_id"), F.trim("asset_id"))).withColumn("_k", F.when(F.col("_p").isNull() & ~blank("tag"), tag_map(F.col("tag"))))
+    met = asked.join(by_id, F.col("_p") == F.col("_pin"), "left").join(by_tag, F.col("_k") == F.col("_key"), "left")
+    target = F.coalesce("_pinned", F.when(F.col("_n") == 1, F.col("_one")))
+    placed = met.withColumn("asset", target).join(items.select(F.col("id").alias("asset"), F.col("sheet").alias("_sheet")), "asset", "left")
+    outside = ~F.col("_sheet").isin(sheets) if sheets is not None else F.lit(False)
+    first = (
+        F.when(F.col("_p").isNull() & F.col("_k").isNull(), "refused: tag or asset id is needed")
+        .when(blank("server") | blank("base_path") | blank("point"), "refused: address is blank")
+        .when(F.col("_p").isNotNull() & F.col("_pinned").isNull(), "refused: unknown or rejected asset id")
+        .when(F.col("_p").isNull() & F.col("_n").isNull(), "not on drawing")
+        .when(F.col("_p").isNull() & (F.col("_n") > 1), "ambiguous")
+        .when(outside, "refused: outside the sheets")
+        .otherwise("mapped")
+    )
+    told = placed.withColumn("_o", first)
+    again = F.row_number().over(Window.partitionBy("_o", F.when(F.col("_o") == "mapped", F.col("asset")).otherwise(F.col("row"))).orderBy("row")) > 1
+    done = told.select("row", F.when(F.col("_o") == "mapped", F.col("asset")).alias("asset"), F.when(F.col("_p").isNotNull(), "asset id").otherwise("tag").alias("how"), F.when((F.col("_o") == "mapped") & again, "refused: target given twice").otherwise(F.col("_o")).alias("outcome"))
+    done = done.withColumn("asset", F.when(F.col("outcome") == "mapped", F.col("asset")))
+    scope = active if sheets is None else active.where(F.col("sheet").isin(sheets))
+    rest = scope.join(done.where("asset is not null").select(F.col("asset").alias("id")), "id", "left_anti")
+    return done.unionByName(rest.select(F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.col("id").alias("asset"), F.lit(None).cast("string").alias("how"), F.lit("not in list").alias("outcome")))
+
+
+def mapping_applies(plan: DataFrame, replace_all: bool = False) -> bool:
+    """Whether a plan may be applied: never with a refused row, and as a full replacement only if every row resolves."""
+    stops = F.col("outcome").startswith("refused")
+    return plan.where(stops | F.col("outcome").isin("ambiguous", "not on drawing") if replace_all else stops).isEmpty()
+
+
+def mapped_items(items: DataFrame, rows: DataFrame, plan: DataFrame, sheets: list | None = None, replace_all: bool = False) -> DataFrame:
+    """``items`` with ``data_point`` as the plan has it; unchanged where it does not apply. A full replacement drops the points of other items in its sheets."""
+    if not mapping_applies(plan, replace_all):
+        return items
+    given = plan.where("outcome = 'mapped'").join(rows, "row").select(F.col("asset").alias("_a"), F.struct("server", "base_path", "point").alias("_point"))
+    joined = items.join(given, F.col("id") == F.col("_a"), "left")
+    inside = F.lit(True) if sheets is None else F.col("sheet").isin(sheets)
+    kept = F.when(inside & ~F.col("rejected"), F.lit(None)).otherwise(F.col("data_point")) if replace_all else F.col("data_point")
+    return joined.withColumn("data_point", F.coalesce("_point", kept)).drop("_a", "_point")
+
+
+def checked_streams(streams: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``(id, result, fix)`` of ``streams(id, number, a, b)`` against the segments ``allowed(number, a, b)`` of their number.
+
+    Confirmed as drawn; corrected by turning it round, or by the one segment
+    that shares an end with it; else unresolvable.
+    """
+    seg = allowed.select(F.col("number").alias("_n"), F.col("a").alias("_a"), F.col("b").alias("_b")).distinct()
+    j = streams.join(seg, F.col("number") == F.col("_n"), "left")
+    same, turned = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), (F.col("a") == F.col("_b")) & (F.col("b") == F.col("_a"))
+    fits = (F.col("a") == F.col("_a")) | (F.col("b") == F.col("_b"))
+    one = F.when(F.col("a") != F.col("_a"), F.concat(F.lit("from "), "_a")).otherwise(F.concat(F.lit("to "), "_b"))
+    per = j.groupBy("id").agg(F.max(F.coalesce(same, F.lit(False))).alias("same"), F.max(F.coalesce(turned, F.lit(False))).alias("turned"), F.count_if(fits).alias("fits"), F.max(F.when(fits, one)).alias("one"))
+    result = F.when(F.col("same"), "confirmed").when(F.col("turned") | (F.col("fits") == 1), "corrected").otherwise("unresolvable")
+    return per.select("id", result.alias("result"), F.when(~F.col("same"), F.when(F.col("turned"), "reversed").when(F.col("fits") == 1, F.col("one"))).alias("fix"))
+
+
 def changes(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """Ids added, removed and changed between two snapshots."""
     b = before.select(key, F.col(value).alias("before"), F.lit(True).alias("_b"))
@@ -142,28 +213,24 @@ def requests(subjects: DataFrame, fields: list[str]) -> DataFrame:
 # ---- claims
 
 
-def flattened(records: DataFrame, owner: str, json: str, depth: int = 6) -> DataFrame:
+def flattened(records: DataFrame, owner: str, json: str) -> DataFrame:
     """Every scalar of a nested JSON record as ``(owner, name, value)``; dotted names, list places in brackets.
 
-    Levels are exploded one by one to a stated depth; a value deeper than that
-    is kept as JSON under its name.
+    Levels are exploded one by one until none is left, each from a written table.
     """
-    level = records.select(F.col(owner).alias("owner"), F.lit("").alias("name"), F.parse_json(F.col(json)).alias("v"))
+    level = written(records.select(F.col(owner).alias("owner"), F.lit("").alias("name"), F.parse_json(F.col(json)).alias("v")), "level")
     done: DataFrame | None = None
-    for d in range(depth):
+    while True:
         kind = F.schema_of_variant("v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        flat = level.where(~nested if d + 1 < depth else F.lit(True)).select("owner", "name", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value"))
+        flat = level.where(~nested).select("owner", "name", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value"))
         done = flat if done is None else done.unionByName(flat)
-        if d + 1 == depth:
-            break
-        level.createOrReplaceTempView("millrace_level")
-        deeper = level.sparkSession.sql(
-            "SELECT owner, CASE WHEN e.key IS NULL THEN concat(name, '[', e.pos, ']') WHEN name = '' THEN e.key ELSE concat(name, '.', e.key) END AS name, e.value AS v"
-            " FROM millrace_level, LATERAL variant_explode(v) AS e"
-        )
-        level = deeper
-    return done
+        below = level.where(nested)
+        if below.isEmpty():
+            return done
+        parts = below.lateralJoin(below.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        name = F.when(F.col("key").isNull(), F.concat("name", F.lit("["), "pos", F.lit("]"))).when(F.col("name") == "", F.col("key")).otherwise(F.concat("name", F.lit("."), "key"))
+        level = written(parts.select("owner", name.alias("name"), F.col("value").alias("v")), "level")
 
 
 def status_of(*candidates: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import graphs as G
 from millrace.operators import records as R
+from millrace.operators import rules as Q
 from millrace.plans.standins import ITEMS, LINKS, items, links, table
 
 I_ = "WITH " + ITEMS
@@ -221,6 +224,68 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
     return R.screen(items(spark, d), CATALOG)
 
 
+KINDS = ("controller", "instrument", "valve", "interlock", "equipment")
+
+
+def plant(spark: SparkSession, d: str) -> Q.Model:
+    """Parts as a plant: five parts are a unit with its controller, instrument, valve, interlock and equipment; ten are on a stream."""
+    k, p = F.col("p_partkey"), table(spark, d, "part")
+    tag = F.concat(F.element_at(F.array(*map(F.lit, ("FIC", "TI", "PSV", "LAHH", "K"))), (k % 5 + 1).cast("int")), F.lit("-"), k)
+    equipment = p.where("p_partkey % 5 = 4").select(k.alias("e"))
+    unit = F.when((k % 5 != 4) & (k % 17 != 0), k - k % 5 + 4)
+    read = F.when((k % 5 == 0) & (k % 4 != 0), F.concat(F.lit("TI "), k + 1)).when((k % 5 == 3) & (k % 3 == 0), F.concat(F.lit("ti_"), k - 2))
+    writes = F.when((k % 5 == 0) & (k % 3 != 0), F.array(F.concat(F.lit("psv"), k + 2)))
+    own = p.select(k.alias("id"), F.element_at(F.array(*map(F.lit, KINDS)), (k % 5 + 1).cast("int")).alias("kind"), tag.alias("tag"), unit.alias("u"), F.floor(k / 10).cast("long").alias("stream"), F.floor(k / 40).cast("long").alias("sheet"), F.col("p_name").alias("text"), read.alias("measurement"), writes.alias("outputs"))
+    placed = own.join(equipment, F.col("u") == F.col("e"), "left").withColumnRenamed("e", "unit").drop("u")
+    streams = equipment.where("e % 10 = 4").join(equipment.select((F.col("e") - 5).alias("e"), F.col("e").alias("dst")), "e").select(F.floor(F.col("e") / 10).cast("long").alias("stream"), F.col("e").alias("src"), "dst")
+    return Q.Model(placed, streams, links(spark, d), {"hot": "hot", "colour": "red|blue", "size": "small|large"})
+
+
+def j13_relations(spark: SparkSession, d: str) -> DataFrame:
+    """How many instruments and valves have a partner by each relation, and how many pairs they make."""
+    m = plant(spark, d)
+    anchors = m.items.where("kind in ('instrument', 'valve')")
+    named = [Q.pairs(m, anchors, m.items, r).agg(F.count_distinct("anchor").alias("anchors"), F.count("*").alias("pairs")).select(F.lit(r).alias("relation"), "anchors", "pairs") for r in ("same_stream", "same_unit", "same_unit_same_medium", "drives", "reads", "linked", "discharge_side")]
+    some = [Q.having(m, anchors, {"relation": r, "select": {"kind": ["valve"], "text": "^hot ring"}}).agg(F.count("*").alias("anchors")).select(F.lit(r).alias("relation"), "anchors", F.lit(None).cast("long").alias("pairs")) for r in ("anywhere", "other_unit")]
+    return reduce(DataFrame.unionByName, named + some)
+
+
+RULES = [
+    {
+        "id": "r1", "anchor": {"kind": ["valve"], "text": "hot"}, "group_by": "unit", "unit_not_text": "bolt|rod",
+        "with": [{"relation": "drives", "select": {"kind": ["controller"]}}], "without": [{"relation": "same_unit", "select": {"kind": ["interlock"], "text": "small"}}],
+        "also_show": [{"relation": "same_stream", "select": {"kind": ["instrument"]}}],
+    },
+    {
+        "id": "r2", "anchor": {"kind": ["instrument"]}, "group_by": "model", "needs_model": ["interlock"], "min_anchors": 2,
+        "with": [{"relation": "reads", "select": {}}, {"relation": "other_unit", "select": {"kind": ["interlock"], "text": "^hot ring"}}],
+    },
+    {"id": "r3", "anchor": {"kind": ["equipment"]}, "needs_model": ["boiler"]},
+]
+
+
+def j14_rules(spark: SparkSession, d: str) -> DataFrame:
+    return Q.run_all(plant(spark, d), RULES)
+
+
+def j02_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as rows of a point list: by pinned id or tag, some without address, some for one target twice; items of every seventh part are rejected."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    rows = o.select(k.alias("row"), F.concat(F.lit("fic "), k * 5 % 4000).alias("tag"), F.when(k % 3 == 0, (k % 1200).cast("string")).otherwise(" ").alias("asset_id"), F.when(k % 11 != 0, "srv").alias("server"), F.lit("base").alias("base_path"), F.concat(F.lit("p"), k).alias("point"))
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("FIC-"), F.col("p_partkey") - F.col("p_partkey") % 10).alias("tag"), F.floor(F.col("p_partkey") / 40).cast("long").alias("sheet"), (F.col("p_partkey") % 7 == 0).alias("rejected"), (F.col("p_partkey") % 10 != 5).alias("placeholder"))
+    plan = R.plan_mapping(rows, own)
+    return plan.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("asset").alias("assets"))
+
+
+def j25_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Streams with one end or both swapped or wrong against the allowed segments of their number."""
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    allowed = s.select((k % 400).alias("number"), (k % 40).alias("a"), (k % 40 + 1).alias("b")).unionByName(s.where("s_suppkey % 5 = 0").select((k % 400).alias("number"), (k % 40).alias("a"), (k % 40 + 2).alias("b"))).distinct()
+    a, b = k % 40, k % 40 + 1
+    drawn = s.select(k.alias("id"), (k % 400 + F.when(k % 29 == 3, 1000).otherwise(0)).alias("number"), F.when(k % 7 == 1, b).when(k % 7 == 2, a + 50).when(k % 7 == 4, a + 60).otherwise(a).alias("a"), F.when(k % 7 == 1, a).when(k % 7 == 3, b + 50).when(k % 7 == 4, b + 60).otherwise(b).alias("b"))
+    return R.checked_streams(drawn, allowed).groupBy("result", "fix").agg(F.count("*").alias("n"))
+
+
 def j15(spark: SparkSession, d: str) -> DataFrame:
     own = items(spark, d).select(F.col("sheet").alias("place"), F.when(F.col("size") % 5 != 0, F.col("kind")).alias("service"), F.when(F.col("size") % 3 == 0, F.lit("-")).otherwise(F.col("tag")).alias("rating"), F.col("tag").alias("label"))
     return R.requests(own, ["service", "rating", "label"])
@@ -597,6 +662,15 @@ def s18(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.sha2(F.regexp_replace("html", "\r\n", "\n").cast("binary"), 256).alias("hash"), F.octet_length("html").alias("bytes"))
 
 
+PLANT = """WITH m AS (
+  SELECT p_partkey AS id, p_partkey % 5 AS k, (['FIC', 'TI', 'PSV', 'LAHH', 'K'])[p_partkey % 5 + 1] || '-' || p_partkey AS tag, (['FIC', 'TI', 'PSV', 'LAHH', 'K'])[p_partkey % 5 + 1] || p_partkey AS key, p_name AS text,
+    CASE WHEN p_partkey % 5 <> 4 AND p_partkey % 17 <> 0 AND p_partkey - p_partkey % 5 + 4 IN (SELECT p_partkey FROM part) THEN p_partkey - p_partkey % 5 + 4 END AS unit, p_partkey // 10 AS stream,
+    list_filter([CASE WHEN contains(p_name, 'hot') THEN 'hot' END, CASE WHEN regexp_matches(p_name, 'red|blue') THEN 'colour' END, CASE WHEN regexp_matches(p_name, 'small|large') THEN 'size' END], lambda x: x IS NOT NULL) AS media,
+    CASE WHEN p_partkey % 5 = 0 AND p_partkey % 3 <> 0 THEN 'PSV' || (p_partkey + 2) END AS outputs,
+    CASE WHEN p_partkey % 5 = 0 AND p_partkey % 4 <> 0 THEN 'TI' || (p_partkey + 1) WHEN p_partkey % 5 = 3 AND p_partkey % 3 = 0 THEN 'TI' || (p_partkey - 2) END AS reads
+  FROM part),
+e AS (SELECT x.id // 10 AS stream, x.id AS src, y.id AS dst FROM m x JOIN m y ON y.id = x.id + 5 WHERE x.id % 10 = 4),
+a AS (SELECT * FROM m WHERE k IN (1, 2))"""
 _E = "b.{0} = a.{0} AND b.id <> a.id"
 QUERIES = {
     "p01_tag_spellings": (p01, """WITH t AS (SELECT s_suppkey AS id, ' ' || substr(s_name, 1, 3) || '_-/ .' || substr(s_name, 10, 9) AS t FROM supplier)
@@ -646,6 +720,42 @@ QUERIES = {
     "j14_rule_questions": (j14, I_ + f"""SELECT 'q1' AS question, sheet::VARCHAR AS place, count(*) AS anchors, min(tag) AS first_tag FROM items a WHERE tag LIKE 'PSV%' AND EXISTS (SELECT 1 FROM items b WHERE {_E.format('sheet')} AND b.tag LIKE 'FIC%')
         AND NOT EXISTS (SELECT 1 FROM items b WHERE {_E.format('sheet')} AND b.tag LIKE 'LAHH%' AND b.size >= 30) GROUP BY sheet
       UNION ALL SELECT 'q2', unit::VARCHAR, count(*), min(tag) FROM items a WHERE tag LIKE 'TI%' AND price >= 905 AND EXISTS (SELECT 1 FROM items b WHERE {_E.format('unit')} AND b.tag LIKE 'TI%' AND b.size <= 5) GROUP BY unit HAVING count(*) >= 2"""),
+    "j13_relation_kinds": (j13_relations, PLANT + """, q AS (
+        SELECT 'same_stream' AS relation, a.id AS anchor, c.id FROM a JOIN m c ON c.stream = a.stream
+        UNION SELECT 'same_unit', a.id, c.id FROM a JOIN m c ON c.unit = a.unit OR c.id = a.unit
+        UNION SELECT 'same_unit_same_medium', a.id, c.id FROM a JOIN m c ON (c.unit = a.unit OR (a.unit IS NOT NULL AND c.stream = a.stream)) AND list_has_any(a.media, c.media)
+        UNION SELECT 'drives', a.id, c.id FROM a JOIN m c ON c.outputs = a.key
+        UNION SELECT 'reads', a.id, c.id FROM a JOIN m c ON c.reads = a.key
+        UNION SELECT 'linked', a.id, c.id FROM a JOIN e ON a.unit IN (e.src, e.dst) JOIN m c ON (c.k <> 4 AND c.stream = e.stream) OR (c.k = 4 AND c.id IN (e.src, e.dst) AND c.id <> a.unit)
+        UNION SELECT 'discharge_side', a.id, c.id FROM a JOIN e ON a.unit = e.src JOIN m c ON c.stream = e.stream),
+      h AS (SELECT * FROM m WHERE k = 2 AND text LIKE 'hot ring%')
+      SELECT relation, count(DISTINCT anchor) AS anchors, count(*) AS pairs FROM q WHERE anchor <> id GROUP BY relation
+      UNION ALL SELECT 'anywhere', count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.id <> a.id)), NULL FROM a
+      UNION ALL SELECT 'other_unit', count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.id <> a.id AND h.unit <> a.unit)), NULL FROM a"""),
+    "j14_rules": (j14_rules, PLANT + """, v AS (
+        SELECT *, coalesce(unit, id) AS place FROM a WHERE k = 2 AND contains(text, 'hot') AND EXISTS (SELECT 1 FROM m c WHERE c.outputs = a.key) AND NOT EXISTS (SELECT 1 FROM m c WHERE c.k = 3 AND c.unit = a.unit AND contains(c.text, 'small'))),
+      r AS (SELECT v.*, CASE WHEN unit IS NOT NULL THEN (SELECT regexp_matches(x.text, 'bolt|rod') FROM m x WHERE x.id = v.unit)
+        ELSE coalesce((SELECT bool_and(regexp_matches(x.text, 'bolt|rod')) FROM e JOIN m x ON x.id IN (e.src, e.dst) WHERE e.stream = v.stream), false) END AS gone FROM v),
+      w AS (SELECT * FROM r WHERE place NOT IN (SELECT place FROM r GROUP BY place HAVING bool_and(gone))),
+      i AS (SELECT a.* FROM a WHERE k = 1 AND EXISTS (SELECT 1 FROM m c WHERE c.reads = a.key) AND EXISTS (SELECT 1 FROM m h WHERE h.k = 3 AND h.text LIKE 'hot ring%' AND h.unit <> a.unit))
+      SELECT 'r1' AS question, place::VARCHAR AS place, count(*) AS anchors, min(tag) AS first_tag, (SELECT count(DISTINCT c.id) FROM w x JOIN m c ON c.stream = x.stream AND c.k = 1 WHERE x.place = w.place)::BIGINT AS shown FROM w GROUP BY place
+      UNION ALL SELECT 'r2', NULL, count(*), min(tag), 0 FROM i HAVING count(*) >= 2"""),
+    "j02_mapping_plan": (j02_plan, """WITH i AS (SELECT p_partkey AS id, regexp_replace('FIC-' || (p_partkey - p_partkey % 10), '[\\s_\\-./]', '', 'g') AS key, p_partkey % 10 = 5 AS tagged FROM part WHERE p_partkey % 7 <> 0),
+      t AS (SELECT key, count(*) AS n, min(id) AS id FROM i WHERE tagged GROUP BY key),
+      r AS (SELECT o_orderkey AS row, 'FIC' || (o_orderkey * 5 % 4000) AS key, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 1200 END AS pin, o_orderkey % 11 <> 0 AS addressed FROM orders),
+      j AS (SELECT r.*, i.id AS pinned, t.n, t.id AS by_tag FROM r LEFT JOIN i ON i.id = r.pin LEFT JOIN t ON t.key = r.key),
+      f AS (SELECT *, CASE WHEN NOT addressed THEN 'refused: address is blank' WHEN pin IS NOT NULL AND pinned IS NULL THEN 'refused: unknown or rejected asset id' WHEN pin IS NULL AND n IS NULL THEN 'not on drawing' WHEN pin IS NULL AND n > 1 THEN 'ambiguous' ELSE 'mapped' END AS o,
+        CASE WHEN pin IS NOT NULL THEN pinned WHEN n = 1 THEN by_tag END AS asset FROM j),
+      x AS (SELECT *, CASE WHEN o = 'mapped' AND row_number() OVER (PARTITION BY o, asset ORDER BY row) > 1 THEN 'refused: target given twice' ELSE o END AS outcome FROM f)
+      SELECT outcome, count(*) AS n, sum(CASE WHEN outcome = 'mapped' THEN asset END)::BIGINT AS assets FROM x GROUP BY outcome
+      UNION ALL SELECT 'not in list', count(*), sum(id)::BIGINT FROM i WHERE id NOT IN (SELECT asset FROM x WHERE outcome = 'mapped') HAVING count(*) > 0"""),
+    "j25_topology_repair": (j25_repair, """WITH al AS (SELECT DISTINCT s_suppkey % 400 AS number, s_suppkey % 40 AS a, s_suppkey % 40 + 1 AS b FROM supplier UNION SELECT s_suppkey % 400, s_suppkey % 40, s_suppkey % 40 + 2 FROM supplier WHERE s_suppkey % 5 = 0),
+      s AS (SELECT s_suppkey AS id, s_suppkey % 400 + CASE WHEN s_suppkey % 29 = 3 THEN 1000 ELSE 0 END AS number, s_suppkey % 40 AS x, s_suppkey % 40 + 1 AS y, s_suppkey % 7 AS h FROM supplier),
+      d AS (SELECT id, number, CASE h WHEN 1 THEN y WHEN 2 THEN x + 50 WHEN 4 THEN x + 60 ELSE x END AS a, CASE h WHEN 1 THEN x WHEN 3 THEN y + 50 WHEN 4 THEN y + 60 ELSE y END AS b FROM s),
+      c AS (SELECT d.*, (SELECT count(*) FROM al WHERE al.number = d.number AND al.a = d.a AND al.b = d.b) AS same, (SELECT count(*) FROM al WHERE al.number = d.number AND al.a = d.b AND al.b = d.a) AS turned,
+        (SELECT count(*) FROM al WHERE al.number = d.number AND (al.a = d.a OR al.b = d.b)) AS fits,
+        (SELECT max(CASE WHEN al.a <> d.a THEN 'from ' || al.a ELSE 'to ' || al.b END) FROM al WHERE al.number = d.number AND (al.a = d.a OR al.b = d.b)) AS one FROM d)
+      SELECT result, fix, count(*) AS n FROM (SELECT CASE WHEN same > 0 THEN 'confirmed' WHEN turned > 0 OR fits = 1 THEN 'corrected' ELSE 'unresolvable' END AS result, CASE WHEN same > 0 THEN NULL WHEN turned > 0 THEN 'reversed' WHEN fits = 1 THEN one END AS fix FROM c) GROUP BY ALL"""),
     "j15_data_requests": (j15, I_ + """SELECT * FROM (SELECT sheet AS place, 'service' AS field, count(*) AS subjects, count(*) FILTER (size % 5 = 0) AS still_needed FROM items GROUP BY sheet
       UNION ALL SELECT sheet, 'rating', count(*), count(*) FILTER (size % 3 = 0) FROM items GROUP BY sheet) WHERE still_needed > 0"""),
     "j16_integrity": (j16, """SELECT 'duplicate line' AS "check", l_orderkey || '-' || l_linenumber AS id FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1

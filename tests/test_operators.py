@@ -297,3 +297,76 @@ def test_cyclic_method_finds_a_step_that_the_daily_swing_hides(spark):
     assert hit and min(hit) >= 260
     level = B.band_flags(own, B.bands(B.band_stats(own.where("row_no < 144")), 3.0))
     assert level.where("flag").isEmpty()
+
+
+def test_nested_records_of_any_depth(spark):
+    deep = "1"
+    for i in range(12):
+        deep = '{"k": [' + deep + ', null]}' if i % 2 else "[" + deep + "]"
+    rows = spark.createDataFrame([("x", deep), ("y", '{"a": {}, "b": "t"}'), ("z", None)], "owner string, j string")
+    got = {(r.owner, r.name.count("k"), r.value) for r in R.flattened(rows, "owner", "j").collect() if r.value is not None}
+    assert ("x", 6, "1") in got and ("y", 0, "t") in got
+
+
+def mapping_case(spark):
+    items = spark.createDataFrame(
+        [(1, "FT-1", "a", False, False, None), (2, "FT 2", "a", False, False, ("old", "b", "p")), (3, "FT2", "b", False, False, None), (4, "LT-4", "b", True, False, None), (5, "PT-5", "b", False, True, None), (6, "PT-6", "b", False, False, ("old", "b", "q"))],
+        "id long, tag string, sheet string, rejected boolean, placeholder boolean, data_point struct<server:string,base_path:string,point:string>",
+    )
+    rows = [(1, "ft_1", None, "s", "b", "p1"), (2, "FT-2", "", "s", "b", "p2"), (3, "x", " 3 ", "s", "b", "p3"), (4, "LT-4", None, "s", "b", "p4")]
+    bad = [(5, None, " ", "s", "b", "p"), (6, "FT-1", None, "s", " ", "p"), (7, "FT-1", "9", "s", "b", "p"), (8, "x", "4", "s", "b", "p"), (9, "zz", "3", "s", "b", "p")]
+    table = lambda r: spark.createDataFrame(r, "row long, tag string, asset_id string, server string, base_path string, point string")
+    return items, table(rows), table(rows + bad)
+
+
+def test_mapping_plans_and_refusals(spark):
+    items, rows, with_bad = mapping_case(spark)
+    plan = R.plan_mapping(rows, items)
+    assert {(r.row, r.asset, r.outcome) for r in plan.collect()} == {(1, 1, "mapped"), (2, None, "ambiguous"), (3, 3, "mapped"), (4, None, "not on drawing"), (None, 2, "not in list"), (None, 5, "not in list"), (None, 6, "not in list")}
+    done = {r.id: r.data_point and r.data_point.point for r in R.mapped_items(items, rows, plan).collect()}
+    assert done == {1: "p1", 2: "p", 3: "p3", 4: None, 5: None, 6: "q"}
+    assert not R.mapping_applies(plan, replace_all=True) and R.mapped_items(items, rows, plan, replace_all=True) is items
+    refused = R.plan_mapping(with_bad, items)
+    assert {(r.row, r.outcome) for r in refused.collect() if r.row and r.row > 4} == {(5, "refused: tag or asset id is needed"), (6, "refused: address is blank"), (7, "refused: unknown or rejected asset id"), (8, "refused: unknown or rejected asset id"), (9, "refused: target given twice")}
+    assert R.mapped_items(items, with_bad, refused) is items
+    sheet = R.plan_mapping(rows.where("row = 1"), items, ["b"])
+    assert {r.outcome for r in sheet.collect() if r.row} == {"refused: outside the sheets"}
+    whole = R.plan_mapping(rows.where("row = 3"), items, ["b"])
+    assert {r.id: r.data_point and r.data_point.point for r in R.mapped_items(items, rows, whole, ["b"], replace_all=True).collect()} == {1: None, 2: "p", 3: "p3", 4: None, 5: None, 6: None}
+
+
+def test_relations_and_rules(spark):
+    from millrace.operators import rules as Q
+
+    rows = [
+        (1, "equipment", "P-1", None, None, "s", "feed pump", None, None),
+        (2, "valve", "FV-2", 1, "x", "s", "hot oil valve", None, None),
+        (3, "controller", "FIC-3", 1, None, "s", "hot oil control", "FT 4", ["fv2"]),
+        (4, "instrument", "FT-4", 1, "x", "s", "flow", None, None),
+        (5, "equipment", "E-5", None, None, "s", "bypassed cooler", None, None),
+        (6, "instrument", "TT-6", 5, "x", "t", "temperature of water", None, None),
+        (7, "instrument", "LT-7", None, "y", "s", "level", None, None),
+    ]
+    items = spark.createDataFrame(rows, "id long, kind string, tag string, unit long, stream string, sheet string, text string, measurement string, outputs array<string>")
+    streams = spark.createDataFrame([("x", 1, 5)], "stream string, src long, dst long")
+    links = spark.createDataFrame([(2, 1), (1, 5), (2, 4), (4, 7), (4, 6)], "a long, b long")
+    m = Q.Model(items, streams, links, {"oil": "oil", "water": "water"})
+    found = lambda anchor, relation, **o: {r.id for r in Q.pairs(m, items.where(F.col("id") == anchor), items, relation, **o).collect()}
+    assert found(2, "same_stream") == {4, 6} and found(2, "same_unit") == {1, 3, 4} and found(2, "same_unit_same_medium") == {3}
+    assert found(2, "drives") == {3} and found(4, "reads") == {3} and found(4, "drives") == set()
+    assert found(2, "linked") == {4, 5, 6} and found(2, "discharge_side") == {4, 6} and found(6, "discharge_side") == set()
+    assert found(2, "near", max_hops=1) == {1, 4} and found(2, "near") == {1, 4, 7}  # not through the pump, not to another sheet
+    has = lambda relation, select: {r.anchor for r in Q.having(m, items, {"relation": relation, "select": select}).collect()}
+    assert has("anywhere", {"tag": "^P-1"}) == {2, 3, 4, 5, 6, 7} and has("other_unit", {"tag": "^TT-6"}) == {1, 2, 3, 4}
+    ask = lambda **q: {(r.place, r.anchors, r.first_tag, r.shown) for r in Q.run(m, {"id": "q", **q}).collect()}
+    assert ask(anchor={"kind": ["instrument"]}) == {("1", 1, "FT-4", 0), ("5", 1, "TT-6", 0), ("7", 1, "LT-7", 0)}
+    assert ask(anchor={"kind": ["instrument"]}, unit_not_text="cooler|pump") == {("7", 1, "LT-7", 0)}
+    assert ask(anchor={"kind": ["valve"]}, also_show=[{"select": {}, "relation": "same_stream"}]) == {("1", 1, "FV-2", 2)}
+    assert ask(anchor={"kind": ["instrument"]}, group_by="model", min_anchors=4) == set() and ask(anchor={}, needs_model=["boiler"]) == set()
+
+
+def test_streams_are_repaired_where_one_segment_fits(spark):
+    allowed = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (2, "d", "e")], "number int, a string, b string")
+    drawn = spark.createDataFrame([(1, 1, "a", "b"), (2, 1, "c", "b"), (3, 1, "b", "z"), (4, 1, "z", "b"), (5, 2, "z", "q"), (6, 9, "a", "b"), (7, 1, "b", "b")], "id int, number int, a string, b string")
+    got = {r.id: (r.result, r.fix) for r in R.checked_streams(drawn, allowed).collect()}
+    assert got == {1: ("confirmed", None), 2: ("corrected", "reversed"), 3: ("corrected", "to c"), 4: ("corrected", "from a"), 5: ("unresolvable", None), 6: ("unresolvable", None), 7: ("unresolvable", None)}
