@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.order import numbered
+
 #: Two-sided 95% points of Student's t by degrees of freedom.
 T975 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228, 15: 2.131, 20: 2.086, 30: 2.042}
 Z95 = 1.96
@@ -107,14 +109,14 @@ def bootstrap(counts_: DataFrame, metric: str, draws: int, seed: str, replicate:
     Draws times units rows are made and summed in one shuffle by draw.
     """
     spark = counts_.sparkSession
-    units = counts_.select(unit).distinct().withColumn("u", F.row_number().over(Window.orderBy(unit)) - 1)
+    units = numbered(counts_.select(unit).distinct(), unit, "u")
     n = units.count()
-    reps = counts_.select(replicate).distinct().withColumn("r", F.row_number().over(Window.orderBy(replicate)) - 1)
+    reps = numbered(counts_.select(replicate).distinct(), replicate, "r")
     m = reps.count()
     if not n:
         return spark.createDataFrame([], "draws long, lo double, hi double")
     pick = lambda what, k: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(what), "draw", "slot").cast("binary")), 1, 8), 16, 10).cast("long") % k).cast("int")
-    slots = spark.range(draws).select(F.col("id").alias("draw")).select("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    slots = spark.range(draws * n).select(F.floor(F.col("id") / n).cast("long").alias("draw"), (F.col("id") % n).alias("slot"))
     picked = slots.select("draw", pick("unit", n).alias("u"), pick("rep", m).alias("r"))
     rows = picked.join(units, "u").join(reps, "r").join(counts_, [unit, replicate], "left")
     values = rows.groupBy("draw").agg(METRICS[metric]().alias("value"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.series import FAST, RUN, SLOW
-from millrace.scratch import new_path
+from millrace.scratch import drop_path, new_path
 
 
 def replay(spark: SparkSession, path: str, schema: Any, files_per_step: int = 1) -> DataFrame:
@@ -24,17 +24,24 @@ def replay(spark: SparkSession, path: str, schema: Any, files_per_step: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_step).parquet(path)
 
 
-def sliced(readings: DataFrame, slices: int, order: str = "ts") -> str:
-    """Write readings as ``slices`` time-ordered files, one after the other, and return their folder.
+def sliced(readings: DataFrame, slices: int, order: str = "ts", keys: tuple[str, ...] = ("run", "tag"), slice_rows: int = 1_000_000) -> str:
+    """Write readings as at least ``slices`` slices of time, one after the other, and return their folder.
 
-    A stream takes files by age, so the slices are written in order of time.
+    A stream takes files by age, so slices are written in order of time; there
+    are as many as keep one near ``slice_rows`` rows. Readings are dealt to
+    slices in one pass and each slice then reads only its own part; its files
+    hold whole series, in order.
     """
-    path = new_path(readings.sparkSession, "slices")
-    cuts = readings.agg(F.percentile_approx(F.unix_micros(order), [i / slices for i in range(1, slices)]).alias("c")).collect()[0]["c"] or []
-    at = F.unix_micros(order)
-    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
-        own = readings.where((F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi))
-        own.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
+    path, staged = new_path(readings.sparkSession, "slices"), new_path(readings.sparkSession, "staged")
+    slices = max(slices, -(-readings.count() // slice_rows))
+    at, by = F.unix_micros(order), [k for k in keys if k in readings.columns]
+    cuts = readings.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 10 * slices).alias("c")).first()["c"] or []
+    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c < at))
+    readings.withColumn("_slice", number).write.partitionBy("_slice").parquet(staged)
+    for i in range(len(cuts) + 1):
+        own = readings.sparkSession.read.parquet(staged).where(F.col("_slice") == i).drop("_slice")
+        own.repartition(*[F.col(k) for k in by]).sortWithinPartitions(order).write.mode("append").parquet(path)
+    drop_path(readings.sparkSession, staged)
     return path
 
 
