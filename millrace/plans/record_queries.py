@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import audits as A
 from millrace.operators import graphs as G
 from millrace.operators import records as R
 from millrace.operators import rules as Q
@@ -185,16 +186,25 @@ def j07(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j08(spark: SparkSession, d: str) -> DataFrame:
-    """Off-page connectors paired by reciprocal references, best word overlap first."""
-    from millrace.operators.matching import mutual_best
-
+    """Off-page connectors: every part names the sheet one or two away, or one that is not there; every ninth sheet has no number."""
     sheet = F.floor(F.col("p_partkey") / 40).cast("long")
-    ref = F.when(F.col("p_partkey") % 3 == 0, sheet.bitwiseXOR(F.lit(1))).when(F.col("p_partkey") % 3 == 1, sheet.bitwiseXOR(F.lit(2)))
-    own = table(spark, d, "part").select(F.col("p_partkey").alias("id"), sheet.alias("sheet"), ref.alias("ref"), F.split("p_name", " ").alias("words"))
-    a, b = own.alias("a"), own.alias("b")
-    pairs = a.join(b, (F.col("a.ref") == F.col("b.sheet")) & (F.col("b.ref") == F.col("a.sheet")) & (F.col("a.sheet") < F.col("b.sheet")))
-    rated = pairs.select(F.col("a.id").alias("one"), F.col("b.id").alias("two"), T.jaccard(F.col("a.words"), F.col("b.words")).alias("similarity"))
-    return mutual_best(rated.where("similarity > 0"), [], "one", "two", "similarity")
+    ref = F.when(F.col("p_partkey") % 4 == 0, sheet.bitwiseXOR(F.lit(1))).when(F.col("p_partkey") % 4 == 1, sheet.bitwiseXOR(F.lit(2))).when(F.col("p_partkey") % 4 == 2, sheet + 1_000_000)
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("id"), sheet.alias("sheet"), ref.cast("string").alias("ref"), F.concat(F.lit("S"), sheet.bitwiseXOR(F.lit(1))).alias("code"), F.split("p_name", " ").alias("words"))
+    sheets = own.select("sheet").distinct().select("sheet", F.when(F.col("sheet") % 9 != 4, F.col("sheet").cast("string")).alias("number"), F.concat(F.lit("S"), "sheet").alias("system_code"))
+    return A.pair_connectors(own, sheets)
+
+
+def j05_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Loops of five parts, most with their symbols, signal lines within a sheet, and flags where an order crosses sheets."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part")
+    loops = p.where("p_partkey % 5 = 0").select(k.alias("loop"), F.concat(F.lit("FIC-"), k).alias("controller"), F.concat(F.lit("FT-"), F.when(k % 15 == 0, k).otherwise(k + 1)).alias("measurement"), F.concat(F.lit("FV "), k + 2).alias("output"))
+    loops = loops.withColumn("measurement", F.when(F.col("loop") % 35 == 0, F.col("controller")).otherwise(F.col("measurement")))
+    text = F.when(k % 5 == 0, F.concat(F.lit("fic_"), k)).when(k % 5 == 1, F.concat(F.lit("FT"), k)).when(k % 5 == 2, F.concat(F.lit("FV-"), k))
+    symbols = p.where("p_size % 10 <> 3").select(F.floor(k / 40).cast("long").alias("drawing"), k.alias("id"), text.alias("text"), F.when(k % 5 == 3, F.concat(F.lit("fv-"), k - 1)).alias("signal_to"), F.when(k % 5 == 4, F.concat(F.lit("FIC "), k - 4)).alias("signal_from"))
+    line = lambda a, b, c: p.where(c).select(F.floor(k / 40).cast("long").alias("drawing"), (k + a).alias("a"), (k + b).alias("b"))
+    signals = line(1, 0, "p_partkey % 5 = 0 and p_size % 4 <> 1").unionByName(line(0, 2, "p_partkey % 5 = 0 and p_size % 3 = 0")).unionByName(line(0, 3, "p_partkey % 5 = 0 and p_size % 2 = 0")).unionByName(line(4, 2, "p_partkey % 5 = 0"))
+    return A.loop_audit(loops, symbols, signals)
 
 
 def j09(spark: SparkSession, d: str) -> DataFrame:
@@ -709,6 +719,14 @@ QUERIES = {
     "j05_loop_audit": (j05, """WITH l AS (SELECT l_orderkey, coalesce(bool_or(p_size > 10) FILTER (l_linenumber = 1), false) AS controller, coalesce(bool_or(p_size > 10) FILTER (l_linenumber = 2), false) AS measurement, coalesce(bool_or(p_size > 10) FILTER (l_linenumber = 3), false) AS output
         FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 3 GROUP BY l_orderkey)
       SELECT controller, measurement, output, CASE controller::INT + measurement::INT + output::INT WHEN 3 THEN 'drawn' WHEN 0 THEN 'not drawn' ELSE 'partly' END AS status, count(*) AS loops FROM l GROUP BY ALL"""),
+    "j05_signal_audit": (j05_signals, """WITH p AS (SELECT p_partkey AS k, p_size AS z FROM part), h AS (SELECT k FROM p WHERE z % 10 <> 3),
+      l AS (SELECT k AS loop, z, k % 35 = 0 AS combined, CASE WHEN k % 35 = 0 THEN k WHEN k % 15 = 0 THEN -1 ELSE k + 1 END AS m FROM p WHERE k % 5 = 0),
+      c AS (SELECT loop, combined, loop IN (SELECT k FROM h) AS controller, m IN (SELECT k FROM h) AS measurement, loop + 2 IN (SELECT k FROM h) AS output,
+        loop + 3 IN (SELECT k FROM h) AS f_out, loop + 4 IN (SELECT k FROM h) AS f_in, z FROM l),
+      t AS (SELECT loop, combined, controller, measurement, output,
+        (NOT combined AND controller AND measurement AND z % 4 <> 1) OR (combined AND controller) AS signal_in,
+        controller AND ((output AND z % 3 = 0) OR (f_out AND z % 2 = 0 AND f_in AND output)) AS signal_out FROM c)
+      SELECT *, CASE WHEN NOT controller THEN 'not_drawn' WHEN measurement AND output AND signal_in AND signal_out THEN 'drawn' ELSE 'partly_drawn' END AS status FROM t"""),
     "j06_loop_tags": (j06, I_ + """, t AS (SELECT DISTINCT replace(tag, '-', '') AS k FROM items), o AS (SELECT 'FIC' || (o_orderkey % 900) IN (SELECT k FROM t) AS c, 'TI' || (o_custkey % 900) IN (SELECT k FROM t) AS m FROM orders)
       SELECT CASE WHEN c AND m THEN 'tags_present' WHEN c OR m THEN 'partly' ELSE 'not found' END AS status, count(*) AS loops FROM o GROUP BY 1"""),
     "j07_loop_numbering": (j07, "SELECT numbers = 1 AS one_number, tags, count(*) AS loops FROM (SELECT l_orderkey, count(DISTINCT l_partkey % 700) AS numbers, count(*) AS tags FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) GROUP BY ALL"),

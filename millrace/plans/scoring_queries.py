@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import audits as A
 from millrace.operators import matching as M
 from millrace.operators import scoring as S
 from millrace.plans.standins import BOXES, keys, preds, table
@@ -212,6 +213,15 @@ def j21(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("tool", "sheet", outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def j10_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Parents of instruments by links of their sheet's neighbours, through chains, or by position."""
+    k = keys(spark, d)
+    own = k.select("id", "sheet", F.when(F.col("class") == "instrument", "instrument").otherwise("equipment").alias("role"), *M.BOX)
+    near = own.where("id % 3 <> 0").select(F.col("id").alias("a"), (F.col("id") + 1 + F.col("id") % 2).alias("b"), "sheet")
+    links = near.join(own.select(F.col("id").alias("b"), F.col("sheet").alias("s")), "b").where("sheet = s").select("a", "b")
+    return A.parents(own, links)
+
+
 def j22(spark: SparkSession, d: str) -> DataFrame:
     """Listed identifiers contained in any name of the same group."""
     names = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("g"), F.col("p_name").alias("name"))
@@ -343,6 +353,7 @@ QUERIES = {
       SELECT sheet, id, nearest, gap FROM (SELECT *, row_number() OVER (PARTITION BY sheet, id ORDER BY gap, nearest) AS k FROM c) WHERE k = 1"""),
     "j21_class_outcomes": (j21, WITH + """SELECT t.tool, k.sheet, CASE WHEN p.class IS NULL THEN 'missed' WHEN p.class = k.class THEN 'correct' ELSE 'wrong' END AS outcome, count(*) AS n
       FROM keys k CROSS JOIN (VALUES (0), (1)) AS t(tool) LEFT JOIN preds p ON p.tool = t.tool AND p.id = k.id GROUP BY ALL"""),
+    "j10_parents": (j10_parents, None),
     "j22_identifier_contained": (j22, """WITH n AS (SELECT p_partkey // 40 AS g, p_name FROM part), l AS (SELECT DISTINCT p_partkey // 40 AS g, split_part(p_name, ' ', 2) AS ident FROM part)
       SELECT g, ident, count(*) FILTER (contains(p_name, ident)) AS hits FROM l JOIN n USING (g) GROUP BY g, ident"""),
     "j23_point_match": (j23, None),

@@ -370,3 +370,59 @@ def test_streams_are_repaired_where_one_segment_fits(spark):
     drawn = spark.createDataFrame([(1, 1, "a", "b"), (2, 1, "c", "b"), (3, 1, "b", "z"), (4, 1, "z", "b"), (5, 2, "z", "q"), (6, 9, "a", "b"), (7, 1, "b", "b")], "id int, number int, a string, b string")
     got = {r.id: (r.result, r.fix) for r in R.checked_streams(drawn, allowed).collect()}
     assert got == {1: ("confirmed", None), 2: ("corrected", "reversed"), 3: ("corrected", "to c"), 4: ("corrected", "from a"), 5: ("unresolvable", None), 6: ("unresolvable", None), 7: ("unresolvable", None)}
+
+
+def test_loops_are_audited_along_signals_and_flags(spark):
+    from millrace.operators import audits as A
+
+    loops = spark.createDataFrame([(1, "FIC 1", "FT-1", "FV1"), (2, "FIC-2", "FIC2", "FV-2"), (3, "FIC-3", "FT-3", "FV-3"), (4, "", "", "")], "loop int, controller string, measurement string, output string")
+    symbols = spark.createDataFrame([("d", 1, "fic-1", None, None), ("d", 2, "FT1", None, None), ("d", 3, "", "FV-1", None), ("e", 4, None, None, "FIC_1"), ("e", 5, "FV-1", None, None), ("d", 6, "FIC2", None, None), ("d", 7, "FV-2", None, None), ("d", 8, "FT-3", None, None)], "drawing string, id int, text string, signal_to string, signal_from string")
+    lines = [("d", 2, 1), ("d", 1, 3), ("e", 5, 4)]
+    audit = lambda s: {r.loop: (r.signal_in, r.signal_out, r.status) for r in A.loop_audit(loops, symbols, spark.createDataFrame(s, "drawing string, a int, b int")).collect()}
+    assert audit(lines) == {1: (True, True, "drawn"), 2: (True, False, "partly_drawn"), 3: (False, False, "not_drawn"), 4: (False, False, "not_drawn")}
+    assert audit(lines[:2] + [("d", 6, 7)]) == {1: (True, False, "partly_drawn"), 2: (True, True, "drawn"), 3: (False, False, "not_drawn"), 4: (False, False, "not_drawn")}
+
+
+def plain_connectors(rows, sheets):
+    number = {s: n for s, n, _ in sheets}
+    code = {s: c for s, _, c in sheets}
+    listed = {n for n in number.values() if n}
+    found = []
+    for x in rows:
+        for y in rows:
+            if x[2] and number[y[1]] == x[2] and x[1] != y[1]:
+                way = 0 if number[x[1]] and y[2] == number[x[1]] else 1 if not number[x[1]] and y[2] not in listed and y[3] and y[3] == code[x[1]] else None
+                if way is not None:
+                    a, b = set(x[4]), set(y[4])
+                    found.append((-len(a & b) / len(a | b), way, x[0], y[0]))
+    pair = {}
+    for _, _, x, y in sorted(found):
+        if x not in pair and y not in pair:
+            pair[x], pair[y] = y, x
+    return pair
+
+
+def test_connectors_pair_like_a_plain_greedy_choice(spark):
+    from millrace.operators import audits as A
+
+    rng = random.Random(3)
+    sheets = [(s, None if s % 4 == 3 else f"D{s}", f"S{s}") for s in range(8)]
+    rows = [(i, rng.randrange(8), rng.choice([None, *[f"D{s}" for s in range(9)]]), f"S{rng.randrange(8)}", rng.sample("abcdef", 2)) for i in range(160)]
+    got = A.pair_connectors(spark.createDataFrame(rows, "id int, sheet int, ref string, code string, words array<string>"), spark.createDataFrame(sheets, "sheet int, number string, system_code string")).collect()
+    assert {r.id: r.pair for r in got if r.pair is not None} == plain_connectors(rows, sheets)
+    assert len(got) == 160 and {r.method for r in got if r.pair is not None} == {"reciprocal", "one way and system code"}
+    for r in got:
+        _, sheet, ref, *_ = rows[r.id]
+        want = "paired" if r.pair is not None else "no drawing" if not ref else "own sheet" if ref == sheets[sheet][1] else "not in this" if ref not in {n for _, n, _ in sheets} else "no connector"
+        assert want in r.status
+
+
+def test_parents_by_link_chain_and_gap(spark):
+    from millrace.operators import audits as A
+
+    box = lambda x: (float(x), 0.0, float(x + 2), 2.0)
+    rows = [(1, "s", "instrument", *box(0)), (2, "s", "equipment", *box(50)), (3, "s", "equipment", *box(4)), (4, "s", "instrument", *box(100)), (5, "s", "instrument", *box(110)), (6, "s", "line_item", *box(300)), (7, "s", "instrument", *box(297)), (8, "t", "instrument", *box(0)), (9, "s", "equipment", *box(20))]
+    items = spark.createDataFrame(rows, "id int, sheet string, role string, x0 double, y0 double, x1 double, y1 double")
+    links = spark.createDataFrame([(1, 2), (9, 1), (4, 5), (5, 6), (5, 2)], "a int, b int")
+    got = {r.id: (r.parent, r.method, r.nearest, r.agrees) for r in A.parents(items, links).collect()}
+    assert got == {1: (9, "linked", 3, False), 4: (2, "via instruments", 2, True), 5: (2, "linked", 2, True), 7: (6, "nearest", 6, True), 8: (None, "none", None, False)}
