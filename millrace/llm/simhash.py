@@ -21,10 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.buckets import buckets
 from millrace.llm.columns import free_name
 from millrace.llm.components import components
 from millrace.scratch import written
@@ -34,7 +36,6 @@ BITS = 64
 
 def fingerprint_of(text: bytes, shingle: int = 3) -> int:
     """Unsigned fingerprint of one UTF-8 text; a bit is set if it is in over half the shingle hashes."""
-    import numpy as np
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # of bytes: A-Z only, and white space \x20 \x09-\x0D
@@ -56,8 +57,6 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """``(doc_id, fp)`` of every row; fp is a signed long with the fingerprint's bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             fps = np.array([fingerprint_of(t or b"") for t in texts], np.uint64).view(np.int64)
@@ -115,27 +114,58 @@ def one_bit_values(segments: int) -> Column:
     return F.when(F.col("step") == 0, F.array(F.col("fp"))).otherwise(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x["bit"])))
 
 
+def _segment_distance(a: np.ndarray, b: np.ndarray, segments: int) -> np.ndarray:
+    """``manhattan`` of arrays of fingerprints."""
+    width, total = BITS // segments, np.zeros(len(a), np.int64)
+    mask = np.uint64((1 << width) - 1)
+    for i in range(segments):
+        counts = [np.bitwise_count((x.view(np.uint64) >> np.uint64(i * width)) & mask).astype(np.int64) for x in (a, b)]
+        total += np.abs(counts[0] - counts[1])
+    return total
+
+
 def links(fps: DataFrame, segments: int = 16, small: int = 64) -> DataFrame:
     """``(a, b)`` with a > b: edges that join exactly the distinct fingerprints ``fps(fp)`` within two bits.
 
-    Fingerprints of a grid point with up to ``small`` of them meet each other
+    Fingerprints are dealt to their grid points and sorted by them in one
+    shuffle. Those of a point with up to ``small`` of them meet each other
     there. A point with more is split by the values on it that differ from
     its fingerprints in at most one bit: two fingerprints within two bits
     share such a value, and its smallest fingerprint stands for it, so the
     components are those of the full link graph. Every pair that meets is
     checked by Manhattan distance, then bit by bit.
     """
-    dealt = fps.select("fp", F.inline(grid_points(F.col("fp"), segments)))
-    points = written(dealt.groupBy("point").agg(F.count("*").alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a")).where("n > 1"), "points")
-    # Few points have more than two fingerprints: their members are dealt again.
-    members = written(dealt.join(points.where("n > 2").select("point", "n"), "point").select("point", "fp", "segment", "step", "n"), "members")
-    few = members.where(F.col("n") <= small).select("point", "fp")
-    met = few.alias("x").join(few.alias("y"), (F.col("x.point") == F.col("y.point")) & (F.col("x.fp") > F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    listed = written(members.where(F.col("n") > small).select("fp", F.explode(one_bit_values(segments)).alias("value")), "values")
+    names = ["a", "b", "segment", "step"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, head in buckets(batches, small):
+            point, fp = part[0], part[1]
+            if head is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(part[2]), pa.array(part[3])], names=names)
+                continue
+            begins = np.flatnonzero(np.r_[True, point[1:] != point[:-1]])
+            sizes = np.diff(np.r_[begins, len(point)])
+            ends, at, lag, found = np.repeat(begins + sizes, sizes), np.arange(len(point)), 1, []
+            while len(at := at[at + lag < ends[at]]):
+                a, b = fp[at], fp[at + lag]
+                near = _segment_distance(a, b, segments) <= 2
+                a, b = a[near], b[near]
+                same = np.bitwise_count((a ^ b).view(np.uint64)) <= 2
+                found.append(np.stack([np.maximum(a, b)[same], np.minimum(a, b)[same]]))
+                lag += 1
+            pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+            if pairs.shape[1]:
+                none = pa.nulls(pairs.shape[1], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none], names=names)
+
+    dealt = fps.select("fp", F.inline(grid_points(F.col("fp"), segments))).select("point", "fp", F.col("segment").cast("long").alias("segment"), F.col("step").cast("long").alias("step"))
+    met = written(dealt.repartition("point").sortWithinPartitions("point").mapInArrow(run, "a long, b long, segment long, step long"), "met")
+    crowd = met.where("b is null").select(F.col("a").alias("fp"), "segment", "step")
+    listed = written(crowd.select("fp", F.explode(one_bit_values(segments)).alias("value")), "values")
     least = listed.groupBy("value").agg(F.min("fp").alias("b"))
     stars = listed.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    pairs = points.where("n = 2").select("a", "b").unionByName(met).unionByName(stars)
-    return pairs.where((manhattan(F.col("a"), F.col("b"), segments) <= 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).distinct()
+    checked = stars.where((manhattan(F.col("a"), F.col("b"), segments) <= 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
+    return met.where("b is not null").select("a", "b").unionByName(checked).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", segments: int = 16) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -81,6 +82,7 @@ def test_manhattan_is_a_lower_bound(spark):
     got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", simhash.manhattan(F.col("a"), F.col("b"), 16).alias("m")).collect()
     for r in got:
         counts = lambda x: [(x >> 4 * i & 15).bit_count() for i in range(16)]
+        assert r.m == simhash._segment_distance(np.array([r.a]), np.array([r.b]), 16)[0]
         assert r.m == sum(abs(x - y) for x, y in zip(counts(r.a), counts(r.b), strict=True)) <= (r.a ^ r.b).bit_count()
 
 
