@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import audits as A
+from millrace.operators import checks as C
 from millrace.operators import graphs as G
 from millrace.operators import records as R
 from millrace.operators import rules as Q
@@ -73,7 +74,7 @@ def p08(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p09(spark: SparkSession, d: str) -> DataFrame:
-    role = F.when(F.col("tag").rlike("^(FIC|TI)"), "instrument").when(F.col("tag").rlike("^(PSV|XV)"), "line_item").when(F.col("kind") == "promo", "offpage").otherwise("equipment")
+    role = C.first_rule([("instrument", F.col("tag").rlike("^(FIC|TI)")), ("line_item", F.col("tag").rlike("^(PSV|XV)")), ("offpage", F.col("kind") == "promo")], "equipment")
     return items(spark, d).select("id", role.alias("role"))
 
 
@@ -92,11 +93,9 @@ def p11(spark: SparkSession, d: str) -> DataFrame:
 
 def p12(spark: SparkSession, d: str) -> DataFrame:
     """Purpose by precedence: schedule, then name, then tag, with its source."""
-    own = table(spark, d, "part")
-    schedule = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type"))
-    drawn = F.when(F.col("p_name").contains("ring"), F.col("p_name"))
-    best = F.coalesce(F.when(schedule.isNotNull(), F.struct(schedule.alias("text"), F.lit("schedule").alias("source"))), F.when(drawn.isNotNull(), F.struct(drawn.alias("text"), F.lit("drawing").alias("source"))), F.struct(F.col("p_brand").alias("text"), F.lit("tag").alias("source")))
-    return own.select(F.col("p_partkey").alias("id"), best["text"].alias("purpose"), best["source"].alias("source"))
+    schedule, drawn = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")), F.when(F.col("p_name").contains("ring"), F.col("p_name"))
+    best = C.first_source([("schedule", schedule), ("drawing", drawn), ("tag", F.col("p_brand"))])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), best["text"].alias("purpose"), best["source"].alias("source"))
 
 
 def p13(spark: SparkSession, d: str) -> DataFrame:
@@ -106,19 +105,14 @@ def p13(spark: SparkSession, d: str) -> DataFrame:
 
 def p15(spark: SparkSession, d: str) -> DataFrame:
     """Rules on readings with an error bound of one unit either way."""
-    v = F.col("value")
-    lo, hi = v - 1.0, v + 1.0
     rules = spark.createDataFrame([("low", 10.0, "below"), ("high", 120.0, "above")], "rule string, limit double, side string")
     own = table(spark, d, "events").crossJoin(F.broadcast(rules))  # a rule table of two rows
-    below = F.when(hi < F.col("limit"), "met").when(lo >= F.col("limit"), "clear").otherwise("uncertain")
-    above = F.when(lo > F.col("limit"), "met").when(hi <= F.col("limit"), "clear").otherwise("uncertain")
-    state = F.when(v.isNull(), "no reading").when(F.col("side") == "below", below).otherwise(above)
-    return own.groupBy("rule", "event_type", state.alias("state")).agg(F.count("*").alias("n"))
+    return own.groupBy("rule", "event_type", C.three_state(F.col("value"), F.lit(1.0), F.col("limit"), F.col("side")).alias("state")).agg(F.count("*").alias("n"))
 
 
 def p16(spark: SparkSession, d: str) -> DataFrame:
     """A range-coded analyser becomes a row per component."""
-    return items(spark, d).where("tag like 'TI-%'").select("id", F.posexplode(F.sequence(F.lit(1), (F.col("size") % 3 + 1).cast("int"))).alias("pos", "part"), "tag").select("id", F.when(F.col("pos") > 0, F.concat("tag", F.lit("-"), F.col("part").cast("string"))).otherwise(F.col("tag")).alias("channel"), "pos")
+    return C.channels(items(spark, d).where("tag like 'TI-%'").withColumn("parts", F.col("size") % 3 + 1), "parts")
 
 
 def p17(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +126,7 @@ def p18(spark: SparkSession, d: str) -> DataFrame:
     own = F.when(F.col("size") % 4 == 0, F.lit("bar")).when(F.col("size") % 4 == 1, F.lit("kPa"))
     kind = F.when(F.col("kind") == "economy", F.lit("bar")).when(F.col("kind") == "standard", F.lit("kPa"))
     i = items(spark, d).withColumns({"own": own, "by_kind": kind})
-    return i.select("id", F.coalesce("own", "by_kind").alias("uom"), F.when(F.col("own").isNull() & F.col("by_kind").isNull(), "no unit").when(F.col("own") != F.col("by_kind"), "units differ").alias("finding"))
+    return i.select("id", C.first_source([("item", F.col("own")), ("kind", F.col("by_kind"))])["text"].alias("uom"), C.unit_findings(F.col("own"), F.col("by_kind")).alias("finding"))
 
 
 # ---- mapping and audits
@@ -170,19 +164,15 @@ def j05(spark: SparkSession, d: str) -> DataFrame:
 
 def j06(spark: SparkSession, d: str) -> DataFrame:
     """Tag presence only, on the compact spelling."""
-    tags = items(spark, d).select(T.tag_compact(F.col("tag")).alias("k"), F.lit(True).alias("here")).distinct()
     loops = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("fic "), (F.col("o_orderkey") % 900).cast("string")).alias("controller"), F.concat(F.lit("TI_"), (F.col("o_custkey") % 900).cast("string")).alias("measurement"))
-    a = loops.select("*", T.tag_compact(F.col("controller")).alias("k")).join(tags, "k", "left").withColumnRenamed("here", "has_c").drop("k")
-    b = a.select("*", T.tag_compact(F.col("measurement")).alias("k")).join(tags, "k", "left").withColumnRenamed("here", "has_m").drop("k")
-    c, m = F.coalesce("has_c", F.lit(False)), F.coalesce("has_m", F.lit(False))
-    return b.groupBy(F.when(c & m, "tags_present").when(c | m, "partly").otherwise("not found").alias("status")).agg(F.count("*").alias("loops"))
+    return C.tags_present(loops, items(spark, d), ["controller", "measurement"]).groupBy("status").agg(F.count("*").alias("loops"))
 
 
 def j07(spark: SparkSession, d: str) -> DataFrame:
     """Numbering: all tags of a loop share one number."""
-    li = table(spark, d, "lineitem").join(items(spark, d).select(F.col("id").alias("l_partkey"), T.isa_loop(F.col("tag")).alias("number")), "l_partkey")
-    per = li.groupBy("l_orderkey").agg(F.count_distinct("number").alias("numbers"), F.count("*").alias("tags"))
-    return per.groupBy((F.col("numbers") == 1).alias("one_number"), "tags").agg(F.count("*").alias("loops"))
+    numbers = items(spark, d).select(F.col("id").alias("l_partkey"), T.isa_loop(F.col("tag")).alias("number"))
+    members = table(spark, d, "lineitem").join(numbers, "l_partkey").select(F.col("l_orderkey").alias("loop"), "number")
+    return C.numbering(members).groupBy("one_number", "tags").agg(F.count("*").alias("loops"))
 
 
 def j08(spark: SparkSession, d: str) -> DataFrame:
@@ -209,10 +199,7 @@ def j05_signals(spark: SparkSession, d: str) -> DataFrame:
 
 def j09(spark: SparkSession, d: str) -> DataFrame:
     """A sheet's system is the most frequent brand of its parts; ties are unknown."""
-    per = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 40).cast("long").alias("sheet"), "p_brand").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("sheet")
-    top = per.withColumn("most", F.max("n").over(w)).where("n = most")
-    return top.groupBy("sheet").agg(F.when(F.count("*") == 1, F.min("p_brand")).otherwise("unknown").alias("system"), F.first("n").alias("n"))
+    return C.sheet_identity(table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("sheet"), F.col("p_brand").alias("system")))
 
 
 def j13(spark: SparkSession, d: str) -> DataFrame:
@@ -316,38 +303,29 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
 def j17(spark: SparkSession, d: str) -> DataFrame:
     """Model against model: by tag; role and fields compared; missing and extra."""
     i = items(spark, d).select(F.concat_ws("#", "tag", "id").alias("tag"), "kind", "unit")
-    other = i.where("unit % 9 <> 4").select("tag", F.when(F.col("unit") % 10 == 1, F.lit("other")).otherwise(F.col("kind")).alias("kind2"), F.when(F.col("unit") % 11 == 1, F.col("unit") + 1).otherwise(F.col("unit")).alias("unit2"))
-    extra = spark.range(3).select(F.concat(F.lit("NEW-"), F.col("id").cast("string")).alias("tag"), F.lit("economy").alias("kind2"), F.lit(1).cast("long").alias("unit2"))
-    j = i.join(other.unionByName(extra), "tag", "full")
-    status = F.when(F.col("kind").isNull(), "extra").when(F.col("kind2").isNull(), "missing").when(F.col("kind") != F.col("kind2"), "wrong role").when(F.col("unit") != F.col("unit2"), "fields differ").otherwise("ok")
-    return j.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    other = i.where("unit % 9 <> 4").select("tag", F.when(F.col("unit") % 10 == 1, F.lit("other")).otherwise(F.col("kind")).alias("kind"), F.when(F.col("unit") % 11 == 1, F.col("unit") + 1).otherwise(F.col("unit")).alias("unit"))
+    extra = spark.range(3).select(F.concat(F.lit("NEW-"), F.col("id").cast("string")).alias("tag"), F.lit("economy").alias("kind"), F.lit(1).cast("long").alias("unit"))
+    return C.model_diff(i, other.unionByName(extra), "tag", "kind", ["unit"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def j18(spark: SparkSession, d: str) -> DataFrame:
     """Multisets of line types per order, drawn and modelled."""
     li = table(spark, d, "lineitem")
-    a = li.groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("drawn"))
-    b = li.where("l_quantity > 3").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("modelled"))
-    j = a.join(b, ["l_orderkey", "l_returnflag"], "full").withColumn("differs", ~F.col("drawn").eqNullSafe(F.col("modelled")))
-    return j.groupBy("l_orderkey").agg(F.max("differs").alias("differs")).where("differs").select("l_orderkey")
+    return C.multiset_diff(li, li.where("l_quantity > 3"), "l_orderkey", "l_returnflag").select("l_orderkey").distinct()
 
 
 def j19(spark: SparkSession, d: str) -> DataFrame:
     """Claims against model fields: equal, different, no field."""
     p = table(spark, d, "part")
-    claims = p.select("p_partkey", F.explode(F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.when(F.col("p_partkey") % 9 == 0, F.lit("Brand#0")).otherwise(F.col("p_brand")), F.lit("colour"), F.lit("red"))).alias("name", "claimed"))
-    fields = p.select("p_partkey", F.explode(F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand"))).alias("name", "held"))
-    j = claims.join(fields, ["p_partkey", "name"], "left")
-    return j.groupBy("name", F.when(F.col("held").isNull(), "no field").when(F.col("held").eqNullSafe(F.col("claimed")), "equal").otherwise("differs").alias("result")).agg(F.count("*").alias("n"))
+    claims = p.select(F.col("p_partkey").alias("owner"), F.explode(F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.when(F.col("p_partkey") % 9 == 0, F.lit("Brand#0")).otherwise(F.col("p_brand")), F.lit("colour"), F.lit("red"))).alias("name", "claimed"))
+    fields = p.select(F.col("p_partkey").alias("owner"), F.explode(F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand"))).alias("name", "held"))
+    return C.claim_check(claims, fields).groupBy("name", "result").agg(F.count("*").alias("n"))
 
 
 def j24(spark: SparkSession, d: str) -> DataFrame:
     """Names of parts checked against their neighbours' words: confirmed by a shared word, corrected, unverified."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.tokens(F.col("p_name")).alias("w"))
-    src = p.select((F.col("id") + 1).alias("id"), F.col("w").alias("s"))
-    j = p.join(src, "id", "left")
-    result = F.when(F.col("s").isNull(), "unverified").when(F.arrays_overlap("w", "s"), "confirmed").otherwise("corrected")
-    return j.groupBy(result.alias("result")).agg(F.count("*").alias("n"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.tokens(F.col("p_name")).alias("words"))
+    return C.name_check(p, p.select((F.col("id") + 1).alias("id"), "words")).groupBy("result").agg(F.count("*").alias("n"))
 
 
 def j25(spark: SparkSession, d: str) -> DataFrame:
@@ -361,30 +339,25 @@ def j25(spark: SparkSession, d: str) -> DataFrame:
 
 def j27(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of parts of a sheet that share exactly one order."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a, b = li.alias("a"), li.alias("b")
-    pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") < F.col("b.l_partkey")) & (F.floor(F.col("a.l_partkey") / 40) == F.floor(F.col("b.l_partkey") / 40)))
-    per = pairs.groupBy(F.col("a.l_partkey").alias("a"), F.col("b.l_partkey").alias("b")).agg(F.count_distinct("a.l_orderkey").alias("n"), F.min("a.l_orderkey").alias("network"))
-    return per.where("n = 1").select("a", "b", "network")
+    return C.shared_networks(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("network"), F.floor(F.col("l_partkey") / 40).alias("sheet"), F.col("l_partkey").alias("id")))
 
 
 def j30(spark: SparkSession, d: str) -> DataFrame:
     """Live tags: the first and last reading of each user and type, and whether it moved."""
-    e = table(spark, d, "events")
-    return e.groupBy("user_id", "event_type").agg(F.min_by("value", F.struct("ts", "event_id")).alias("first"), F.max_by("value", F.struct("ts", "event_id")).alias("last")).withColumn("moved", F.col("first") != F.col("last"))
+    return C.movement(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"])
 
 
 def j31(spark: SparkSession, d: str) -> DataFrame:
     """Quality honesty: fed tags must be good and in range; reported, not clipped."""
     e = table(spark, d, "events").withColumn("quality", F.when(F.col("event_id") % 97 == 0, "bad").otherwise("good"))
-    return e.groupBy("event_type", "quality").agg(F.count("*").alias("n"), F.count_if((F.col("value") < 0) | (F.col("value") > 200)).alias("out_of_range"))
+    return C.out_of_range(e, ["event_type", "quality"], 0, 200)
 
 
 def j32(spark: SparkSession, d: str) -> DataFrame:
     """Stated numbers against results, rounded to the stated places."""
-    made = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("v"))
-    claims = made.select("o_orderpriority", F.when(F.col("o_orderpriority") == "5-LOW", F.round("v", 1) + 1).otherwise(F.round("v", 1)).alias("stated"))
-    return claims.join(made, "o_orderpriority").select("o_orderpriority", (F.round("v", 1) == F.col("stated")).alias("holds"))
+    made = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("value"))
+    claims = made.select("o_orderpriority", F.when(F.col("o_orderpriority") == "5-LOW", F.round("value", 1) + 1).otherwise(F.round("value", 1)).alias("stated"))
+    return C.stated_numbers(claims, made, "o_orderpriority", 1)
 
 
 def j33(spark: SparkSession, d: str) -> DataFrame:
@@ -584,15 +557,12 @@ def a22(spark: SparkSession, d: str) -> DataFrame:
 def a29(spark: SparkSession, d: str) -> DataFrame:
     """Setpoints against means: relative difference per series."""
     e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("mean"), F.max_by("value", "event_id").alias("setpoint"))
-    return e.withColumn("off", F.abs(F.col("mean") - F.col("setpoint")) / F.greatest(F.abs("setpoint"), F.lit(1e-9))).where("off > 0.5").select("user_id", "event_type", "off")
+    return C.setpoint_offsets(e, 0.5).select("user_id", "event_type", "off")
 
 
 def a30(spark: SparkSession, d: str) -> DataFrame:
     """Worst relative imbalance per part: returned minus other quantities."""
-    li = table(spark, d, "lineitem")
-    signed = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity"))
-    outlet = F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0))
-    return li.groupBy("l_partkey").agg((F.abs(F.sum(signed)) / F.greatest(F.abs(outlet), F.lit(1e-9))).alias("imbalance"))
+    return C.imbalance(table(spark, d, "lineitem").select("l_partkey", (F.col("l_returnflag") == "R").alias("outlet"), F.col("l_quantity").alias("quantity")), ["l_partkey"])
 
 
 def a31(spark: SparkSession, d: str) -> DataFrame:
@@ -615,10 +585,7 @@ def a33(spark: SparkSession, d: str) -> DataFrame:
 def a34(spark: SparkSession, d: str) -> DataFrame:
     """Staging rows: duplicate names under a parent and orphan parents."""
     p = table(spark, d, "part").select((F.col("p_partkey") % 60).alias("parent"), F.col("p_name").alias("name"), F.col("p_type").alias("type"))
-    known = table(spark, d, "supplier").where("s_suppkey < 55").select(F.col("s_suppkey").alias("parent"))
-    dup = p.groupBy("parent", "name", "type").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate").alias("finding"), "parent", "n")
-    orphan = p.join(known, "parent", "left_anti").groupBy("parent").agg(F.count("*").alias("n")).select(F.lit("orphan").alias("finding"), "parent", "n")
-    return dup.unionByName(orphan).groupBy("finding", "parent").agg(F.sum("n").alias("n"))
+    return C.staging_findings(p, table(spark, d, "supplier").where("s_suppkey < 55").select(F.col("s_suppkey").alias("parent")))
 
 
 def a35(spark: SparkSession, d: str) -> DataFrame:
@@ -626,14 +593,12 @@ def a35(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     kw = T.interval(F.col("l_quantity") * 0.9, F.col("l_quantity") * 1.1)
     hours = T.interval(F.lit(1000) * (0.05 - F.col("l_discount")), F.lit(2000) * (0.05 - F.col("l_discount")))
-    e = li.withColumn("e", T.interval_product(kw, hours))
-    return e.groupBy("o_orderstatus").agg(F.round(F.sum("e.lo"), 1).alias("lo"), F.round(F.sum("e.hi"), 1).alias("hi"))
+    return C.impact(li.select("o_orderstatus", kw.alias("kw"), hours.alias("hours")), ["o_orderstatus"]).select("o_orderstatus", F.round("lo", 1).alias("lo"), F.round("hi", 1).alias("hi"))
 
 
 def a36(spark: SparkSession, d: str) -> DataFrame:
     """Tags on more than one item."""
-    i = items(spark, d).withColumn("n", F.count("*").over(Window.partitionBy(F.upper("tag"))))
-    return i.where("n > 1").groupBy("kind").agg(F.count("*").alias("items"), F.count_distinct("tag").alias("tags"))
+    return C.shared_tags(items(spark, d)).groupBy("kind").agg(F.count("*").alias("items"), F.count_distinct("tag").alias("tags"))
 
 
 def k01(spark: SparkSession, d: str) -> DataFrame:

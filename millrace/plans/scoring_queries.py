@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import audits as A
+from millrace.operators import checks as C
 from millrace.operators import matching as M
 from millrace.operators import scoring as S
 from millrace.plans.standins import BOXES, keys, preds, table
@@ -246,26 +247,21 @@ def j29(spark: SparkSession, d: str) -> DataFrame:
 def u01(spark: SparkSession, d: str) -> DataFrame:
     """Pairs that one method has and the other has not, and whether they are right."""
     own = table(spark, d, "lineitem")
-    pair = lambda c: own.where(c).select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
-    one, two, truth = pair("l_quantity < 30"), pair("l_quantity > 20"), pair("l_discount > 0.03").withColumn("right", F.lit(True))
-    added = two.exceptAll(one).withColumn("change", F.lit("added"))
-    removed = one.exceptAll(two).withColumn("change", F.lit("removed"))
-    return added.unionByName(removed).join(truth, ["a", "b"], "left").groupBy("change", F.coalesce("right", F.lit(False)).alias("right")).agg(F.count("*").alias("n"))
+    pair = lambda c: own.where(c).select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    return C.pair_changes(pair("l_quantity < 30"), pair("l_quantity > 20"), pair("l_discount > 0.03")).groupBy("change", "right").agg(F.count("*").alias("n"))
 
 
 def u02(spark: SparkSession, d: str) -> DataFrame:
     """Regenerate and compare: result rows that differ from the recorded ones, both ways."""
     made = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
     recorded = made.where("o_orderpriority <> '5-LOW'").withColumn("n", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("n") + 1).otherwise(F.col("n")))
-    j = made.withColumnRenamed("n", "made_n").join(recorded.select("o_orderpriority", F.col("n").alias("kept_n")), "o_orderpriority", "full")
-    state = F.when(F.col("made_n").isNull(), "MISSING").when(F.col("kept_n").isNull(), "GAP").when(F.col("made_n") == F.col("kept_n"), "MATCH").otherwise("DIFF")
-    return j.select("o_orderpriority", state.alias("state"))
+    return C.regenerated(made, recorded, "o_orderpriority")
 
 
 def u03(spark: SparkSession, d: str) -> DataFrame:
     """Identities missing on either side."""
-    p, li = table(spark, d, "part").select(F.col("p_partkey").alias("id")), table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id")).distinct()
-    return p.join(li, "id", "left_anti").withColumn("side", F.lit("missing")).unionByName(li.join(p, "id", "left_anti").withColumn("side", F.lit("extra")))
+    p, li = table(spark, d, "part").select(F.col("p_partkey").alias("id")), table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"))
+    return C.identity_sets(p, li)
 
 
 def a06(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import checks as C
 from millrace.operators import series as S
 from millrace.plans.standins import READINGS, readings, table
 
@@ -164,11 +165,7 @@ def w07(spark: SparkSession, d: str) -> DataFrame:
 
 def w10(spark: SparkSession, d: str) -> DataFrame:
     """Active minutes: from each click (start) to the next event of the user, no more than 30 minutes each."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    own = table(spark, d, "events").withColumn("next_ts", F.lead("ts").over(order))
-    active = own.where("event_type = 'click' and next_ts is not null")
-    minutes = F.least(F.lit(30.0), (S.micros("next_ts") - S.micros("ts")) / 60e6)
-    return active.groupBy("user_id").agg(F.sum(minutes).alias("active_minutes"), F.count("*").alias("spans"))
+    return C.active_spans(table(spark, d, "events"), "user_id", F.col("event_type") == "click", ["ts", "event_id"], 30)
 
 
 def k05(spark: SparkSession, d: str) -> DataFrame:
