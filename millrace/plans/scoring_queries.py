@@ -126,7 +126,6 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a14(spark: SparkSession, d: str) -> DataFrame:
-
     return S.bootstrap(written(_counts(spark, d), "counts"), "f1", 500, "b1")
 
 
