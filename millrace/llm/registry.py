@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import descriptors, langid, mixing, packing, secrets, simhash, topk, toxicity, warc, wordpiece
+from millrace.llm import descriptors, langid, mixing, packing, secrets, simhash, topk, toxicity, urls, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed are the pages filled with symbols; whatever page has the same canonical URL is blocked too."""
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.junk(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sum_of_squares_packing": op1,
@@ -86,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op8_pivot_distance_topk": op8,
         "op9_image_descriptors": op9,
         "op10_seekable_warc": op10,
+        "op13_url_filter": op13,
     }
 
 
@@ -143,6 +150,27 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 FROM d
 """
 
+OP13_SQL = r"""
+WITH rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+read AS (
+  SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+    list_sort(list_filter(string_split(coalesce(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), ''), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS asked
+  FROM pages),
+named AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN
+    regexp_replace(regexp_replace(host, '^.*@|\.*(:(80|443)?)?$', '', 'g'), '^(www|m)\.', '')
+    || regexp_replace(regexp_replace(path, '/+', '/', 'g'), '(/index)?(\.html)?/?$', '')
+    || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS canonical
+  FROM read),
+listed AS (SELECT DISTINCT canonical FROM named WHERE canonical IS NOT NULL AND len(regexp_extract_all(html, '%%%|###|\*\*\*|\$\$\$')) >= 10),
+fit AS (
+  SELECT page_id, max_by(rules.host || rules.path, length(rules.host) + length(rules.path)) AS rule, max_by(verdict, length(rules.host) + length(rules.path)) AS verdict
+  FROM named JOIN rules ON (named.host = rules.host OR ends_with(named.host, '.' || rules.host)) AND starts_with(named.path, rules.path) GROUP BY page_id)
+SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.verdict, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM named n LEFT JOIN fit f USING (page_id) LEFT JOIN listed l ON n.canonical = l.canonical
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL, "op8_pivot_distance_topk": OP8_SQL, "op10_seekable_warc": OP10_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op8_pivot_distance_topk": OP8_SQL, "op10_seekable_warc": OP10_SQL, "op13_url_filter": OP13_SQL}
