@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import descriptors, langid, mixing, packing, secrets, simhash, topk, toxicity, urls, warc, wordpiece
+from millrace.llm import crosstoken, descriptors, langid, mixing, packing, secrets, simhash, topk, toxicity, urls, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = crosstoken.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed are the pages filled with symbols; whatever page has the same canonical URL is blocked too."""
     pages = _table(spark, sf_dir, "pages")
@@ -92,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op8_pivot_distance_topk": op8,
         "op9_image_descriptors": op9,
         "op10_seekable_warc": op10,
+        "op12_tokenizer_alignment": op12,
         "op13_url_filter": op13,
     }
 
