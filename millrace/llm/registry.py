@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import crosstoken, descriptors, langid, mixing, packing, secrets, simhash, topk, toxicity, urls, warc, wordpiece
+from millrace.llm import crosstoken, descriptors, langid, mixing, packing, phrases, secrets, simhash, topk, toxicity, urls, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = crosstoken.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
@@ -98,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op8_pivot_distance_topk": op8,
         "op9_image_descriptors": op9,
         "op10_seekable_warc": op10,
+        "op11_phrase_collocations": op11,
         "op12_tokenizer_alignment": op12,
         "op13_url_filter": op13,
     }
@@ -157,6 +162,29 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 FROM d
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+cut AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM cut, range(1, 5) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang),
+asked AS (
+  SELECT lang, k, phrase, a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS p, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS q
+  FROM f, range(1, 4) t(j) WHERE j < k),
+cuts AS (
+  SELECT c.*, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a + y.a))::BIGINT AS score
+  FROM asked c JOIN f x ON x.lang = c.lang AND x.phrase = c.p JOIN f y ON y.lang = c.lang AND y.phrase = c.q),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM f, range(2, 4) t(m), range(1, 4) u(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT b.* FROM lowest b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE NOT coalesce(100::HUGEINT * i.longer >= 80::HUGEINT * b.a, false)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT p.lang, p.rank, p.phrase, p.a, p.l, p.r, t.n, p.score FROM placed p JOIN totals t ON t.lang = p.lang WHERE p.rank <= 2000
+"""
+
 OP13_SQL = r"""
 WITH rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 read AS (
@@ -180,4 +208,4 @@ FROM named n LEFT JOIN fit f USING (page_id) LEFT JOIN listed l ON n.canonical =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL, "op8_pivot_distance_topk": OP8_SQL, "op10_seekable_warc": OP10_SQL, "op13_url_filter": OP13_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op8_pivot_distance_topk": OP8_SQL, "op10_seekable_warc": OP10_SQL, "op11_phrase_collocations": OP11_SQL, "op13_url_filter": OP13_SQL}
