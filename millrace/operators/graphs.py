@@ -114,24 +114,6 @@ def owners(units: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataF
     raise RuntimeError(f"owners did not settle in {most_rounds} rounds")
 
 
-def contract(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Dead ends that are not items are cut off until none is left; components with fewer than two items go.
-
-    ``nodes(id, item)``; the result is the edges that stay.
-    """
-    now = written(edges.select("a", "b"), "contract")
-    plain = nodes.where("not item").select("id")
-    while True:
-        degree = both_ways(now).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("d")).where("d = 1").join(plain, "id").select("id")
-        dead = written(degree, "dead")
-        if dead.isEmpty():
-            break
-        now = written(now.join(dead.select(F.col("id").alias("a")), "a", "left_anti").join(dead.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), "contract")
-    comp = components(both_ways(now).select(F.col("a").alias("id")).distinct(), now)
-    enough = comp.join(nodes.where("item"), "id").groupBy("root").agg(F.count("*").alias("n")).where("n >= 2").select("root")
-    return now.join(comp.join(enough, "root").select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
-
-
 def shortest(starts: DataFrame, ends: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
     """``(a, b, hop, path, least)``: the shortest path between each start and the ends it meets first; ``edges(a, b, weight)``.
 

@@ -11,6 +11,7 @@ from millrace.functions import text as T
 from millrace.operators import audits as A
 from millrace.operators import checks as C
 from millrace.operators import graphs as G
+from millrace.operators import pipes as P
 from millrace.operators import records as R
 from millrace.operators import rules as Q
 from millrace.plans.standins import ITEMS, LINKS, items, links, table
@@ -398,18 +399,40 @@ def g02_nearest(spark: SparkSession, d: str) -> DataFrame:
     return G.nearest_of(p.select(F.col("p_partkey").alias("id")), p.where("p_size = 7").select(F.col("p_partkey").alias("id")), links(spark, d), 4)
 
 
+def _drawn(spark: SparkSession, d: str) -> DataFrame:
+    return links(spark, d).withColumn("network", (F.col("a") + F.col("b")) % 7)
+
+
 def g03(spark: SparkSession, d: str) -> DataFrame:
+    """Segments between items and junctions, and the arms of each junction."""
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5 == 0).alias("item"))
-    return G.contract(nodes, links(spark, d))
+    segments, arms = P.contract(nodes, _drawn(spark, d))
+    return segments.select(F.lit("segment").alias("kind"), "a", "b", F.col("network").alias("n")).unionByName(arms.select(F.lit("junction").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("arms").alias("n")))
 
 
 def g04(spark: SparkSession, d: str) -> DataFrame:
-    """Networks: junctions joined by junction-junction segments, and the class of each segment by its ends."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 3 == 0).alias("junction"))
-    e = links(spark, d).join(p.select(F.col("id").alias("a"), F.col("junction").alias("ja")), "a").join(p.select(F.col("id").alias("b"), F.col("junction").alias("jb")), "b")
-    net = G.components(p.where("junction").select("id"), e.where("ja and jb").select("a", "b"))
-    kind = F.when(F.col("ja") & F.col("jb"), "process").when(F.col("ja") | F.col("jb"), "tap").otherwise("direct")
-    return e.withColumn("kind", kind).join(net.select(F.col("id").alias("a"), F.col("root").alias("network")), "a", "left").groupBy("kind", F.col("network").isNotNull().alias("on_network")).agg(F.count("*").alias("n"), F.count_distinct("network").alias("networks"))
+    """Networks of the links, where every third size is a junction."""
+    return P.networks(links(spark, d), table(spark, d, "part").where("p_size % 3 = 0").select(F.col("p_partkey").alias("id")))
+
+
+def g04_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Contracted links by what they are: pipe with its taps, instrument lines, stems, stubs, and junctions by kind.
+
+    Of the items, a third are instruments, and some are actuators or nozzles of the item they hang on.
+    """
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5 < 3).alias("item"), F.col("p_size"))
+    segments, arms = P.contract(part.select("id", "item"), _drawn(spark, d))
+    items_ = part.where("item")
+    ends = segments.join(items_.select(F.col("id").alias("a"), F.col("p_size").alias("s")), "a").join(items_.select(F.col("id").alias("b")), "b").groupBy(F.col("a").alias("id"), "s").agg(F.min("b").alias("of"))
+    role = F.when(F.col("p_size") % 3 == 0, "instrument").when(F.col("p_size") % 7 == 1, "actuator").when(F.col("p_size") % 7 == 2, "nozzle")
+    roles = items_.join(ends.select("id", "of"), "id", "left").select("id", role.alias("role"), F.when(role != "instrument", F.col("of")).alias("of")).where("role = 'instrument' or of is not null")
+    pipe, others, kinds = P.classify(segments, arms, roles)
+    rows = [
+        pipe.select(F.lit("pipe").alias("line"), F.col("a").alias("start"), F.col("b").alias("end"), F.array_join("taps", "-").alias("detail")),
+        others.select("line", "start", "end", F.lit("").alias("detail")),
+        kinds.select(F.lit("junction").alias("line"), F.col("id").alias("start"), F.lit(None).cast("long").alias("end"), F.concat_ws(" ", "kind", "arms").alias("detail")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def g05(spark: SparkSession, d: str) -> DataFrame:
@@ -419,7 +442,7 @@ def g05(spark: SparkSession, d: str) -> DataFrame:
 
 def g05_valves(spark: SparkSession, d: str) -> DataFrame:
     known = g05(spark, d).where("stream % 3 = 0")
-    valves = table(spark, d, "lineitem").where("l_partkey < 1000000").groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).agg(F.min("l_orderkey").alias("x"), F.max("l_orderkey").alias("y")).where("x <> y")
+    valves = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).agg(F.min("l_orderkey").alias("x"), F.max("l_orderkey").alias("y")).where("x <> y")
     ends = valves.select(F.concat_ws("-", "p", "s").alias("valve"), F.explode(F.array("x", "y")).alias("stream"))
     return G.propagated(known, ends)
 
@@ -780,7 +803,15 @@ QUERIES = {
       m AS (SELECT start, id, min(hop) AS hop FROM w GROUP BY ALL), c AS (SELECT m.*, row_number() OVER (PARTITION BY start ORDER BY hop, id) AS k FROM m JOIN part ON p_partkey = id WHERE hop > 0 AND p_size = 7)
       SELECT start AS id, id AS nearest, hop::INTEGER AS hop FROM c WHERE k = 1"""),
     "g03_contraction": (g03, None),
-    "g04_networks": (g04, None),
+    "g04_line_classes": (g04_classes, None),
+    "g04_networks": (g04, RL + """, j AS (SELECT p_partkey AS id FROM part WHERE p_size % 3 = 0),
+      m AS (SELECT a, b, a IN (SELECT id FROM j) AS ja, b IN (SELECT id FROM j) AS jb FROM links),
+      e AS (SELECT a, b FROM m WHERE ja AND jb UNION SELECT b, a FROM m WHERE ja AND jb),
+      w AS (SELECT id, id AS root FROM j UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.id),
+      g AS (SELECT id, min(root) AS root FROM w GROUP BY id)
+      SELECT root::VARCHAR AS network, 'junction' AS kind, id FROM g
+      UNION ALL SELECT DISTINCT g.root::VARCHAR, 'item', h.item FROM g JOIN (SELECT a AS j, b AS item FROM m WHERE ja AND NOT jb UNION ALL SELECT b, a FROM m WHERE jb AND NOT ja) h ON h.j = g.id
+      UNION ALL SELECT a || '-' || b, 'item', unnest([a, b]) FROM m WHERE NOT ja AND NOT jb"""),
     "g05_directions": (g05, """WITH e AS (SELECT l_orderkey AS stream, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS tier, CASE WHEN l_quantity > 15 THEN 1 ELSE -1 END AS sign FROM lineitem),
       p AS (SELECT stream, tier, min(sign) AS lo, max(sign) AS hi FROM e GROUP BY ALL) SELECT stream, tier, CASE WHEN lo <> hi THEN 'conflict' WHEN lo > 0 THEN 'forward' ELSE 'reverse' END AS direction FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY tier) AS k FROM p) WHERE k = 1"""),
     "g05_valve_propagation": (g05_valves, """WITH e AS (SELECT l_orderkey AS stream, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS tier, CASE WHEN l_quantity > 15 THEN 1 ELSE -1 END AS sign FROM lineitem),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import sinks
+from millrace.operators import pipes as P
 from millrace.operators import scoring as S
 from millrace.plans.record_queries import CATALOG
 from millrace.plans.scoring_queries import COUNTS, _counts
@@ -15,14 +16,25 @@ from millrace.sources import records as R
 
 
 def a07(spark: SparkSession, d: str) -> DataFrame:
-    """Pipe layers: predicted segments against true ones per layer, and over all layers."""
-    truth = links(spark, d).withColumn("layer", F.element_at(F.array(F.lit("process"), F.lit("instrument"), F.lit("tap")), ((F.col("a") + F.col("b")) % 3 + 1).cast("int")))
-    given = truth.where("(a * 3 + b) % 7 <> 0").withColumn("layer", F.when(F.col("a") % 11 == 0, F.lit("process")).otherwise(F.col("layer")))
-    hits = truth.join(given, ["a", "b", "layer"], "left_semi").groupBy("layer").agg(F.count("*").alias("tp"))
-    t, p = truth.groupBy("layer").agg(F.count("*").alias("in_key")), given.groupBy("layer").agg(F.count("*").alias("predicted"))
-    per = t.join(p, "layer", "full").join(hits, "layer", "left").select("layer", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "predicted", "in_key")])
-    total = per.agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "in_key")]).select(F.lit("all").alias("layer"), "tp", "predicted", "in_key")
-    return S.prf(per.unionByName(total))
+    """Pipe layers of the links against a tracing of them, by sheet and over all sheets.
+
+    Every third size is a junction; the tracing numbers junctions anew, misses
+    some lines, takes some for the other layer, and some junctions for another
+    kind.
+    """
+    sheet = lambda c: F.floor(F.col(c) / 40).cast("long").alias("sheet")
+    truth = links(spark, d).select(sheet("a"), F.when((F.col("a") + F.col("b")) % 4 == 0, "instrument").otherwise("pipe").alias("layer"), "a", "b")
+    junctions = table(spark, d, "part").where("p_size % 3 = 0").select(sheet("p_partkey"), F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "pipe_tee").otherwise("instrument_tap").alias("kind"))
+    # A line may end on a junction of another sheet: each sheet knows all junctions that its lines end on.
+    ends = truth.select("sheet", F.explode(F.array("a", "b")).alias("id")).distinct().join(junctions.select("id", "kind"), "id").select("sheet", "id", "kind")
+    traced = F.col("id") + 1_000_000_000
+    pj = ends.where("id % 13 <> 0").select("sheet", traced.alias("id"), F.when(F.col("id") % 11 == 0, "pipe_tee").otherwise(F.col("kind")).alias("kind"))
+    match = ends.where("id % 13 <> 0 and id % 17 <> 0").select("sheet", traced.alias("pred"), F.col("id").alias("truth"))
+    is_j = ends.where("id % 13 <> 0")
+    given = truth.where("(a * 3 + b) % 7 <> 0").withColumn("layer", F.when(F.col("a") % 11 == 0, "pipe").otherwise(F.col("layer")))
+    for end in ("a", "b"):
+        given = given.join(is_j.select("sheet", F.col("id").alias(end), F.lit(1_000_000_000).alias("by")), ["sheet", end], "left").withColumn(end, F.col(end) + F.coalesce("by", F.lit(0))).drop("by")
+    return P.pipe_score(given, truth, pj, ends, match)
 
 
 def x01(spark: SparkSession, d: str) -> DataFrame:
@@ -56,10 +68,24 @@ def k06(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "a07_pipe_layers": (a07, "WITH " + LINKS + """, t AS (SELECT *, (['process', 'instrument', 'tap'])[(a + b) % 3 + 1] AS layer FROM links), g AS (SELECT a, b, CASE WHEN a % 11 = 0 THEN 'process' ELSE layer END AS layer FROM t WHERE (a * 3 + b) % 7 <> 0),
-      j AS (SELECT coalesce(t.layer, g.layer) AS layer, t.a AS ta, g.a AS ga FROM t FULL JOIN g ON t.a = g.a AND t.b = g.b AND t.layer = g.layer),
-      c AS (SELECT coalesce(layer, 'all') AS layer, count(*) FILTER (ta IS NOT NULL AND ga IS NOT NULL) AS tp, count(ga) AS predicted, count(ta) AS in_key FROM j GROUP BY ROLLUP (layer))
-      SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS precision, CASE WHEN in_key > 0 THEN tp / in_key ELSE 0 END AS recall, CASE WHEN predicted + in_key > 0 THEN 2.0 * tp / (predicted + in_key) ELSE 0 END::DOUBLE AS f1 FROM c"""),
+    "a07_pipe_layers": (a07, "WITH " + LINKS + """, t AS (SELECT floor(a / 40)::BIGINT AS sheet, CASE WHEN (a + b) % 4 = 0 THEN 'instrument' ELSE 'pipe' END AS layer, a, b FROM links),
+      jn AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'pipe_tee' ELSE 'instrument_tap' END AS kind FROM part WHERE p_size % 3 = 0),
+      j AS (SELECT DISTINCT sheet, id, kind FROM (SELECT sheet, unnest([a, b]) AS id FROM t) JOIN jn USING (id)),
+      g AS (SELECT sheet, CASE WHEN a % 11 = 0 THEN 'pipe' ELSE layer END AS layer, a, b FROM t WHERE (a * 3 + b) % 7 <> 0),
+      f AS (SELECT g.*, x.id IS NOT NULL AS ja, y.id IS NOT NULL AS jb FROM g LEFT JOIN j x ON x.sheet = g.sheet AND x.id = g.a LEFT JOIN j y ON y.sheet = g.sheet AND y.id = g.b),
+      h AS (SELECT t.*, x.id IS NOT NULL AS ja, y.id IS NOT NULL AS jb FROM t LEFT JOIN j x ON x.sheet = t.sheet AND x.id = t.a LEFT JOIN j y ON y.sheet = t.sheet AND y.id = t.b),
+      r AS (
+        SELECT sheet, layer, 0 AS tp, 1 AS predicted, 0 AS truth FROM f
+        UNION ALL SELECT f.sheet, f.layer, 1, 0, 0 FROM f JOIN t ON t.sheet = f.sheet AND t.layer = f.layer AND t.a = f.a AND t.b = f.b
+          WHERE (NOT ja OR (f.a % 17 <> 0 AND f.a % 13 <> 0)) AND (NOT jb OR (f.b % 17 <> 0 AND f.b % 13 <> 0)) OR (ja AND f.a % 13 = 0 AND (NOT jb OR f.b % 13 = 0 OR f.b % 17 <> 0)) OR (jb AND f.b % 13 = 0 AND (NOT ja OR f.a % 13 = 0 OR f.a % 17 <> 0))
+        UNION ALL SELECT sheet, layer, 0, 0, 1 FROM t
+        UNION ALL SELECT sheet, 'item_to_item', 0, 1, 0 FROM f WHERE layer = 'pipe' AND (NOT ja OR a % 13 = 0) AND (NOT jb OR b % 13 = 0)
+        UNION ALL SELECT sheet, 'item_to_item', 0, 0, 1 FROM h WHERE layer = 'pipe' AND NOT ja AND NOT jb
+        UNION ALL SELECT f.sheet, 'item_to_item', 1, 0, 0 FROM f JOIN h ON h.sheet = f.sheet AND h.a = f.a AND h.b = f.b WHERE f.layer = 'pipe' AND h.layer = 'pipe' AND NOT f.ja AND NOT f.jb
+        UNION ALL SELECT sheet, 'junctions', (id % 13 <> 0 AND id % 17 <> 0)::INT, (id % 13 <> 0)::INT, 1 FROM j
+        UNION ALL SELECT sheet, 'junction_kinds', (id % 11 <> 0 OR kind = 'pipe_tee')::INT, 1, 1 FROM j WHERE id % 13 <> 0 AND id % 17 <> 0),
+      c AS (SELECT sheet, layer, sum(tp)::BIGINT AS tp, sum(predicted)::BIGINT AS predicted, sum(truth)::BIGINT AS truth FROM r GROUP BY GROUPING SETS ((sheet, layer), (layer)))
+      SELECT *, CASE WHEN predicted > 0 THEN round(tp / predicted, 3) ELSE 0 END::DOUBLE AS precision, CASE WHEN truth > 0 THEN round(tp / truth, 3) ELSE 0 END::DOUBLE AS recall, CASE WHEN predicted + truth > 0 THEN round(2.0 * tp / (predicted + truth), 3) ELSE 0 END::DOUBLE AS f1 FROM c"""),
     "x01_question_catalog": (x01, """SELECT question, clause, test, field, (SELECT count(*) FROM part) AS items FROM (VALUES ('q1', 'anchor', 'text', 'tag'), ('q1', 'with', 'text', 'tag'), ('q1', 'without', 'text', 'tag'), ('q1', 'without', 'size_min', 'size'),
       ('q2', 'anchor', 'text', 'tag'), ('q2', 'anchor', 'price_min', 'price'), ('q2', 'with', 'text', 'tag'), ('q2', 'with', 'size_max', 'size')) AS c(question, clause, test, field)"""),
     "x02_metric_table": (x02, COUNTS + """SELECT tool, (2.0 * sum(tp) / (sum(predicted) + sum(in_key)))::DOUBLE AS f1, sum(tp) / sum(in_key) AS recall, (100.0 * (sum(predicted) + sum(in_key) - 2 * sum(tp)) / sum(in_key))::DOUBLE AS review_load FROM counts GROUP BY tool"""),

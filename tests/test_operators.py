@@ -128,12 +128,6 @@ def test_components_hops_and_links(spark):
     assert direct.count() == 0 and {tuple(r) for r in met.collect()} == {(2, 1), (2, 4)}
 
 
-def test_contraction_drops_dead_ends(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (9, 10), (20, 21)], "a long, b long")
-    nodes = spark.createDataFrame([(1, True), (2, False), (3, True), (9, False), (10, False), (20, True), (21, False)], "id long, item boolean")
-    assert {(r.a, r.b) for r in G.contract(nodes, edges).collect()} == {(1, 2), (2, 3)}
-
-
 def test_renames_refuse_clashes(spark):
     items = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id long, tag string")
     out, clash = R.renamed(items, spark.createDataFrame([("A", "X"), ("B", "C")], "old string, new string"))
