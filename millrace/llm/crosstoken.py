@@ -16,7 +16,7 @@ and carry it back to their container, where every document adds up its scores.
 Texts are cut into chunks before a blank or line feed that follows no white
 space. A never crosses that boundary, and B has no piece that does, so a
 chunk's tokens are kept in a memo, bounded in bytes, and the tokens of a text
-are those of its chunks in a row.
+are those of its chunks in a row. Marks that end a word are a unit of their own.
 
 Defined cases: null and empty texts, and texts whose joined token bytes are
 not the text's (such as those with U+2581), have no tokens: zeros and an empty
@@ -30,7 +30,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ BITMAP = ROOM // 8
 MOST_LINKS = 2_000_000
 MOST_MEMO_BYTES = 1 << 27
 LONGEST_KEPT = 64
+#: Texts whose new chunks are aligned together.
+SLAB = 128
 ENTRY = 400  # bytes of a memo entry besides its texts, about
 
 MARK = "▁"
@@ -58,7 +62,7 @@ _BYTE_OF = {chr(b): b for b in _PRINTED} | {chr(256 + i): b for i, b in enumerat
 
 
 class Aligner:
-    """The two tokenizers and a memo of aligned chunks: token counts, groups and linked pairs (A id << 32 | B id) by chunk number."""
+    """The two tokenizers and a memo of aligned chunks: token counts, groups and numbers of linked pairs (A id << 32 | B id) by chunk number."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -66,10 +70,13 @@ class Aligner:
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
-        self.a_length = {i: len(bytes(map(_BYTE_OF.__getitem__, piece))) if all(c in _BYTE_OF for c in piece) else -1 for piece, i in self.a.get_vocab().items()}
-        self.a_bytes = {i: bytes(map(_BYTE_OF.__getitem__, piece)) for piece, i in self.a.get_vocab().items() if self.a_length[i] > 0}
+        names = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(names.values()) + 1)
+        for piece, i in names.items():
+            if all(c in _BYTE_OF for c in piece):
+                self.a_bytes[i] = bytes(map(_BYTE_OF.__getitem__, piece))
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.b_bytes = []
+        self.b_bytes, self.joined = [], set()
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
@@ -78,66 +85,124 @@ class Aligner:
                 if MARK in piece.lstrip(MARK) or "\n" in piece:
                     raise ValueError(f"piece {piece!r} crosses the boundary of a chunk")
                 self.b_bytes.append(piece.replace(MARK, " ").encode())
+                self.joined.update(map("".join, zip(piece, piece[1:], strict=False)))
+        self.a_length, self.b_length = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.a_name, self.b_name = list(map(str, range(len(self.a_bytes)))), list(map(str, range(len(self.b_bytes))))
         self.alone = self.b.piece_to_id(MARK)
         self.emptied()
 
     def emptied(self) -> None:
         self.word: dict[str, int] = {}  # chunks without the blank in front of them, or beginning with a line feed
         self.chunk: dict[str, int] = {}  # chunks of texts with unusual white space, whole
+        self.unit: dict[str, int] = {}  # what chunks are put together from: a word with its blank, the marks after it
         self.groups: list[bytes] = []
         self.numbers = np.zeros((4, 1024), np.int64)  # A tokens, B tokens, links (-1: bytes differ), first link
-        self.links: list[int] = []
+        self.links: list[int] = []  # by their pair's number
+        self.pair: dict[int, int] = {}
         self.held = 0
 
-    def numbered(self, text: str) -> list[int]:
-        """Numbers of the chunks of a text that is not empty."""
-        if text[0] in " \n" or any(map(text.__contains__, _UNUSUAL)):
-            parts, known, whole = _BOUNDARY.split(" " + text), self.chunk, True
-        else:
-            parts, known, whole = text.replace("\n", " \n").split(" "), self.word, False
-        fresh = [p for p in dict.fromkeys(parts) if p not in known]
-        own = {}
-        if fresh:
-            for p, n in zip(fresh, self.learn(fresh if whole else [p if p[:1] == "\n" else " " + p for p in fresh]), strict=True):
-                (known if len(p) <= LONGEST_KEPT else own)[p] = n
-        if own:
-            return [own[p] if p in own else known[p] for p in parts]
-        return list(map(known.__getitem__, parts))
-
-    def learn(self, chunks: list[str]) -> range:
-        """Align ``chunks``, each of which begins with a blank or a line feed."""
+    def numbered(self, texts: list[str | None]) -> list[list[int]]:
+        """Numbers of the chunks of each text."""
+        cut = []
+        for text in texts:
+            if not text:
+                cut.append(([], self.word))
+            elif text[0] in " \n" or any(map(text.__contains__, _UNUSUAL)):
+                cut.append((_BOUNDARY.split(" " + text), self.chunk))
+            else:
+                cut.append((text.replace("\n", " \n").split(" "), self.word))
+        own: dict[int, dict[str, int]] = {}
+        for known, align in ((self.word, self.composed), (self.chunk, self.learn)):
+            fresh = dict.fromkeys(p for parts, of in cut if of is known for p in parts if p not in known)
+            found = dict(zip(fresh, align(list(fresh)), strict=True))
+            own[id(known)] = {p: n for p, n in found.items() if len(p) > LONGEST_KEPT}
+            known.update((p, n) for p, n in found.items() if len(p) <= LONGEST_KEPT)
+        out = []
+        for parts, known in cut:
+            long = own[id(known)]
+            out.append([long[p] if p in long else known[p] for p in parts] if long else list(map(known.__getitem__, parts)))
+        return out
+
+    def composed(self, words: list[str]) -> list[int]:
+        """Numbers of chunks given without their blank; the marks that end a word are aligned apart from it.
+
+        A parts a letter from the marks after it, and so does B where no piece
+        has both in a row.
+        """
+        cut = []
+        for word in words:
+            head = word.rstrip(string.punctuation)
+            if head and head != word and head[-1] < "\u0530" and head[-1].isalpha() and head[-1] + word[len(head)] not in self.joined:
+                cut.append((head if head[0] == "\n" else " " + head, "\n" + word[len(head) :]))
+            else:
+                cut.append((word if word[:1] == "\n" else " " + word, ""))
+        fresh = list(dict.fromkeys(h for h, _ in cut if h not in self.unit))
+        found = dict(zip(fresh, self.learn(fresh), strict=True))
+        marks = list(dict.fromkeys(t for _, t in cut if t and t not in self.unit))
+        found |= dict(zip(marks, self.learn(marks, bare=True), strict=True))
+        self.unit.update((k, n) for k, n in found.items() if len(k) <= LONGEST_KEPT)
+        of = lambda k: found[k] if k in found else self.unit[k]
+        both = [(of(h), of(t)) for h, t in cut if t]
+        numbers = iter(self._joined(both))
+        return [next(numbers) if t else of(h) for h, t in cut]
+
+    def _joined(self, pairs: list[tuple[int, int]]) -> range:
+        """Numbers of chunks that are two units in a row."""
+        first, rows, out = len(self.groups), [], []
+        parts = [self.numbers[:, list(x)].T.tolist() for x in zip(*pairs, strict=True)]
+        for (x, y), (a1, b1, n1, f1), (a2, b2, n2, f2) in zip(pairs, *parts, strict=True) if pairs else ():
+            if n1 < 0 or n2 < 0:
+                rows.append((0, 0, -1, len(self.links)))
+                out.append(b"")
+                continue
+            rows.append((a1 + a2, b1 + b2, n1 + n2, len(self.links)))
+            out.append(self.groups[x] + b";" + self.groups[y])
+            self.links += self.links[f1 : f1 + n1]
+            self.links += self.links[f2 : f2 + n2]
+            self.held += ENTRY // 2 + 2 * len(out[-1]) + 8 * (n1 + n2)
+        self._add(rows, out)
+        return range(first, first + len(rows))
+
+    def _add(self, rows: list[tuple[int, int, int, int]], groups: list[bytes]) -> None:
+        first, n = len(self.groups), len(groups)
+        if first + n > self.numbers.shape[1]:
+            self.numbers = np.concatenate([self.numbers, np.zeros((4, max(n, self.numbers.shape[1])), np.int64)], axis=1)
+        if n:
+            self.numbers[:, first : first + n] = np.array(rows, np.int64).T
+        self.groups += groups
+
+    def learn(self, chunks: list[str], bare: bool = False) -> range:
+        """Align ``chunks``, each of which begins with a blank or a line feed; ``bare``: a line feed in front that is no part of them."""
         first = len(self.groups)
-        by_a = self.a.encode_batch_fast(chunks, add_special_tokens=False)
-        by_b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        if first + len(chunks) > self.numbers.shape[1]:
-            self.numbers = np.concatenate([self.numbers, np.zeros((4, max(len(chunks), self.numbers.shape[1])), np.int64)], axis=1)
-        for k, (chunk, found, bs) in enumerate(zip(chunks, by_a, by_b, strict=True), first):
+        by_a = self.a.encode_batch_fast(chunks, add_special_tokens=False) if chunks else []
+        by_b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1) if chunks else []
+        a_bytes, b_bytes, a_length, b_length, a_name, b_name = self.a_bytes.__getitem__, self.b_bytes.__getitem__, self.a_length.__getitem__, self.b_length.__getitem__, self.a_name.__getitem__, self.b_name.__getitem__
+        pair, links, rows, out, comma = self.pair, self.links, [], [], ",".join
+        for chunk, found, bs in zip(chunks, by_a, by_b, strict=True):
             ids = found.ids
             if chunk[0] == "\n":
                 bs = bs[1:]  # the blank that the model adds
             elif chunk == " ":
                 bs = [self.alone]
             data = chunk.encode()
-            a_parts, b_parts = [self.a_bytes.get(i, b"") for i in ids], [self.b_bytes[i] for i in bs]
-            if b"".join(a_parts) != data or b"".join(b_parts) != data:
-                self.numbers[:, k] = (0, 0, -1, len(self.links))
-                self.groups.append(b"")
+            if b"".join(map(a_bytes, ids)) != data or b"".join(map(b_bytes, bs)) != data:
+                rows.append((0, 0, -1, len(links)))
+                out.append(b"")
                 continue
-            begin, groups = len(self.links), []
-            i = j = at_a = at_b = from_a = from_b = 0
-            while i < len(ids):
-                at_a += len(a_parts[i])
-                i += 1
-                while at_b < at_a:
-                    at_b += len(b_parts[j])
-                    j += 1
-                if at_a == at_b:
-                    groups.append(",".join(map(str, ids[from_a:i])) + "|" + ",".join(map(str, bs[from_b:j])))
-                    self.links.append(ids[i - 1] << 32 | bs[j - 1])
-                    from_a, from_b = i, j
-            self.groups.append(";".join(groups).encode())
-            self.numbers[:, k] = (len(ids), len(bs), len(groups), begin)
-            self.held += ENTRY + 4 * len(chunk) + len(self.groups[-1]) + 40 * len(groups)
+            if bare:
+                ids, bs = ids[1:], bs[1:]
+            begin, parts, from_a, from_b = len(links), [], 0, 0
+            a_ends, b_ends = list(accumulate(map(a_length, ids))), list(accumulate(map(b_length, bs)))
+            cuts = set(a_ends).intersection(b_ends)
+            for cut in sorted(cuts) if len(cuts) > 1 else cuts:
+                i, j = a_ends.index(cut, from_a) + 1, b_ends.index(cut, from_b) + 1
+                parts.append(f"{comma(map(a_name, ids[from_a:i]))}|{comma(map(b_name, bs[from_b:j]))}")
+                links.append(pair.setdefault(ids[i - 1] << 32 | bs[j - 1], len(pair)))
+                from_a, from_b = i, j
+            out.append(";".join(parts).encode())
+            rows.append((len(ids), len(bs), len(parts), begin))
+            self.held += ENTRY + 4 * len(chunk) + len(out[-1]) + 8 * len(parts)
+        self._add(rows, out)
         return range(first, len(self.groups))
 
 
@@ -176,14 +241,14 @@ def merged(planes: list[bytes]) -> bytes:
     return planes[0] if len(planes) == 1 else compressed(np.unique(np.concatenate([places_of(p) for p in planes])))
 
 
-def planes_by_pair(pairs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Distinct pairs of a container's links, sorted, and each one's multiplicity planes."""
-    known, number = np.unique(pairs, return_inverse=True)
-    keys, counts = np.unique(number.astype(np.int64) * ROOM + places, return_counts=True)
+def planes_by_pair(numbers: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Distinct pair numbers of a container's links, sorted, and each one's multiplicity planes."""
+    keys, counts = np.unique(numbers * ROOM + places, return_counts=True)
+    known = np.unique(keys // ROOM)
     out: list[list[bytes]] = [[] for _ in known]
     for digit in range(int(counts.max(initial=0)).bit_length()):
         own = keys[counts >> digit & 1 == 1]
-        of, at = own // ROOM, own % ROOM
+        of, at = np.searchsorted(known, own // ROOM), own % ROOM
         begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(own) else []
         for pair, part in zip(of[begins].tolist(), np.split(at, begins[1:]), strict=True) if len(own) else []:
             out[pair] += [b""] * (digit - len(out[pair])) + [compressed(part)]
@@ -220,7 +285,8 @@ def postings(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id
                 counts, begins = known.numbers[2][at], known.numbers[3][at]
                 ends = np.cumsum(counts)
                 links = np.array(known.links, np.int64)[np.repeat(begins - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
-                pairs, planes = planes_by_pair(links, np.repeat(places, counts))
+                own_pairs, planes = planes_by_pair(links, np.repeat(places, counts))
+                pairs = np.fromiter(known.pair, np.int64, len(known.pair))[own_pairs]
                 for k in range(0, len(pairs), 10_000):
                     own, n = planes[k : k + 10_000], len(pairs[k : k + 10_000])
                     n_docs = [popcount(merged(p)) for p in own]
@@ -228,26 +294,28 @@ def postings(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id
                     none = [pa.nulls(n, t.type) for t in list(SCHEMA)[5:]]
                     yield pa.RecordBatch.from_arrays([pa.array([container] * n, pa.int64()), pa.array(pairs[k : k + 10_000]), pa.array(n_docs, pa.int64()), pa.array(totals, pa.int64()), pa.array(own, pa.list_(pa.binary())), *none, pa.nulls(n, id_type)], names=names)
             container, chunks, rows, n_links = container + 1, [], [], 0
-            if known.held > MOST_MEMO_BYTES:
-                known.emptied()
 
         names, id_type = [*SCHEMA.names, "doc_id"], pa.int64()
         for batch in batches:
             id_type = batch.column(0).type
-            for i, value in enumerate(batch.column(1)):
-                text = value.as_py()
-                idx = np.array(numbers := known.numbered(text) if text else [], np.int64)
-                n_a, n_b, n, _ = known.numbers[:, idx]
-                if not len(idx) or n.min() < 0:
-                    idx, found = idx[:0], (0, 0, 0, "")
-                else:
-                    groups = b";".join(map(known.groups.__getitem__, numbers))
-                    found = (int(n_a.sum()), int(n_b.sum()), int(n.sum()), hashlib.sha256(groups).hexdigest() if digest else groups.decode())
-                rows.append((batch.column(0).slice(i, 1), *found))
-                chunks.append(idx)
-                n_links += found[2]
-                if len(rows) == ROOM or n_links >= MOST_LINKS or known.held > MOST_MEMO_BYTES:
+            for begin in range(0, batch.num_rows, SLAB):
+                slab = batch.slice(begin, SLAB)
+                for i, numbers in enumerate(known.numbered(slab.column(1).to_pylist())):
+                    idx = np.array(numbers, np.int64)
+                    n_a, n_b, n, _ = known.numbers[:, idx]
+                    if not len(idx) or n.min() < 0:
+                        idx, found = idx[:0], (0, 0, 0, "")
+                    else:
+                        groups = b";".join(map(known.groups.__getitem__, numbers))
+                        found = (int(n_a.sum()), int(n_b.sum()), int(n.sum()), hashlib.sha256(groups).hexdigest() if digest else groups.decode())
+                    rows.append((slab.column(0).slice(i, 1), *found))
+                    chunks.append(idx)
+                    n_links += found[2]
+                    if len(rows) == ROOM or n_links >= MOST_LINKS:
+                        yield from closed()
+                if known.held > MOST_MEMO_BYTES:
                     yield from closed()
+                    known.emptied()
         yield from closed()
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
