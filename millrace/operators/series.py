@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import scans
+from millrace.operators.scans import AT, CHUNK, OWN, SPELL
 from millrace.scratch import written
 
 SERIES = ["run", "tag"]
@@ -33,19 +35,15 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
-def in_order(*by: str) -> Window:
-    return Window.partitionBy(*SERIES).orderBy(*(by or ("row_no",)))
-
-
 def numbered(readings: DataFrame, *by: str) -> DataFrame:
-    """Row numbers from 0 within a series, in the order of ``by``."""
-    return readings.withColumn("row_no", F.row_number().over(in_order(*by)) - 1)
+    """Row numbers from 0 within a series, in the order of ``by``, whose first is a time or a number."""
+    return scans.numbered(readings, SERIES, list(by), "row_no")
 
 
 def split(readings: DataFrame) -> DataFrame:
     """``part``: fit for the first half of each series, held for the rest."""
-    n = F.count("*").over(Window.partitionBy(*SERIES))
-    return readings.withColumn("part", F.when(F.col("row_no") < F.floor(n / 2), "fit").otherwise("held"))
+    n = readings.groupBy(*SERIES).agg(F.count("*").alias("_n"))
+    return scans.beside(readings, n, SERIES).withColumn("part", F.when(F.col("row_no") < F.floor(F.col("_n") / 2), "fit").otherwise("held")).drop("_n")
 
 
 # ---- level bands
@@ -106,30 +104,34 @@ def chosen_k(table: DataFrame, target: float = TARGET) -> DataFrame:
 # ---- runs of flags
 
 
-def alarm_runs(flags: DataFrame, least: int = RUN, keys: list[str] | None = None) -> DataFrame:
+def alarm_runs(flags: DataFrame, least: int = RUN, keys: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """One row per unbroken run of at least ``least`` flagged rows: first_row, last_row, samples.
 
-    Flagged rows whose row_no minus rank agree form a run.
+    Flagged rows form a run until a row_no is left out.
     """
     keys = keys or SERIES
-    island = F.col("row_no") - F.row_number().over(Window.partitionBy(*keys).orderBy("row_no"))
-    runs = flags.where("flag").withColumn("island", island).groupBy(*keys, "island")
-    return runs.agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.count("*").alias("samples")).where(F.col("samples") >= least).drop("island")
+    flagged = flags.where("flag").select(*keys, "row_no")
+    before = F.lag("row_no").over(scans.inside(keys, ["row_no"]))
+    begins = before.isNull() | (F.col("row_no") != before + 1)
+    sums = [F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.count("*").alias("samples")]
+    again = [F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"), F.sum("samples").alias("samples")]
+    return scans.runs(flagged, keys, "row_no", begins, scans.by_rows(chunk=chunk), sums, again).where(F.col("samples") >= least).drop("_run")
 
 
-def states(readings: DataFrame, state: str) -> DataFrame:
+def states(readings: DataFrame, state: str, chunk: int = CHUNK) -> DataFrame:
     """Unbroken spells of one state, missing readings inside a spell ignored."""
-    order = in_order()
-    seen = readings.where(F.col(state).isNotNull())
-    changed = F.coalesce(F.lag(state).over(order) != F.col(state), F.lit(True)).cast("int")
-    spelled = seen.withColumn("changed", changed).withColumn("spell", F.sum("changed").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return spelled.groupBy(*SERIES, "spell", F.col(state).alias("state")).agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.count("*").alias("samples"))
+    seen = readings.where(F.col(state).isNotNull()).select(*SERIES, "row_no", "ts", F.col(state).alias("state"))
+    begins = F.coalesce(F.lag("state").over(scans.inside(SERIES, ["row_no"])) != F.col("state"), F.lit(True))
+    sums = [F.first("state").alias("state"), F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.count("*").alias("samples")]
+    again = [F.first("state").alias("state"), F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"), F.min("from_ts").alias("from_ts"), F.max("to_ts").alias("to_ts"), F.sum("samples").alias("samples")]
+    return scans.runs(seen, SERIES, "row_no", begins, scans.by_rows(chunk=chunk), sums, again).withColumnRenamed("_run", "spell")
 
 
-def onsets(flags: DataFrame, start: int) -> DataFrame:
+def onsets(flags: DataFrame, start: int, chunk: int = CHUNK) -> DataFrame:
     """The state at row ``start`` and the first change from 0 to 1 after it, per series."""
-    before = F.lag("flag").over(in_order())
-    marked = flags.withColumn("rises", F.coalesce(~before & F.col("flag") & (F.col("row_no") > start), F.lit(False)))
+    near = scans.with_neighbours(flags.select(*SERIES, "row_no", "flag"), SERIES, ["row_no"], scans.by_rows(chunk=chunk), 1)
+    before = F.lag("flag").over(scans.inside(SERIES, ["row_no"]))
+    marked = near.withColumn("rises", F.coalesce(~before & F.col("flag") & (F.col("row_no") > start), F.lit(False))).where(OWN)
     return marked.groupBy(*SERIES).agg(F.max(F.when(F.col("row_no") == start, F.col("flag"))).alias("at_start"), F.min(F.when(F.col("rises"), F.col("row_no"))).alias("onset_row"))
 
 
@@ -153,10 +155,11 @@ def first_tags(flags: DataFrame, fault_row: int, most: int = 3) -> DataFrame:
     return hit.withColumn("place", place).where(F.col("place") <= most).select("run", "place", "tag", "first_row")
 
 
-def out_of_order(readings: DataFrame) -> DataFrame:
+def out_of_order(readings: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Rows whose time is not after the one before, with both times."""
-    before = F.lag("ts").over(in_order())
-    return readings.withColumn("before_ts", before).where(F.col("ts") <= F.col("before_ts")).select(*SERIES, "row_no", "before_ts", "ts")
+    near = scans.with_neighbours(readings.select(*SERIES, "row_no", "ts"), SERIES, ["row_no"], scans.by_rows(chunk=chunk), 1)
+    before = F.lag("ts").over(scans.inside(SERIES, ["row_no"]))
+    return near.withColumn("before_ts", before).where(OWN).where(F.col("ts") <= F.col("before_ts")).select(*SERIES, "row_no", "before_ts", "ts")
 
 
 def at_or_after(readings: DataFrame, moment: Column) -> DataFrame:
@@ -164,24 +167,68 @@ def at_or_after(readings: DataFrame, moment: Column) -> DataFrame:
     return readings.groupBy(*SERIES).agg(F.min(F.when(F.col("ts") >= moment, F.col("row_no"))).alias("fault_row"))
 
 
-def nearest(readings: DataFrame, moments: DataFrame) -> DataFrame:
+def nearest(readings: DataFrame, moments: DataFrame, spell: int = SPELL) -> DataFrame:
     """For each of ``moments(run, tag, at)`` the nearest good reading, the earlier one on a tie.
 
-    Both tables are merged in time order; the good readings around a moment
-    are carried to it, so no moment is paired with all readings.
+    Both tables are merged in time order in chunks of ``spell`` microseconds;
+    the good readings around a moment are carried to it, those of other chunks
+    by a table with a row a chunk, so no moment is paired with all readings.
     """
     good = readings.where("value is not null").select(*SERIES, F.col("ts").alias("t"), F.struct("ts", "value").alias("reading"), F.lit(None).cast(readings.schema["ts"].dataType).alias("at"))
     asked = moments.select(*SERIES, F.col("at").alias("t"), F.lit(None).cast(good.schema["reading"].dataType).alias("reading"), "at")
-    merged = good.unionByName(asked)
-    order = Window.partitionBy(*SERIES).orderBy("t", F.col("at").isNotNull())
+    merged = good.unionByName(asked).withColumn(AT, F.floor(micros("t") / spell))
+    chunks = merged.groupBy(*SERIES, AT).agg(F.min("reading").alias("_low"), F.max("reading").alias("_high"))
+    around = Window.partitionBy(*SERIES).orderBy(AT)
+    edges = chunks.select(*SERIES, AT, F.last("_high", ignorenulls=True).over(around.rowsBetween(Window.unboundedPreceding, -1)).alias("_back"), F.first("_low", ignorenulls=True).over(around.rowsBetween(1, Window.unboundedFollowing)).alias("_ahead"))
+    order = Window.partitionBy(*SERIES, AT).orderBy("t", F.col("at").isNotNull())
     back = F.last("reading", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first("reading", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
     both = merged.withColumns({"back": back, "ahead": ahead}).where("at is not null")
+    both = scans.beside(both, edges, [*SERIES, AT])
+    both = both.withColumns({"back": F.coalesce("back", "_back"), "ahead": F.coalesce("ahead", "_ahead")})
     gap = lambda c: F.abs(micros("at") - micros(f"{c}.ts"))
     pick = F.when(F.col("ahead").isNull() | (gap("back") <= gap("ahead")), F.col("back")).otherwise(F.col("ahead"))
     return both.select(*SERIES, "at", pick["ts"].alias("ts"), pick["value"].alias("value"))
 
 
+def statement_checks(rows: DataFrame, statements: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Whether timeline statements hold; ``(run, statement, got_ts, value, minutes_off, ok)``.
+
+    ``rows(run, tag, row_no, ts, value, state)`` and ``statements(statement,
+    tag, test, state, after, expect, tolerance_min, drop)``. A test is ``leave``
+    (the first row after a row of ``state`` that has another one), ``enter`` (the
+    first row of the state), ``peak`` (the first value above the one before it
+    that is followed by one lower by ``drop`` or more) or ``never`` (no row of
+    the state; the value is then the greatest). Rows from ``after`` on count
+    (all rows if null), and so does the row before. Missing states and values
+    are passed over. A statement without a hit fails, but for ``never``; with
+    ``expect`` the hit must lie within the tolerance. Every run with a row of
+    the statement's tag gets a row.
+    """
+    own = rows.select(*SERIES, "row_no", "ts", F.col("value").cast("double").alias("value"), "state")
+    order = scans.inside(SERIES, ["row_no"])
+    around = lambda column, after: scans.with_neighbours(own.where(F.col(column).isNotNull()), SERIES, ["row_no"], scans.by_rows(chunk=chunk), 1, after)
+    stated = around("state", 0).withColumns({"was": F.lag("state").over(order), "was_ts": F.lag("ts").over(order)}).where(OWN)
+    valued = around("value", 1).withColumns({"prev": F.lag("value").over(order), "was_ts": F.lag("ts").over(order), "next": F.lead("value").over(order)}).where(OWN)
+    s = statements.select("statement", F.col("tag").alias("of_tag"), "test", F.col("state").alias("asked"), "after", "expect", "tolerance_min", F.col("drop").alias("fall"))
+    since = lambda ts: F.coalesce(F.col(ts) >= F.col("after"), F.col("after").isNull())
+    changes = stated.join(s, F.col("tag") == F.col("of_tag")).where(
+        ((F.col("test") == "leave") & (F.col("was") == F.col("asked")) & (F.col("state") != F.col("asked")) & since("was_ts"))
+        | ((F.col("test") == "enter") & (F.col("state") == F.col("asked")) & since("ts"))
+        | ((F.col("test") == "never") & (F.col("state") == F.col("asked")))
+    )
+    peaks = valued.join(s, F.col("tag") == F.col("of_tag")).where((F.col("test") == "peak") & (F.col("value") > F.col("prev")) & (F.col("value") >= F.col("next") + F.col("fall")) & since("was_ts"))
+    hits = changes.select("run", "statement", "ts", "value").unionByName(peaks.select("run", "statement", "ts", "value"))
+    first = hits.groupBy("run", "statement").agg(F.min(F.struct("ts", "value")).alias("hit"))
+    tops = own.groupBy(F.col("run").alias("of_run"), "tag").agg(F.max("value").alias("top"))
+    every = tops.join(s, F.col("tag") == F.col("of_tag")).join(first.withColumnRenamed("statement", "hit_of"), (F.col("of_run") == F.col("run")) & (F.col("statement") == F.col("hit_of")), "left")
+    off = (micros("hit.ts") - micros("expect")) / 60e6
+    never = F.col("test") == "never"
+    ok = F.when(never, F.col("hit").isNull()).otherwise(F.coalesce(F.col("hit").isNotNull() & F.coalesce(F.abs(off) <= F.col("tolerance_min"), F.col("expect").isNull()), F.lit(False)))
+    value = F.when(never, F.col("top")).when(F.col("test") == "peak", F.col("hit.value"))
+    return every.select(F.col("of_run").alias("run"), "statement", F.col("hit.ts").alias("got_ts"), value.alias("value"), F.round(off, 1).alias("minutes_off"), ok.alias("ok"))
+
+
 # ---- false alarms
 
 
@@ -260,19 +307,15 @@ def method_choice(readings: DataFrame, least_days: float = 2.0, least_r2: float
 # ---- drift
 
 
-def median3(readings: DataFrame) -> DataFrame:
+def median3(readings: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Median of a good value and the two good ones before it; the first two pass through."""
-    order = in_order()
-    good = readings.where("value is not null")
-    last = F.array_sort(F.collect_list("value").over(order.rowsBetween(-2, 0)))
-    out = good.withColumn("median3", F.when(F.size(last) == 3, F.element_at(last, 2)).otherwise(F.col("value")))
+    good = scans.with_neighbours(readings.where("value is not null"), SERIES, ["row_no"], scans.by_rows(chunk=chunk), 2)
+    last = F.array_sort(F.collect_list("value").over(scans.inside(SERIES, ["row_no"]).rowsBetween(-2, 0)))
+    out = good.withColumn("median3", F.when(F.size(last) == 3, F.element_at(last, 2)).otherwise(F.col("value"))).where(OWN).select(*readings.columns, "median3")
     bad = readings.where("value is null").withColumn("median3", F.lit(None).cast("double"))
     return out.unionByName(bad)
 
 
-CHUNK = 4096
-
-
 EARLY = 1024
 
 

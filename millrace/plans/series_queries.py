@@ -149,18 +149,14 @@ def a28(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w07(spark: SparkSession, d: str) -> DataFrame:
-    """Timeline statements: a local peak that falls by at least 27%, and the first time a series leaves and enters the low band."""
-    order = Window.partitionBy("run", "tag").orderBy("row_no")
-    own = readings(spark, d).where("value is not null")
-    own = own.withColumns({"prev": F.lag("value").over(order), "next": F.lead("value").over(order), "low": F.col("value") < 10})
-    own = own.withColumn("was_low", F.lag("low").over(order))
-    peak = (F.col("value") > F.col("prev")) & (F.col("value") >= F.col("next")) & ((F.col("value") - F.col("next")) / F.col("value") >= 0.27)
-    return own.groupBy("run", "tag").agg(
-        F.min(F.when(peak, F.col("ts"))).alias("first_peak"),
-        F.min(F.when(F.col("low") & ~F.col("was_low"), F.col("ts"))).alias("enters_low"),
-        F.min(F.when(~F.col("low") & F.col("was_low"), F.col("ts"))).alias("leaves_low"),
-        F.max("low").alias("ever_low"),
-    )
+    """Timeline statements about each tag: it leaves and enters the low band, has a peak that falls by 5, and is never high."""
+    value = F.col("value")
+    rows = readings(spark, d).withColumn("state", F.when(value < 10, "low").when(value < 95, "normal").when(value.isNotNull(), "high"))
+    after = F.lit("2024-01-03").cast("timestamp")
+    tests = F.array(*[F.struct(F.lit(t).alias("test"), F.lit(state).alias("state"), (after if late else F.lit(None).cast("timestamp")).alias("after"), F.lit(fall).cast("double").alias("drop")) for t, state, late, fall in (("leave", "low", False, None), ("enter", "low", True, None), ("peak", None, True, 5.0), ("never", "high", False, None))])
+    tags = rows.select("tag").distinct().select("tag", F.inline(tests))
+    asked = tags.select(F.concat_ws(" ", "tag", "test").alias("statement"), "tag", "test", "state", "after", F.when(F.col("test") == "enter", F.lit("2024-01-05").cast("timestamp")).alias("expect"), F.lit(1440.0).alias("tolerance_min"), "drop")
+    return S.statement_checks(rows, asked)
 
 
 def w10(spark: SparkSession, d: str) -> DataFrame:
@@ -246,9 +242,17 @@ QUERIES = {
       SELECT run, tag, state, min(row_no) AS first_row, max(row_no) AS last_row, count(*) AS samples FROM p GROUP BY run, tag, spell, state"""),
     "w06_onsets": (w06, WITH + """, m AS (SELECT *, lag(flag) OVER (PARTITION BY run, tag ORDER BY row_no) AS was FROM low)
       SELECT run, tag, bool_or(flag) FILTER (row_no = 20) AS at_start, min(row_no) FILTER (flag AND NOT was AND row_no > 20) AS onset_row FROM m GROUP BY run, tag"""),
-    "w07_timeline_checks": (w07, WITH + """, o AS (SELECT *, lag(value) OVER w AS prev, lead(value) OVER w AS nxt, value < 10 AS is_low, lag(value < 10) OVER w AS was FROM readings WHERE value IS NOT NULL WINDOW w AS (PARTITION BY run, tag ORDER BY row_no))
-      SELECT run, tag, min(ts) FILTER (value > prev AND value >= nxt AND (value - nxt) / value >= 0.27) AS first_peak, min(ts) FILTER (is_low AND NOT was) AS enters_low,
-        min(ts) FILTER (NOT is_low AND was) AS leaves_low, bool_or(is_low) AS ever_low FROM o GROUP BY run, tag"""),
+    "w07_timeline_checks": (w07, WITH + """, r AS (SELECT run, tag, row_no, ts, value, CASE WHEN value < 10 THEN 'low' WHEN value < 95 THEN 'normal' ELSE 'high' END AS state FROM readings WHERE value IS NOT NULL),
+      o AS (SELECT *, lag(state) OVER w AS was, lag(ts) OVER w AS was_ts, lag(value) OVER w AS prev, lead(value) OVER w AS nxt FROM r WINDOW w AS (PARTITION BY run, tag ORDER BY row_no)),
+      m AS (SELECT run, tag, max(value) AS top,
+        min({'t': ts, 'v': value}) FILTER (was = 'low' AND state <> 'low') AS leave, min({'t': ts, 'v': value}) FILTER (state = 'low' AND ts >= TIMESTAMP '2024-01-03') AS enter,
+        min({'t': ts, 'v': value}) FILTER (value > prev AND value >= nxt + 5 AND was_ts >= TIMESTAMP '2024-01-03') AS peak, min({'t': ts, 'v': value}) FILTER (state = 'high') AS never
+        FROM o GROUP BY run, tag),
+      s AS (SELECT run, tag, top, t.test, CASE t.test WHEN 'leave' THEN leave WHEN 'enter' THEN enter WHEN 'peak' THEN peak ELSE never END AS hit
+        FROM (SELECT run, tag FROM readings GROUP BY run, tag) LEFT JOIN m USING (run, tag), (VALUES ('leave'), ('enter'), ('peak'), ('never')) t(test)),
+      q AS (SELECT *, CASE WHEN test = 'enter' THEN round((epoch_us(hit.t) - epoch_us(TIMESTAMP '2024-01-05')) / 60e6, 1) END AS minutes_off FROM s)
+      SELECT run, tag || ' ' || test AS statement, hit.t AS got_ts, CASE test WHEN 'never' THEN top WHEN 'peak' THEN hit.v END AS value, minutes_off,
+        CASE WHEN test = 'never' THEN hit IS NULL WHEN hit IS NULL THEN false WHEN test = 'enter' THEN abs((epoch_us(hit.t) - epoch_us(TIMESTAMP '2024-01-05')) / 60e6) <= 1440 ELSE true END AS ok FROM q"""),
     "w08_first_flags": (w08, WITH + """SELECT run, tag, min(row_no) FILTER (row_no >= 20 AND flag) AS first_row,
         epoch_us(min(ts) FILTER (row_no >= 20 AND flag)) - epoch_us(min(ts) FILTER (row_no = 20)) AS delay_us,
         count(*) FILTER (row_no < 20 AND flag) AS flagged_before, avg(flag::INT) FILTER (row_no >= 20) AS rate_after FROM low GROUP BY run, tag"""),
