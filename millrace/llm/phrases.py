@@ -1,19 +1,21 @@
 """Phrase collocations counted in HAT-tries.
 
-Each task counts phrases of one length in a HAT-trie for each language: a
-shallow trie of word ids whose leaves are hash containers of what follows; a
-container that grows past ``BURST`` phrases bursts into a trie node with a
-container for each next word. When a task's tries hold more than
-``MOST_ENTRIES`` phrases, whole subtrees, the largest first, leave as sorted
-runs. Runs are dealt by their phrases' prefixes (a crowded prefix over
-``SLOTS`` parts by the last word), sorted and merged in one pass.
-
-Lengths are counted one after the other. A phrase can only be frequent if both
-phrases a word shorter in it are, so a blocked Bloom filter of the frequent
-ones, made once they are known, keeps most others out of the tries. The filter
-has 16 bits a phrase up to ``MOST_BITS``; beyond that more phrases are counted
-for nothing, and the result is the same. Counts are exact: words are compared
-as text when runs are merged, and sums of products are decimals.
+Each task counts phrases in a HAT-trie for each language and length: a shallow
+trie of word ids whose leaves are hash containers of what follows; a container
+that grows past ``BURST`` phrases bursts into a trie node with a container for
+each next word. When a task's tries hold more than ``MOST_ENTRIES`` phrases,
+whole subtrees, the largest first, leave as runs sorted by their words. Runs
+are dealt by their phrases' prefixes (a crowded prefix over ``SLOTS`` parts by
+the last word), sorted and merged in one pass.
+
+The texts are read three times. The first pass counts words, and pairs of
+words in the cells of a sketch: a pair can only be frequent if its cell is.
+The second counts the pairs whose cells are frequent. The third counts phrases
+of three and four words whose pairs pass a blocked Bloom filter of the
+frequent ones, since a phrase can only be frequent if all its parts are. Sketch
+and filter have a fixed greatest size; on larger corpora they spare less, and
+the result is the same. Counts are exact: words are compared as text when runs
+are merged, and sums of products are decimals.
 
 Defined cases: null texts are empty; a null language is ``und``, together with
 that name; punctuation or line breaks alone give no words; repeated rows count
@@ -42,6 +44,9 @@ MOST_WORDS = 1_000_000
 SLAB = 1 << 20
 SLOTS = 32
 MOST_BITS = 1 << 27
+CELL_BITS = 27  # the sketch has 2 to this power cells
+BLOCK_BITS = 20  # of its cells are merged together
+MERGES = 8  # groups that a block's cells are merged in first
 BITS_A_PHRASE = 16
 PROBES = 4
 
@@ -55,54 +60,64 @@ class Node(dict):
 
 
 class HatTrie:
-    """Counts of word-id tuples of one length."""
+    """Counts of phrases of ``n`` words; a container's keys hold one or two word ids of 31 bits."""
 
-    def __init__(self) -> None:
-        self.root: dict = {}
+    def __init__(self, n: int) -> None:
+        self.n = n
+        self.root = Node() if n > 1 else {}
         self.size = 0
 
-    def add(self, phrases: Iterator[tuple[int, ...]], counts: Iterator[int]) -> None:
-        for phrase, n in zip(phrases, counts, strict=True):
-            at, depth, above = self.root, 0, None
-            while type(at) is Node:
-                above, word = at, phrase[depth]
-                at = above.get(word)
-                if at is None:
-                    at = above[word] = {}
-                depth += 1
-            rest = phrase[depth:] if depth else phrase
-            if rest in at:
-                at[rest] += n
-            else:
-                at[rest] = n
-                self.size += 1
-                if len(at) > BURST and len(rest) > 1:
-                    node = burst(at)
-                    if above is None:
-                        self.root = node
-                    else:
-                        above[phrase[depth - 1]] = node
-
-    def subtrees(self) -> list[tuple[int, tuple[int, ...]]]:
-        """Size and prefix of the subtrees below the root, the whole trie if the root has not burst."""
-        if type(self.root) is not Node:
-            return [(self.size, ())] if self.size else []
-        return [(held(sub), (word,)) for word, sub in self.root.items()]
-
-    def taken(self, prefix: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
-        """Remove the subtree and return its phrases and counts."""
-        if prefix:
-            sub = self.root.pop(prefix[0])
-        else:
+    def add(self, columns: np.ndarray, counts: np.ndarray) -> None:
+        """Add phrases, a column of word ids for each word, sorted by their words."""
+        if self.n == 1:
+            self._into(self.root, columns[0].tolist(), counts.tolist())
+        elif columns.shape[1]:
+            self._below(self.root, columns, counts)
+
+    def _into(self, container: dict, keys: list[int], counts: list[int]) -> None:
+        before = len(container)
+        for key, count in zip(keys, counts, strict=True):
+            container[key] = container.get(key, 0) + count
+        self.size += len(container) - before
+
+    def _below(self, node: Node, columns: np.ndarray, counts: np.ndarray) -> None:
+        first, rest = columns[0], columns[1:]
+        begins = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+        ends = [*begins[1:].tolist(), len(first)]
+        keys, numbers = (rest[0] if len(rest) == 1 else rest[0] << 31 | rest[1]).tolist() if len(rest) < 3 else None, counts.tolist()
+        for word, begin, end in zip(first[begins].tolist(), begins.tolist(), ends, strict=True):
+            below = node.get(word)
+            if below is None:
+                below = node[word] = {} if keys is not None else Node()
+            if type(below) is Node:
+                self._below(below, rest[:, begin:end], counts[begin:end])
+                continue
+            self._into(below, keys[begin:end], numbers[begin:end])
+            if len(below) > BURST and len(rest) == 2:
+                node[word] = burst(below)
+
+    def subtrees(self) -> list[tuple[int, int]]:
+        """Size and word of the subtrees below the root; 0 for a trie of single words."""
+        if self.n == 1:
+            return [(self.size, 0)] if self.size else []
+        return [(held(sub), word) for word, sub in self.root.items()]
+
+    def taken(self, words: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Remove the subtrees of ``words`` and return their phrases, a column for each word, and counts."""
+        out: tuple[list[int], ...] = tuple([] for _ in range(self.n + 1))
+        if self.n == 1:
             sub, self.root = self.root, {}
-        self.size -= held(sub)
-        return walked(sub, prefix)
+            walked(sub, [], 1, out)
+        for word in words if self.n > 1 else ():
+            walked(self.root.pop(word), [word], self.n - 1, out)
+        self.size -= len(out[-1])
+        return np.array(out[:-1], np.int64), np.array(out[-1], np.int64)
 
 
 def burst(container: dict) -> Node:
     node = Node()
-    for (word, *rest), n in container.items():
-        node.setdefault(word, {})[tuple(rest)] = n
+    for key, n in container.items():
+        node.setdefault(key >> 31, {})[key & ((1 << 31) - 1)] = n
     return node
 
 
@@ -110,12 +125,20 @@ def held(sub: dict) -> int:
     return sum(map(held, sub.values())) if type(sub) is Node else len(sub)
 
 
-def walked(sub: dict, prefix: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
-    for key, below in sub.items():
-        if type(sub) is Node:
-            yield from walked(below, (*prefix, key))
-        else:
-            yield (*prefix, *key), below
+def walked(sub: dict, prefix: list[int], left: int, out: tuple[list[int], ...]) -> None:
+    """Append what is below ``prefix`` to the columns of ``out``."""
+    if type(sub) is Node:
+        for word, below in sub.items():
+            walked(below, [*prefix, word], left - 1, out)
+        return
+    for column, word in zip(out, prefix, strict=False):
+        column.extend([word] * len(sub))
+    if left == 2:
+        out[-3].extend([k >> 31 for k in sub])
+        out[-2].extend([k & ((1 << 31) - 1) for k in sub])
+    else:
+        out[-2].extend(sub)
+    out[-1].extend(sub.values())
 
 
 class Words(dict):
@@ -189,20 +212,18 @@ def bloom(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def windows(lang: str, ids: np.ndarray, hashes: np.ndarray, n: int, filter_words: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``n``-word windows (a column each) within pieces and their counts; both phrases a word shorter in them pass the filter."""
+def windows(ids: np.ndarray, n: int, pairs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``n``-word windows within pieces, a column for each word, sorted by their words, and their counts; ``pairs`` says which two-word windows may be frequent."""
     if n == 1:
         known, counts = np.unique(ids[ids > 0], return_counts=True)
         return known[None], counts
-    ok = np.ones(max(0, len(ids) - n + 2), bool)
+    ok = np.ones(max(0, len(ids) - n + 1), bool)
     for j in range(n - 1):
-        ok &= ids[j : j + len(ok)] > 0
+        ok &= pairs[j : j + len(ok)]
     at = np.flatnonzero(ok)
-    ok[at] = among(phrase_hashes(lang, hashes[ids], n - 1)[at], filter_words)
-    at = np.flatnonzero(ok[:-1] & ok[1:])
     columns = [ids[at + j] for j in range(n)]
     keys = [columns[j] << 32 | (columns[j + 1] if j + 1 < n else 0) for j in range(0, n, 2)]
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     changed = np.zeros(len(at), bool)
     changed[:1] = True
     for key in keys:
@@ -212,67 +233,152 @@ def windows(lang: str, ids: np.ndarray, hashes: np.ndarray, n: int, filter_words
     return np.stack([c[order[begins]] for c in columns]), np.diff(np.r_[begins, len(at)])
 
 
-def counted(docs: DataFrame, n: int, least: int, shorter: DataFrame | None = None, *, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """``(lang, phrase, f)`` of the ``n``-word phrases that occur ``least`` times, of which ``shorter`` has all parts."""
-    spark = docs.sparkSession
-    sent = None if shorter is None else spark.sparkContext.broadcast(bloom(shorter))
+def cells_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Block and place in it of each hash."""
+    cells = (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    return cells >> BLOCK_BITS, cells & ((1 << BLOCK_BITS) - 1)
+
+
+def sketched(hashes: np.ndarray, most: int) -> Iterator[tuple[int, bytes]]:
+    """Occupied cells by block, as 32-bit numbers: place << 12 | count, counts not above ``most``."""
+    block, place = cells_of(hashes)
+    cells, counts = np.unique(block << BLOCK_BITS | place, return_counts=True)
+    begins = np.flatnonzero(np.r_[True, (cells[1:] >> BLOCK_BITS) != (cells[:-1] >> BLOCK_BITS)]) if len(cells) else []
+    packed = ((cells & ((1 << BLOCK_BITS) - 1)) << 12 | np.minimum(counts, most)).astype("<u4")
+    for begin, part in zip(begins, np.split(packed, begins[1:]), strict=True) if len(cells) else ():
+        yield int(cells[begin] >> BLOCK_BITS), part.tobytes()
+
+
+def _cell_merger(most: int, final: bool):
+    """Sum of the cells of each block in rows sorted by block; ``final``: a bitmap of the cells that reach ``most``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_words = None if sent is None else sent.value
-        words, tries, slabs, sizes = Words(), {}, {}, {}
+        sums, now = np.zeros(1 << BLOCK_BITS, np.int32), None
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                at = np.flatnonzero(sums)
+                data = np.packbits(sums >= most, bitorder="little") if final else (at << 12 | np.minimum(sums[at], most)).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["block", "cells"])
+                sums[:] = 0
+
+        for batch in batches:
+            for block, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != now:
+                    yield from closed()
+                    now = block
+                packed = np.frombuffer(cells.as_buffer(), "<u4")
+                sums[packed >> 12] += (packed & 4095).astype(np.int32)  # a place occurs once in a row
+        yield from closed()
+
+    return run
+
+
+def sketch(cells: DataFrame, least: int) -> np.ndarray:
+    """Bytes of a bitmap with a bit for each cell that ``least`` pairs fall into: 16 MB, the only thing that comes to the driver."""
+    kind = "block int, cells binary"
+    most = min(least, 4095)
+    some = cells.repartition("block", F.pmod(F.xxhash64("cells"), F.lit(MERGES))).sortWithinPartitions("block").mapInArrow(_cell_merger(most, False), kind)
+    whole = some.repartition("block").sortWithinPartitions("block").mapInArrow(_cell_merger(most, True), kind).toArrow()
+    out, size = np.zeros(1 << (CELL_BITS - 3), np.uint8), 1 << (BLOCK_BITS - 3)
+    for block, data in zip(whole.column("block").to_pylist(), whole.column("cells").to_pylist(), strict=True):
+        out[block * size : (block + 1) * size] = np.frombuffer(data, np.uint8)
+    return out
+
+
+RUNS = "lang string, phrase string, f long, block int, cells binary"
+
+
+def counted(docs: DataFrame, lengths: tuple[int, ...], least: int, *, bitmap: np.ndarray | None = None, filter_words: np.ndarray | None = None, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """Sorted runs ``(lang, phrase, f)`` of the tasks' tries, and with length 1 the sketch's cells ``(block, cells)`` of pairs.
+
+    Longer phrases are counted where their pairs are in the sketch's ``bitmap``
+    or in a filter.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(bitmap if bitmap is not None else filter_words)
 
-        def insert(lang: str) -> None:
-            ids = np.fromiter(slabs.pop(lang), np.int64, sizes.pop(lang))
-            found, counts = windows(lang, ids, np.array(words.hashes, np.uint64), n, filter_words)
-            tries.setdefault(lang, HatTrie()).add(zip(*found.tolist(), strict=True), counts.tolist())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        words, tries, slabs = Words(), {}, {}
+
+        def insert(lang: str) -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate(slabs.pop(lang))
+            pairs = None
+            if len(ids) > 1:
+                hashes = phrase_hashes(lang, np.array(words.hashes, np.uint64)[ids], 2)
+                pairs = (ids[:-1] > 0) & (ids[1:] > 0)
+                at = np.flatnonzero(pairs)
+                if 1 in lengths:
+                    rows = list(sketched(hashes[at], least))
+                    none = pa.nulls(len(rows))
+                    yield pa.RecordBatch.from_arrays([none.cast(pa.string()), none.cast(pa.string()), none.cast(pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names=names)
+                elif known.dtype == np.uint8:
+                    cells = (hashes[at] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                    pairs[at] = known[cells >> 3] >> (cells & 7).astype(np.uint8) & 1 == 1
+                else:
+                    pairs[at] = among(hashes[at], known)
+            for n in lengths:
+                if len(ids) >= n:
+                    tries.setdefault((lang, n), HatTrie(n)).add(*windows(ids, n, pairs))
+            if sum(t.size for t in tries.values()) > MOST_ENTRIES:
+                yield from spilled(MOST_ENTRIES // 2)
 
         def spilled(down_to: int) -> Iterator[pa.RecordBatch]:
             """Sorted runs of the largest subtrees until ``down_to`` phrases are left."""
-            left = sum(t.size for t in tries.values())
-            for size, lang, prefix in sorted(((s, lang, p) for lang, t in tries.items() for s, p in t.subtrees()), reverse=True):
+            left, chosen = sum(t.size for t in tries.values()), {}
+            for size, key, word in sorted(((s, key, w) for key, t in tries.items() for s, w in t.subtrees()), reverse=True):
                 if left <= down_to:
                     break
                 left -= size
-                run = sorted((b" ".join(map(words.names.__getitem__, phrase)), count) for phrase, count in tries[lang].taken(prefix))
-                rows.extend((lang, *x) for x in run)
-                if len(rows) >= 20_000:
-                    yield flushed()
-            if rows:
-                yield flushed()
-
-        def flushed() -> pa.RecordBatch:
-            langs, phrases, counts = zip(*rows, strict=True)
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
-
-        rows: list[tuple[str, bytes, int]] = []
+                chosen.setdefault(key, []).append(word)
+            if not chosen:
+                return
+            named = pa.array(words.names, pa.binary())
+            rank = np.empty(len(named), np.int64)
+            rank[pc.array_sort_indices(named).to_numpy()] = np.arange(len(named))
+            for (lang, n), own in chosen.items():
+                columns, counts = tries[lang, n].taken(own)
+                order = np.lexsort([rank[c] for c in columns[::-1]])
+                for begin in range(0, len(order), 50_000):
+                    at = order[begin : begin + 50_000]
+                    parts = [named.take(pa.array(c[at])) for c in columns]
+                    phrase = (pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if n > 1 else parts[0]).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), phrase, pa.array(counts[at]), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=names)
+
+        names = ["lang", "phrase", "f", "block", "cells"]
+        sizes: dict[str, int] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                ids = list(map(words.__getitem__, words_of(text.as_py() or b"")))
-                ids.append(0)
-                slabs.setdefault(lang, []).extend(ids)
+                tokens = words_of(text.as_py() or b"")
+                ids = np.zeros(len(tokens) + 1, np.int64)
+                ids[:-1] = list(map(words.__getitem__, tokens))
+                slabs.setdefault(lang, []).append(ids)
                 sizes[lang] = sizes.get(lang, 0) + len(ids)
                 if sizes[lang] >= SLAB:
-                    insert(lang)
-                if sum(t.size for t in tries.values()) > MOST_ENTRIES:
-                    yield from spilled(MOST_ENTRIES // 2)
+                    sizes[lang] = 0
+                    yield from insert(lang)
                 if len(words) > MOST_WORDS:
                     for own in list(slabs):
-                        insert(own)
+                        sizes[own] = 0
+                        yield from insert(own)
                     yield from spilled(0)
                     words, tries = Words(), {}
         for own in list(slabs):
-            insert(own)
-            if sum(t.size for t in tries.values()) > MOST_ENTRIES:
-                yield from spilled(MOST_ENTRIES // 2)
+            yield from insert(own)
         yield from spilled(0)
 
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    runs = own.mapInArrow(run, "lang string, phrase string, f long")
-    prefix = F.substring_index("phrase", " ", max(1, n - 1))
+    return own.mapInArrow(run, RUNS)
+
+
+def merged(runs: DataFrame, least: int) -> DataFrame:
+    """``(lang, phrase, f, words)``: sums of the phrases of ``runs`` that reach ``least``."""
+    prefix = F.regexp_replace("phrase", r" [^ ]*\z", "")
     last = F.pmod(F.xxhash64(F.substring_index("phrase", " ", -1)), F.lit(SLOTS))
-    dealt = runs.repartition("lang", prefix, last).sortWithinPartitions("lang", "phrase")
-    return written(dealt.mapInArrow(_merger(least), "lang string, phrase string, f long"), f"phrases-{n}")
+    dealt = runs.select("lang", "phrase", "f").repartition("lang", prefix, last).sortWithinPartitions("lang", "phrase")
+    out = dealt.mapInArrow(_merger(least), "lang string, phrase string, f long")
+    return written(out.withColumn("words", F.size(F.split("phrase", " "))), "phrases")
 
 
 def _merger(least: int):
@@ -348,14 +454,13 @@ def ranked(rows: DataFrame, top: int) -> DataFrame:
 def collocations(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", least: int = 30, top: int = 2000, cover: int = 80) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's ``top`` phrases of two to four words."""
     columns = {"lang_col": lang_col, "text_col": text_col}
-    levels = [counted(docs, 1, 1, **columns)]
-    totals = levels[0].groupBy("lang").agg(F.sum("f").alias("n"))
-    levels[0] = levels[0].where(F.col("f") >= least)
-    for n in range(2, LONGEST + 1):
-        levels.append(counted(docs, n, least, levels[-1], **columns))
-    counts = levels[0].withColumn("words", F.lit(1))
-    for n, level in enumerate(levels[1:], 2):
-        counts = counts.unionByName(level.withColumn("words", F.lit(n)))
+    first = written(counted(docs, (1,), least, **columns), "words")
+    singles = merged(first.where("block is null"), 1)
+    totals = singles.groupBy("lang").agg(F.sum("f").alias("n"))
+    bitmap = sketch(first.where("block is not null").select("block", "cells"), least)
+    twos = merged(counted(docs, (2,), least, bitmap=bitmap, **columns), least)
+    longer = merged(counted(docs, (3, 4), least, filter_words=bloom(twos), **columns), least)
+    counts = singles.where(F.col("f") >= least).unionByName(twos).unionByName(longer)
     best = ranked(written(scored(counts, cover=cover), "scored"), top)
     named = totals.withColumnRenamed("lang", "of")
     return best.join(named, F.col("lang") == F.col("of")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

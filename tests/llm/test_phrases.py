@@ -64,26 +64,46 @@ def test_against_plain_counts(spark, monkeypatch, texts, small):
     assert got(phrases.collocations(table, least=8, top=30)) == want
 
 
-def test_tries_burst_spill_and_count():
-    rng = random.Random(5)
-    for length in (1, 2, 3, 4):
-        trie, want = phrases.HatTrie(), Counter()
-        old, phrases.BURST = phrases.BURST, 5
-        try:
-            for step in range(40):
-                keys = Counter(tuple(rng.choices(range(1, 6), k=length)) for _ in range(60))
-                trie.add(keys.keys(), keys.values())
-                want.update(keys)
-                assert trie.size == len(want) == sum(s for s, _ in trie.subtrees())
-                if step % 7 == 6:
-                    _, prefix = max(trie.subtrees())
-                    for phrase, n in trie.taken(prefix):
-                        assert phrase[: len(prefix)] == prefix and want.pop(phrase) == n
-            assert length == 1 or type(trie.root) is phrases.Node
-        finally:
-            phrases.BURST = old
-        left = {p: n for _, prefix in trie.subtrees() for p, n in trie.taken(prefix)}
-        assert left == want and trie.size == 0
+def columns_of(counter):
+    keys = sorted(counter)
+    return np.array(keys, np.int64).T, np.array([counter[k] for k in keys], np.int64)
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 4])
+def test_tries_burst_spill_and_count(monkeypatch, length):
+    rng = random.Random(length)
+    trie, want = phrases.HatTrie(length), Counter()
+    monkeypatch.setattr(phrases, "BURST", 5)
+    for step in range(40):
+        keys = Counter(tuple(rng.choices(range(1, 6), k=length)) for _ in range(60))
+        trie.add(*columns_of(keys))
+        want.update(keys)
+        assert trie.size == len(want) == sum(s for s, _ in trie.subtrees())
+        if step % 7 == 6:
+            _, word = max(trie.subtrees())
+            columns, counts = trie.taken([word])
+            for phrase, n in zip(zip(*columns.tolist(), strict=True), counts.tolist(), strict=True):
+                assert (length == 1 or phrase[0] == word) and want.pop(phrase) == n
+    if length == 3:
+        assert phrases.Node in map(type, trie.root.values())
+    columns, counts = trie.taken([w for _, w in trie.subtrees()])
+    assert dict(zip(zip(*columns.tolist(), strict=True), counts.tolist(), strict=True)) == want and trie.size == 0
+
+
+def test_cells_add_up():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 2**64, 3000, np.uint64)
+    hashes = np.concatenate([hashes, np.repeat(hashes[:50], 7)])
+    import pyarrow as pa
+
+    rows = sorted((b, c) for part in np.array_split(hashes, 5) for b, c in phrases.sketched(part, 6))
+    table = pa.table({"block": pa.array([b for b, _ in rows], pa.int32()), "cells": [c for _, c in rows]})
+    some = pa.Table.from_batches(list(phrases._cell_merger(6, False)(iter(table.to_batches(9)))))
+    found = pa.Table.from_batches(list(phrases._cell_merger(6, True)(iter(some.to_batches()))))
+    bits = {b: np.unpackbits(np.frombuffer(c, np.uint8), bitorder="little") for b, c in zip(*(found.column(i).to_pylist() for i in (0, 1)), strict=True)}
+    block, place = phrases.cells_of(hashes)
+    want = Counter(zip(block.tolist(), place.tolist(), strict=True))
+    assert all(bits[b][p] == (n >= 6) for (b, p), n in want.items()) and sum(int(x.sum()) for x in bits.values()) == sum(n >= 6 for n in want.values()) >= 50
 
 
 def test_runs_of_spilled_tries_merge(monkeypatch, texts):
@@ -95,28 +115,33 @@ def test_runs_of_spilled_tries_merge(monkeypatch, texts):
     taken = {}
 
     class Frame:
-        sparkSession = None
+        sparkSession = sparkContext = property(lambda self: self)
+        select = lambda self, *_: self
 
-        def select(self, *_):
+        def broadcast(self, value):
+            self.value = value
             return self
 
         def mapInArrow(self, f, _):
-            taken.setdefault("run", f)
-            return self
-
-        repartition = sortWithinPartitions = lambda self, *_: self
+            taken["run"] = f
 
-    monkeypatch.setattr(phrases, "written", lambda df, _: df)
-    for name in ("col", "coalesce", "substring_index", "pmod", "xxhash64", "lit"):
+    for name in ("col", "coalesce", "lit"):
         monkeypatch.setattr(phrases.F, name, lambda *_: _Any())
-    phrases.counted(Frame(), 1, 1)
     batch = pa.RecordBatch.from_arrays([pa.array([x or "und" for x, _ in texts]), pa.array([t for _, t in texts], pa.string())], names=["lang", "text"])
-    rows = [tuple(r.values()) for b in taken["run"](iter([batch])) for r in b.to_pylist()]
-    merged = [tuple(r.values()) for b in phrases._merger(2)(iter(pa.Table.from_pylist([dict(zip(("lang", "phrase", "f"), r, strict=True)) for r in sorted(rows)]).to_batches(7))) for r in b.to_pylist()]
-    want = Counter()
-    for lang, text in texts:
-        want.update((lang or "und", w.decode()) for w in phrases.words_of((text or "").encode()) if w != b".")
-    assert len(rows) > len(want) and sorted(merged) == sorted((*k, n) for k, n in want.items() if n >= 2)
+    for lengths in ((1,), (2,), (3, 4)):
+        phrases.counted(Frame(), lengths, 2, bitmap=np.full(1 << 24, 255, np.uint8))
+        rows = [(r["lang"], r["phrase"], r["f"]) for b in taken["run"](iter([batch])) for r in b.to_pylist() if r["lang"]]
+        merged = [tuple(r.values()) for b in phrases._merger(2)(iter(pa.Table.from_pylist([dict(zip(("lang", "phrase", "f"), r, strict=True)) for r in sorted(rows)]).to_batches(7))) for r in b.to_pylist()]
+        want = Counter()
+        for lang, text in texts:
+            piece = []
+            for w in [*phrases.words_of((text or "").encode()), b"."]:
+                if w == b".":
+                    want.update((lang or "und", " ".join(piece[i : i + n])) for n in lengths for i in range(len(piece) - n + 1))
+                    piece = []
+                else:
+                    piece.append(w.decode())
+        assert len(rows) > len(want) and sorted(merged) == sorted((*k, n) for k, n in want.items() if n >= 2)
 
 
 class _Any:
