@@ -186,43 +186,6 @@ def to_sheet(preds: DataFrame, tiles: DataFrame) -> DataFrame:
     return joined.select(*[c for c in preds.columns if c not in BOX], *[(F.col(c) * F.col("scale") + F.col("left" if c[0] == "x" else "top")).alias(c) for c in BOX])
 
 
-def merge_tiles(boxes: DataFrame, least_iou: float = 0.4, least_contain: float = 0.7) -> DataFrame:
-    """Boxes of neighbouring tiles that show one symbol become one.
-
-    Candidate pairs are of one class and of different tiles; a sheet's pairs
-    are then joined best first, with at most one box of a tile in a group.
-    That choice depends on the order, so it runs per sheet; a sheet holds a
-    few hundred boxes whatever the size of the corpus.
-    """
-    pairs = near_pairs(boxes, boxes, ["sheet"]).where("a_id < b_id and a_tile <> b_tile and a_class = b_class")
-    rated = pairs.withColumn("iou", iou("a_", "b_")).withColumn("contain", containment("a_", "b_"))
-    kept = rated.where((F.col("iou") >= least_iou) | (F.col("contain") >= least_contain)).select("sheet", F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.greatest("iou", "contain").alias("score"))
-    kind = boxes.schema["sheet"].dataType.simpleString()
-
-    def group(key, own, links):
-        import pandas as pd
-
-        root = {i: i for i in own["id"]}
-        tiles = {i: {t} for i, t in zip(own["id"], own["tile"], strict=True)}
-
-        def find(i):
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for a, b in links.sort_values(["score", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples(index=False):
-            ra, rb = sorted((find(a), find(b)))
-            if ra != rb and not tiles[ra] & tiles[rb]:
-                root[rb] = ra
-                tiles[ra] |= tiles[rb]
-        return pd.DataFrame({"sheet": key[0], "id": own["id"], "symbol": [find(i) for i in own["id"]]})
-
-    own = boxes.select("sheet", "id", "tile").withColumnRenamed("sheet", "s")
-    placed = own.groupBy("s").cogroup(kept.withColumnRenamed("sheet", "s").groupBy("s")).applyInPandas(group, f"sheet {kind}, id long, symbol long")
-    merged = boxes.join(placed, ["sheet", "id"]).groupBy("sheet", F.col("symbol").alias("id"))
-    return merged.agg(F.first("class").alias("class"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("parts"))
-
-
 def transferred_links(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """Links of a second view whose both ends are paired, in the first view's ids; ``pairs(pred_id, key_id)``."""
     one = pairs.select(F.col("pred_id").alias("a"), F.col("key_id").alias("to_a"))

@@ -9,6 +9,7 @@ from millrace.operators import audits as A
 from millrace.operators import checks as C
 from millrace.operators import matching as M
 from millrace.operators import scoring as S
+from millrace.operators import tiles
 from millrace.plans.standins import BOXES, keys, preds, table
 from millrace.scratch import written
 
@@ -230,9 +231,19 @@ def j22(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j28(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of two overlapping tiles of a sheet merged into symbols."""
-    own = preds(spark, d).select("sheet", (F.col("id") * 2 + F.col("tool")).alias("id"), F.col("tool").alias("tile"), "class", *M.BOX)
-    return M.merge_tiles(own)
+    """Two overlapping tiles of each sheet merged into symbols, with links of neighbouring boxes, and the counts of each sheet."""
+    own = preds(spark, d)
+    tag = F.when(F.col("id") % 3 != 0, F.concat(F.lit("T-"), F.col("id") % 50))
+    edges = F.when((F.col("id") + F.col("tool")) % 4 == 0, F.array(F.when(F.col("tool") == 0, "right").otherwise("left"))).otherwise(F.array().cast("array<string>"))
+    boxes = own.select("sheet", (F.col("id") * 2 + F.col("tool")).alias("id"), F.col("tool").alias("tile"), "class", tag.alias("tag"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *M.BOX, edges.alias("edges"))
+    shown = boxes.select("sheet", F.col("id").alias("a"), (F.col("id") + 2).alias("b"))
+    symbols, links_, stats = tiles.merge_tiles(boxes, shown)
+    rows = [
+        symbols.select("sheet", F.lit("symbol").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.concat_ws(" ", "class", "tag", F.col("confidence").cast("string"), F.array_join("parts", "+")).alias("detail")),
+        links_.select("sheet", F.lit("link").alias("kind"), "a", "b", F.lit("").alias("detail")),
+        stats.select("sheet", F.lit("counts").alias("kind"), F.col("symbols").alias("a"), F.col("links").alias("b"), F.concat_ws(" ", "tile_symbols", "merged_groups", "seam_unions", "cross_class_merges", "tile_links", "links_dropped", "stitch_symbols").alias("detail")),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def j29(spark: SparkSession, d: str) -> DataFrame:

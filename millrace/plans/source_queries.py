@@ -11,6 +11,7 @@ from millrace.plans.standins import READINGS, readings, table
 from millrace.scratch import new_path, written
 from millrace.sources import historian as H
 from millrace.sources import records as R
+from millrace.sources.streams import streams
 from millrace.streaming import replay as T
 
 TAGS = ["click", "error", "purchase", "signup", "view"]
@@ -189,9 +190,13 @@ def s20(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s21(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of eight parts as streams; every fifth size is a unit, every seventh of the others a battery limit."""
     p = table(spark, d, "part")
     e = p.where("p_partkey % 8 < 5").select(F.lit("f").alias("file"), F.floor(F.col("p_partkey") / 8).cast("long").alias("line"), F.col("p_partkey").alias("a"), F.explode(F.array(F.col("p_partkey") + 2, F.col("p_partkey") + 3)).alias("b"))
-    return R.streams(e.where("floor(b / 8) = line")).select("line", "start", "end", "stream", F.size("path").alias("nodes"))
+    kind = F.when(F.col("p_size") % 5 == 0, "unit").when(F.col("p_size") % 7 == 0, "battery limit")
+    ends = p.select(F.lit("f").alias("file"), F.col("p_partkey").alias("id"), kind.alias("kind"), F.when(kind == "unit", F.col("p_name")).alias("of")).where("kind is not null")
+    found = streams(e.where("floor(b / 8) = line"), ends)
+    return found.select("line", "stream", "start", "end", F.size("path").alias("nodes"), "from_kind", "from_of", "to_kind", "to_of", "same_line_as")
 
 
 def s22(spark: SparkSession, d: str) -> DataFrame:
@@ -284,8 +289,15 @@ QUERIES = {
     "s20_chain_edges": (s20, "SELECT l_orderkey AS segment, count(*) + 1 AS edges, 1::BIGINT AS ends FROM lineitem GROUP BY 1"),
     "s21_streams": (s21, """WITH RECURSIVE e AS (SELECT p_partkey // 8 AS line, p_partkey AS a, p_partkey + d AS b FROM part, (VALUES (2), (3)) AS t(d) WHERE p_partkey % 8 < 5 AND (p_partkey + d) // 8 = p_partkey // 8),
       w AS (SELECT DISTINCT line, a AS start, a AS cur, [a] AS path FROM e WHERE a NOT IN (SELECT b FROM e) UNION ALL SELECT w.line, start, b, list_append(path, b) FROM w JOIN e ON e.a = w.cur),
-      f AS (SELECT line, start, cur AS "end", min(path) AS path FROM w WHERE cur NOT IN (SELECT a FROM e) GROUP BY ALL)
-      SELECT line, start, "end", row_number() OVER (PARTITION BY line ORDER BY start, "end")::INTEGER AS stream, len(path)::INTEGER AS nodes FROM f"""),
+      f AS (SELECT line, start, cur AS "end", min(path) AS path FROM w WHERE cur NOT IN (SELECT a FROM e) GROUP BY ALL),
+      t AS (SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'unit' ELSE 'battery limit' END AS kind, CASE WHEN p_size % 5 = 0 THEN p_name END AS of FROM part WHERE p_size % 5 = 0 OR p_size % 7 = 0),
+      up AS (SELECT id, id AS owner, 0 AS hop FROM t UNION ALL SELECT e.b, owner, hop + 1 FROM up JOIN e ON e.a = up.id),
+      dn AS (SELECT id, id AS owner, 0 AS hop FROM t UNION ALL SELECT e.a, owner, hop + 1 FROM dn JOIN e ON e.b = dn.id),
+      u AS (SELECT id, arg_min(owner, hop::BIGINT * 1000000000 + owner) AS owner FROM up GROUP BY id), v AS (SELECT id, arg_min(owner, hop::BIGINT * 1000000000 + owner) AS owner FROM dn GROUP BY id),
+      k AS (SELECT f.*, coalesce(x.kind, 'closed') AS from_kind, x.of AS from_of, coalesce(y.kind, 'closed') AS to_kind, y.of AS to_of FROM f LEFT JOIN u ON u.id = f.start LEFT JOIN t x ON x.id = u.owner LEFT JOIN v ON v.id = f."end" LEFT JOIN t y ON y.id = v.owner),
+      n AS (SELECT *, (from_kind = 'closed' OR to_kind = 'closed')::INT AS shut FROM k),
+      r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY shut, start, "end")::INTEGER AS stream, min(shut) OVER (PARTITION BY line) AS open FROM n)
+      SELECT line, stream, start, "end", len(path)::INTEGER AS nodes, from_kind, from_of, to_kind, to_of, CASE WHEN stream > 1 THEN 1 END AS same_line_as FROM r WHERE shut = 0 OR (open = 1 AND stream = 1)"""),
     "s22_owning_unit": (s22, """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey // 1000 AS g, p_partkey % 1000 AS k, p_size % 9 = 0 AS unit FROM part),
       e AS (SELECT x.id AS a, y.id AS b FROM p x JOIN p y ON x.g = y.g AND y.k = 2 * x.k AND x.k > 0),
       u AS (SELECT id AS start, id, 0 AS hop FROM p WHERE unit UNION ALL SELECT u.start, e.b, hop + 1 FROM u JOIN e ON e.a = u.id),

@@ -130,29 +130,6 @@ def broken_references(edges: DataFrame, elements: DataFrame) -> DataFrame:
     return ends.join(elements.select("file", "id"), ["file", "id"], "left_anti")
 
 
-def streams(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """Simple paths of each line from its entries (no edge into them) to where no successor is left that they have not met; a stream per pair of ends.
-
-    A path that is still open after ``most`` edges is an error.
-    """
-    e = written(edges.select("file", "line", "a", "b"), "line-edges")
-    entry = e.select("file", "line", F.col("a").alias("n")).distinct().join(e.select("file", "line", F.col("b").alias("n")), ["file", "line", "n"], "left_anti")
-    now = entry.select("file", "line", F.col("n").alias("start"), F.col("n").alias("at"), F.array("n").alias("path"))
-    after = e.groupBy("file", "line", F.col("a").alias("at")).agg(F.collect_set("b").alias("next"))
-    found = now.limit(0)
-    for _ in range(most):
-        left = F.array_except(F.coalesce("next", F.array().cast(after.schema["next"].dataType)), "path")
-        step = written(now.join(after, ["file", "line", "at"], "left").withColumn("next", left), "paths")
-        found = found.unionByName(step.where("size(next) = 0").select(*found.columns))
-        now = step.where("size(next) > 0").select("file", "line", "start", F.explode("next").alias("at"), "path").withColumn("path", F.array_append("path", F.col("at")))
-        if now.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"streams did not end in {most} edges")
-    per = found.groupBy("file", "line", "start", F.col("at").alias("end")).agg(F.min("path").alias("path"))
-    return per.withColumn("stream", F.row_number().over(Window.partitionBy("file", "line").orderBy("start", "end")))
-
-
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """Digest of each file; line ends of text are made one, members of an archive are hashed in name order."""
     raw = spark.read.format("binaryFile").load(path)

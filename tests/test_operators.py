@@ -187,15 +187,6 @@ def test_stream_equals_batch(spark):
     assert [r.n for r in got] == want
 
 
-def test_streams_of_a_long_line_and_of_one_with_a_loop(spark):
-    from millrace.sources import records as R
-
-    long = [("f", 1, i, i + 1) for i in range(30)]
-    loop = [("f", 2, 1, 2), ("f", 2, 2, 3), ("f", 2, 3, 4), ("f", 2, 4, 2)]
-    got = R.streams(spark.createDataFrame(long + loop, "file string, line int, a int, b int")).collect()
-    assert sorted((r.line, r.start, r.end, r.path) for r in got) == [(1, 0, 30, list(range(31))), (2, 1, 4, [1, 2, 3, 4])]
-
-
 def put(path, text):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_bytes(text.encode())
