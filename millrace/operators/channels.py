@@ -28,17 +28,24 @@ class PrincipalModel(NamedTuple):
 
 
 def beta_share(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function, by its power series on the side where that is short."""
+    """The regularised incomplete beta function, by its power series from the side where that is shorter; a tail under e to the -80 is nought."""
     if x <= 0 or x >= 1:
         return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - beta_share(b, a, 1 - x)
+    front = a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    if front < -80:
+        return float(x > a / (a + b))
+    length = lambda a, x: max(0.0, ((a + b) * x - a) / (1 - x)) + 40 / -math.log(x)
+    if x > 0.5 or length(a, x) > max(0.0, (a + b) * (1 - x) - b) / x + 40 / -math.log1p(-x):
+        a, b, x, other = b, a, 1 - x, True
+    else:
+        other = False
     term, total, n = 1.0, 1.0, 0
     while term > total * 1e-16:
         term *= (a + b + n) / (a + 1 + n) * x
         total += term
         n += 1
-    return total * math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    share = total * math.exp(front) / a
+    return 1 - share if other else share
 
 
 def f_quantile(p: float, d1: float, d2: float) -> float:

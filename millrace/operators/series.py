@@ -459,35 +459,3 @@ def fitted_gaps(readings: DataFrame, method: str, ks: tuple[int, ...] = DRIFT_KS
     choice = written(chosen_drift_k(drift_k_table(stats, later, ks, profile is None)), "choice")
     band = drift_bands(stats.join(choice, "run"), F.col("k"))
     return drift_flags(later, band, profile is None), choice, band
-
-
-# ---- several channels at once
-
-
-def principal_limits(wide: DataFrame, channels: list[str], components: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Means, sds and scaled loadings from one pass of moments; m x m numbers reach the driver."""
-    moments = wide.select(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(channels)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(channels)],
-        *[F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(channels) for j, b in enumerate(channels) if i <= j],
-    ).collect()[0]
-    n = len(channels)
-    mean = np.array([moments[f"m{i}"] or 0.0 for i in range(n)])
-    sd = np.array([moments[f"s{i}"] or 1e-9 for i in range(n)])
-    cov = np.array([[moments[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]) / np.outer(sd, sd)
-    values, vectors = np.linalg.eigh(cov)
-    order = np.argsort(-values)[:components]
-    scaled = vectors[:, order] / np.sqrt(np.maximum(values[order], 1e-12))
-    return mean, sd, scaled, limit
-
-
-def hotelling(wide: DataFrame, channels: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray, float]) -> DataFrame:
-    """T2 of each row and whether it is above the limit, as column arithmetic."""
-    mean, sd, scaled, limit = model
-    z = [(F.col(c) - float(m)) / float(s) for c, m, s in zip(channels, mean, sd, strict=True)]
-    total = F.lit(0.0)
-    for k in range(scaled.shape[1]):
-        score = sum((float(scaled[i, k]) * z[i] for i in range(1, len(z))), float(scaled[0, k]) * z[0])
-        total = total + score * score
-    return wide.withColumn("t2", total).withColumn("flag", F.coalesce(F.col("t2") > limit, F.lit(False)))
-

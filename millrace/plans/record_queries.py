@@ -14,6 +14,7 @@ from millrace.operators import graphs as G
 from millrace.operators import pipes as P
 from millrace.operators import records as R
 from millrace.operators import rules as Q
+from millrace.operators.identity import sheet_identity
 from millrace.plans.standins import ITEMS, LINKS, items, links, table
 
 I_ = "WITH " + ITEMS
@@ -199,6 +200,16 @@ def j05_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j09(spark: SparkSession, d: str) -> DataFrame:
+    """System and drawing number of sheets of forty parts: brands are systems, sheets point to numbers by their parts' sizes, every ninth sheet is registered."""
+    sheet = F.floor(F.col("p_partkey") / 40).cast("long")
+    p = table(spark, d, "part").select(sheet.alias("sheet"), "p_partkey", "p_size", F.col("p_brand").alias("code"))
+    number = F.concat(F.lit("D"), (F.col("p_partkey") * 7 + F.col("p_size")) % 1000)
+    refs = p.where("p_size % 10 = 0").select("sheet", "code", number.alias("number"))
+    register = p.select("sheet").distinct().where("sheet % 9 = 0").select("sheet", F.lit("REG").alias("system_code"), F.concat(F.lit("R"), "sheet").alias("drawing_number"))
+    return sheet_identity(p.select("sheet", "code"), refs, register)
+
+
+def j09_codes(spark: SparkSession, d: str) -> DataFrame:
     """A sheet's system is the most frequent brand of its parts; ties are unknown."""
     return C.sheet_identity(table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("sheet"), F.col("p_brand").alias("system")))
 
@@ -719,7 +730,8 @@ QUERIES = {
       SELECT CASE WHEN c AND m THEN 'tags_present' WHEN c OR m THEN 'partly' ELSE 'not found' END AS status, count(*) AS loops FROM o GROUP BY 1"""),
     "j07_loop_numbering": (j07, "SELECT numbers = 1 AS one_number, tags, count(*) AS loops FROM (SELECT l_orderkey, count(DISTINCT l_partkey % 700) AS numbers, count(*) AS tags FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) GROUP BY ALL"),
     "j08_connector_pairs": (j08, None),
-    "j09_sheet_identity": (j09, """WITH p AS (SELECT floor(p_partkey / 40)::BIGINT AS sheet, p_brand, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT *, max(n) OVER (PARTITION BY sheet) AS most FROM p)
+    "j09_drawing_numbers": (j09, None),
+    "j09_sheet_identity": (j09_codes, """WITH p AS (SELECT floor(p_partkey / 40)::BIGINT AS sheet, p_brand, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT *, max(n) OVER (PARTITION BY sheet) AS most FROM p)
       SELECT sheet, CASE WHEN count(*) = 1 THEN min(p_brand) ELSE 'unknown' END AS system, any_value(n) AS n FROM t WHERE n = most GROUP BY sheet"""),
     "j13_relations": (j13, I_ + """SELECT anchor, relation, count(*) AS n FROM (SELECT a.id AS anchor, 'same_unit' AS relation FROM items a JOIN items c ON a.unit = c.unit WHERE a.tag LIKE 'PSV%' AND c.tag LIKE 'XV%'
       UNION ALL SELECT a.id, 'other_unit' FROM items a JOIN items c ON a.sheet = c.sheet AND a.unit <> c.unit WHERE a.tag LIKE 'PSV%' AND c.tag LIKE 'XV%') GROUP BY ALL"""),

@@ -10,6 +10,7 @@ from millrace.operators import checks as C
 from millrace.operators import matching as M
 from millrace.operators import scoring as S
 from millrace.operators import tiles
+from millrace.operators.identity import contained
 from millrace.plans.standins import BOXES, keys, preds, table
 from millrace.scratch import written
 
@@ -224,10 +225,10 @@ def j10_parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j22(spark: SparkSession, d: str) -> DataFrame:
-    """Listed identifiers contained in any name of the same group."""
-    names = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("g"), F.col("p_name").alias("name"))
-    listed = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("g"), F.element_at(F.split("p_name", " "), 2).alias("ident")).distinct()
-    return listed.join(names, "g").groupBy("g", "ident").agg(F.count_if(F.contains("name", "ident")).alias("hits"))
+    """Listed identifiers contained in any name of the same group, and whether one of its class has it."""
+    own = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("g"), "p_name", (F.col("p_size") % 3).cast("string").alias("class"))
+    listed = own.select("g", F.element_at(F.split("p_name", " "), 2).alias("identifier"), "class").distinct()
+    return contained(listed, own.select("g", F.col("p_name").alias("tag"), "class"), ["g"])
 
 
 def j28(spark: SparkSession, d: str) -> DataFrame:
@@ -360,8 +361,9 @@ QUERIES = {
     "j21_class_outcomes": (j21, WITH + """SELECT t.tool, k.sheet, CASE WHEN p.class IS NULL THEN 'missed' WHEN p.class = k.class THEN 'correct' ELSE 'wrong' END AS outcome, count(*) AS n
       FROM keys k CROSS JOIN (VALUES (0), (1)) AS t(tool) LEFT JOIN preds p ON p.tool = t.tool AND p.id = k.id GROUP BY ALL"""),
     "j10_parents": (j10_parents, None),
-    "j22_identifier_contained": (j22, """WITH n AS (SELECT p_partkey // 40 AS g, p_name FROM part), l AS (SELECT DISTINCT p_partkey // 40 AS g, split_part(p_name, ' ', 2) AS ident FROM part)
-      SELECT g, ident, count(*) FILTER (contains(p_name, ident)) AS hits FROM l JOIN n USING (g) GROUP BY g, ident"""),
+    "j22_identifier_contained": (j22, """WITH n AS (SELECT p_partkey // 40 AS g, p_name, (p_size % 3)::VARCHAR AS class FROM part), l AS (SELECT DISTINCT g, split_part(p_name, ' ', 2) AS identifier, class FROM n),
+      h AS (SELECT l.g, l.identifier, l.class, count(n.p_name) AS hits, coalesce(bool_or(n.class = l.class), false) AS class_agrees FROM l LEFT JOIN n ON n.g = l.g AND contains(n.p_name, l.identifier) AND l.identifier <> '' GROUP BY ALL)
+      SELECT *, hits > 0 AS found FROM h"""),
     "j23_point_match": (j23, None),
     "j26_actuator_roles": (j26, WITH + f""", c AS (SELECT a.sheet, a.id, b.id AS valve, {GAPS} AS gap FROM keys a JOIN keys b ON a.sheet = b.sheet AND a.class = 'instrument' AND b.class = 'valve'
         WHERE {GAPS} <= 60 AND abs((a.x0 + a.x1 - b.x0 - b.x1) / 2) <= (b.x1 - b.x0) / 2 AND a.x1 - a.x0 <= b.x1 - b.x0)

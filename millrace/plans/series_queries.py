@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import checks as C
+from millrace.operators import channels
 from millrace.operators import series as S
 from millrace.plans.standins import READINGS, readings, table
 
@@ -141,11 +142,25 @@ def a23_drift(spark: SparkSession, d: str) -> DataFrame:
     return band.select("run", "tag", F.round("gap_mean", 6).alias("gap_mean"), F.round("resid_sd", 6).alias("resid_sd"), F.round("half_width", 6).alias("half_width"), "limited_by")
 
 
+TAGS = ["click", "error", "purchase", "signup", "view"]
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    return readings(spark, d).groupBy("run", "row_no").pivot("tag", TAGS).agg(F.first("value", ignorenulls=True))
+
+
 def a28(spark: SparkSession, d: str) -> DataFrame:
-    tags = ["click", "error", "purchase", "signup", "view"]
-    wide = readings(spark, d).groupBy("run", "row_no").pivot("tag", tags).agg(F.first("value", ignorenulls=True)).na.drop()
-    model = S.principal_limits(wide, tags, 2, 6.0)
-    return S.hotelling(wide, tags, model).select("run", "row_no", F.round("t2", 6).alias("t2"), "flag")
+    """T2 of five tags; components and limit are learned from the even runs, the odd ones are judged."""
+    wide = _wide(spark, d)
+    model = channels.principal_model(wide.where("run % 2 = 0"), TAGS)
+    return channels.hotelling(wide.where("run % 2 = 1"), TAGS, model).select("run", "row_no", F.round("t2", 6).alias("t2"), "flag")
+
+
+def a28_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Means and covariances of the tags, from mergeable matrices."""
+    n, mean, cross = channels.moments(_wide(spark, d), TAGS)
+    rows = [(a, b, n, float(mean[i]), float(cross[i, j] / n)) for i, a in enumerate(TAGS) for j, b in enumerate(TAGS)]
+    return spark.createDataFrame(rows, "a string, b string, n long, mean double, covariance double").select("a", "b", "n", F.round("mean", 6).alias("mean"), F.round("covariance", 4).alias("covariance"))
 
 
 def w07(spark: SparkSession, d: str) -> DataFrame:
@@ -304,6 +319,9 @@ QUERIES = {
       FROM (SELECT w.*, b.gap_mean, b.half_width, CASE WHEN b.mean = 0 THEN 1.0 ELSE least(1.0, greatest(0.5, abs(level) / abs(b.mean))) END AS r FROM walk w LEFT JOIN dbands b USING (run, tag)) y GROUP BY run, tag"""),
     "a23_drift_bands": (a23_drift, DRIFT + "SELECT run, tag, round(gap_mean, 6) AS gap_mean, round(resid_sd, 6) AS resid_sd, round(half_width, 6) AS half_width, limited_by FROM dbands"),
     "a28_hotelling": (a28, None),
+    "a28_moments": (a28_moments, WITH + """, w AS (SELECT run, row_no, """ + ", ".join(f"max(value) FILTER (tag = '{t}') AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + """ FROM readings GROUP BY run, row_no),
+      v AS (SELECT * FROM w WHERE click IS NOT NULL AND error IS NOT NULL AND purchase IS NOT NULL AND signup IS NOT NULL AND view IS NOT NULL)
+      """ + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(avg({a}), 6) AS mean, round(covar_pop({a}, {b}), 4) AS covariance FROM v" for a in ("click", "error", "purchase", "signup", "view") for b in ("click", "error", "purchase", "signup", "view"))),
     "k05_wide_rows": (k05, WITH + """SELECT run, row_no, any_value(value) FILTER (tag = 'click') AS click, any_value(value) FILTER (tag = 'error') AS error, any_value(value) FILTER (tag = 'purchase') AS purchase,
       any_value(value) FILTER (tag = 'signup') AS signup, any_value(value) FILTER (tag = 'view') AS "view" FROM readings GROUP BY run, row_no"""),
 }
