@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -159,3 +159,40 @@ def run(model: Model, question: dict) -> DataFrame:
 
 def run_all(model: Model, catalog: list[dict]) -> DataFrame:
     return reduce(DataFrame.unionByName, [run(model, q) for q in catalog])
+
+
+def site_rollup(screens: DataFrame, findings: DataFrame) -> DataFrame:
+    """``(question, fired, findings, fired_at, quiet_at, not_checked_at, not_run_at, place)`` of several sites' screens.
+
+    ``screens(site, question, status)`` has a row for each question that a site
+    ran, status ``quiet`` or ``not checked`` where it did not fire; ``findings(site,
+    question, finding)`` what fired. A question that a site neither ran nor
+    fired is not run there. Place orders questions by sites, findings and id.
+    """
+    ran = screens.select("site", "question", "status").distinct()
+    fired = findings.groupBy("site", "question").agg(F.count_distinct("finding").alias("n"))
+    state = ran.join(fired, ["site", "question"], "full").groupBy("site", "question").agg(F.max("n").alias("n"), F.max(F.col("status") == "quiet").alias("quiet"), F.max(F.col("status") == "not checked").alias("unchecked"))
+    names = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("site"))))
+    per = state.groupBy("question").agg(
+        F.count("n").alias("fired"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), names(F.col("n").isNotNull()).alias("fired_at"),
+        names(F.col("n").isNull() & F.col("quiet")).alias("quiet_at"), names(F.coalesce("unchecked", F.lit(False))).alias("not_checked_at"), F.collect_set("site").alias("seen"),
+    )
+    # Windows over a row a question; sites are few, as they are listed in every row anyway.
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen").over(Window.partitionBy(F.lit(1))))))
+    place = F.row_number().over(Window.orderBy(F.desc("fired"), F.desc("findings"), "question"))
+    return per.withColumn("every", every).select("question", "fired", "findings", "fired_at", "quiet_at", "not_checked_at", F.array_except("every", "seen").alias("not_run_at"), place.alias("place"))
+
+
+def merged_requests(requests: DataFrame) -> DataFrame:
+    """``(question, item, site, place, finding)``: the places where data is asked for, of ``requests(site, question, finding, item, place)``.
+
+    A place that every finding of a site asks for, for one question and item,
+    is listed once, with a null finding; the others are listed with theirs.
+    """
+    own = requests.distinct()
+    by = ["site", "question", "item"]
+    whole = own.groupBy(*by).agg(F.count_distinct("finding").alias("of"))
+    places = own.where("place is not null").groupBy(*by, "place").agg(F.count_distinct("finding").alias("has")).join(whole, by)
+    shared = places.where("has = of").select("question", "item", "site", "place", F.lit(None).cast(own.schema["finding"].dataType).alias("finding"))
+    rest = own.where("place is not null").join(places.where("has = of"), [*by, "place"], "left_anti")
+    return shared.unionByName(rest.select("question", "item", "site", "place", "finding"))

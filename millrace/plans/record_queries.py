@@ -605,10 +605,25 @@ def a31(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("family").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey")).join(o.groupBy("family").agg(F.count_distinct("o_orderpriority").alias("sources")), "family")
 
 
+def _screened(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as screens: a supplier's nation is a site, a flag and line number a question, and an order that is much discounted a finding."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("site"))
+    return table(spark, d, "lineitem").join(s, "l_suppkey").select("site", F.concat("l_returnflag", "l_linenumber").alias("question"), F.col("l_orderkey").alias("finding"), (F.col("l_discount") > 0.09).alias("fires"), F.col("l_linestatus").alias("item"), (F.col("l_partkey") % 3).alias("place"), "l_quantity")
+
+
 def a32(spark: SparkSession, d: str) -> DataFrame:
-    """Sites per question: fired and quiet; fields that every finding asks for."""
-    f = j14(spark, d)
-    return f.groupBy("question").agg(F.count_distinct("place").alias("fired"), F.sum("anchors").alias("findings"), F.min("first_tag").alias("first_tag"))
+    """Per question the sites where it fired, was quiet, could not be checked and was not run."""
+    own = _screened(spark, d)
+    ran = own.where("site % 7 <> 0 or question <> 'R3'").groupBy("site", "question").agg(F.max("fires").alias("fires"), F.max("l_quantity").alias("most"))
+    status = F.when(F.col("fires"), "fired").when(F.col("site") % 3 == 0, "not checked").otherwise("quiet")
+    found = Q.site_rollup(ran.select("site", "question", status.alias("status")), own.where("fires and (site % 7 <> 0 or question <> 'R3')").select("site", "question", "finding"))
+    joined = lambda c: F.array_join(c, " ").alias(c)
+    return found.select("question", "fired", "findings", *map(joined, ("fired_at", "quiet_at", "not_checked_at", "not_run_at")), "place")
+
+
+def a32_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Places where data is asked for, those of all findings of a site once."""
+    return Q.merged_requests(_screened(spark, d).where("fires").select("site", "question", "finding", "item", "place"))
 
 
 def a33(spark: SparkSession, d: str) -> DataFrame:
@@ -864,7 +879,16 @@ QUERIES = {
     "a29_setpoints": (a29, """SELECT user_id, event_type, off FROM (SELECT user_id, event_type, abs(avg(value) - arg_max(value, event_id)) / greatest(abs(arg_max(value, event_id)), 1e-9) AS off FROM events GROUP BY ALL) WHERE off > 0.5"""),
     "a30_balance": (a30, """SELECT l_partkey, abs(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END)) / greatest(abs(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END)), 1e-9) AS imbalance FROM lineitem GROUP BY 1"""),
     "a31_status_matrix": (a31, """SELECT o_custkey % 40 AS family, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS P, count(DISTINCT o_orderpriority) AS sources FROM orders GROUP BY 1"""),
-    "a32_site_rollup": (a32, None),
+    "a32_requests": (a32_requests, """WITH r AS (SELECT DISTINCT s_nationkey AS site, l_returnflag || l_linenumber AS question, l_orderkey AS finding, l_linestatus AS item, l_partkey % 3 AS place FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount > 0.09),
+      n AS (SELECT site, question, item, count(DISTINCT finding) AS of FROM r GROUP BY ALL), p AS (SELECT site, question, item, place, count(DISTINCT finding) AS has FROM r GROUP BY ALL),
+      q AS (SELECT p.*, has = of AS shared FROM p JOIN n USING (site, question, item))
+      SELECT question, item, site, place, NULL::BIGINT AS finding FROM q WHERE shared UNION ALL SELECT r.question, r.item, r.site, r.place, r.finding FROM r JOIN q USING (site, question, item, place) WHERE NOT shared"""),
+    "a32_site_rollup": (a32, """WITH l AS (SELECT s_nationkey AS site, l_returnflag || l_linenumber AS question, l_orderkey AS finding, l_discount > 0.09 AS fires FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey % 7 <> 0 OR l_returnflag || l_linenumber <> 'R3'),
+      p AS (SELECT site, question, bool_or(fires) AS fires, count(DISTINCT finding) FILTER (fires) AS n FROM l GROUP BY ALL), s AS (SELECT DISTINCT site FROM l), q AS (SELECT DISTINCT question FROM l),
+      g AS (SELECT q.question, s.site, p.site IS NOT NULL AS ran, coalesce(fires, false) AS fires, coalesce(n, 0) AS n FROM q CROSS JOIN s LEFT JOIN p ON p.site = s.site AND p.question = q.question),
+      c AS (SELECT question, count(*) FILTER (fires) AS fired, sum(n)::BIGINT AS findings, coalesce(string_agg(site, ' ' ORDER BY site) FILTER (fires), '') AS fired_at, coalesce(string_agg(site, ' ' ORDER BY site) FILTER (ran AND NOT fires AND site % 3 <> 0), '') AS quiet_at,
+        coalesce(string_agg(site, ' ' ORDER BY site) FILTER (ran AND NOT fires AND site % 3 = 0), '') AS not_checked_at, coalesce(string_agg(site, ' ' ORDER BY site) FILTER (NOT ran), '') AS not_run_at FROM g GROUP BY question)
+      SELECT *, row_number() OVER (ORDER BY fired DESC, findings DESC, question)::INTEGER AS place FROM c"""),
     "a33_headline": (a33, "SELECT count(*) AS checks, count(*) FILTER (l_discount <= 0.05) AS passed, count(*) FILTER (l_tax IS NULL) AS not_checked FROM lineitem"),
     "a34_staging_check": (a34, """WITH p AS (SELECT p_partkey % 60 AS parent, p_name, p_type FROM part), f AS (SELECT 'duplicate' AS finding, parent, count(*) AS n FROM p GROUP BY parent, p_name, p_type HAVING count(*) > 1
       UNION ALL SELECT 'orphan', parent, count(*) FROM p WHERE parent NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 55) GROUP BY parent) SELECT finding, parent, sum(n)::BIGINT AS n FROM f GROUP BY ALL"""),

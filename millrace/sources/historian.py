@@ -25,6 +25,23 @@ def clock(raw: Column) -> Column:
     return raw.try_cast("timestamp")
 
 
+def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of all files, and a written table with a row for each split that has lines: where its first is in its file, and its first line that is not blank."""
+    order = [F.col("_metadata.file_path").alias("run"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    lines = spark.read.text(path).select(*order, F.regexp_replace("value", "^\ufeff|\r$", "").alias("line")).withColumn("full", F.col("line").rlike(r"[^\s,;\"]"))
+    counts = lines.groupBy("run", "block").agg(F.min("at").alias("first"), F.count_if("full").alias("rows"), F.count_if(~F.col("full")).alias("blanks"), F.min_by("line", F.when(F.col("full"), F.col("at"))).alias("head"))
+    before = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    return lines, written(counts.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))), "splits")
+
+
+def _placed(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    placed = lines.join(starts.drop("head"), ["run", "block"])
+    plain = placed.where("blanks = 0").select("run", (F.col("start") + F.col("at") - F.col("first")).alias("position"), "line")
+    inside = F.row_number().over(Window.partitionBy("run", "block").orderBy("at"))
+    gaps = placed.where((F.col("blanks") > 0) & F.col("full")).select("run", (F.col("start") + inside - 1).alias("position"), "line")
+    return plain.unionByName(gaps)
+
+
 def file_rows(spark: SparkSession, path: str) -> DataFrame:
     """``run, position, line``: the lines of each file that are not blank, numbered from 0.
 
@@ -32,17 +49,7 @@ def file_rows(spark: SparkSession, path: str) -> DataFrame:
     file add up to where each begins, and a line's number follows from its
     place in its split. Only splits with blank lines are numbered by a window.
     """
-    order = [F.col("_metadata.file_path").alias("run"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
-    lines = spark.read.text(path).select(*order, F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"))
-    full = F.col("line").rlike(r"[^\s,;\"]")
-    counts = lines.groupBy("run", "block").agg(F.min("at").alias("first"), F.count_if(full).alias("rows"), F.count_if(~full).alias("blanks"))
-    before = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
-    starts = written(counts.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))), "splits")
-    placed = lines.join(starts, ["run", "block"])
-    plain = placed.where("blanks = 0").select("run", (F.col("start") + F.col("at") - F.col("first")).alias("position"), "line")
-    inside = F.row_number().over(Window.partitionBy("run", "block").orderBy("at"))
-    gaps = placed.where((F.col("blanks") > 0) & full).select("run", (F.col("start") + inside - 1).alias("position"), "line")
-    return plain.unionByName(gaps)
+    return _placed(*_lines(spark, path))
 
 
 def cells(line: Column, sep: str = ",") -> Column:
@@ -53,11 +60,18 @@ def cells(line: Column, sep: str = ",") -> Column:
 
 
 def wide_rows(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """``run, row_no, header, cells``: each data row of each file with the header of its own file; row_no is -1 for a header without rows."""
-    rows = file_rows(spark, path)
-    heads = rows.where("position = 0").select("run", cells(F.col("line"), sep).alias("header"))  # a row a file
-    data = rows.where("position > 0").select("run", (F.col("position") - 1).alias("row_no"), cells(F.col("line"), sep).alias("cells"), (F.regexp_count("line", F.lit('"')) % 2 == 1).alias("open"))
-    return heads.join(data, "run", "left").withColumn("row_no", F.coalesce("row_no", F.lit(-1)))
+    """``run, row_no, header, cells, open``: each data row of each file with the header of its own file; row_no is -1 for a header without rows.
+
+    Headers are kept when the splits are counted and written with a row a
+    split, so Spark sees how small they are and sends them to the lines; the
+    lines stay where they were read.
+    """
+    lines, starts = _lines(spark, path)
+    heads = starts.where("start = 0 and rows > 0").select("run", cells(F.col("head"), sep).alias("header"))
+    data = _placed(lines, starts).where("position > 0").select("run", (F.col("position") - 1).alias("row_no"), cells(F.col("line"), sep).alias("cells"), (F.regexp_count("line", F.lit('"')) % 2 == 1).alias("open"))
+    bare = starts.groupBy("run").agg(F.sum("rows").alias("rows")).where("rows = 1").join(heads, "run")
+    alone = bare.select("run", F.lit(-1).cast("long").alias("row_no"), "header", F.lit(None).cast("array<string>").alias("cells"), F.lit(None).cast("boolean").alias("open"))
+    return data.join(heads, "run").select("run", F.col("row_no").cast("long").alias("row_no"), "header", "cells", "open").unionByName(alone)
 
 
 def wide_csv(spark: SparkSession, path: str, sep: str = ",", skip: tuple[str, ...] = ()) -> DataFrame:
