@@ -13,6 +13,7 @@ from millrace.operators import checks as C
 from millrace.operators import graphs as G
 from millrace.operators import pipes as P
 from millrace.operators import records as R
+from millrace.operators import renames as N
 from millrace.operators import rules as Q
 from millrace.operators.identity import sheet_identity
 from millrace.plans.standins import ITEMS, LINKS, items, links, table
@@ -499,12 +500,31 @@ def l01(spark: SparkSession, d: str) -> DataFrame:
     return R.apply_review(i, sheet).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    """A record for each sheet: its parts as instruments, and a controller each that measures the part and drives its neighbour."""
+    own = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("model"), "p_partkey", F.concat(F.lit("TI-"), (F.col("p_partkey") % 37).cast("string")).alias("tag"))
+    row = F.struct("p_partkey", F.struct("tag").alias("i"), F.struct(F.concat(F.lit("C-"), "p_partkey").alias("tag"), F.col("tag").alias("measurement"), F.struct(F.array(F.lit("FV"), F.col("tag")).alias("split_range")).alias("output")).alias("c"))
+    rows = own.groupBy("model").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # a sheet has forty parts
+    return rows.select("model", F.to_json(F.struct(F.col("rows.i").alias("instruments"), F.col("rows.c").alias("controllers"))).alias("record"))
+
+
+def _renames(spark: SparkSession, d: str) -> DataFrame:
+    models = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("model")).distinct()
+    asked = F.array(*[F.struct(F.lit("instruments").alias("section"), F.lit(old).alias("old"), F.lit(new).alias("new")) for old, new in (("TI-5", "TI-500"), ("TI-1", "TI-100"), ("TI-7", "TI-8"), ("TI-9", "C-1"))])
+    return models.select("model", F.inline(asked))
+
+
 def l02(spark: SparkSession, d: str) -> DataFrame:
-    """Every field that names a renamed tag."""
-    i = items(spark, d).select("id", F.col("tag").alias("measures"), F.concat(F.lit("FIC-"), (F.col("id") % 97).cast("string")).alias("drives"))
-    refs = i.select("id", F.explode(F.create_map(F.lit("measures"), F.col("measures"), F.lit("drives"), F.col("drives"))).alias("field", "tag"))
-    old = spark.range(20).select(F.concat(F.lit("FIC-"), (F.col("id") * 5).cast("string")).alias("tag"))
-    return refs.join(F.broadcast(old), "tag").select("id", "field", "tag")
+    """Every place that names a renamed tag, and the renames that are refused."""
+    changes, refused = N.planned(_models(spark, d), _renames(spark, d))
+    return changes.select("model", F.col("path").alias("place"), "old", "new").unionByName(refused.select("model", F.col("why").alias("place"), "old", "new"))
+
+
+def l02_applied(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the records once the renames are put back, counted by tag."""
+    models = _models(spark, d)
+    changes, _ = N.planned(models, _renames(spark, d))
+    return N.index(N.applied(models, changes)).where("field <> 'controllers.tag'").groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
 def l03(spark: SparkSession, d: str) -> DataFrame:
@@ -856,7 +876,14 @@ QUERIES = {
     "l01_apply_review": (l01, """WITH s AS (SELECT o_custkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'erase' WHEN o_orderkey % 2 = 0 THEN 'correct' ELSE 'confirm' END AS action, CASE WHEN o_orderkey % 5 = 0 THEN ' ' WHEN o_orderkey % 3 = 0 THEN 'BUILDING' ELSE 'OTHER' END AS value FROM orders)
       SELECT CASE WHEN c_custkey IS NULL THEN 'refused: unknown id' WHEN action = 'erase' THEN 'refused: unknown action' WHEN action = 'correct' AND trim(value) = '' THEN 'refused: no value' WHEN action = 'correct' AND value = c_mktsegment THEN 'no change' ELSE action END AS outcome, count(*) AS n
       FROM s LEFT JOIN customer ON c_custkey = id GROUP BY 1"""),
-    "l02_tag_references": (l02, I_ + """, r AS (SELECT id, 'measures' AS field, tag FROM items UNION ALL SELECT id, 'drives', 'FIC-' || (id % 97) FROM items) SELECT id, field, tag FROM r WHERE tag IN (SELECT 'FIC-' || (range * 5) FROM range(20))"""),
+    "l02_renamed_texts": (l02_applied, None),
+    "l02_tag_references": (l02, """WITH p AS (SELECT floor(p_partkey / 40)::BIGINT AS model, 'TI-' || (p_partkey % 37) AS tag, row_number() OVER (PARTITION BY floor(p_partkey / 40) ORDER BY p_partkey) - 1 AS i, p_partkey FROM part),
+      n AS (SELECT model, lower(tag) AS name, 'i' AS kind FROM p UNION ALL SELECT model, 'c-' || p_partkey, 'c' FROM p),
+      a AS (SELECT DISTINCT model, o.old, o.new FROM p, (VALUES ('TI-5', 'TI-500'), ('TI-1', 'TI-100'), ('TI-7', 'TI-8'), ('TI-9', 'C-1')) o(old, new)),
+      r AS (SELECT a.*, (SELECT count(*) FROM n WHERE n.model = a.model AND n.name = lower(a.old)) AS own, (SELECT count(*) FROM n WHERE n.model = a.model AND n.name = lower(a.new)) AS there FROM a),
+      w AS (SELECT *, CASE WHEN own = 0 THEN 'no such tag' WHEN own > 1 THEN 'ambiguous name' WHEN there > 0 THEN 'held by another item' END AS why FROM r)
+      SELECT model, why AS place, old, new FROM w WHERE why IS NOT NULL
+      UNION ALL SELECT p.model, unnest(['instruments[' || i || '].tag', 'controllers[' || i || '].measurement']), w.old, w.new FROM w JOIN p ON p.model = w.model AND p.tag = w.old WHERE why IS NULL"""),
     "l03_verdicts": (l03, """SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'rejected' WHEN o_orderkey % 4 = 3 THEN 'unverified' WHEN o_orderkey % 3 = 0 THEN 'verified' WHEN o_orderkey % 3 = 1 THEN 'disputed' ELSE 'source_checked' END AS status, count(*) AS n FROM orders GROUP BY 1"""),
     "l04_evidence_register": (l04, """WITH p AS (SELECT conv_id, count(DISTINCT length(text) % 2) FILTER (turn % 3 <> 2) AS v, count(*) FILTER (turn % 3 <> 2) AS accepted, count(*) FILTER (turn % 3 = 2) AS needs, count(*) AS n FROM conversations GROUP BY conv_id)
       SELECT conv_id, CASE WHEN v > 1 THEN 'disputed' WHEN needs > 0 THEN 'needs_data' WHEN accepted = n THEN 'answered' WHEN accepted > 0 THEN 'partial' ELSE 'unanswered' END AS state, accepted, n FROM p"""),
