@@ -148,15 +148,3 @@ def percent(x: Column, places: int = 1) -> Column:
 def guarded(cell: Column) -> Column:
     """A cell that a spreadsheet would run gets an apostrophe."""
     return F.when(cell.rlike(r"^\s*[=+@'-]|[\x00-\x1f]"), F.concat(F.lit("'"), cell)).otherwise(cell)
-
-
-# ---- interval numbers
-
-
-def interval(lo: Column, hi: Column) -> Column:
-    return F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
-
-
-def interval_product(a: Column, b: Column) -> Column:
-    ends = [x * y for x in (a["lo"], a["hi"]) for y in (b["lo"], b["hi"])]
-    return F.struct(F.least(*ends).alias("lo"), F.greatest(*ends).alias("hi"))

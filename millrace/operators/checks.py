@@ -177,13 +177,6 @@ def staging_findings(rows: DataFrame, parents: DataFrame) -> DataFrame:
     return twice.unionByName(orphan).groupBy("finding", "parent").agg(F.sum("n").alias("n"))
 
 
-def impact(changes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``changes(.., kw, hours)`` with ranges struct<lo, hi>: the range of the energy of each group."""
-    from millrace.functions.text import interval_product
-
-    return changes.withColumn("_e", interval_product(F.col("kw"), F.col("hours"))).groupBy(*by).agg(F.sum("_e.lo").alias("lo"), F.sum("_e.hi").alias("hi"))
-
-
 def shared_tags(items: DataFrame) -> DataFrame:
     """The items whose tag, upper case, is on more than one item."""
     several = items.groupBy(F.upper("tag").alias("_u")).agg(F.count("*").alias("_n")).where("_n > 1").select("_u")

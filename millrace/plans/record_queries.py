@@ -11,6 +11,7 @@ from millrace.functions import text as T
 from millrace.operators import audits as A
 from millrace.operators import checks as C
 from millrace.operators import graphs as G
+from millrace.operators import impact
 from millrace.operators import pipes as P
 from millrace.operators import records as R
 from millrace.operators import renames as N
@@ -658,11 +659,15 @@ def a34(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a35(spark: SparkSession, d: str) -> DataFrame:
-    """Impact with ranges: power range times hours range per line, summed per order status."""
+    """Energy and cost ranges of lines as changes, summed per order status; a seventh line gives its power twice, and much discounted ones have no range of hours."""
     li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    kw = T.interval(F.col("l_quantity") * 0.9, F.col("l_quantity") * 1.1)
-    hours = T.interval(F.lit(1000) * (0.05 - F.col("l_discount")), F.lit(2000) * (0.05 - F.col("l_discount")))
-    return C.impact(li.select("o_orderstatus", kw.alias("kw"), hours.alias("hours")), ["o_orderstatus"]).select("o_orderstatus", F.round("lo", 1).alias("lo"), F.round("hi", 1).alias("hi"))
+    both = lambda lo, hi: F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+    left = 0.05 - F.col("l_discount")
+    given = F.create_map(F.lit("kw"), both(F.col("l_quantity") * 0.9, F.col("l_quantity") * 1.1), F.lit("hours"), both(1000 * left, 2000 * left), F.lit("price_per_kwh"), both(F.lit(0.1), F.lit(0.12)))
+    twice = F.create_map(F.lit("hp"), both(F.col("l_quantity"), F.col("l_quantity")))
+    changes = li.select("o_orderstatus", F.when(F.col("l_linenumber") == 7, F.map_concat(given, twice)).otherwise(given).alias("given"))
+    found = impact.totals(impact.resolved(changes), ["o_orderstatus"], ("kwh", "cost_electricity"))
+    return found.select("o_orderstatus", "measure", "changes", "refused", F.round("lo", 1).alias("lo"), F.round("hi", 1).alias("hi"))
 
 
 def a36(spark: SparkSession, d: str) -> DataFrame:
@@ -919,8 +924,10 @@ QUERIES = {
     "a33_headline": (a33, "SELECT count(*) AS checks, count(*) FILTER (l_discount <= 0.05) AS passed, count(*) FILTER (l_tax IS NULL) AS not_checked FROM lineitem"),
     "a34_staging_check": (a34, """WITH p AS (SELECT p_partkey % 60 AS parent, p_name, p_type FROM part), f AS (SELECT 'duplicate' AS finding, parent, count(*) AS n FROM p GROUP BY parent, p_name, p_type HAVING count(*) > 1
       UNION ALL SELECT 'orphan', parent, count(*) FROM p WHERE parent NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 55) GROUP BY parent) SELECT finding, parent, sum(n)::BIGINT AS n FROM f GROUP BY ALL"""),
-    "a35_impact_ranges": (a35, """WITH e AS (SELECT o_orderstatus, l_quantity * 0.9 AS a, l_quantity * 1.1 AS b, 1000 * (0.05 - l_discount) AS c, 2000 * (0.05 - l_discount) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-      SELECT o_orderstatus, round(sum(least(a * c, a * d, b * c, b * d)), 1) AS lo, round(sum(greatest(a * c, a * d, b * c, b * d)), 1) AS hi FROM e GROUP BY 1"""),
+    "a35_impact_ranges": (a35, """WITH e AS (SELECT o_orderstatus, l_quantity * 0.9 AS a, l_quantity * 1.1 AS b, 1000 * (0.05 - l_discount) AS c, 2000 * (0.05 - l_discount) AS d, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+      k AS (SELECT *, c > d OR l_linenumber = 7 AS bad, least(a * c, a * d, b * c, b * d) AS lo, greatest(a * c, a * d, b * c, b * d) AS hi FROM e),
+      m AS (SELECT o_orderstatus, 'kwh' AS measure, bad, lo, hi FROM k UNION ALL SELECT o_orderstatus, 'cost_electricity', bad, least(lo * 0.1, lo * 0.12), greatest(hi * 0.1, hi * 0.12) FROM k)
+      SELECT o_orderstatus, measure, count(*) FILTER (NOT bad) AS changes, count(*) FILTER (bad) AS refused, round(sum(lo) FILTER (NOT bad), 1) AS lo, round(sum(hi) FILTER (NOT bad), 1) AS hi FROM m GROUP BY 1, 2"""),
     "a36_duplicate_tags": (a36, I_ + "SELECT kind, count(*) AS items, count(DISTINCT tag) AS tags FROM (SELECT *, count(*) OVER (PARTITION BY upper(tag)) AS n FROM items) WHERE n > 1 GROUP BY kind"),
     "k01_graph_edges": (k01, """WITH e AS (SELECT 1 AS section, s_suppkey AS item, 'part_of' AS type, 'S' || s_suppkey AS "from", 'N' || s_nationkey AS "to" FROM supplier UNION ALL SELECT 2, n_nationkey, 'within', 'N' || n_nationkey, 'R' || n_regionkey FROM nation)
       SELECT 'E' || section || '-' || lpad((row_number() OVER (PARTITION BY section ORDER BY item))::VARCHAR, 6, '0') AS id, type, "from", "to" FROM e"""),
