@@ -308,10 +308,10 @@ def register_state(decisions: DataFrame, key: str) -> DataFrame:
 # ---- reports
 
 
-def queue(items: DataFrame) -> DataFrame:
+def queue_order() -> list[Column]:
     """The review order: tier, falling risk, confidence (null first), id."""
     tier = F.when(F.col("tier") == "red", 0).when(F.col("tier") == "amber", 1).otherwise(2)
-    return items.orderBy(tier, F.desc("risk"), F.coalesce("confidence", F.lit(-1.0)), "id")
+    return [tier, F.desc("risk"), F.coalesce("confidence", F.lit(-1.0)), F.col("id")]
 
 
 def best_per_key(records: DataFrame, by: str, key: str, score: str, tie: str, top: int = 8) -> DataFrame:

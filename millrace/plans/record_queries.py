@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace import sinks
 from millrace.functions import text as T
 from millrace.operators import audits as A
 from millrace.operators import checks as C
@@ -18,6 +19,7 @@ from millrace.operators import renames as N
 from millrace.operators import rules as Q
 from millrace.operators.identity import sheet_identity
 from millrace.plans.standins import ITEMS, LINKS, items, links, table
+from millrace.scratch import new_path
 
 I_ = "WITH " + ITEMS
 RL = "WITH RECURSIVE " + LINKS
@@ -568,10 +570,9 @@ def f06(spark: SparkSession, d: str) -> DataFrame:
 
 
 def o01(spark: SparkSession, d: str) -> DataFrame:
-    """Places in the review order of the 500 riskiest items of each sheet group."""
+    """Places of all items in the review order of their sheet."""
     i = items(spark, d).select("id", "sheet", F.when(F.col("size") > 40, "red").when(F.col("size") > 20, "amber").otherwise("green").alias("tier"), (F.col("size") / 50).alias("risk"), F.when(F.col("id") % 7 != 0, F.col("price")).alias("confidence"))
-    tier = F.when(F.col("tier") == "red", 0).when(F.col("tier") == "amber", 1).otherwise(2)
-    w = Window.partitionBy("sheet").orderBy(tier, F.desc("risk"), F.coalesce("confidence", F.lit(-1.0)), "id")
+    w = Window.partitionBy("sheet").orderBy(*R.queue_order())
     return i.select("sheet", "id", "tier", F.row_number().over(w).alias("place"))
 
 
@@ -685,6 +686,24 @@ def k01(spark: SparkSession, d: str) -> DataFrame:
     return edges.select(F.format_string("E%d-%06d", "section", F.row_number().over(Window.partitionBy("section").orderBy("item"))).alias("id"), "type", "from", "to")
 
 
+def k01_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of regions, nations, suppliers and parts, written as a bundle and read back: what each kind holds."""
+    p, s, n = table(spark, d, "part"), table(spark, d, "supplier"), table(spark, d, "nation")
+    node = lambda df, mark, key, kind, label: df.select(F.concat(F.lit(mark), key).alias("id"), F.lit(kind).alias("type"), F.col(label).alias("label"), F.lit("verified").alias("status"))
+    nodes = node(n, "N", "n_nationkey", "nation", "n_name").unionByName(node(s, "S", "s_suppkey", "supplier", "s_name")).unionByName(node(p.where("p_size > 1"), "P", "p_partkey", "part", "p_name")).unionByName(node(s.where("s_suppkey % 10 = 0"), "S", "s_suppkey", "tank", "s_name"))
+    edge = lambda df, section, item, kind, a, b: df.select(F.lit(section).alias("section"), F.col(item).cast("long").alias("item"), F.when(F.col(item) % 5 == 0, F.concat(F.lit(f"own-{section}-"), item)).alias("id"), F.lit(kind).alias("type"), a.alias("from"), b.alias("to"), F.lit("unknown").alias("status"))
+    of = lambda mark, key: F.concat(F.lit(mark), key)
+    edges = edge(s, 1, "s_suppkey", "part_of", of("S", "s_suppkey"), of("N", "s_nationkey")).unionByName(edge(n, 2, "n_nationkey", "within", of("N", "n_nationkey"), of("R", "n_regionkey"))).unionByName(edge(p, 3, "p_partkey", "follows", of("P", "p_partkey"), of("P", F.col("p_partkey") + 1)))
+    claims = p.select(of("P", "p_partkey").alias("item"), F.lit("size").alias("name"), F.col("p_size").cast("string").alias("value"), F.lit("list").alias("source"))
+    events = table(spark, d, "orders").select(of("S", F.col("o_custkey") % 20).alias("item"), F.col("o_orderstatus").alias("decision"), F.col("o_orderpriority").alias("by"), F.col("o_orderdate").alias("on"))
+    path = new_path(spark, "graph")
+    sinks.graph(nodes, edges, claims, events, path)
+    g = sinks.read_graph(spark, path)
+    count = lambda name, by, least: g[name].groupBy(F.lit(name).alias("record"), F.col(by).alias("type")).agg(F.count("*").alias("n"), F.min(least).alias("first"))
+    rows = [count("nodes", "type", "id"), count("edges", "type", "id"), count("claims", "name", "item"), count("events", "decision", "item"), g["not_exported"].groupBy(F.concat_ws(" ", F.lit("not_exported"), "kind").alias("record"), F.col("why").alias("type")).agg(F.count("*").alias("n"), F.min("id").alias("first"))]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def k02(spark: SparkSession, d: str) -> DataFrame:
     """Review rows: joined reasons and guarded cells."""
     i = items(spark, d)
@@ -702,8 +721,10 @@ def k03(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k04(spark: SparkSession, d: str) -> DataFrame:
-    """Tag tree: the tags of each unit as a JSON list."""
-    return items(spark, d).groupBy("unit", "sheet").agg(F.to_json(F.array_sort(F.collect_list("tag"))).alias("tags"))  # a sheet holds 40 items
+    """Tag tree: the tags of each unit as JSON lines, written and read back."""
+    path = new_path(spark, "tags")
+    sinks.documents(items(spark, d).groupBy("unit", "sheet").agg(F.array_sort(F.collect_list("tag")).alias("tags")), path)  # a sheet holds 40 items
+    return spark.read.schema("unit long, sheet long, tags array<string>").json(path).select("unit", "sheet", F.to_json("tags").alias("tags"))
 
 
 def s18(spark: SparkSession, d: str) -> DataFrame:
@@ -929,6 +950,18 @@ QUERIES = {
       m AS (SELECT o_orderstatus, 'kwh' AS measure, bad, lo, hi FROM k UNION ALL SELECT o_orderstatus, 'cost_electricity', bad, least(lo * 0.1, lo * 0.12), greatest(hi * 0.1, hi * 0.12) FROM k)
       SELECT o_orderstatus, measure, count(*) FILTER (NOT bad) AS changes, count(*) FILTER (bad) AS refused, round(sum(lo) FILTER (NOT bad), 1) AS lo, round(sum(hi) FILTER (NOT bad), 1) AS hi FROM m GROUP BY 1, 2"""),
     "a36_duplicate_tags": (a36, I_ + "SELECT kind, count(*) AS items, count(DISTINCT tag) AS tags FROM (SELECT *, count(*) OVER (PARTITION BY upper(tag)) AS n FROM items) WHERE n > 1 GROUP BY kind"),
+    "k01_graph_bundle": (k01_bundle, """WITH nd AS (SELECT 'N' || n_nationkey AS id, 'nation' AS type FROM nation UNION ALL SELECT 'S' || s_suppkey, 'supplier' FROM supplier UNION ALL SELECT 'P' || p_partkey, 'part' FROM part WHERE p_size > 1),
+      e AS (SELECT 1 AS section, s_suppkey AS item, 'part_of' AS type, 'S' || s_suppkey AS a, 'N' || s_nationkey AS b FROM supplier UNION ALL SELECT 2, n_nationkey, 'within', 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 3, p_partkey, 'follows', 'P' || p_partkey, 'P' || (p_partkey + 1) FROM part),
+      f AS (SELECT CASE WHEN item % 5 = 0 THEN 'own-' || section || '-' || item ELSE 'E' || lpad((row_number() OVER (ORDER BY section, item))::VARCHAR, 5, '0') END AS id, type, a IN (SELECT id FROM nd) AND b IN (SELECT id FROM nd) AS ok FROM e),
+      ev AS (SELECT 'S' || (o_custkey % 20) AS item, o_orderstatus AS decision FROM orders)
+      SELECT 'nodes' AS record, type, count(*) AS n, min(id) AS first FROM nd GROUP BY type
+      UNION ALL SELECT 'edges', type, count(*), min(id) FROM f WHERE ok GROUP BY type
+      UNION ALL SELECT 'claims', 'size', count(*), min('P' || p_partkey) FROM part WHERE p_size > 1
+      UNION ALL SELECT 'events', decision, count(*), min(item) FROM ev WHERE item IN (SELECT id FROM nd) GROUP BY decision
+      UNION ALL SELECT 'not_exported node', 'the id repeats', count(*), min('S' || s_suppkey) FROM supplier WHERE s_suppkey % 10 = 0 HAVING count(*) > 0
+      UNION ALL SELECT 'not_exported edge', 'an end is not in the graph', count(*), min(id) FROM f WHERE NOT ok HAVING count(*) > 0
+      UNION ALL SELECT 'not_exported claim', 'its item is not in the graph', count(*), min('P' || p_partkey) FROM part WHERE NOT p_size > 1 HAVING count(*) > 0
+      UNION ALL SELECT 'not_exported event', 'its item is not in the graph', count(*), min(item) FROM ev WHERE item NOT IN (SELECT id FROM nd) HAVING count(*) > 0"""),
     "k01_graph_edges": (k01, """WITH e AS (SELECT 1 AS section, s_suppkey AS item, 'part_of' AS type, 'S' || s_suppkey AS "from", 'N' || s_nationkey AS "to" FROM supplier UNION ALL SELECT 2, n_nationkey, 'within', 'N' || n_nationkey, 'R' || n_regionkey FROM nation)
       SELECT 'E' || section || '-' || lpad((row_number() OVER (PARTITION BY section ORDER BY item))::VARCHAR, 6, '0') AS id, type, "from", "to" FROM e"""),
     "k02_review_rows": (k02, I_ + """SELECT id, CASE WHEN id % 5 = 0 THEN '''=' || tag ELSE tag END AS cell, concat_ws('; ', CASE WHEN size > 40 THEN 'large' END, CASE WHEN price < 950 THEN 'cheap' END, CASE WHEN tag LIKE 'PSV%' THEN 'relief' END) AS why FROM items"""),
