@@ -112,8 +112,8 @@ def word_bytes(path: str) -> WordBytes:
     return _memo[path]
 
 
-def token_bytes(text: str | None, words: WordBytes) -> bytes:
-    """All ids of a text and the end id."""
+def token_bytes(text: str | None, words: WordBytes, memo_bytes: int | None = None) -> bytes:
+    """All ids of a text and the end id; the memo is emptied once it holds more than ``memo_bytes``, or ``MOST_CACHED_BYTES``."""
     chunks = _BLANK.sub(" ", text or "").split(" ")
     fresh = {c for c in set(chunks) if c not in words}
     if fresh:
@@ -121,12 +121,12 @@ def token_bytes(text: str | None, words: WordBytes) -> bytes:
         out = b"".join([new[c] if c in new else words[c] for c in chunks])
     else:
         out = b"".join(map(words.__getitem__, chunks))
-    if words.held > MOST_CACHED_BYTES:
+    if words.held > (MOST_CACHED_BYTES if memo_bytes is None else memo_bytes):
         words.emptied()
     return out + END_ID.to_bytes(4, "little")
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None, room: int = 2048) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None, room: int = 2048, memo_bytes: int | None = None) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, place)`` per piece; place is that of the document, null without ``place_col``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                ids = token_bytes(text.as_py(), words)
+                ids = token_bytes(text.as_py(), words, memo_bytes)
                 for k, begin in enumerate(range(0, len(ids), 4 * room)):
                     part = ids[begin : begin + 4 * room]
                     row.append(i)
@@ -214,7 +214,7 @@ def pack(cut: DataFrame, *, room: int = 2048, group_pieces: int = 32_768) -> Dat
     return placed.unionByName(alone.select(*out))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None, room: int = 2048, group_pieces: int = 32_768) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None, room: int = 2048, group_pieces: int = 32_768, memo_bytes: int | None = None) -> DataFrame:
     """Tokenise, cut and pack all of ``docs``: a row per piece. ``place_col`` numbers the documents from 0 along the training stream."""
-    cut = written(pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, place_col=place_col, room=room), "pieces")
+    cut = written(pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, place_col=place_col, room=room, memo_bytes=memo_bytes), "pieces")
     return pack(cut, room=room, group_pieces=group_pieces)
