@@ -34,6 +34,8 @@ from millrace.scratch import drop_path, new_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 REJECT_FROM = 0.5
+#: Bytes of the tokenizer's memo in a Python worker, which the other stages' workers share memory with.
+MEMO_BYTES = 1 << 26
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +74,7 @@ def in_file_order(docs: DataFrame, name: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     place = free_name("place", docs.columns)
-    return packing.pack_documents(in_file_order(docs, place), public_tokenizers.path("word_bpe_49k.json"), place_col=place)
+    return packing.pack_documents(in_file_order(docs, place), public_tokenizers.path("word_bpe_49k.json"), place_col=place, memo_bytes=MEMO_BYTES)
 
 
 STAGES: list[tuple[str, Stage]] = [
