@@ -319,7 +319,7 @@ def median3(readings: DataFrame, chunk: int = CHUNK) -> DataFrame:
 EARLY = 1024
 
 
-def _averages(x: np.ndarray, n: np.ndarray, span: int, start: float) -> tuple[np.ndarray, np.ndarray]:
+def averages(x: np.ndarray, n: np.ndarray, span: int, start: float) -> tuple[np.ndarray, np.ndarray]:
     """The average before and after each sample: the n-th has weight max(1/span, 1/n).
 
     The first samples, whose weights fall, are walked; the others, of one
@@ -365,7 +365,7 @@ def drift_gaps(readings: DataFrame, fast: int = FAST, slow: int = SLOW, chunk: i
         out = {"run": rows["run"].iloc[0], "tag": rows["tag"].iloc[0], "chunk": rows["chunk"].iloc[0]}
         for name, span in (("f", fast), ("s", slow)):
             # The map of the whole chunk: what it makes of nought, and how much of a start it keeps.
-            out |= {f"a_{name}": float(np.prod(1 - np.maximum(1.0 / span, 1.0 / n))), f"b_{name}": float(_averages(rows["of"].to_numpy(float), n, span, 0.0)[1][-1])}
+            out |= {f"a_{name}": float(np.prod(1 - np.maximum(1.0 / span, 1.0 / n))), f"b_{name}": float(averages(rows["of"].to_numpy(float), n, span, 0.0)[1][-1])}
         return pd.DataFrame([out])
 
     mapped = good.groupBy(*SERIES, "chunk").applyInPandas(maps, f"{head}, a_f double, b_f double, a_s double, b_s double")
@@ -386,8 +386,8 @@ def drift_gaps(readings: DataFrame, fast: int = FAST, slow: int = SLOW, chunk: i
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row_no").reset_index(drop=True)
         x, n = rows["of"].to_numpy(float), rows["before"].iloc[0] + 1.0 + np.arange(len(rows))
-        level = _averages(x, n, slow, rows["start_s"].iloc[0])[0]
-        gap = _averages(x, n, fast, rows["start_f"].iloc[0])[1] - level
+        level = averages(x, n, slow, rows["start_s"].iloc[0])[0]
+        gap = averages(x, n, fast, rows["start_f"].iloc[0])[1] - level
         later = n > 1
         return rows[["run", "tag", "row_no", "value"]].assign(gap=pd.Series(gap).where(later).astype(object).where(later, None), level=pd.Series(level).where(later).astype(object).where(later, None))
 

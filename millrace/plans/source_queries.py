@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace import sinks
 from millrace.operators import graphs as G
+from millrace.operators import series as S
+from millrace.plans.series_queries import DRIFT
 from millrace.plans.standins import READINGS, readings, table
 from millrace.scratch import new_path, written
 from millrace.sources import historian as H
@@ -236,6 +238,16 @@ def t02(spark: SparkSession, d: str) -> DataFrame:
     return T.drained(T.drift_alarms(stream, 15.0), "append", "t02", spark).select("run", "tag", "n", F.round("gap", 6).alias("gap"))
 
 
+def t02_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """Alarms by bands fitted on the readings, which follow the level; the bands meet the stream by series."""
+    own = readings(spark, d)
+    band = written(S.drift_bands(S.drift_stats(S.drift_gaps(own)), 3.0), "bands")
+    path = T.sliced(own.select("run", "tag", F.col("ts").cast("timestamp").alias("ts"), "value"), 4)
+    stream = T.replay(spark, path, "run long, tag string, ts timestamp, value double")
+    events = T.drained(T.drift_events(stream, band, T.Rule(follow_level=True, bad_breaks=True)), "append", "t02f", spark)
+    return events.select("run", "tag", "kind", "n", F.round("gap", 6).alias("gap"), "late")
+
+
 def t03(spark: SparkSession, d: str) -> DataFrame:
     path = T.sliced(readings(spark, d).select("tag", F.col("ts").cast("timestamp").alias("ts"), "value"), 4)
     stream = T.replay(spark, path, "tag string, ts timestamp, value double")
@@ -308,5 +320,9 @@ QUERIES = {
     "s23_instruments": (s23, """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN (['F', 'T', 'L'])[p_size % 3 + 1] || 'IC-' || p_partkey WHEN 1 THEN 'TT-' || p_partkey ELSE p_brand END AS tag, p_partkey % 3 = 0 AS controls, (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_partkey = p_partkey) AS outputs FROM part"""),
     "t01_replay": (t01, WITH + "SELECT run, tag, CASE WHEN value IS NULL THEN 'bad' ELSE 'good' END AS quality, count(*) AS n FROM readings GROUP BY ALL"),
     "t02_drift_alarms": (t02, "WITH RECURSIVE " + READINGS + DRIFT3),
+    "t02_fitted_alarms": (t02_fitted, DRIFT + """, f AS (SELECT w.*, CASE WHEN b.mean = 0 THEN 1.0 ELSE least(1.0, greatest(0.5, abs(level) / abs(b.mean))) END AS r, b.gap_mean, b.half_width FROM walk w JOIN dbands b USING (run, tag)),
+      i AS (SELECT *, row_no - row_number() OVER (PARTITION BY run, tag ORDER BY row_no) AS island FROM f WHERE abs(gap - gap_mean * r) > half_width * r),
+      p AS (SELECT *, row_number() OVER (PARTITION BY run, tag, island ORDER BY row_no) AS k FROM i)
+      SELECT run, tag, 'alarm' AS kind, n, round(gap, 6) AS gap, 0::BIGINT AS late FROM p WHERE k = 3"""),
     "t03_active_counts": (t03, WITH + "SELECT tag, count(*) AS samples, count(*) FILTER (value IS NULL) AS bad, count(*) FILTER (value > 100) AS out_of_band FROM readings GROUP BY tag"),
 }

@@ -1,24 +1,30 @@
 """Recorded readings as streams, and alarm rules over them.
 
-The batch operators refuse readings out of order. A stream cannot: late rows
-within the watermark are put in order inside a batch, and rows that are not
-after the last one of their series are dropped and counted.
+The batch operators refuse readings out of order. A stream cannot: rows are put
+in order inside a step, and rows that are not after the last one of their
+series are left out and counted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from millrace.operators.series import FAST, RUN, SLOW
+from millrace.operators.series import FAST, RUN, SCALE_MIN, SLOW, averages, residuals
 from millrace.scratch import drop_path, new_path
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def replay(spark: SparkSession, path: str, schema: Any, files_per_step: int = 1) -> DataFrame:
     """A folder of row slices as a stream, a few files a step; bad cells are carried."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_step).parquet(path)
@@ -57,8 +63,13 @@ def drained(stream: DataFrame, mode: str, tag: str, spark: SparkSession) -> Data
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(path)
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    query.awaitTermination()
+    kept = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)  # what a query with named states needs; it holds for those started here
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(STORE) if kept is None else spark.conf.set(STORE, kept)
     out = spark.read.parquet(path)
     if mode == "complete":
         last = out.agg(F.max("_batch").alias("_batch"))
@@ -66,42 +77,118 @@ def drained(stream: DataFrame, mode: str, tag: str, spark: SparkSession) -> Data
     return out.drop("_batch")
 
 
-# ---- T02: drift and run-of-3 by state
-
-STATE = "n long, fast double, slow double, run long, last_us long, dropped long"
-ALARM = "run long, tag string, n long, ts_us long, gap double, dropped long"
-
-
-def drift_alarms(stream: DataFrame, half_width: float, watermark: str = "1 day", least: int = RUN, fast: int = FAST, slow: int = SLOW) -> DataFrame:
-    """A row each time the gap of a series has been outside its band for ``least`` good samples in a row.
-
-    The state of a series is seven numbers whatever its length. Input columns:
-    run (long), tag, ts, value. Null values do not move the state.
+# ---- T02: drift and runs of flags by state
+
+STATE = "n long, fast double, slow double, run long, last_us long, late long, before array<double>"
+ALARM = "run long, tag string, kind string, n long, ts_us long, gap double, late long"
+BAND = ("mean", "gap_mean", "half_width")
+NO_TIME = -(2**63)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """How a series is judged: spans of both averages, flags that make an alarm, and what is done to samples first."""
+
+    least: int = RUN
+    fast: int = FAST
+    slow: int = SLOW
+    median: bool = False
+    follow_level: bool = False
+    bad_breaks: bool = False
+    ttl_ms: int | None = None
+
+
+class DriftAlarms(StatefulProcessor):
+    """The state of a series: seven numbers and its last two good samples, forgotten after ``ttl_ms`` without a sample."""
+
+    def __init__(self, rule: Rule) -> None:
+        self.rule = rule
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.series = handle.getValueState("series", STATE, self.rule.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        rule = self.rule
+        n, fast, slow, run, last, late, before = self.series.get() if self.series.exists() else (0, 0.0, 0.0, 0, NO_TIME, 0, [])
+        got = pd.concat(list(rows)).sort_values("us", kind="stable")
+        us = got["us"].to_numpy(np.int64)
+        follows, out = (us > last) & np.r_[True, us[1:] != us[:-1]], []
+        new, missed = np.flatnonzero(follows), int((~follows).sum())
+        if missed:
+            late += missed
+            out.append((key[0], key[1], "late", n, int(us[~follows][0]), None, missed))
+        if len(new):
+            us, x = us[new], got["value"].to_numpy(np.float64, na_value=np.nan)[new]
+            good = np.flatnonzero(~np.isnan(x))
+            flags, gaps, number = np.zeros(len(x), bool), np.full(len(x), np.nan), n + np.cumsum(~np.isnan(x))
+            if len(good):
+                raw = np.concatenate([np.asarray(before, np.float64), x[good]])
+                own = x[good]
+                if rule.median and len(raw) > 2:
+                    mid = np.median(np.stack([raw[:-2], raw[1:-1], raw[2:]]), axis=0)
+                    own = np.concatenate([raw[len(before) : 2], mid])
+                level, slow_after = averages(own, number[good].astype(np.float64), rule.slow, slow)
+                fast_after = averages(own, number[good].astype(np.float64), rule.fast, fast)[1]
+                gaps[good] = np.where(number[good] > 1, fast_after - level, np.nan)
+                flags[good] = self.outside(gaps[good], level, *(got[c].iloc[0] for c in BAND))
+                n, fast, slow, before = int(number[-1]), float(fast_after[-1]), float(slow_after[-1]), raw[-2:].tolist()
+            seen = np.arange(len(x)) if rule.bad_breaks else good
+            # Each flag's place in its run; one that begins the batch goes on from the state.
+            at = np.arange(1, len(seen) + 1)
+            broken = np.maximum.accumulate(np.where(flags[seen], 0, at))
+            place = at - broken + np.where(broken == 0, run, 0)
+            for i in seen[flags[seen] & (place == rule.least)]:
+                out.append((key[0], key[1], "alarm", int(number[i]), int(us[i]), float(gaps[i]), late))
+            run, last = int(place[-1]) if len(place) else run, int(us[-1])
+        self.series.update((n, fast, slow, run, last, late, before))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALARM.split(", ")]).astype({"gap": "float64"})
+
+    def outside(self, gap: np.ndarray, level: np.ndarray, mean: float, centre: float, half: float) -> np.ndarray:
+        if pd.isna(half):
+            return np.zeros(len(gap), bool)
+        share = np.ones(len(gap))
+        if self.rule.follow_level and mean != 0:
+            share = np.minimum(1.0, np.maximum(SCALE_MIN, np.abs(level) / abs(mean)))
+        return np.abs(gap - centre * share) > half * share
+
+    def close(self) -> None:
+        pass
+
+
+def drift_events(stream: DataFrame, band: DataFrame | float, rule: Rule = Rule(), profile: DataFrame | None = None) -> DataFrame:
+    """Events of each series of ``stream(run, tag, ts, value)``; run is a long.
+
+    An ``alarm`` is a row each time a series has been outside its band for
+    ``rule.least`` samples in a row: the good samples so far, the time and gap,
+    and the late rows so far. A ``late`` row says how many rows of a step were
+    not after the last one of their series (repeated or missing times included); they
+    change nothing else, and none is dropped unseen.
+
+    ``band`` is a half-width for all series, or a table of ``mean``,
+    ``gap_mean`` and ``half_width`` by run and tag, as ``drift_bands`` makes it;
+    a series without a band never flags. With a time-of-day ``profile`` the
+    samples are first lessened by their slot's mean (cyclic method), with
+    ``rule.median`` each becomes the median of it and the two good ones before.
+    Null samples do not move the averages; with ``rule.bad_breaks`` they end a
+    run, as they do in ``alarm_runs``.
+
+    The rows of a series within one step are one task's; state is kept in
+    RocksDB (``drained`` sets it) and has a fixed size. With ``rule.ttl_ms`` a
+    series silent for so long, by the clock of the cluster, begins anew.
     """
-    own = stream.withWatermark("ts", watermark).select(F.col("run").cast("long").alias("run"), "tag", F.unix_micros("ts").alias("us"), "value", "ts")
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, f, s, run, last, dropped = state.get if state.exists else (0, 0.0, 0.0, 0, -(2**63), 0)
-        rows = pd.concat(list(batches)).sort_values("us", kind="stable")
-        out = []
-        for us, x in zip(rows["us"], rows["value"], strict=True):
-            if us <= last:
-                dropped += 1
-                continue
-            last = int(us)
-            if x is None or x != x:
-                continue
-            n += 1
-            f += max(1.0 / fast, 1.0 / n) * (x - f)
-            gap = f - s if n > 1 else 0.0
-            s += max(1.0 / slow, 1.0 / n) * (x - s)
-            run = run + 1 if n > 1 and abs(gap) > half_width else 0
-            if run == least:
-                out.append((key[0], key[1], n, int(us), gap, dropped))
-        state.update((n, f, s, run, last, dropped))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALARM.split(", ")])
-
-    return own.groupBy("run", "tag").applyInPandasWithState(step, ALARM, STATE, "append", GroupStateTimeout.NoTimeout)
+    own = stream if profile is None else residuals(stream, profile).withColumn("value", F.col("residual"))
+    own = own.select(F.col("run").cast("long").alias("run"), "tag", F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME)).alias("us"), F.col("value").cast("double").alias("value"))
+    if isinstance(band, DataFrame):
+        own = own.join(band.select(F.col("run").cast("long").alias("run"), "tag", *BAND), ["run", "tag"], "left")
+    else:
+        own = own.withColumns({"mean": F.lit(0.0), "gap_mean": F.lit(0.0), "half_width": F.lit(float(band))})
+    mode = "None" if rule.ttl_ms is None else "ProcessingTime"
+    return own.groupBy("run", "tag").transformWithStateInPandas(DriftAlarms(rule), ALARM, "Append", mode)
+
+
+def drift_alarms(stream: DataFrame, half_width: float, least: int = RUN, fast: int = FAST, slow: int = SLOW) -> DataFrame:
+    """The alarms of one half-width for all series, the level not followed."""
+    return drift_events(stream, half_width, Rule(least, fast, slow)).where("kind = 'alarm'").drop("kind")
 
 
 # ---- T03: running counts

@@ -267,7 +267,7 @@ def test_averages_equal_a_walk(span):
             at += w * (v - at)
         import numpy as np
 
-        got = B._averages(np.array(x), first + np.arange(700.0), span, 3.0)
+        got = B.averages(np.array(x), first + np.arange(700.0), span, 3.0)
         assert all(abs(b - c) < 1e-9 and abs(a - d) < 1e-9 for (b, a), c, d in zip(want, *got, strict=True))
 
 
