@@ -22,6 +22,7 @@ from millrace.scratch import drop_path, new_path
 
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -56,20 +57,28 @@ def with_quality(readings: DataFrame, value: str = "value") -> DataFrame:
     return readings.withColumn("quality", F.when(F.col(value).isNull(), "bad").otherwise("good"))
 
 
-def drained(stream: DataFrame, mode: str, tag: str, spark: SparkSession) -> DataFrame:
-    """Run a stream over all that is there and return what it wrote, the last state of each row for ``complete``."""
+def drained(stream: DataFrame, mode: str, tag: str, spark: SparkSession, idle_steps: bool = True) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote, the last state of each row for ``complete``.
+
+    Steps without data close what a watermark has passed. A state with a time
+    to live asks for them without end, so such a stream needs ``idle_steps`` off.
+    """
     path, marks = new_path(spark, tag), new_path(spark, f"{tag}-marks")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(path)
 
-    kept = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)  # what a query with named states needs; it holds for those started here
+    # Queries with named states need RocksDB; both settings hold for those started here.
+    asked = {STORE: ROCKS, IDLE: str(idle_steps).lower()}
+    kept = {name: spark.conf.get(name, None) for name in asked}
     try:
+        for name, value in asked.items():
+            spark.conf.set(name, value)
         query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(STORE) if kept is None else spark.conf.set(STORE, kept)
+        for name, value in kept.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     out = spark.read.parquet(path)
     if mode == "complete":
         last = out.agg(F.max("_batch").alias("_batch"))
@@ -174,7 +183,8 @@ def drift_events(stream: DataFrame, band: DataFrame | float, rule: Rule = Rule()
 
     The rows of a series within one step are one task's; state is kept in
     RocksDB (``drained`` sets it) and has a fixed size. With ``rule.ttl_ms`` a
-    series silent for so long, by the clock of the cluster, begins anew.
+    series silent for so long, by the clock of the cluster, begins anew
+    (``drained`` then needs ``idle_steps`` off).
     """
     own = stream if profile is None else residuals(stream, profile).withColumn("value", F.col("residual"))
     own = own.select(F.col("run").cast("long").alias("run"), "tag", F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME)).alias("us"), F.col("value").cast("double").alias("value"))

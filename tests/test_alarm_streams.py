@@ -84,6 +84,6 @@ def test_a_silent_series_begins_anew(spark, tmp_path):
     put(spark, path, [(i, 10.0) for i in range(20)])
     put(spark, path, [(20 + i, 90.0) for i in range(5)])
     put(spark, path, [(2, 10.0)])
-    events = lambda ttl: [(r.kind, r.n) for r in P.drained(P.drift_events(P.replay(spark, path, SCHEMA), 5.0, P.Rule(ttl_ms=ttl)), "append", "t", spark).collect()]
+    events = lambda ttl: [(r.kind, r.n) for r in P.drained(P.drift_events(P.replay(spark, path, SCHEMA), 5.0, P.Rule(ttl_ms=ttl)), "append", "t", spark, idle_steps=False).collect()]
     assert sorted(events(3_600_000)) == [("alarm", 23), ("late", 25)]
     assert events(1) == []  # nothing is left of the first slice when the second comes
