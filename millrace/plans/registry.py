@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.scratch import joins_by_measured_size
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "p14_band_predicate"
@@ -20,8 +23,17 @@ def _all() -> dict[str, tuple[Query, str | None]]:
     return found
 
 
+def _measured(f: Query) -> Query:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        joins_by_measured_size(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in _all().items()}
+    return {name: _measured(f) for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:

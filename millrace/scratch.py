@@ -14,6 +14,40 @@ from pyspark.sql import DataFrame, SparkSession
 _local: list[str] = []
 
 
+#: Static estimates follow compressed file sizes, so only tables far below Spark's 10 MB are broadcast by them (bytes).
+ESTIMATED = 256 << 10
+STATIC, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+_GIVEN = "millrace.autoBroadcastJoinThreshold"
+
+
+def joins_by_measured_size(spark: SparkSession) -> None:
+    """Broadcast what measures small once it is shuffled, not what its files make look small.
+
+    A Parquet table of keys and few values takes a few bytes a row and its hash
+    table a hundred times that, built on the driver. The session's threshold
+    goes on to hold for measured sizes; estimates are trusted up to
+    ``ESTIMATED``. ``joins_as_given`` puts the settings back.
+    """
+    if spark.conf.get(_GIVEN, None) is not None:
+        return
+    given = spark.conf.get(STATIC)
+    spark.conf.set(_GIVEN, f"{given} {spark.conf.get(MEASURED, None) or ''}")
+    if spark.conf.get(MEASURED, None) is None:
+        spark.conf.set(MEASURED, given)
+    if given.lower().rstrip("b") != "-1":
+        spark.conf.set(STATIC, str(ESTIMATED))
+
+
+def joins_as_given(spark: SparkSession) -> None:
+    kept = spark.conf.get(_GIVEN, None)
+    if kept is None:
+        return
+    given, measured = kept.split(" ")
+    spark.conf.set(STATIC, given)
+    spark.conf.set(MEASURED, measured) if measured else spark.conf.unset(MEASURED)
+    spark.conf.unset(_GIVEN)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
