@@ -228,13 +228,13 @@ def s23(spark: SparkSession, d: str) -> DataFrame:
 
 def t01(spark: SparkSession, d: str) -> DataFrame:
     path = T.sliced(readings(spark, d).select("run", "tag", F.col("ts").cast("timestamp").alias("ts"), "value"), 4)
-    stream = T.with_quality(T.replay(spark, path, "run long, tag string, ts timestamp, value double"))
+    stream = T.with_quality(T.replay(spark, path, "run long, tag string, ts timestamp, value double", T.step_files(spark, path, 4)))
     return T.drained(stream, "append", "t01", spark).groupBy("run", "tag", "quality").agg(F.count("*").alias("n"))
 
 
 def t02(spark: SparkSession, d: str) -> DataFrame:
     path = T.sliced(readings(spark, d).select("run", "tag", F.col("ts").cast("timestamp").alias("ts"), "value"), 4)
-    stream = T.replay(spark, path, "run long, tag string, ts timestamp, value double")
+    stream = T.replay(spark, path, "run long, tag string, ts timestamp, value double", T.step_files(spark, path, 4))
     return T.drained(T.drift_alarms(stream, 15.0), "append", "t02", spark).select("run", "tag", "n", F.round("gap", 6).alias("gap"))
 
 
@@ -243,14 +243,14 @@ def t02_fitted(spark: SparkSession, d: str) -> DataFrame:
     own = readings(spark, d)
     band = written(S.drift_bands(S.drift_stats(S.drift_gaps(own)), 3.0), "bands")
     path = T.sliced(own.select("run", "tag", F.col("ts").cast("timestamp").alias("ts"), "value"), 4)
-    stream = T.replay(spark, path, "run long, tag string, ts timestamp, value double")
+    stream = T.replay(spark, path, "run long, tag string, ts timestamp, value double", T.step_files(spark, path, 4))
     events = T.drained(T.drift_events(stream, band, T.Rule(follow_level=True, bad_breaks=True)), "append", "t02f", spark)
     return events.select("run", "tag", "kind", "n", F.round("gap", 6).alias("gap"), "late")
 
 
 def t03(spark: SparkSession, d: str) -> DataFrame:
     path = T.sliced(readings(spark, d).select("tag", F.col("ts").cast("timestamp").alias("ts"), "value"), 4)
-    stream = T.replay(spark, path, "tag string, ts timestamp, value double")
+    stream = T.replay(spark, path, "tag string, ts timestamp, value double", T.step_files(spark, path, 4))
     return T.drained(T.active_counts(stream, F.col("value") > 100), "complete", "t03", spark)
 
 

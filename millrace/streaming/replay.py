@@ -26,12 +26,16 @@ IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows of a step at most, about: a step's cost is mostly its state store, so a few large ones are read.
+STEP_ROWS = 8_000_000
+
+
 def replay(spark: SparkSession, path: str, schema: Any, files_per_step: int = 1) -> DataFrame:
     """A folder of row slices as a stream, a few files a step; bad cells are carried."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_step).parquet(path)
 
 
-def sliced(readings: DataFrame, slices: int, order: str = "ts", keys: tuple[str, ...] = ("run", "tag"), slice_rows: int = 1_000_000) -> str:
+def sliced(readings: DataFrame, slices: int, order: str = "ts", keys: tuple[str, ...] = ("run", "tag"), slice_rows: int = STEP_ROWS) -> str:
     """Write readings as at least ``slices`` slices of time, one after the other, and return their folder.
 
     A stream takes files by age, so slices are written in order of time; there
@@ -52,6 +56,17 @@ def sliced(readings: DataFrame, slices: int, order: str = "ts", keys: tuple[str,
     return path
 
 
+def step_files(spark: SparkSession, path: str, least: int, step_rows: int = STEP_ROWS) -> int:
+    """Files a step for ``replay``, so that the slices of ``sliced`` take ``least`` steps, or more only by their rows.
+
+    A slice is as many files as it had tasks, and a step a file would grow
+    with them. Slices are in order of age and a series is one file in each, so
+    a step may end inside a slice.
+    """
+    steps = max(least, -(-spark.read.parquet(path).count() // step_rows))
+    return max(1, -(-len(spark.read.parquet(path).inputFiles()) // steps))
+
+
 def with_quality(readings: DataFrame, value: str = "value") -> DataFrame:
     """Good, or bad for a null sample."""
     return readings.withColumn("quality", F.when(F.col(value).isNull(), "bad").otherwise("good"))

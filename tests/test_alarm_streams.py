@@ -87,3 +87,13 @@ def test_a_silent_series_begins_anew(spark, tmp_path):
     events = lambda ttl: [(r.kind, r.n) for r in P.drained(P.drift_events(P.replay(spark, path, SCHEMA), 5.0, P.Rule(ttl_ms=ttl)), "append", "t", spark, idle_steps=False).collect()]
     assert sorted(events(3_600_000)) == [("alarm", 23), ("late", 25)]
     assert events(1) == []  # nothing is left of the first slice when the second comes
+
+
+def test_steps_do_not_grow_with_the_files_of_a_slice(spark, tmp_path):
+    path = f"{tmp_path}/many"
+    spark.range(1000).repartition(40).write.parquet(path)
+    assert P.step_files(spark, path, 4) == 10
+    assert P.step_files(spark, path, 4, step_rows=100) == 4
+    one = f"{tmp_path}/one"
+    spark.range(10).coalesce(1).write.parquet(one)
+    assert P.step_files(spark, one, 4) == 1
