@@ -9,6 +9,11 @@ the result is the same whatever the chunks.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,3 +106,45 @@ def numbered(rows: DataFrame, keys: list[str], by: list[str], name: str) -> Data
     starts = counts.select(*keys, AT, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     place = F.row_number().over(inside(keys, by)) - 1
     return beside(cut, starts, [*keys, AT]).withColumn(name, (F.col("_start") + place).cast("long")).select(*rows.columns, name)
+
+
+def by_chunks(rows: DataFrame, keys: list[str], order: str, work: Callable[[pa.Table], pa.RecordBatch], schema: str, send: int = 1 << 16) -> DataFrame:
+    """``work`` on the rows of each ``keys`` in ``order``.
+
+    Rows are sorted by key in their partitions and cut where a key changes, so
+    thousands of short series cost what one long one does; a task holds an
+    Arrow batch and the rows of the key it has begun.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        made: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = np.zeros(len(batch), bool)
+            for k in keys:
+                column = batch.column(k)
+                if len(batch) > 1:
+                    same = pc.equal(column.slice(1), column.slice(0, len(batch) - 1)).fill_null(False)
+                    both = pc.and_(pc.is_null(column.slice(1)), pc.is_null(column.slice(0, len(batch) - 1)))
+                    new[1:] |= ~pc.or_(same, both).to_numpy(zero_copy_only=False)
+                new[0] |= not held or held[-1].column(k)[-1].as_py() != column[0].as_py()
+            cuts = [*np.flatnonzero(new).tolist(), len(batch)]
+            if held and cuts[0] > 0:
+                held.append(batch.slice(0, cuts[0]))
+            for a, b in zip(cuts, cuts[1:]):
+                if held:
+                    made.append(work(pa.Table.from_batches(held)))
+                    size += len(made[-1])
+                held = [batch.slice(a, b - a)]
+            if size >= send:
+                yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+                made, size = [], 0
+        if held:
+            made.append(work(pa.Table.from_batches(held)))
+        if made:
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)

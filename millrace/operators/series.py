@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -355,20 +356,22 @@ def drift_gaps(readings: DataFrame, fast: int = FAST, slow: int = SLOW, chunk: i
     kinds = {f.name: f.dataType.simpleString() for f in readings.schema.fields}
     head = f"run {kinds['run']}, tag {kinds['tag']}, chunk long"
     cut = readings.select(*SERIES, "row_no", "value", F.col(of).cast("double").alias("of"), F.floor(F.col("row_no") / chunk).cast("long").alias("chunk"))
-    earlier = Window.partitionBy(*SERIES).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy(*SERIES, "chunk").agg(F.count("of").alias("goods")).withColumn("before", F.coalesce(F.sum("goods").over(earlier), F.lit(0))).drop("goods")
+    whole = Window.partitionBy(*SERIES)
+    earlier = whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*SERIES, "chunk").agg(F.count("of").alias("goods")).withColumns({"before": F.coalesce(F.sum("goods").over(earlier), F.lit(0)), "chunks": F.count("*").over(whole)}).drop("goods")
     good = cut.where("of is not null").join(counts, [*SERIES, "chunk"])
 
-    def maps(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row_no")
-        n = rows["before"].iloc[0] + 1.0 + np.arange(len(rows))
-        out = {"run": rows["run"].iloc[0], "tag": rows["tag"].iloc[0], "chunk": rows["chunk"].iloc[0]}
+    def maps(rows: pa.Table) -> pa.RecordBatch:
+        n = rows["before"][0].as_py() + 1.0 + np.arange(len(rows))
+        out = {name: rows[name].combine_chunks().slice(0, 1) for name in ("run", "tag", "chunk")}
         for name, span in (("f", fast), ("s", slow)):
             # The map of the whole chunk: what it makes of nought, and how much of a start it keeps.
-            out |= {f"a_{name}": float(np.prod(1 - np.maximum(1.0 / span, 1.0 / n))), f"b_{name}": float(averages(rows["of"].to_numpy(float), n, span, 0.0)[1][-1])}
-        return pd.DataFrame([out])
+            made = float(np.prod(1 - np.maximum(1.0 / span, 1.0 / n))), float(averages(rows["of"].to_numpy(), n, span, 0.0)[1][-1])
+            out |= {f"a_{name}": pa.array([made[0]]), f"b_{name}": pa.array([made[1]])}
+        return pa.RecordBatch.from_pydict(out)
 
-    mapped = good.groupBy(*SERIES, "chunk").applyInPandas(maps, f"{head}, a_f double, b_f double, a_s double, b_s double")
+    # A series of one chunk begins at nought and needs no map.
+    mapped = scans.by_chunks(good.where("chunks > 1").drop("chunks"), [*SERIES, "chunk"], "row_no", maps, f"{head}, a_f double, b_f double, a_s double, b_s double")
 
     def starts(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("chunk")
@@ -383,16 +386,17 @@ def drift_gaps(readings: DataFrame, fast: int = FAST, slow: int = SLOW, chunk: i
 
     begun = mapped.groupBy(*SERIES).applyInPandas(starts, f"{head}, start_f double, start_s double")
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row_no").reset_index(drop=True)
-        x, n = rows["of"].to_numpy(float), rows["before"].iloc[0] + 1.0 + np.arange(len(rows))
-        level = averages(x, n, slow, rows["start_s"].iloc[0])[0]
-        gap = averages(x, n, fast, rows["start_f"].iloc[0])[1] - level
-        later = n > 1
-        return rows[["run", "tag", "row_no", "value"]].assign(gap=pd.Series(gap).where(later).astype(object).where(later, None), level=pd.Series(level).where(later).astype(object).where(later, None))
-
-    joined = good.join(begun, [*SERIES, "chunk"])
-    out = joined.groupBy(*SERIES, "chunk").applyInPandas(replay, f"run {kinds['run']}, tag {kinds['tag']}, row_no {kinds['row_no']}, value double, gap double, level double")
+    def replay(rows: pa.Table) -> pa.RecordBatch:
+        x, n = rows["of"].to_numpy(), rows["before"][0].as_py() + 1.0 + np.arange(len(rows))
+        level = averages(x, n, slow, rows["start_s"][0].as_py())[0]
+        gap = averages(x, n, fast, rows["start_f"][0].as_py())[1] - level
+        first = n <= 1
+        out = {name: rows[name].combine_chunks() for name in ("run", "tag", "row_no", "value")}
+        return pa.RecordBatch.from_pydict(out | {"gap": pa.array(gap, mask=first), "level": pa.array(level, mask=first)})
+
+    nought = {name: F.coalesce(name, F.lit(0.0)) for name in ("start_f", "start_s")}
+    joined = good.join(begun, [*SERIES, "chunk"], "left").withColumns(nought).withColumn("value", F.col("value").cast("double")).drop("chunks")
+    out = scans.by_chunks(joined, [*SERIES, "chunk"], "row_no", replay, f"run {kinds['run']}, tag {kinds['tag']}, row_no {kinds['row_no']}, value double, gap double, level double")
     none = F.lit(None).cast("double")
     return out.unionByName(cut.where("of is null").select(*SERIES, "row_no", F.col("value").cast("double").alias("value"), none.alias("gap"), none.alias("level")))
 

@@ -115,3 +115,28 @@ def test_statements(spark):
             "leaves": (1, None, 0.0, True), "leaves later": (6, None, -3.0, False), "enters": (5, None, 1.0, True), "peak": (3, 30.0, None, True),
             "small peak": (6, 50.0, None, True), "no peak": (None, None, None, False), "never": (None, 50.0, None, True), "never low": (0, 50.0, None, False),
         }
+
+
+def test_chunks_are_worked_out_as_arrays_and_not_as_groups(spark):
+    """Short series share Arrow batches; keys cut across batches and null keys stay whole."""
+    import pyarrow as pa
+
+    from millrace.operators import scans, series
+
+    rows = spark.range(5000).selectExpr("if(id % 7 = 0, null, id % 7) as run", "concat('t', id % 3) as tag", "id as row_no", "cast(id as double) as value")
+
+    def total(t):
+        assert t["row_no"].to_pylist() == sorted(t["row_no"].to_pylist())
+        return pa.RecordBatch.from_pydict({"run": t["run"].combine_chunks().slice(0, 1), "tag": t["tag"].combine_chunks().slice(0, 1), "n": pa.array([len(t)])})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = scans.by_chunks(rows if size != "1" else rows.limit(200), ["run", "tag"], "row_no", total, "run long, tag string, n long")
+            want = (rows if size != "1" else rows.limit(200)).groupBy("run", "tag").count()
+            assert sorted(map(str, [tuple(r) for r in got.collect()])) == sorted(map(str, [tuple(r) for r in want.collect()]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plan = series.drift_gaps(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("FlatMapGroupsInPandas") == 1
