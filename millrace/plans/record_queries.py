@@ -952,7 +952,7 @@ QUERIES = {
     "a36_duplicate_tags": (a36, I_ + "SELECT kind, count(*) AS items, count(DISTINCT tag) AS tags FROM (SELECT *, count(*) OVER (PARTITION BY upper(tag)) AS n FROM items) WHERE n > 1 GROUP BY kind"),
     "k01_graph_bundle": (k01_bundle, """WITH nd AS (SELECT 'N' || n_nationkey AS id, 'nation' AS type FROM nation UNION ALL SELECT 'S' || s_suppkey, 'supplier' FROM supplier UNION ALL SELECT 'P' || p_partkey, 'part' FROM part WHERE p_size > 1),
       e AS (SELECT 1 AS section, s_suppkey AS item, 'part_of' AS type, 'S' || s_suppkey AS a, 'N' || s_nationkey AS b FROM supplier UNION ALL SELECT 2, n_nationkey, 'within', 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 3, p_partkey, 'follows', 'P' || p_partkey, 'P' || (p_partkey + 1) FROM part),
-      f AS (SELECT CASE WHEN item % 5 = 0 THEN 'own-' || section || '-' || item ELSE 'E' || lpad((row_number() OVER (ORDER BY section, item))::VARCHAR, 5, '0') END AS id, type, a IN (SELECT id FROM nd) AND b IN (SELECT id FROM nd) AS ok FROM e),
+      f AS (SELECT CASE WHEN item % 5 = 0 THEN 'own-' || section || '-' || item ELSE printf('E%05d', row_number() OVER (ORDER BY section, item)) END AS id, type, a IN (SELECT id FROM nd) AND b IN (SELECT id FROM nd) AS ok FROM e),
       ev AS (SELECT 'S' || (o_custkey % 20) AS item, o_orderstatus AS decision FROM orders)
       SELECT 'nodes' AS record, type, count(*) AS n, min(id) AS first FROM nd GROUP BY type
       UNION ALL SELECT 'edges', type, count(*), min(id) FROM f WHERE ok GROUP BY type
