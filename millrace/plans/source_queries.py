@@ -29,6 +29,10 @@ def s01(spark: SparkSession, d: str) -> DataFrame:
     return long.groupBy("tag", "tag_pos").agg(F.count("value").alias("good"), F.round(F.sum("value"), 4).alias("total"), F.count_distinct("run").alias("runs"))
 
 
+#: Elements of a written XML file at most (fixed): such a file is read whole by one task.
+XML_ROWS = 50_000
+
+
 def s01_findings(spark: SparkSession, d: str) -> DataFrame:
     """Files of 500 events: some rows lack a cell or a time, some files repeat a name or mix clocks."""
     path = new_path(spark, "faulty")
@@ -107,7 +111,7 @@ def s08(spark: SparkSession, d: str) -> DataFrame:
 def s09(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "graphml")
     p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("_id"), F.array(F.struct(F.lit("class").alias("_key"), F.col("p_type").alias("_VALUE")), F.struct(F.lit("x").alias("_key"), F.col("p_size").cast("string").alias("_VALUE"))).alias("data"))
-    p.write.format("xml").option("rootTag", "graph").option("rowTag", "node").save(path)
+    p.write.format("xml").option("maxRecordsPerFile", XML_ROWS).option("rootTag", "graph").option("rowTag", "node").save(path)
     nodes, _ = R.graph_keys(spark, path)
     return nodes.groupBy(F.col("data")["class"].alias("class")).agg(F.count("*").alias("n"), F.sum(F.col("data")["x"].cast("long")).alias("x"))
 
@@ -161,7 +165,7 @@ def s16(spark: SparkSession, d: str) -> DataFrame:
     a = lambda n, v, u: F.struct(F.lit(n).alias("_Name"), v.alias("_Value"), F.lit(u).alias("_Units"))
     p = table(spark, d, "part")
     attrs = F.array(F.struct(F.array(a("size", F.col("p_size").cast("string"), "mm"), a("size", F.col("p_brand"), ""), a("note", F.when(F.col("p_partkey") % 3 == 0, F.lit(" ")).otherwise(F.col("p_name")), "")).alias("GenericAttribute")))
-    p.select(F.col("p_partkey").cast("string").alias("_ID"), F.col("p_type").alias("_ComponentClass"), attrs.alias("GenericAttributes")).write.format("xml").option("rootTag", "Plant").option("rowTag", "Equipment").save(path)
+    p.select(F.col("p_partkey").cast("string").alias("_ID"), F.col("p_type").alias("_ComponentClass"), attrs.alias("GenericAttributes")).write.format("xml").option("maxRecordsPerFile", XML_ROWS).option("rootTag", "Plant").option("rowTag", "Equipment").save(path)
     claims, empty = R.generic_attributes(spark, path, "Equipment")
     return claims.groupBy("name").agg(F.count("*").alias("n")).unionByName(empty.agg(F.sum("empty").alias("n")).select(F.lit("empty").alias("name"), "n"))
 
