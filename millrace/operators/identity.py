@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.scratch import written
 
 GRAM = 3
+#: Pairs of a sheet and a number that one task goes through in their order, a round (fixed).
+BLOCK = 1 << 17
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -42,7 +48,60 @@ def contained(listed: DataFrame, tags: DataFrame, on: list[str]) -> DataFrame:
     return out.select(*listed.columns, F.coalesce("hits", F.lit(0)).alias("hits"), F.col("hits").isNotNull().alias("found"), agrees.alias("class_agrees"))
 
 
-def sheet_identity(tags: DataFrame, refs: DataFrame, register: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def _up_to(due: DataFrame, block: int) -> Column | None:
+    """The condition that holds for about the first ``block`` pairs of ``due``, whole equal ones of a sheet at a time; null without a pair."""
+    levels = due.groupBy("v", "o").agg(F.count("*").alias("n")).orderBy(F.desc("v"), F.desc("o")).limit(1000).collect()
+    if not levels:
+        return None
+    seen, last = 0, None
+    for r in levels:
+        if seen + r.n > block:
+            break
+        seen, last = seen + r.n, r
+    whole = F.lit(False) if last is None else (F.col("v") > last.v) | ((F.col("v") == last.v) & (F.col("o") >= last.o))
+    if last is levels[-1]:
+        return whole
+    cut = levels[0 if last is None else levels.index(last) + 1]
+    at = (F.col("v") == cut.v) & (F.col("o") == cut.o)
+    until = None
+    for s in due.where(at).groupBy("sheet").agg(F.count("*").alias("n")).orderBy("sheet").limit(5000).collect():
+        if until is not None and seen + s.n > block:
+            break
+        seen, until = seen + s.n, s.sheet
+    return whole | (at & (F.col("sheet") <= F.lit(until)))
+
+
+def _in_turn(rows: DataFrame) -> DataFrame:
+    """``(sheet, number, via)``: numbers given, and sheets with a null number that are ambiguous or wait for one, of ``rows`` that one task goes through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        taken, given, over, out = set(), set(), {}, {}
+        for (due, _, _, sheet), own in groupby(every, key=lambda r: r[:4]):
+            free = [r for r in own if r[4] not in taken]
+            if sheet in given or not free:
+                continue
+            behind = over.setdefault(sheet, [])
+            while behind and behind[-1] in taken:
+                behind.pop()
+            if due and not behind and len(free) == 1:
+                given.add(sheet)
+                taken.add(free[0][4])
+                out[sheet] = free[0][4:]
+            else:
+                behind += [r[4] for r in free]
+                out[sheet] = (None, None)
+        yield pa.RecordBatch.from_pylist([{"sheet": s, "number": n, "via": via} for s, (n, via) in out.items()], schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    own = rows.select("due", "v", "o", "sheet", "number", "via").repartition(1).sortWithinPartitions("due", F.desc("v"), F.desc("o"), "sheet", "number")
+    kinds = rows.select("sheet", "number", "via").schema
+    schema = to_arrow_schema(kinds)
+    return own.mapInArrow(run, kinds)
+
+
+def sheet_identity(tags: DataFrame, refs: DataFrame, register: DataFrame, most_rounds: int = 1000, block: int = BLOCK) -> DataFrame:
     """``(sheet, system_code, system_code_method, drawing_number, drawing_number_method, candidates)`` of every sheet of ``tags``.
 
     ``tags(sheet, code)`` has the system code of each equipment tag, null
@@ -54,10 +113,17 @@ def sheet_identity(tags: DataFrame, refs: DataFrame, register: DataFrame, most_r
     the tags with that code, then by the other sheets that point to it.
 
     Numbers are given one to one, the best pair first. A sheet whose two best
-    numbers left are equal is ambiguous when its turn comes. A pair's outcome
-    depends on the pairs before it that share its sheet or a number that its
-    sheet could have; a round settles all pairs that have none of these open.
-    A number settles a tie of codes.
+    numbers left are equal is ambiguous when its turn comes. A number settles
+    a tie of codes.
+
+    Where many sheets could have the same numbers, their pairs hang together
+    one after the other. So a round takes the first ``block`` pairs, and one
+    task goes through them in turn; sheets that got a number and numbers that
+    were taken drop out with all their pairs. Every eighth round settles,
+    all at once, the pairs that no open pair before them can touch: those that
+    share its sheet or a number that its sheet could have. Thus neither few
+    numbers for many sheets nor many sheets apart from each other make many
+    rounds.
     """
     sheets = tags.select("sheet").distinct()
     counts = written(tags.where("code is not null").groupBy("sheet", "code").agg(F.count("*").alias("n")), "codes")
@@ -75,26 +141,42 @@ def sheet_identity(tags: DataFrame, refs: DataFrame, register: DataFrame, most_r
 
     rank = F.struct((-F.col("v")).alias("v"), (-F.col("o")).alias("o"), "sheet", "number")
     taken = register.where("drawing_number is not null").select(F.col("drawing_number").alias("number")).distinct()
-    left = written(scored.join(taken, "number", "left_anti").withColumn("rank", rank).withColumn("due", F.lit(True)), "left")
+    left = written(scored.join(taken, "number", "left_anti").withColumn("due", F.lit(True)), "left")
     gave: list[DataFrame] = []
     unsure: list[DataFrame] = []
-    for _ in range(most_rounds):
+    for k in range(most_rounds):
         # Pairs whose turn is over stay as candidates of their sheet as long as their number is free.
         due = left.where("due")
-        if due.isEmpty():
+        upto = _up_to(due, block)
+        if upto is None:
             break
-        first = due.groupBy("number").agg(F.min("rank").alias("first"))
-        bound = left.join(first, "number").groupBy("sheet").agg(F.min("first").alias("bound"))
-        best = left.groupBy("sheet").agg(F.min("rank").alias("best"))
-        equal = left.join(best, "sheet").where("v = -best.v and o = -best.o").groupBy("sheet").agg(F.count("*").alias("equal"))
-        turn = due.join(bound, "sheet").where(F.col("rank") <= F.col("bound")).join(best, "sheet").join(equal, "sheet")
-        turn = written(turn.withColumn("won", (F.col("equal") == 1) & (F.col("rank") == F.col("best"))).select("sheet", "number", "via", "won", "equal"), "turn")
-        won = turn.where("won").select("sheet", "number", "via")
+        if k % 8 < 7:
+            first = due.where(upto)
+            numbers = first.select("number").distinct().withColumn("now", F.lit(True))
+            # Pairs whose turn is over hold their sheet back: for good, if nothing of this block can take their number.
+            behind = left.where("not due").join(first.select("sheet").distinct(), "sheet", "left_semi").join(numbers, "number", "left")
+            behind = written(behind.select(*left.columns, "now"), "behind")
+            rows = first.unionByName(behind.drop("now")).join(behind.where("now is null").select("sheet").distinct(), "sheet", "left_anti")
+            turn = written(_in_turn(rows), "turn")
+            won = turn.where("number is not null")
+            unsure.append(turn.where("number is null").select("sheet"))
+            over = F.col("due") & ~upto
+        else:
+            left = left.withColumn("rank", rank)
+            due = left.where("due")
+            first = due.groupBy("number").agg(F.min("rank").alias("first"))
+            bound = left.join(first, "number").groupBy("sheet").agg(F.min("first").alias("bound"))
+            best = left.groupBy("sheet").agg(F.min("rank").alias("best"))
+            equal = left.join(best, "sheet").where("v = -best.v and o = -best.o").groupBy("sheet").agg(F.count("*").alias("equal"))
+            turn = due.join(bound, "sheet").where(F.col("rank") <= F.col("bound")).join(best, "sheet").join(equal, "sheet")
+            turn = written(turn.withColumn("won", (F.col("equal") == 1) & (F.col("rank") == F.col("best"))).select("sheet", "number", "via", "won", "equal"), "turn")
+            won = turn.where("won").select("sheet", "number", "via")
+            unsure.append(turn.where("equal > 1").select("sheet"))
+            left = left.join(turn.select("sheet", "number", F.lit(True).alias("over")), ["sheet", "number"], "left")
+            over = F.col("due") & F.col("over").isNull()
         gave.append(won)
-        unsure.append(turn.where("equal > 1").select("sheet"))
-        over = turn.select("sheet", "number", F.lit(True).alias("over"))
-        rest = left.join(won.select("sheet"), "sheet", "left_anti").join(won.select("number"), "number", "left_anti").join(over, ["sheet", "number"], "left")
-        left = written(rest.withColumn("due", F.col("due") & F.col("over").isNull()).drop("over"), "left")
+        rest = left.join(won.select("sheet"), "sheet", "left_anti").join(won.select("number"), "number", "left_anti")
+        left = written(rest.withColumn("due", over).select(*scored.columns, "due"), "left")
     else:
         raise RuntimeError(f"sheet numbers did not settle in {most_rounds} rounds")
     none = scored.select("sheet", "number", "via").limit(0)

@@ -88,3 +88,18 @@ def test_equal_numbers_stay_ambiguous_until_one_is_taken(spark):
     of = lambda refs: {r.sheet: (r.drawing_number, r.drawing_number_method) for r in identity.sheet_identity(tags, spark.createDataFrame(refs, "sheet string, code string, number string"), tags.limit(0).selectExpr("sheet", "code AS system_code", "code AS drawing_number")).collect()}
     assert of(tie) == {"a": (None, "ambiguous"), "b": (None, "unknown"), "z": (None, "unknown")}
     assert of([*tie, ("z", "C2", "D1")]) == {"a": ("D2", "references"), "b": ("D1", "references"), "z": (None, "unknown")}
+
+
+def test_few_numbers_for_many_sheets(spark):
+    """Sheets that all want the same numbers hang together one after the other; before, each such step was a round."""
+    rng = random.Random(8)
+    tags = [(s, "C1") for s in range(150) for _ in range(rng.randint(1, 4))]
+    refs = [(s, "C1", f"D{n:02}") for n in range(60) for s in rng.sample(range(150), n + (1 if n % 5 else 2))]
+    numbers, given, unsure, _ = choice(tags, refs, [])
+    assert len(given) > 40
+    frames = spark.createDataFrame(tags, "sheet long, code string"), spark.createDataFrame(refs, "sheet long, code string, number string")
+    none = frames[0].limit(0).selectExpr("sheet", "code AS system_code", "code AS drawing_number")
+    how = lambda s: "references" if s in given else "ambiguous" if s in unsure else "unknown"
+    for rounds, block in ((2, identity.BLOCK), (16, 800)):
+        rows = identity.sheet_identity(*frames, none, most_rounds=rounds, block=block).collect()
+        assert {r.sheet: (r.drawing_number, r.drawing_number_method) for r in rows} == {s: (given.get(s), how(s)) for s in range(150)}
