@@ -390,29 +390,46 @@ def consensus(pairs: DataFrame, heads: DataFrame, *, most_bits: int, least: int
     return both.mapInArrow(run, "a long, b long")
 
 
+def settled(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots(node, root)`` once ``links(a, b)`` hold too; what is joined already takes no part, so a crowd of copies is not gone through again."""
+    of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    more = written(components(written(ends.where("a <> b").distinct(), "ends")), "roots")
+    onto = more.select(F.col("node").alias("root"), F.col("root").alias("onto"))
+    known = roots.join(onto, "root", "left").select("node", F.coalesce("onto", "root").alias("root"))
+    return written(known.unionByName(more.join(roots, "node", "left_anti")), "roots")
+
+
 def linked(heads: DataFrame, *, most_bits: int = 16, least: int = 6, small: int = 64) -> DataFrame:
     """``(node, root)`` of the images of ``heads(image, points)`` that have a copy.
 
     Pairs of images are compared corner by corner if near descriptors of
     theirs meet in buckets at least a third of ``least`` times. First each image
-    meets the first one of each of its buckets, which joins a large group of
-    copies without writing out its pairs; then all that are still apart meet
-    in every bucket of more than two rows.
+    meets the first one of each of its buckets, and of these is compared with
+    the one it meets most often, which joins a large group of copies by no
+    more links than it has images; then with those of them that are still
+    apart; then all that are still apart meet in every bucket of more than two
+    rows.
     """
     meet = max(1, least // 3)
     met = written(with_first(dealt(heads), most_bits, small), "met")
     once = met.where("b is not null").select("a", "b", "n")
-    tried = written(often(once, meet), "pairs")
-    links = written(consensus(tried, heads, most_bits=most_bits, least=least), "links")
+    pairs = written(once.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= meet), "pairs")
+    best = written(pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
+    verified = lambda tried: written(consensus(tried, heads, most_bits=most_bits, least=least), "links")
+    roots = written(components(verified(best)), "roots")
     rows = met.where("b is null").select("bucket", F.col("a").alias("image"), "hi", "lo")
+    root_of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+    apart = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    roots = settled(roots, verified(written(apart.join(best, ["a", "b"], "left_anti"), "pairs")))
     named = lambda x: x.join(roots, F.col("image") == F.col("node"), "left").select("bucket", "image", "hi", "lo", F.coalesce("root", "image").alias("root"))
-    roots = components(links)
     again = written(with_all(named(rows), most_bits, small), "again")
     large = written(named(again.where("b is null").select("bucket", F.col("a").alias("image"), "hi", "lo")), "large")
     more = again.where("b is not null").select("a", "b", "n").unionByName(still_apart(large, most_bits=most_bits))
     # A bucket whose first image is one of a pair counts twice here; all that is decided by it is which pairs are looked at corner by corner.
-    rest = often(more.unionByName(once), meet).join(tried, ["a", "b"], "left_anti")
-    return components(links.unionByName(written(consensus(written(rest, "pairs"), heads, most_bits=most_bits, least=least), "links")))
+    # Those that met the first ones often enough have been looked at, or were joined.
+    rest = often(more.unionByName(once), meet).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    return settled(roots, verified(written(rest, "pairs")))
 
 
 def copies(images: DataFrame, *, id_col: str = "image_id", image_col: str = "image", most: int = 36, least: int = 6) -> DataFrame:

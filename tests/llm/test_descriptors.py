@@ -113,6 +113,24 @@ def crowded(images=300):
     return [(0, points(own))] + [(i, points(spots())) for i in range(1, images)] + [(images, points(own))]
 
 
+def test_a_crowd_of_copies_has_no_more_links_than_images(spark, monkeypatch):
+    """Copies that lack some corners have different first ones in their buckets; each used to be linked to all of these."""
+    rng = np.random.default_rng(3)
+    words = [tuple(int(w) for w in rng.integers(-(2**62), 2**62, 2)) for _ in range(24)]
+    spots = [D.packed(float(x), float(y), 1.0, 0.0) for x, y in rng.integers(20, 2000, (24, 2))]
+    rows = [(i, [(spots[k], *words[k]) for k in sorted(rng.choice(24, 14, replace=False))]) for i in range(100)]
+    table = spark.createDataFrame([(i, [(int(p), h, w) for p, h, w in points]) for i, points in rows], "image long, points array<struct<geo:long,hi:long,lo:long>>")
+    counts, components = [], D.components
+
+    def noted(edges):
+        counts.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(D, "components", noted)
+    assert {(r.node, r.root) for r in D.linked(table).collect()} == {(i, 0) for i in range(100)}
+    assert max(counts) <= len(rows)
+
+
 def test_crowded_buckets_are_compared_whole(spark):
     table = spark.createDataFrame(crowded(), "image long, points array<struct<geo:long,hi:long,lo:long>>")
     assert {(r.node, r.root) for r in D.linked(table).collect()} == {(0, 0), (300, 0)}
