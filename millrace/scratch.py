@@ -6,6 +6,7 @@ back, so a lost executor costs the tasks it was running and nothing before.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ _local: list[str] = []
 
 #: Static estimates follow compressed file sizes, so only tables far below Spark's 10 MB are broadcast by them (bytes).
 ESTIMATED = 256 << 10
+#: Shuffled rows are compressed too and go through the driver once a join, so tables of more than this are not broadcast even where the session allows it (bytes).
+SENT = 1 << 20
 STATIC, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 _GIVEN = "millrace.autoBroadcastJoinThreshold"
 
@@ -24,18 +27,23 @@ def joins_by_measured_size(spark: SparkSession) -> None:
     """Broadcast what measures small once it is shuffled, not what its files make look small.
 
     A Parquet table of keys and few values takes a few bytes a row and its hash
-    table a hundred times that, built on the driver. The session's threshold
-    goes on to hold for measured sizes; estimates are trusted up to
-    ``ESTIMATED``. ``joins_as_given`` puts the settings back.
+    table a hundred times that, built on the driver. Measured sizes are trusted
+    up to ``SENT``, estimates up to ``ESTIMATED``, and neither beyond what the
+    session allows. ``joins_as_given`` puts the settings back.
     """
     if spark.conf.get(_GIVEN, None) is not None:
         return
     given = spark.conf.get(STATIC)
     spark.conf.set(_GIVEN, f"{given} {spark.conf.get(MEASURED, None) or ''}")
-    if spark.conf.get(MEASURED, None) is None:
-        spark.conf.set(MEASURED, given)
-    if given.lower().rstrip("b") != "-1":
-        spark.conf.set(STATIC, str(ESTIMATED))
+    measured = spark.conf.get(MEASURED, None) or given
+    spark.conf.set(MEASURED, str(min(SENT, _bytes(measured))))
+    spark.conf.set(STATIC, str(min(ESTIMATED, _bytes(given))))
+
+
+def _bytes(size: str) -> int:
+    """A setting such as 10MB, 10485760b or -1 in bytes."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)[a-z]*", size.strip().lower()).groups()
+    return int(number) << {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(unit, 0)
 
 
 def joins_as_given(spark: SparkSession) -> None:
