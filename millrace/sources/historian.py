@@ -25,20 +25,24 @@ def clock(raw: Column) -> Column:
     return raw.try_cast("timestamp")
 
 
-def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The lines of all files, and a written table with a row for each split that has lines: where its first is in its file, and its first line that is not blank."""
+def _lines(spark: SparkSession, path: str, heads: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The lines of all files, and a written table with a row for each split that has lines: where its first is in its file, and how many that are not blank its file has.
+
+    With ``heads`` also its first line that is not blank; a text among counts has Spark sort the lines of a split.
+    """
     order = [F.col("_metadata.file_path").alias("run"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
     lines = spark.read.text(path).select(*order, F.regexp_replace("value", "^\ufeff|\r$", "").alias("line")).withColumn("full", F.col("line").rlike(r"[^\s,;\"]"))
-    counts = lines.groupBy("run", "block").agg(F.min("at").alias("first"), F.count_if("full").alias("rows"), F.count_if(~F.col("full")).alias("blanks"), F.min_by("line", F.when(F.col("full"), F.col("at"))).alias("head"))
+    counts = lines.groupBy("run", "block").agg(F.min("at").alias("first"), F.count_if("full").alias("rows"), F.count_if(~F.col("full")).alias("blanks"), *([F.min_by("line", F.when(F.col("full"), F.col("at"))).alias("head")] if heads else []))
     before = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
-    return lines, written(counts.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))), "splits")
+    whole = F.sum("rows").over(Window.partitionBy("run"))
+    return lines, written(counts.withColumns({"start": F.coalesce(F.sum("rows").over(before), F.lit(0)), "of": whole}), "splits")
 
 
 def _placed(lines: DataFrame, starts: DataFrame) -> DataFrame:
     placed = lines.join(starts.drop("head"), ["run", "block"])
-    plain = placed.where("blanks = 0").select("run", (F.col("start") + F.col("at") - F.col("first")).alias("position"), "line")
+    plain = placed.where("blanks = 0").select("run", (F.col("start") + F.col("at") - F.col("first")).alias("position"), "line", "of")
     inside = F.row_number().over(Window.partitionBy("run", "block").orderBy("at"))
-    gaps = placed.where((F.col("blanks") > 0) & F.col("full")).select("run", (F.col("start") + inside - 1).alias("position"), "line")
+    gaps = placed.where((F.col("blanks") > 0) & F.col("full")).select("run", (F.col("start") + inside - 1).alias("position"), "line", "of")
     return plain.unionByName(gaps)
 
 
@@ -49,7 +53,7 @@ def file_rows(spark: SparkSession, path: str) -> DataFrame:
     file add up to where each begins, and a line's number follows from its
     place in its split. Only splits with blank lines are numbered by a window.
     """
-    return _placed(*_lines(spark, path))
+    return _placed(*_lines(spark, path)).drop("of")
 
 
 def cells(line: Column, sep: str = ",") -> Column:
@@ -66,7 +70,7 @@ def wide_rows(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     split, so Spark sees how small they are and sends them to the lines; the
     lines stay where they were read.
     """
-    lines, starts = _lines(spark, path)
+    lines, starts = _lines(spark, path, heads=True)
     heads = starts.where("start = 0 and rows > 0").select("run", cells(F.col("head"), sep).alias("header"))
     data = _placed(lines, starts).where("position > 0").select("run", (F.col("position") - 1).alias("row_no"), cells(F.col("line"), sep).alias("cells"), (F.regexp_count("line", F.lit('"')) % 2 == 1).alias("open"))
     bare = starts.groupBy("run").agg(F.sum("rows").alias("rows")).where("rows = 1").join(heads, "run")
@@ -135,11 +139,14 @@ def order_findings(readings: DataFrame) -> DataFrame:
 
 
 def matrix(spark: SparkSession, path: str, flipped_rows: int = 52) -> DataFrame:
-    """Whitespace matrices as ``run, row_no, channel, value``; a file with ``flipped_rows`` rows is stored transposed."""
-    rows = file_rows(spark, path).select("run", F.col("position").alias("r"), F.trim("line").alias("line"))
-    size = rows.groupBy("run").agg(F.count("*").alias("n"))
-    cell = rows.select("run", "r", F.posexplode(F.split("line", r"\s+")).alias("c", "raw")).join(size, "run")
-    flipped = F.col("n") == flipped_rows
+    """Whitespace matrices as ``run, row_no, channel, value``; a file with ``flipped_rows`` rows is stored transposed.
+
+    How many rows a file has is kept when its splits are counted, so cells are
+    not shuffled to meet it.
+    """
+    rows = _placed(*_lines(spark, path))
+    cell = rows.select("run", F.col("position").alias("r"), "of", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("c", "raw"))
+    flipped = F.col("of") == flipped_rows
     return cell.select("run", F.when(flipped, F.col("c")).otherwise(F.col("r")).alias("row_no"), F.when(flipped, F.col("r")).otherwise(F.col("c")).alias("channel"), number(F.col("raw")).alias("value"))
 
 
