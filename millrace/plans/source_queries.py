@@ -129,12 +129,18 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return g.join(bad, "file", "full").select("file", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("malformed", F.lit(0)).alias("malformed"))
 
 
+#: Loop lists that are written (fixed); all lines of a controller are in one.
+LOOP_FILES = 250
+
+
 def s12(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "loops")
     o = table(spark, d, "orders")
     line = F.concat_ws(",", F.concat(F.lit("FIC-"), F.col("o_orderkey") % 5000), F.when(F.col("o_orderkey") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("FT-"), "o_custkey")), F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("FIC "), F.col("o_orderkey") % 5000)).otherwise(F.lit("FV-1")), F.lit("x"))
-    files = o.groupBy((F.col("o_orderkey") % 5000 % 16).alias("f")).agg(F.concat(F.lit("controller,measurement,output,description\n# note\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("value"))
-    files.select("value", "f").write.partitionBy("f").text(path)
+    f = (F.col("o_orderkey") % 5000 % LOOP_FILES).alias("f")
+    head = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit("controller,measurement,output,description").alias("value")), F.struct(F.lit(1).alias("part"), F.lit("# note").alias("value"))))
+    rows = o.select(f, F.lit(2).alias("part"), line.alias("value")).unionByName(o.select(f).distinct().select("f", head.alias("h")).select("f", "h.*"))
+    rows.repartition("f").sortWithinPartitions("f", "part", "value").select("value", "f").write.partitionBy("f").text(path)
     good, refused = R.control_loops(spark, f"{path}/*/*.txt")
     return refused.groupBy("refusal").agg(F.count("*").alias("n")).unionByName(good.agg(F.count("*").alias("n")).select(F.lit("kept").alias("refusal"), "n")).where("n > 0")
 

@@ -64,10 +64,15 @@ def control_loops(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """Loop lists with physical line numbers, and what is refused: empty fields, repeated controllers, own outputs."""
     from millrace.functions.text import tag_compact
 
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    rows = lines.where(~F.col("text").rlike(r"^\s*(#|$)"))
-    first = F.min("line").over(Window.partitionBy("file"))
-    body = rows.withColumn("_h", first).where("line > _h").select("file", (F.col("line") + 1).alias("line"), F.from_csv("text", "controller string, measurement string, output string, description string").alias("r")).select("file", "line", "r.*")
+    # Files stay splittable: lines are counted by split, and the splits of a file add up to where each begins.
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(*place, F.regexp_replace("value", r"\r\z", "").alias("text")).withColumn("full", ~F.col("text").rlike(r"^\s*(#|$)"))
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("rows"), F.min(F.when(F.col("full"), F.col("at"))).alias("head"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    begun = splits.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    headed = written(begun.withColumn("head", F.min(F.col("start") + F.col("head") - F.col("first")).over(Window.partitionBy("file"))), "splits")
+    rows = lines.where("full").join(headed, ["file", "block"]).select("file", (F.col("start") + F.col("at") - F.col("first")).cast("int").alias("line"), "head", "text")
+    body = rows.where("line > head").select("file", (F.col("line") + 1).alias("line"), F.from_csv("text", "controller string, measurement string, output string, description string").alias("r")).select("file", "line", "r.*")
     blank = F.lit(False)
     for c in ("controller", "measurement", "output"):
         blank = blank | (F.coalesce(F.trim(c), F.lit("")) == "")
