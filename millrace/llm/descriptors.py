@@ -8,8 +8,9 @@ kept per level and per area, so a crop keeps its share, and small images have
 enlarged levels, so a copy of half the size meets the whole one. Descriptors
 meet in Hamming tables: a table is keyed by some of the bits, and descriptors
 that agree on them share a bucket. Every bucket is compared whole, but for
-images that are joined already: each image is first compared with the first
-one of its bucket, which joins large groups of copies. Two images
+images that are joined already: in one table, then in all, each image is first
+compared with the first one of its bucket, which joins large groups of copies.
+A bucket whose images are all joined is left out of what follows. Two images
 are linked if enough of all their corners agree on one scale, turn and shift.
 
 Images with equal bytes are one group from the start and their corners are
@@ -30,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.buckets import buckets
@@ -219,8 +220,8 @@ def corners(images: DataFrame, most: int = 36) -> DataFrame:
     return images.mapInArrow(run, f"image_id long, sum string, points array<struct<{POINT.replace(' long', ':long')}>>")
 
 
-def dealt(points: DataFrame, *, tables: int = 6, key_bits: int = KEY) -> DataFrame:
-    """``(bucket, image, hi, lo)``: each descriptor of ``points(image, points)`` once an image in its bucket of every table.
+def dealt(points: DataFrame, *, tables: int = 6, key_bits: int = KEY, only: int | None = None) -> DataFrame:
+    """``(bucket, image, hi, lo)``: each descriptor of ``points(image, points)`` once an image in its bucket of every table, or of the first ``only`` ones; a ``root`` of the image goes along.
 
     A table reads ``key_bits`` of the descriptor; the tables begin at even steps.
     """
@@ -237,7 +238,14 @@ def dealt(points: DataFrame, *, tables: int = 6, key_bits: int = KEY) -> DataFra
 
     place = lambda t: F.lit(t << 56).bitwiseOR(key(t))
     words = F.array_distinct(F.transform("points", lambda p: F.struct(p["hi"].alias("hi"), p["lo"].alias("lo"))))
-    return points.select("image", F.inline(words)).select(F.explode(F.array(*[place(t) for t in range(tables)])).alias("bucket"), "image", "hi", "lo")
+    root = [c for c in points.columns if c == "root"]
+    return points.select("image", *root, F.inline(words)).select(F.explode(F.array(*[place(t) for t in range(only or tables)])).alias("bucket"), "image", "hi", "lo", *root)
+
+
+def of_several(rows: DataFrame) -> DataFrame:
+    """The ``rows(bucket, image, hi, lo, root)`` of buckets in which two images are not joined yet."""
+    of = Window.partitionBy("bucket")
+    return rows.select("*", F.min("root").over(of).alias("p"), F.max("root").over(of).alias("q")).where("p <> q").drop("p", "q")
 
 
 def _near(hi: np.ndarray, lo: np.ndarray, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
@@ -394,7 +402,10 @@ def settled(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots(node, root)`` once ``links(a, b)`` hold too; what is joined already takes no part, so a crowd of copies is not gone through again."""
     of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    more = written(components(written(ends.where("a <> b").distinct(), "ends")), "roots")
+    ends = written(ends.where("a <> b").distinct(), "ends")
+    if ends.isEmpty():
+        return roots
+    more = written(components(ends), "roots")
     onto = more.select(F.col("node").alias("root"), F.col("root").alias("onto"))
     known = roots.join(onto, "root", "left").select("node", F.coalesce("onto", "root").alias("root"))
     return written(known.unionByName(more.join(roots, "node", "left_anti")), "roots")
@@ -405,23 +416,34 @@ def linked(heads: DataFrame, *, most_bits: int = 16, least: int = 6, small: int
 
     Pairs of images are compared corner by corner if near descriptors of
     theirs meet in buckets at least a third of ``least`` times. First each image
-    meets the first one of each of its buckets, and of these is compared with
-    the one it meets most often, which joins a large group of copies by no
-    more links than it has images; then with those of them that are still
-    apart; then all that are still apart meet in every bucket of more than two
-    rows.
+    meets the first one of each of its buckets of one table, and of these is
+    compared with the one it meets most often, which joins a large group of
+    copies by no more links than it has images; then with those of them that
+    are still apart. Then the same is done in all tables, in buckets that hold
+    images still apart, so a group that is joined by then leaves no rows; then
+    all that are still apart meet in every bucket of more than two rows.
     """
     meet = max(1, least // 3)
-    met = written(with_first(dealt(heads), most_bits, small), "met")
-    once = met.where("b is not null").select("a", "b", "n")
-    pairs = written(once.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= meet), "pairs")
-    best = written(pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
     verified = lambda tried: written(consensus(tried, heads, most_bits=most_bits, least=least), "links")
-    roots = written(components(verified(best)), "roots")
+    totals = lambda once: written(once.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= meet), "pairs")
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        root_of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+        return pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "n")
+
+    def with_best(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        best = written(pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
+        roots = settled(roots, verified(best))
+        return settled(roots, verified(written(apart(pairs, roots).select("a", "b").join(best, ["a", "b"], "left_anti"), "pairs")))
+
+    tried = totals(with_first(dealt(heads, only=1), most_bits, small).where("b is not null"))
+    roots = with_best(heads.sparkSession.createDataFrame([], "node long, root long"), tried)
+    own = heads.join(roots, F.col("image") == F.col("node"), "left").select("image", "points", F.coalesce("root", "image").alias("root"))
+    met = written(with_first(of_several(dealt(own)), most_bits, small), "met")
+    once = met.where("b is not null").select("a", "b", "n")
+    pairs = totals(once)
+    roots = with_best(roots, written(apart(pairs.join(tried, ["a", "b"], "left_anti"), roots), "pairs"))
     rows = met.where("b is null").select("bucket", F.col("a").alias("image"), "hi", "lo")
-    root_of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
-    apart = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    roots = settled(roots, verified(written(apart.join(best, ["a", "b"], "left_anti"), "pairs")))
     named = lambda x: x.join(roots, F.col("image") == F.col("node"), "left").select("bucket", "image", "hi", "lo", F.coalesce("root", "image").alias("root"))
     again = written(with_all(named(rows), most_bits, small), "again")
     large = written(named(again.where("b is null").select("bucket", F.col("a").alias("image"), "hi", "lo")), "large")

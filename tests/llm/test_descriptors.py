@@ -131,6 +131,28 @@ def test_a_crowd_of_copies_has_no_more_links_than_images(spark, monkeypatch):
     assert max(counts) <= len(rows)
 
 
+def test_a_crowd_that_is_joined_leaves_no_rows(spark, monkeypatch):
+    """Each row of a crowd's buckets used to be kept and joined with its image's root before these were left out."""
+    rng = np.random.default_rng(5)
+    point = lambda w: (D.packed(*(float(x) for x in rng.integers(20, 2000, 2)), 1.0, 0.0), *(int(x) for x in w))
+    words = lambda n: rng.integers(-(2**62), 2**62, (n, 2))
+    common, own = [point(w) for w in words(12)], [[point(w) for w in words(3)] for _ in range(80)]
+    # Two more have one of the crowd's words each: their bucket is kept, the others are not.
+    rows = [(i, common + own[i]) for i in range(80)] + [(100 + i, [point(common[i][1:])] + [point(w) for w in words(6)]) for i in range(2)]
+    kept, written = {}, D.written
+
+    def noted(df, tag):
+        out = written(df, tag)
+        kept[tag] = out
+        return out
+
+    monkeypatch.setattr(D, "written", noted)
+    table = spark.createDataFrame(rows, "image long, points array<struct<geo:long,hi:long,lo:long>>")
+    assert {(r.node, r.root) for r in D.linked(table).collect()} == {(i, 0) for i in range(80)}
+    left = kept["met"].where("b is null")
+    assert left.select("bucket").distinct().count() == 2 * 6 and left.count() == 2 * 6 * 81
+
+
 def test_crowded_buckets_are_compared_whole(spark):
     table = spark.createDataFrame(crowded(), "image long, points array<struct<geo:long,hi:long,lo:long>>")
     assert {(r.node, r.root) for r in D.linked(table).collect()} == {(0, 0), (300, 0)}
