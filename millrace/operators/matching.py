@@ -84,7 +84,8 @@ def near_pairs(a: DataFrame, b: DataFrame, on: list[str], *, within: float = 0.0
     right = right.select(*on, "gx", "gy", *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in on])
     first_x = F.greatest(F.floor((F.col("a_x0") - within) / cell), F.floor(F.col("b_x0") / cell))
     first_y = F.greatest(F.floor((F.col("a_y0") - within) / cell), F.floor(F.col("b_y0") / cell))
-    met = left.join(right, [*on, "gx", "gy"]).where((F.col("gx") == first_x) & (F.col("gy") == first_y))
+    # Boxes are small in their files and large as a table of the driver: they meet by shuffles whatever the session broadcasts.
+    met = left.join(right.hint("merge"), [*on, "gx", "gy"]).where((F.col("gx") == first_x) & (F.col("gy") == first_y))
     return met.where(gap("a_", "b_") <= within).drop("gx", "gy")
 
 
@@ -138,7 +139,7 @@ def agreement(preds: DataFrame, run: str = "tool", on: str = "sheet", least_iou:
     found = met.groupBy(on, F.col(f"a_{run}").alias(run), F.col("a_id").alias("id")).agg(F.count_distinct(f"b_{run}").alias("found"))
     twice = pairs.where(same_run & (F.col("a_id") != F.col("b_id")) & (F.col("iou") >= double_iou)).select(on, F.col(f"a_{run}").alias(run), F.col("a_id").alias("id"), F.lit(True).alias("dup_box")).distinct()
     runs = preds.groupBy(on).agg((F.count_distinct(run) - 1).alias("others"))
-    out = preds.join(runs, on).join(found, [on, run, "id"], "left").join(twice, [on, run, "id"], "left")
+    out = preds.join(runs.hint("merge"), on).join(found.hint("merge"), [on, run, "id"], "left").join(twice.hint("merge"), [on, run, "id"], "left")
     miss = F.when(F.col("others") == 0, F.lit(0.5)).otherwise(1 - F.coalesce("found", F.lit(0)) / F.col("others"))
     return out.select(run, on, "id", miss.alias("xm_miss"), F.coalesce("dup_box", F.lit(False)).alias("dup_box"))
 
