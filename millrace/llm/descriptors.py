@@ -264,22 +264,23 @@ def _met(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(n.astype(np.int64)), none, none, none], names=names)
 
 
-def _left(part: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, image, hi, lo) that are to be compared later."""
+def _left(part: np.ndarray, large: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, image, hi, lo) that are to be compared later; n is 1 for those of ``large`` buckets."""
     names = [x.split()[0] for x in MET.split(", ")]
     if part.shape[1]:
         none = pa.nulls(part.shape[1], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(part[1]), none, none, pa.array(part[0]), pa.array(part[2]), pa.array(part[3])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(part[1]), none, pa.array(np.ones(part.shape[1], np.int64)) if large else none, pa.array(part[0]), pa.array(part[2]), pa.array(part[3])], names=names)
 
 
 def _in_buckets(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "image")
 
 
-def with_first(rows: DataFrame, most_bits: int, small: int) -> DataFrame:
-    """``(a, b, n)``: how often a descriptor of an image is near that of its bucket's first image; and, with null b, each row ``(bucket, a, hi, lo)`` of buckets with more than two.
+def with_first(rows: DataFrame, most_bits: int, small: int, *, gathered: bool = False) -> DataFrame:
+    """``(a, b, n)``: how often a descriptor of an image is near that of its bucket's first image; and, with null b, each row ``(bucket, a, hi, lo)`` of buckets with more than two, n being 1 if it has more than ``small``.
 
-    A crowd of copies is joined at a cost in proportion to it.
+    A crowd of copies is joined at a cost in proportion to it. Rows whose
+    buckets are ``gathered`` in tasks already are not shuffled again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,9 +297,10 @@ def with_first(rows: DataFrame, most_bits: int, small: int) -> DataFrame:
                 far = np.bitwise_count((hi ^ head[2]).view(np.uint64)) + np.bitwise_count((lo ^ head[3]).view(np.uint64))
                 at = np.flatnonzero((image != head[1]) & (far <= most_bits))
                 yield from _met([np.stack([image[at], np.full(len(at), head[1])])])
-                yield from _left(part)
+                yield from _left(part, large=True)
 
-    return _in_buckets(rows.select("bucket", "image", "hi", "lo")).mapInArrow(run, MET)
+    own = rows.select("bucket", "image", "hi", "lo")
+    return (own.sortWithinPartitions("bucket", "image") if gathered else _in_buckets(own)).mapInArrow(run, MET)
 
 
 def with_all(rows: DataFrame, most_bits: int, small: int) -> DataFrame:
@@ -307,7 +309,7 @@ def with_all(rows: DataFrame, most_bits: int, small: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, head in buckets(batches, small):
             if head is not None:
-                yield from _left(part[:4])
+                yield from _left(part[:4], large=True)
                 continue
             bucket, image, hi, lo, root = part
             begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -439,15 +441,14 @@ def linked(heads: DataFrame, *, most_bits: int = 16, least: int = 6, small: int
     tried = totals(with_first(dealt(heads, only=1), most_bits, small).where("b is not null"))
     roots = with_best(heads.sparkSession.createDataFrame([], "node long, root long"), tried)
     own = heads.join(roots, F.col("image") == F.col("node"), "left").select("image", "points", F.coalesce("root", "image").alias("root"))
-    met = written(with_first(of_several(dealt(own)), most_bits, small), "met")
+    met = written(with_first(of_several(dealt(own)), most_bits, small, gathered=True), "met")
     once = met.where("b is not null").select("a", "b", "n")
     pairs = totals(once)
     roots = with_best(roots, written(apart(pairs.join(tried, ["a", "b"], "left_anti"), roots), "pairs"))
-    rows = met.where("b is null").select("bucket", F.col("a").alias("image"), "hi", "lo")
-    named = lambda x: x.join(roots, F.col("image") == F.col("node"), "left").select("bucket", "image", "hi", "lo", F.coalesce("root", "image").alias("root"))
-    again = written(with_all(named(rows), most_bits, small), "again")
-    large = written(named(again.where("b is null").select("bucket", F.col("a").alias("image"), "hi", "lo")), "large")
-    more = again.where("b is not null").select("a", "b", "n").unionByName(still_apart(large, most_bits=most_bits))
+    rows = met.where("b is null").select("bucket", F.col("a").alias("image"), "hi", "lo", F.col("n").isNotNull().alias("large"))
+    named = written(rows.join(roots, F.col("image") == F.col("node"), "left").select("bucket", "image", "hi", "lo", "large", F.coalesce("root", "image").alias("root")), "named")
+    again = with_all(named.where("not large"), most_bits, small).where("b is not null").select("a", "b", "n")
+    more = again.unionByName(still_apart(named.where("large"), most_bits=most_bits))
     # A bucket whose first image is one of a pair counts twice here; all that is decided by it is which pairs are looked at corner by corner.
     # Those that met the first ones often enough have been looked at, or were joined.
     rest = often(more.unionByName(once), meet).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
