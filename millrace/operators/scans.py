@@ -13,14 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
 #: Microseconds of a chunk of time.
 SPELL = 3_600_000_000
-OWN, AT = "_own", "_chunk"
+OWN, AT, PLACE = "_own", "_chunk", "_place"
 
 
 def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,9 +110,12 @@ def numbered(rows: DataFrame, keys: list[str], by: list[str], name: str) -> Data
 def by_chunks(rows: DataFrame, keys: list[str], order: str, work: Callable[[pa.Table], pa.RecordBatch], schema: str, send: int = 1 << 16) -> DataFrame:
     """``work`` on the rows of each ``keys`` in ``order``.
 
-    Rows are sorted by key in their partitions and cut where a key changes, so
+    Rows are numbered in each key by a window and cut where a number is 1, so
     thousands of short series cost what one long one does; a task holds an
-    Arrow batch and the rows of the key it has begun.
+    Arrow batch and the rows of the key it has begun. The window also keeps
+    the rows of a key in one partition: a mere ``repartition`` is dropped by
+    Spark after a join on the same keys, and the join's shuffle may then be
+    read by its map tasks once its other side proves small enough to broadcast.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,15 +125,7 @@ def by_chunks(rows: DataFrame, keys: list[str], order: str, work: Callable[[pa.T
         for batch in batches:
             if not len(batch):
                 continue
-            new = np.zeros(len(batch), bool)
-            for k in keys:
-                column = batch.column(k)
-                if len(batch) > 1:
-                    same = pc.equal(column.slice(1), column.slice(0, len(batch) - 1)).fill_null(False)
-                    both = pc.and_(pc.is_null(column.slice(1)), pc.is_null(column.slice(0, len(batch) - 1)))
-                    new[1:] |= ~pc.or_(same, both).to_numpy(zero_copy_only=False)
-                new[0] |= not held or held[-1].column(k)[-1].as_py() != column[0].as_py()
-            cuts = [*np.flatnonzero(new).tolist(), len(batch)]
+            cuts = [*np.flatnonzero(batch.column(PLACE).to_numpy() == 1).tolist(), len(batch)]
             if held and cuts[0] > 0:
                 held.append(batch.slice(0, cuts[0]))
             for a, b in zip(cuts, cuts[1:]):
@@ -147,4 +141,5 @@ def by_chunks(rows: DataFrame, keys: list[str], order: str, work: Callable[[pa.T
         if made:
             yield from pa.Table.from_batches(made).combine_chunks().to_batches()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return rows.withColumn(PLACE, place).sortWithinPartitions(*keys, PLACE).mapInArrow(run, schema)
