@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import checks as C
@@ -11,6 +11,12 @@ from millrace.operators import series as S
 from millrace.plans.standins import READINGS, readings, table
 
 
+def rounded(c: Column | str, digits: int = 6) -> Column:
+    """Rounded as the SQL does it: half away from zero once the number is scaled, not by the digits it prints."""
+    scale = float(10**digits)
+    return F.round((F.col(c) if isinstance(c, str) else c) * scale) / scale
+
+
 def _parts(spark: SparkSession, d: str) -> DataFrame:
     return S.split(readings(spark, d))
 
@@ -125,7 +131,7 @@ def a27(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w01(spark: SparkSession, d: str) -> DataFrame:
-    return S.drift_gaps(readings(spark, d)).select("run", "tag", "row_no", F.round("gap", 6).alias("gap"), F.round("level", 6).alias("level"))
+    return S.drift_gaps(readings(spark, d)).select("run", "tag", "row_no", rounded("gap").alias("gap"), rounded("level").alias("level"))
 
 
 def w02(spark: SparkSession, d: str) -> DataFrame:
