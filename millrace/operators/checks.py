@@ -158,6 +158,18 @@ def identity_sets(expected: DataFrame, found: DataFrame) -> DataFrame:
 # ---- rollups
 
 
+def steady_mean(value: str) -> Column:
+    """The mean of a double, the same in whatever order rows are added: they are summed as the decimals they print.
+
+    A value that is not nought and lies outside of 0.001 to 1e9, or is not
+    finite, has too many digits for that; its group has the ordinary mean.
+    """
+    v = F.col(value)
+    fits = (v == 0) | ((F.abs(v) >= 1e-3) & (F.abs(v) < 1e9))
+    total = F.try_sum(F.when(fits, v.cast("decimal(38,20)")))
+    return F.when(F.bool_and(fits), total.cast("double") / F.count(v)).otherwise(F.avg(v))
+
+
 def setpoint_offsets(series: DataFrame, most: float) -> DataFrame:
     """Series ``(.., mean, setpoint)`` whose mean is off its setpoint by more than a share."""
     return series.withColumn("off", F.abs(F.col("mean") - F.col("setpoint")) / F.greatest(F.abs("setpoint"), F.lit(1e-9))).where(F.col("off") > most)

@@ -612,7 +612,7 @@ def a22(spark: SparkSession, d: str) -> DataFrame:
 
 def a29(spark: SparkSession, d: str) -> DataFrame:
     """Setpoints against means: relative difference per series."""
-    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("mean"), F.max_by("value", "event_id").alias("setpoint"))
+    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(C.steady_mean("value").alias("mean"), F.max_by("value", "event_id").alias("setpoint"))
     return C.setpoint_offsets(e, 0.5).select("user_id", "event_type", "off")
 
 
