@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.scratch import written
@@ -14,6 +14,10 @@ from millrace.scratch import written
 GRAM = 3
 #: Pairs of a sheet and a number that one task goes through in their order, a round (fixed).
 BLOCK = 1 << 17
+#: Best pairs of a sheet that are looked at to learn which numbers may be taken, before more are (fixed).
+NEAR = 64
+#: Sheets whose best pairs a task holds at once (fixed).
+SHEETS = 512
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -101,6 +105,74 @@ def _in_turn(rows: DataFrame) -> DataFrame:
     return own.mapInArrow(run, kinds)
 
 
+def _sure(rows: DataFrame) -> DataFrame:
+    """The numbers that a sheet could get if all others seen in its task were taken; ``rows(sheet, cut, pairs)`` have the best pairs of a sheet in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set = set()
+        level = lambda pair: (pair["v"], pair["o"])
+        for batch in (b.slice(at, SHEETS) for b in batches for at in range(0, len(b), SHEETS)):
+            new: list = []
+            unsettled = [(own[::-1], cut) for own, cut in zip(batch.column("pairs").to_pylist(), batch.column("cut").to_pylist(), strict=True)]
+            more = True
+            while more:
+                more, still = False, []
+                for own, cut in unsettled:
+                    while own and own[-1]["number"] in found:
+                        own.pop()
+                    if not own:
+                        continue
+                    # Where pairs were cut off, the last ones shown may have equals.
+                    if any(level(x) == level(own[-1]) and x["number"] not in found for x in own[:-1]) or (cut and level(own[0]) == level(own[-1])):
+                        still.append((own, cut))
+                        continue
+                    new.append(own.pop()["number"])
+                    found.add(new[-1])
+                    still.append((own, cut))
+                    more = True
+                unsettled = still
+            if new:
+                yield pa.RecordBatch.from_pydict({"number": new}, schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = rows.select(F.col("pairs")[0]["number"].alias("number")).schema
+    schema = to_arrow_schema(kind)
+    return rows.select("cut", "pairs").mapInArrow(run, kind)
+
+
+def contested(pairs: DataFrame, most: int = NEAR) -> tuple[DataFrame, DataFrame]:
+    """Of ``pairs(sheet, number, v, o)``: the numbers that may be taken at all, and ``(sheet, v, o)`` of the best pairs of a sheet whose numbers never are.
+
+    A number is only taken by a sheet whose other numbers of its rank or a
+    better one are gone. So what may be taken follows from the sheets whose
+    best number has no equal, then from those whose best one without these has
+    none, and so on; it is more than what is taken, as no order is heeded. A
+    sheet gets nothing at or below its best pair whose number stays.
+
+    Each sheet shows its best ``most`` pairs; those that used them up show more.
+    """
+    best = Window.partitionBy("sheet").orderBy(F.desc("v"), F.desc("o"), "number")
+    all_taken = pairs.select("number").limit(0)
+    while True:
+        rest = pairs.join(all_taken, "number", "left_anti")
+        near = written(rest.select("sheet", "number", "v", "o", F.row_number().over(best).alias("place")).where(F.col("place") <= most + 1), "near")
+        # The pair behind the last one shown only tells that there is one.
+        near = near.withColumn("cut", F.max("place").over(Window.partitionBy("sheet")) > most).where(F.col("place") <= most)
+        before = all_taken
+        while True:
+            own = near.join(all_taken, "number", "left_anti").groupBy("sheet", "cut").agg(F.sort_array(F.collect_list(F.struct("place", "v", "o", "number"))).alias("pairs"))
+            new = written(_sure(own).distinct(), "sure")
+            if new.isEmpty():
+                break
+            all_taken = written(all_taken.unionByName(new), "contested")
+        left = near.join(all_taken.withColumn("gone", F.lit(True)), "number", "left")
+        short = left.groupBy("sheet", "cut").agg(F.count_if(F.col("gone").isNull()).alias("shown")).where("cut and shown < 2")
+        if all_taken is before or short.isEmpty():
+            stays = left.where("gone is null").groupBy("sheet").agg(F.max(F.struct("v", "o")).alias("m"))
+            return all_taken, stays.select("sheet", "m.v", "m.o")
+
+
 def sheet_identity(tags: DataFrame, refs: DataFrame, register: DataFrame, most_rounds: int = 1000, block: int = BLOCK) -> DataFrame:
     """``(sheet, system_code, system_code_method, drawing_number, drawing_number_method, candidates)`` of every sheet of ``tags``.
 
@@ -116,6 +188,8 @@ def sheet_identity(tags: DataFrame, refs: DataFrame, register: DataFrame, most_r
     numbers left are equal is ambiguous when its turn comes. A number settles
     a tie of codes.
 
+    Numbers that no sheet can ever take (``contested``) hold the sheets back
+    that see them for good, so only the pairs above those are gone through.
     Where many sheets could have the same numbers, their pairs hang together
     one after the other. So a round takes the first ``block`` pairs, and one
     task goes through them in turn; sheets that got a number and numbers that
@@ -141,9 +215,13 @@ def sheet_identity(tags: DataFrame, refs: DataFrame, register: DataFrame, most_r
 
     rank = F.struct((-F.col("v")).alias("v"), (-F.col("o")).alias("o"), "sheet", "number")
     taken = register.where("drawing_number is not null").select(F.col("drawing_number").alias("number")).distinct()
-    left = written(scored.join(taken, "number", "left_anti").withColumn("due", F.lit(True)), "left")
+    free = written(scored.join(taken, "number", "left_anti"), "free")
+    may, stays = contested(free)
+    stays = written(stays, "stays")
+    above = free.join(may, "number", "left_semi").join(stays.select("sheet", F.struct("v", "o").alias("stays")), "sheet", "left").where(F.col("stays").isNull() | (F.struct("v", "o") > F.col("stays")))
+    left = written(above.select(*scored.columns).withColumn("due", F.lit(True)), "left")
     gave: list[DataFrame] = []
-    unsure: list[DataFrame] = []
+    unsure: list[DataFrame] = [stays.select("sheet")]
     for k in range(most_rounds):
         # Pairs whose turn is over stay as candidates of their sheet as long as their number is free.
         due = left.where("due")
